@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, simhash
+from . import licences, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op8_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op8_secrets, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_licences": licences.oracle()}
