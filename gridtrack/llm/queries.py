@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, secrets, simhash
+from . import langid, licences, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,17 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op8_secrets, op9_licences)}
+    return {f.__name__: f for f in (op1_simhash, op5_langid, op6_quality, op8_secrets, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licences": licences.oracle()}
+    return {"op6_quality": quality.oracle(), "op9_licences": licences.oracle()}
