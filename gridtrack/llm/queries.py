@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licences, quality, secrets, simhash, toxicity
+from . import chunks, decontam, langid, licences, quality, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, bits=3)
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_langid, op6_quality, op8_secrets, op9_licences, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_chunks, op5_langid, op6_quality, op7_decontam, op8_secrets, op9_licences, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
