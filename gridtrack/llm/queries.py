@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontam, langid, licences, mixing, quality, secrets, simhash, toxicity
+from . import chunks, decontam, langid, licences, mixing, quality, repeats, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.counted(_table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_chunks, op3_mixing, op5_langid, op6_quality, op7_decontam, op8_secrets, op9_licences, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_chunks, op3_mixing, op4_repeats, op5_langid, op6_quality, op7_decontam, op8_secrets, op9_licences, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
