@@ -37,11 +37,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(df: DataFrame, text: str = "text") -> DataFrame:
-    """Only ``doc_id`` and the text's UTF-8 bytes as ``t``; other columns, whatever their names, are left out."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Components of an undirected graph, as (node, root) with root the smallest node; nodes without an edge are absent.
 

@@ -7,10 +7,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, text_bytes
+from .common import connected_components, stored
 
 #: Shingles whose bits are counted at once: bounds the memory of a very long text.
 PIECE = 1 << 16
@@ -36,15 +36,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """(doc_id or the long columns ``keys``, fp): one row for each row of ``docs``; fp is the fingerprint as a signed long."""
+    keys = keys or ["doc_id"]
+    rows = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").cast("binary").alias("t"))
 
     def kernel(batches):
         for b in batches:
             fps = [fingerprint(t or b"", width) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*keys, "fp"])
 
-    return text_bytes(docs).mapInArrow(kernel, "doc_id long, fp long")
+    return rows.mapInArrow(kernel, ", ".join(f"{k} long" for k in keys) + ", fp long")
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -78,6 +80,12 @@ def links(fps: DataFrame, bits: int = 3, blocks: int = 6, bucket: int = 1024) ->
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def components(rows: DataFrame, bits: int = 3, blocks: int = 6) -> DataFrame:
+    """(fp, root): the component of each distinct fingerprint in column fp, named by its smallest one."""
+    roots = connected_components(links(rows, bits, blocks)).withColumnRenamed("node", "fp")
+    return rows.select("fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3, blocks: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_component): one row for each row of ``docs``.
 
@@ -88,22 +96,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3, blocks: int
     component's id unless the component has no other.  Repeated rows stay repeated.
     """
     rows = stored(fingerprints(docs, width), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    roots = connected_components(links(rows, bits, blocks)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(components(rows, bits, blocks), "fp")
     whole = nodes.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_component"))
     named = stored(nodes.join(whole, "root").select("fp", "component_id", "n_component"), "components")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_component")
 
 
 def deduplicated(docs: DataFrame, width: int = 3, bits: int = 3, blocks: int = 6) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one with the component's smallest doc_id.
+    """The rows of ``docs`` with one document of each component: that of the smallest doc_id (null counts as largest), on ties of the smallest hash of its columns.
 
-    All columns are kept.  Of repeated rows with that doc_id one stays (the smallest by
-    its columns' hash).  Rows with a null doc_id stay only where their component has no other.
+    All columns are kept; repeated rows count as copies, so one of them stays.
     """
-    marks = near_duplicates(docs, width, bits, blocks)
-    gone = marks.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1 OR doc_id IS NULL").drop("_nth")
+    names = docs.columns
+    keyed = docs.withColumn("_h", F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    rows = stored(fingerprints(keyed, width, ["_d", "_h"]), "fingerprints")
+    named = stored(rows.join(stored(components(rows, bits, blocks), "components"), "fp").groupBy("root", "_d", "_h").agg(F.count("*").alias("n")), "members")
+    first = named.groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("first"))
+    gone = named.join(first, "root").where(F.struct("_d", "_h") != F.col("first")).select("_d", "_h")
+    kept = keyed.join(gone, ["_d", "_h"], "left_anti")
+    again = named.join(first, "root").where((F.struct("_d", "_h") == F.col("first")) & (F.col("n") > 1)).select("_d", "_h")
+    if not again.isEmpty():  # repeated rows of one that stays
+        kept = kept.join(again, ["_d", "_h"], "left_anti").unionByName(kept.join(again, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]))
+    return kept.select(*names)
