@@ -10,7 +10,7 @@ the anchor with all their occurrences.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,9 +201,13 @@ def _in_groups(small: DataFrame, least: int) -> DataFrame:
 
     def flush(group, out):
         members = list({x["c"]: x for x in group}.values())
+        spans: list[set[tuple[int, int]]] = [set() for _ in members]
         for left, right, of in maximal_repeats([(x["b"], x["off"]) for x in members], least):
             for m in of:
-                out.append((members[m]["a"], members[m]["c"], members[m]["off"] - left, members[m]["off"] + right))
+                if members[m]["n"] == 1:  # a context that several places have is covered anyway
+                    spans[m].add((members[m]["off"] - left, members[m]["off"] + right))
+        for x, own in zip(members, spans):
+            out += [(x["a"], x["c"], *s) for s in joined_spans(own)]
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "c", "start", "end"])
@@ -222,7 +226,7 @@ def _in_groups(small: DataFrame, least: int) -> DataFrame:
         flush(group, out)
         yield batch(out)
 
-    return small.select("a", "c", "off", "b").repartition("a").sortWithinPartitions("a").mapInArrow(kernel, "a long, c long, start int, end int").distinct()
+    return small.select("a", "c", "n", "off", "b").repartition("a").sortWithinPartitions("a").mapInArrow(kernel, "a long, c long, start int, end int")
 
 
 def _cut(rows: DataFrame, width: int, least: int) -> DataFrame:
@@ -291,7 +295,7 @@ def covered(docs: DataFrame, least: int = LEAST, q: int = Q) -> DataFrame:
     return placed.groupBy("d", "k").agg(F.flatten(F.collect_set("parts")).alias("spans"))
 
 
-def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
         if out and start <= out[-1][1]:
