@@ -37,7 +37,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def month_of(frame: Column = F.lit(0)) -> Column:
+def month_of() -> Column:
     return (F.pmod(F.col("frame_id") - 1, F.lit(12)) + 1).cast("int")
 
 
