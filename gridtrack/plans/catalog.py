@@ -158,7 +158,7 @@ def size_renumber(spark, d):
     return I.renumbered(I.threshold_labels(src.emb(spark, d), (8, 8), 0.0), 2)
 
 
-@query(LABELS_SQL + " SELECT frame_id, feature, count(*) AS npix, count(*) * 100.0 AS area, round(avg(y), 6) AS mean_y, round(avg(x), 6) AS mean_x, round(avg(v), 6) AS mean_v, min(v) AS min_v, max(v) AS max_v, CAST(count(*) FILTER (v > 90) AS BIGINT) AS core_px, round(avg(v) FILTER (v > 90), 6) AS core_mean, arg_min(y, (-v) * 10000 + y * 100 + x) AS top_y, arg_min(x, (-v) * 10000 + y * 100 + x) AS top_x FROM labels GROUP BY ALL")
+@query(LABELS_SQL + " SELECT frame_id, feature, count(*) AS npix, CAST(count(*) * 100 AS DOUBLE) AS area, round(avg(y), 6) AS mean_y, round(avg(x), 6) AS mean_x, round(avg(v), 6) AS mean_v, min(v) AS min_v, max(v) AS max_v, CAST(count(*) FILTER (v > 90) AS BIGINT) AS core_px, round(avg(v) FILTER (v > 90), 6) AS core_mean, arg_min(y, (-v) * 10000 + y * 100 + x) AS top_y, arg_min(x, (-v) * 10000 + y * 100 + x) AS top_x FROM labels GROUP BY ALL")
 def feature_stats(spark, d):
     return rounded(T.feature_stats(block_labels(spark, d), core=90, cell_km2=100.0))
 
@@ -299,7 +299,7 @@ def merge_split_attach(spark, d):
 ISLANDS_SQL = TRACKS_SQL + ", on_ AS (SELECT track, t_idx, sum(CASE WHEN t_idx - l > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY t_idx) AS run FROM (SELECT track, t_idx, lag(t_idx) OVER (PARTITION BY track ORDER BY t_idx) AS l FROM tr WHERE {test})), runs AS (SELECT track, run, min(t_idx) AS first_idx, max(t_idx) AS last_idx, max(t_idx) - min(t_idx) + 1 AS length, count(*) AS n FROM on_ GROUP BY ALL)"
 
 
-@query(ISLANDS_SQL.format(gap=2, test="area > 5000") + " SELECT track, max(length * 6.0) AS main_hours, count(*) AS n_runs FROM runs WHERE length * 6.0 >= 24 GROUP BY track")
+@query(ISLANDS_SQL.format(gap=2, test="area > 5000") + " SELECT track, CAST(max(length * 6) AS DOUBLE) AS main_hours, count(*) AS n_runs FROM runs WHERE length * 6.0 >= 24 GROUP BY track")
 def ccs_islands(spark, d):
     return T.long_systems(user_tracks(spark, d), "area", 5000, 2, 24, 6.0)
 
@@ -327,7 +327,7 @@ def pf_shape(spark, d):
     return rounded(T.shapes(_pf(spark, d), ["frame_id", "feature"]).drop("orientation").withColumn("eccentricity", F.round("eccentricity", 4)))
 
 
-ROBUST_SQL = ISLANDS_SQL.format(gap=2, test="npix BETWEEN 1 AND 3") + ", r AS (SELECT *, length * 6.0 AS h FROM runs WHERE length * 6.0 >= 30), g AS (SELECT r.track, run, h, sum(CASE WHEN area > 1000 + 10 * h THEN 1 ELSE 0 END) AS a, sum(CASE WHEN lat > -5 + 0.01 * h THEN 1 ELSE 0 END) AS b, sum(CASE WHEN lon > 20 + 0.02 * h THEN 1 ELSE 0 END) AS c, sum(CASE WHEN area % 100 > 5 + 0.01 * h THEN 1 ELSE 0 END) AS e FROM tr JOIN r ON tr.track = r.track AND t_idx BETWEEN first_idx AND last_idx GROUP BY ALL) SELECT track, max(h) AS pf_hours, count(*) AS n_runs FROM g WHERE a > 0 AND b > 0 AND c > 0 AND e > 0 GROUP BY track"
+ROBUST_SQL = ISLANDS_SQL.format(gap=2, test="npix BETWEEN 1 AND 3") + ", r AS (SELECT *, CAST(length * 6 AS DOUBLE) AS h FROM runs WHERE length * 6.0 >= 30), g AS (SELECT r.track, run, h, sum(CASE WHEN area > 1000 + 10 * h THEN 1 ELSE 0 END) AS a, sum(CASE WHEN lat > -5 + 0.01 * h THEN 1 ELSE 0 END) AS b, sum(CASE WHEN lon > 20 + 0.02 * h THEN 1 ELSE 0 END) AS c, sum(CASE WHEN area % 100 > 5 + 0.01 * h THEN 1 ELSE 0 END) AS e FROM tr JOIN r ON tr.track = r.track AND t_idx BETWEEN first_idx AND last_idx GROUP BY ALL) SELECT track, max(h) AS pf_hours, count(*) AS n_runs FROM g WHERE a > 0 AND b > 0 AND c > 0 AND e > 0 GROUP BY track"
 
 
 @query(ROBUST_SQL)
@@ -336,7 +336,7 @@ def robust_filter(spark, d):
     return T.robust(rows, (1, 3), 2, 30, (1000, 10), (-5, 0.01), (20, 0.02), (5, 0.01), 6.0)
 
 
-@query(TRACKS_SQL + " SELECT track, sum(CASE WHEN area > 10000 THEN 1 ELSE 0 END) * 6.0 AS pf_lifetime FROM tr GROUP BY track")
+@query(TRACKS_SQL + " SELECT track, CAST(sum(CASE WHEN area > 10000 THEN 1 ELSE 0 END) * 6 AS DOUBLE) AS pf_lifetime FROM tr GROUP BY track")
 def pf_lifetime(spark, d):
     return T.lifetime_over(user_tracks(spark, d), "area", 10000, 6.0)
 
