@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 8
-#: Characters of a passage, the step between passages of an item, edits allowed in tenths, least characters of an item.
-PASSAGE, STEP, RATE, LEAST = 80, 40, 0.1, 24
+Q = 12
+#: Characters of a passage, the step between passages of an item, share of edits allowed, least characters of an item.
+PASSAGE, STEP, RATE, LEAST = 80, 40, 0.05, 24
 #: Characters of items that one pass holds; more items take more passes.
 BLOCK_CHARS = 8_000_000
 _BLANK = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -22,12 +22,20 @@ def normalised(text: str) -> bytes:
 
 
 def grams(text: bytes) -> np.ndarray:
-    """All q-grams, each exact in 64 bits."""
-    return np.ndarray((len(text) - Q + 1,), "<u8", text, strides=(1,)) if len(text) >= Q else np.zeros(0, "<u8")
+    """A 64-bit hash of each q-gram."""
+    n = len(text) - Q + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    head, tail = np.ndarray((n,), "<u8", text, strides=(1,)), np.ndarray((n,), "<u4", text, Q - 4, (1,))
+    h = head * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h += tail
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
 def budget(length: int) -> int:
-    """Edits allowed in a passage: a tenth of it, and no more than leave a shared q-gram by the lemma."""
+    """Edits allowed in a passage: a twentieth of it, and no more than leave a shared q-gram by the lemma."""
     return min(int(RATE * length), (length - Q) // Q)
 
 
@@ -70,19 +78,20 @@ class Index:
                 g = grams(s[at : at + length])
                 keys.append(g)
                 places.append(np.stack([np.full(len(g), len(self.passages) - 1), np.arange(len(g))], 1))
-        key = np.concatenate([np.zeros(0, "<u8"), *keys])
+        key = np.concatenate([np.zeros(0, np.uint64), *keys])
         order = np.argsort(key, kind="stable")
         self.places = np.concatenate([np.zeros((0, 2), np.int64), *places])[order]
         self.keys, self.first = np.unique(key[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(key)))
         self.edits = np.array([budget(len(p)) for _, p in self.passages] + [0], np.int64)
         self.least = np.array([len(p) - Q + 1 - budget(len(p)) * Q for _, p in self.passages] + [1], np.int64)
+        self.fewest = int(self.least[:-1].min()) if len(self.passages) else 1
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.slot(self.keys)] = True
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
-        return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        return (g >> np.uint64(64 - _FILTER_BITS)).view(np.int64)
 
     def found(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) for each passage verified in the normalised text, by start; overlapping passages of an item are merged."""
@@ -96,19 +105,27 @@ class Index:
             ok = self.keys[k] == g[i] if len(self.keys) else np.zeros(len(i), bool)
             hits.append((i[ok] + at, k[ok]))
         i, k = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 2
-        if not len(i):
+        if len(i) < self.fewest:
             return []
         n = self.count[k]
         row = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         passage, j = self.places[row].T
-        # Bands are twice the budget wide (and one more) and overlap by half, so a true match lies whole in one of them.
-        diagonal = np.repeat(i, n) - j + PASSAGE
-        width = self.edits[passage] + 1
-        low = diagonal // width
-        both = np.concatenate([np.stack([passage, low], 1), np.stack([passage, low - 1], 1)])
-        bands, count = np.unique(both, axis=0, return_counts=True)
+        # Bands are twice the budget wide (and two more) and overlap by half, so a true match lies whole in one of them.
+        low = (np.repeat(i, n) - j + PASSAGE) // (self.edits[passage] + 1)
+        span = len(s) + 2 * PASSAGE
+        band, count = np.unique(passage * span + low, return_counts=True)
+        after = np.searchsorted(band, band + 1)
+        after[after == len(band)] = 0
+        # A band's hits are those of its lower half and of the half above it.
+        upper = np.where(band[after] == band + 1, count[after], 0)
+        below = np.flatnonzero(np.append(True, band[1:] != band[:-1] + 1)) if len(band) else np.zeros(0, np.int64)
+        keys = np.concatenate([band, band[below] - 1])
+        total = np.concatenate([count + upper, count[below]])
+        p, b = (keys + 1) // span, (keys + 1) % span - 1
+        ok = total >= self.least[p]
+        bands = np.stack([p[ok], b[ok]], 1)
         out = []
-        for p, b in bands[count >= self.least[bands[:, 0]]].tolist():
+        for p, b in bands.tolist():
             item, a = self.passages[p]
             w, edits = int(self.edits[p]) + 1, int(self.edits[p])
             lo, hi = b * w - PASSAGE, (b + 2) * w - 1 - PASSAGE
