@@ -102,19 +102,97 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3, blocks: int
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_component")
 
 
-def deduplicated(docs: DataFrame, width: int = 3, bits: int = 3, blocks: int = 6) -> DataFrame:
+#: Bits of the wide signature, blocks of samples, samples in a block.
+SIGNATURE, SAMPLES, SAMPLE = 512, 8, 2
+_rng = np.random.default_rng(512)
+_ODD = _rng.integers(0, 1 << 31, SIGNATURE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32)
+
+
+def signature(text: bytes, width: int = 5) -> tuple[int, bytes, np.ndarray]:
+    """(set, bits, keys) of a text's distinct shingles.
+
+    ``set`` hashes them all.  A bit is the lowest one of the smallest of the shingles under its own
+    permutation, so bits of two texts differ with probability (1 - J) / 2, where J is the
+    similarity of their shingle sets; ``keys`` hash the first SAMPLE smallest of each block.
+    No words: all zero, a text like any other without words.
+    """
+    words = text.lower().split()
+    n = min(width, len(words))
+    shingles = {b" ".join(x) for x in zip(*(words[k:] for k in range(n)))} if words else {b""}
+    h = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
+    low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    least = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 256):
+        x = low[at : at + 256, None] * _ODD + _ADD
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, x.min(0), out=least)
+    keys = least[: SAMPLES * SAMPLE].astype(np.uint64).reshape(SAMPLES, SAMPLE)
+    key = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(1, SAMPLE):
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + keys[:, k]
+    bits = np.packbits((least & np.uint32(1)).astype(bool)).tobytes()
+    return xxhash.xxh3_64_intdigest(h.tobytes()), bits, key
+
+
+def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similarity: float = 0.8, slack: float = 0.04) -> DataFrame:
+    """(keys, root): components of texts whose shingle sets have an estimated similarity of ``similarity`` - ``slack`` or more.
+
+    The radius that such a similarity means is far too wide for whole blocks of one
+    fingerprint, so blocks hash small samples of the shingles, which similar texts share
+    with probability J^2 each, and the Hamming distance of 512-bit signatures verifies.
+    Texts with equal sets are one.  In a block the others are compared with two of its texts: the
+    one that shares most blocks with others, and one by hash; so the pairs grow with the texts.
+    """
+    rows = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").cast("binary").alias("t"))
+    words = SIGNATURE // 64
+
+    def kernel(batches):
+        for b in batches:
+            got = [signature(t or b"", width) for t in b.column("t").to_pylist()]
+            sets = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            sig = np.frombuffer(b"".join(g[1] for g in got), np.int64)
+            key = np.concatenate([g[2] for g in got]).view(np.int64) if got else np.zeros(0, np.int64)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), n).cast(pa.list_(pa.int64())) for x, n in ((sig, words), (key, SAMPLES))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets), *lists], names=[*keys, "g", "sig", "key"])
+
+    rows = stored(rows.mapInArrow(kernel, ", ".join(f"{k} long" for k in keys) + ", g long, sig array<long>, key array<long>"), "signatures")
+    nodes = stored(rows.groupBy("g").agg(F.first("sig").alias("sig"), F.first("key").alias("key")), "sets")
+    at = nodes.select("g", F.posexplode("key").alias("b", "k"))
+    full = at.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")
+    at = stored(at.join(full, ["b", "k"]), "blocks")
+    weight = at.groupBy("g").agg(F.sum("n").alias("w"))
+    centres = at.join(weight, "g").groupBy("b", "k").agg(F.max(F.struct("w", "g")).alias("heavy"), F.min(F.struct(F.xxhash64("g", "b"), "g")).alias("other"))
+    pairs = at.join(centres, ["b", "k"]).select("g", F.explode(F.array("heavy.g", "other.g")).alias("v")).where("g <> v").distinct()
+    sigs = nodes.select("g", "sig")
+    both = pairs.join(sigs, "g").join(sigs.select(F.col("g").alias("v"), F.col("sig").alias("sig_v")), "v")
+    apart = sum((F.bit_count(F.col("sig")[k].bitwiseXOR(F.col("sig_v")[k])) for k in range(words)), F.lit(0))
+    near = both.where(apart <= int((1 - similarity + slack) / 2 * SIGNATURE)).select(F.col("g").alias("u"), "v")
+    roots = connected_components(near).withColumnRenamed("node", "g")
+    return rows.select(*keys, "g").join(roots, "g", "left").select(*keys, F.coalesce("root", "g").alias("root"))
+
+
+def deduplicated(docs: DataFrame, width: int = 3, bits: int = 3, blocks: int = 6, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that of the smallest doc_id (null counts as largest), on ties of the smallest hash of its columns.
 
+    With ``similarity`` the components are those of :func:`similar_components` over shingles of
+    ``width`` words, else those of fingerprints that differ in ``bits`` bits or fewer.
     All columns are kept; repeated rows count as copies, so one of them stays.
     """
-    names = docs.columns
+    names, keys = docs.columns, ["_d", "_h"]
     keyed = docs.withColumn("_h", F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    rows = stored(fingerprints(keyed, width, ["_d", "_h"]), "fingerprints")
-    named = stored(rows.join(stored(components(rows, bits, blocks), "components"), "fp").groupBy("root", "_d", "_h").agg(F.count("*").alias("n")), "members")
-    first = named.groupBy("root").agg(F.min(F.struct("_d", "_h")).alias("first"))
-    gone = named.join(first, "root").where(F.struct("_d", "_h") != F.col("first")).select("_d", "_h")
-    kept = keyed.join(gone, ["_d", "_h"], "left_anti")
-    again = named.join(first, "root").where((F.struct("_d", "_h") == F.col("first")) & (F.col("n") > 1)).select("_d", "_h")
+    if similarity is None:
+        rows = stored(fingerprints(keyed, width, keys), "fingerprints")
+        rows = rows.join(stored(components(rows, bits, blocks), "components"), "fp")
+    else:
+        rows = similar_components(keyed, keys, width, similarity)
+    named = stored(rows.groupBy("root", *keys).agg(F.count("*").alias("n")), "members")
+    first = named.groupBy("root").agg(F.min(F.struct(*keys)).alias("first"))
+    named = named.join(first, "root")
+    is_first = F.struct(*keys) == F.col("first")
+    kept = keyed.join(named.where(~is_first).select(*keys), keys, "left_anti")
+    again = named.where(is_first & (F.col("n") > 1)).select(*keys)
     if not again.isEmpty():  # repeated rows of one that stays
-        kept = kept.join(again, ["_d", "_h"], "left_anti").unionByName(kept.join(again, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]))
+        kept = kept.join(again, keys, "left_anti").unionByName(kept.join(again, keys, "left_semi").dropDuplicates(keys))
     return kept.select(*names)

@@ -71,3 +71,42 @@ def test_one_of_each_group_stays(spark):
     got = simhash.deduplicated(df.withColumnRenamed("_gone", "n"))
     assert got.columns == ["doc_id", "text", "n"]
     assert sorted(r.doc_id for r in got.where(F.col("doc_id").isNotNull()).collect()) == [1, 3, 4]
+
+
+def shingle_set(t, k=5):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_similar_texts_leave_one(spark):
+    rng = random.Random(8)
+    rows, groups = [], []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([150, 400]))]
+        group = []
+        for c in range(rng.choice([1, 1, 2, 5])):
+            v = list(base)
+            for k in rng.sample(range(len(v)), len(v) // 100 if c else 0):
+                v[k] = "changed"
+            rows.append((100 * g + c, " ".join(v), "x"))
+            group.append(100 * g + c)
+        groups.append(group)
+    rows += [(9000, None, "x"), (9001, "", "x"), (9002, "few words", "x"), (9003, "Few  words", "x"), (9004, "few words", "x"), (9004, "few words", "x")]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _n string"), width=5, similarity=0.8)
+    ids = sorted(r.doc_id for r in got.collect())
+    text = {d: shingle_set(t) for d, t, _ in rows}
+    alike = [(a, b) for g in groups for a in g for b in g if a < b and len(text[a] & text[b]) / len(text[a] | text[b]) >= 0.85]
+    kept = set(ids)
+    assert sum(a in kept and b in kept for a, b in alike) == 0
+    assert all(g[0] in kept for g in groups)
+    assert [i for i in ids if i >= 9000] == [9000, 9002]
+
+
+def test_signature_estimates_similarity():
+    rng = random.Random(2)
+    a = [f"w{rng.randrange(9999)}" for _ in range(800)]
+    b = a[:700] + [f"x{rng.randrange(9999)}" for _ in range(100)]
+    ta, tb = " ".join(a).encode(), " ".join(b).encode()
+    true = len(shingle_set(ta.decode()) & shingle_set(tb.decode())) / len(shingle_set(ta.decode()) | shingle_set(tb.decode()))
+    x, y = (int.from_bytes(simhash.signature(t)[1], "big") for t in (ta, tb))
+    assert abs(1 - 2 * (x ^ y).bit_count() / simhash.SIGNATURE - true) < 0.1
