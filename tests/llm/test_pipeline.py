@@ -1,0 +1,48 @@
+import random
+from collections import Counter
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(seed):
+    rng = random.Random(seed)
+    langs = {"en": ["the", "and", "house", "river", "with"], "fr": ["eau", "oiseau", "rue", "été", "vous"]}
+    out = []
+    for i in range(120):
+        lang = rng.choice(list(langs))
+        t = " ".join(rng.choice(langs[lang]) + str(rng.randrange(300)) for _ in range(80))
+        out.append((i, t, lang, f"src{i % 3}", len(t)))
+    return out
+
+
+def test_stages(spark, tmp_path):
+    rows = docs_of(1)
+    item = "benchmark sentence with plenty of rare characters zq xj kv that nobody else would write down here"
+    copy = rows[5]
+    rows += [(500, copy[1], "en", "src0", copy[4]), (501, "12345 !!", "en", "src1", 8), (502, None, None, None, None), (503, rows[7][1][:100] + " " + item, "en", "src1", 200), (504, "secret here: token=abcdef0123456789 " + rows[9][1][::-1], "en", "src2", 600)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, str(tmp_path))
+        d.write.parquet(f"{tmp_path}/{name}")
+        d = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "mixture":
+            assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen[name] = {r.doc_id: r for r in d.collect()}
+    clean = set(range(120))
+    assert set(seen["language"]) == clean | {500, 503, 504}
+    assert set(seen["near_duplicates"]) == clean | {503, 504}
+    assert set(seen["decontamination"]) == clean | {504}
+    assert set(seen["secrets"]) == clean | {504}
+    assert "[SECRET]" in seen["secrets"][504].text and "0123456789" not in seen["secrets"][504].text
+    assert all(seen["secrets"][i].text == rows[i][1] for i in clean)
+    n = Counter()
+    for r in d.collect():
+        n[r.doc_id] += r.take_tokens
+    assert set(n) <= clean | {504} and sum(n.values()) > 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == d.count()
