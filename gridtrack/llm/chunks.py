@@ -12,27 +12,27 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A cut depends on this many bytes before it.
-SPAN = 32
+#: A cut depends on this many bytes before it, through as many low bits of the hash.
+SPAN = 16
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash after each byte: the sum of the table's entries of the last 32 bytes, each shifted by its age."""
+    """The gear hash after each byte, its low SPAN bits: the sum of the table's entries of the last SPAN bytes, each shifted by its age."""
     h = _GEAR[data]
     step = 1
     while step < SPAN:
         h[step:] += h[:-step] << np.uint32(step)
         step *= 2
-    return h
+    return h & np.uint32((1 << SPAN) - 1)
 
 
-def cuts(data: bytes, mean_log2: int, least: int, most: int) -> list[int]:
-    """The ends of the chunks: after a byte whose hash has its top ``mean_log2`` bits clear and which is ``least`` or more from the last cut, else after ``most`` bytes."""
+def cuts(data: bytes, mean: int, least: int, most: int) -> list[int]:
+    """The ends of the chunks: after a byte whose hash is in the lowest 1/``mean`` of its range and which is ``least`` or more from the last cut, else after ``most`` bytes."""
     if not data:
         return []
-    marks = (np.flatnonzero(gear(np.frombuffer(data, np.uint8)) < np.uint32(1 << (32 - mean_log2))) + 1).tolist()
+    marks = (np.flatnonzero(gear(np.frombuffer(data, np.uint8)) < np.uint32((1 << SPAN) // mean)) + 1).tolist()
     out, at, k = [], 0, 0
     while at < len(data):
         k = bisect_left(marks, at + least, k)
@@ -42,7 +42,7 @@ def cuts(data: bytes, mean_log2: int, least: int, most: int) -> list[int]:
     return out
 
 
-def chunked(docs: DataFrame, mean_log2: int = 6, least: int = 32, most: int = 256) -> DataFrame:
+def chunked(docs: DataFrame, mean: int = 40, least: int = 20, most: int = 160) -> DataFrame:
     """(doc_id, row, seq, start, len, d1, d2, again): a row for each chunk of each row of ``docs``, and one with null seq for an empty or null text.
 
     ``d1`` and ``d2`` are the halves of a 128-bit BLAKE2b digest; ``again`` marks a chunk
@@ -57,7 +57,7 @@ def chunked(docs: DataFrame, mean_log2: int = 6, least: int = 32, most: int = 25
         for b in batches:
             doc, row, seq, start, size, dig, again = [], [], [], [], [], [], []
             for d, r, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "t"))):
-                ends = cuts(t, mean_log2, least, most) if t else []
+                ends = cuts(t, mean, least, most) if t else []
                 if not ends:
                     doc.append(d), row.append(r), seq.append(None), start.append(0), size.append(0), dig.append(b"\0" * 16), again.append(False)
                     continue
