@@ -169,3 +169,46 @@ def circular_mean(rows: DataFrame, keys: list[str], column: str, low: float, hig
     angle = (F.col(column) - low) / (high - low) * 2 * math.pi
     mean = F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle)))
     return rows.groupBy(*keys).agg((F.pmod(mean, F.lit(2 * math.pi)) / (2 * math.pi) * (high - low) + low).alias(f"{column}_mean"))
+
+
+def rain_systems(rows: DataFrame, rate: float, volume: float, gap: int, least: float, hours: float = 1.0) -> DataFrame:
+    """(track, rain_hours): tracks with a long enough run of times whose highest rate and rain volume are both over their thresholds."""
+    runs = islands(rows, (F.col("pf_maxrate") > rate) & (F.col("pf_volume") > volume), gap).where(F.col("length") * hours >= least)
+    return runs.groupBy("track").agg(F.max(F.col("length") * hours).alias("rain_hours"))
+
+
+def radar_systems(rows: DataFrame, axis: float, gap: int, least: float, hours: float = 1.0) -> DataFrame:
+    """(track, line_hours): tracks with a long enough run of times whose feature is ``axis`` long or more and holds an intense core."""
+    runs = islands(rows, (F.col("pf_axis") >= axis) & (F.col("core_area") > 0), gap).where(F.col("length") * hours >= least)
+    return runs.groupBy("track").agg(F.max(F.col("length") * hours).alias("line_hours"))
+
+
+def split_rain(pixels: DataFrame, keys: list[str], convective: Column) -> DataFrame:
+    """Size, mean and amount of v for convective and other pixels of each object, and the convective share."""
+    v = F.col("v")
+    other = ~convective
+    g = pixels.groupBy(*keys).agg(
+        F.sum(convective.cast("long")).alias("conv_px"), F.avg(F.when(convective, v)).alias("conv_mean"), F.sum(F.when(convective, v).otherwise(0)).alias("conv_total"),
+        F.sum(other.cast("long")).alias("strat_px"), F.avg(F.when(other, v)).alias("strat_mean"), F.sum(F.when(other, v).otherwise(0)).alias("strat_total"),
+    )
+    return g.withColumn("conv_share", F.col("conv_px") / (F.col("conv_px") + F.col("strat_px")))
+
+
+def with_attached(nodes: DataFrame, small: DataFrame) -> DataFrame:
+    """(frame_id, feature, track): a main track's objects and those of the tracks attached to it; ``small`` (track, small_track)."""
+    own = nodes.select("frame_id", "feature", "track")
+    more = nodes.withColumnRenamed("track", "small_track").join(small.select("track", "small_track").distinct(), "small_track").select("frame_id", "feature", "track")
+    return own.unionByName(more)
+
+
+def last_valid(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The last value of each column that is not missing, by track."""
+    return rows.groupBy("track").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("t_idx"))).alias(f"last_{c}") for c in columns])
+
+
+def running_median(rows: DataFrame, keys: list[str], order: str, column: str, window: int) -> DataFrame:
+    """Median over ``window`` (odd) consecutive rows, with zeros beyond the ends."""
+    k = window // 2
+    around = F.collect_list(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-k, k))
+    padded = F.array_sort(F.concat(around, F.array_repeat(F.lit(0.0), F.lit(window) - F.size(around))))
+    return rows.withColumn(f"{column}_median", F.element_at(padded, k + 1))

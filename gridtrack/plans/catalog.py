@@ -16,6 +16,7 @@ from ..operators import link as L
 from ..operators import number as N
 from ..operators import regrid as R
 from ..operators import tracks as T
+from ..sources import tables as tb
 from ..sources import rasters as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -532,3 +533,108 @@ def trajectory_smooth(spark, d):
     from ..operators import motion
 
     return motion.smoothed_paths(user_tracks(spark, d), 400.0)
+
+
+# ---- further scalars, sources and statistics -----------------------------------------------------
+
+
+@query(f"WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT y, x FROM ship) SELECT y, x, CASE WHEN x % 12 + 1 IN (12, 1, 2) THEN 'DJF' WHEN x % 12 + 1 IN (3, 4, 5) THEN 'MAM' WHEN x % 12 + 1 IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, CAST(CASE WHEN (x * 30 - 180) % 360 < 0 THEN (x * 30 - 180) % 360 + 360 ELSE (x * 30 - 180) % 360 END - 180 AS BIGINT) AS lon, round(2 * sqrt(y * 10 / pi()), 6) AS diameter, round(pow(10, y * 2 / 10.0), 6) AS z, round(10 * log10(x + 1), 6) AS dbz, sqrt(y * y + x * x) <= 10 AS within_10, round(degrees(asin(sin(radians(y + 1)) * cos(x * 50 / 6374.2) + cos(radians(y + 1)) * sin(x * 50 / 6374.2) * cos(radians(x * 15)))), 6) AS lat2, CAST(greatest(y * 1.5 - 10, 0) AS DOUBLE) AS clamped FROM p")
+def scalar_functions(spark, d):
+    y, x = F.col("y"), F.col("x")
+    lat2, _ = S.destination(y + 1, F.lit(0), x * 50, x * 15)
+    p = src.ship(spark, d).select("y", "x").distinct()
+    out = p.select("y", "x", S.season(x % 12 + 1).alias("season"), S.wrapped_longitude(x * 30).cast("long").alias("lon"), S.equivalent_diameter(y * 10).alias("diameter"), S.to_linear(y * 2).alias("z"), S.to_dbz(x + 1).alias("dbz"), *S.masks_within(x, y, [10]), lat2.alias("lat2"), S.positive(y * 1.5 - 10).alias("clamped"))
+    return rounded(out)
+
+
+@query("SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS base_time, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+def hourly_mean(spark, d):
+    e = src.table(spark, d, "events").withColumn("base_time", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return rounded(tb.hourly_mean(e, ["user_id"], "value"))
+
+
+@query(TRACKS_SQL + ", e AS (SELECT track, count(*) AS n, min(base_time) AS t0, max(base_time) AS t1, bool_or(merge_track IS NOT NULL) AS m FROM tr GROUP BY track) SELECT CAST(t0 // 3600 % 24 AS BIGINT) AS start_hour, CAST(t1 // 3600 % 24 AS BIGINT) AS end_hour, count(*) AS n_all, count(*) FILTER (NOT m) AS n_without_merge, count(*) FILTER (n > 50) AS n_long FROM e GROUP BY ALL")
+def start_end_hours(spark, d):
+    e = user_tracks(spark, d).groupBy("track").agg(F.count("*").alias("n"), F.min("base_time").alias("t0"), F.max("base_time").alias("t1"), F.max(F.col("merge_track").isNotNull()).alias("m"))
+    hour = lambda c: F.floor(F.col(c) / 3600) % 24
+    return e.groupBy(hour("t0").alias("start_hour"), hour("t1").alias("end_hour")).agg(F.count("*").alias("n_all"), F.count(F.when(~F.col("m"), 1)).alias("n_without_merge"), F.count(F.when(F.col("n") > 50, 1)).alias("n_long"))
+
+
+@query(TRACKS_SQL + " SELECT track, round(arg_max(lat, t_idx), 6) AS last_lat, round(arg_max(lon, t_idx) FILTER (lon < 200), 6) AS last_lon_east FROM tr GROUP BY track")
+def last_valid(spark, d):
+    rows = user_tracks(spark, d).withColumn("lon_east", F.when(F.col("lon") < 200, F.col("lon")))
+    return rounded(T.last_valid(rows, ["lat", "lon_east"]))
+
+
+@query(LABELS_SQL + " SELECT frame_id, feature, count(*) FILTER (v > 90) AS conv_px, round(avg(v) FILTER (v > 90), 6) AS conv_mean, CAST(sum(CASE WHEN v > 90 THEN v ELSE 0 END) AS BIGINT) AS conv_total, count(*) FILTER (v <= 90) AS strat_px, round(avg(v) FILTER (v <= 90), 6) AS strat_mean, CAST(sum(CASE WHEN v <= 90 THEN v ELSE 0 END) AS BIGINT) AS strat_total, round(count(*) FILTER (v > 90) / count(*), 6) AS conv_share FROM labels GROUP BY ALL")
+def convective_split(spark, d):
+    return rounded(T.split_rain(block_labels(spark, d), ["frame_id", "feature"], F.col("v") > 90))
+
+
+@query(ISLANDS_SQL.format(gap=2, test="area > 3000 AND npix > 1") + " SELECT track, CAST(max(length * 6) AS DOUBLE) AS rain_hours FROM runs WHERE length * 6 >= 12 GROUP BY track")
+def robust_rain(spark, d):
+    rows = user_tracks(spark, d).withColumns({"pf_maxrate": F.col("area"), "pf_volume": F.col("npix")})
+    return T.rain_systems(rows, 3000, 1, 2, 12, 6.0)
+
+
+@query(ISLANDS_SQL.format(gap=1, test="npix >= 2 AND area % 4 > 0") + " SELECT track, CAST(max(length * 6) AS DOUBLE) AS line_hours FROM runs WHERE length * 6 >= 12 GROUP BY track")
+def robust_radar(spark, d):
+    rows = user_tracks(spark, d).withColumns({"pf_axis": F.col("npix"), "core_area": F.col("area") % 4})
+    return T.radar_systems(rows, 2, 1, 12, 6.0)
+
+
+@query(TRACKS_SQL + ", s AS (SELECT DISTINCT merge_track AS track, track AS small_track FROM tr WHERE merge_track IS NOT NULL) SELECT frame_id, feature, track FROM tr UNION ALL SELECT t.frame_id, t.feature, s.track FROM tr t JOIN s ON t.track = s.small_track")
+def attached_union(spark, d):
+    rows = user_tracks(spark, d)
+    small = rows.where("merge_track IS NOT NULL").select(F.col("merge_track").alias("track"), F.col("track").alias("small_track"))
+    return T.with_attached(rows, small)
+
+
+@query(TRACKS_SQL + ", w AS (SELECT track, t_idx, area, coalesce(lag(area) OVER o, 0) AS a, coalesce(lead(area) OVER o, 0) AS b FROM tr WINDOW o AS (PARTITION BY track ORDER BY t_idx)) SELECT track, t_idx, CAST(greatest(least(area, a), least(greatest(area, a), b)) AS DOUBLE) AS speed_median FROM w")
+def running_median(spark, d):
+    rows = user_tracks(spark, d).select("track", "t_idx", F.col("area").cast("double").alias("speed"))
+    return T.running_median(rows, ["track"], "t_idx", "speed", 3).select("track", "t_idx", "speed_median")
+
+
+@query(PROFILE_SQL + ", c AS (SELECT frame_id, x, max(CASE WHEN height > 5 THEN v END) AS aloft, max(CASE WHEN height <= 5 THEN v END) AS below, max(height) AS top FROM prof GROUP BY ALL) SELECT frame_id, x, CAST(CASE WHEN aloft >= 15 AND top >= 10 THEN 1 WHEN greatest(aloft, below) >= 15 THEN 2 WHEN below >= 7.5 THEN 3 WHEN below > 0 THEN 4 WHEN aloft > 0 THEN 5 ELSE 0 END AS INTEGER) AS sl_class FROM c")
+def column_class(spark, d):
+    return V.column_class(_profile(spark, d), ["frame_id", "x"], 5.0, 15.0, 10.0)
+
+
+@query(PROFILE_SQL + ", c AS (SELECT *, lead(v) OVER o AS v1, lead(height) OVER o AS h1 FROM prof WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)) SELECT frame_id, x, level, round(v + (v1 - v) * (level - height) / (h1 - height), 5) AS v FROM c, (VALUES (1.0::DOUBLE), (4.0::DOUBLE), (8.5::DOUBLE)) AS l(level) WHERE level >= height AND level < h1")
+def level_interpolation(spark, d):
+    return rounded(V.at_levels(_profile(spark, d), ["frame_id", "x"], [1.0, 4.0, 8.5]), 5)
+
+
+@query(f"WITH {src.SHIP_SQL} SELECT frame_id, y, x, round(9.81 * (300 + v - m) / m, 6) AS buoyancy FROM (SELECT *, avg(300 + v) OVER (PARTITION BY frame_id) AS m FROM ship)")
+def buoyancy(spark, d):
+    from pyspark.sql import Window
+
+    return src.ship(spark, d).select("frame_id", "y", "x", F.round(S.anomaly_buoyancy(300 + F.col("v"), Window.partitionBy("frame_id")), 6).alias("buoyancy"))
+
+
+@query(TRACKS_SQL + " SELECT track, t_idx, npix FROM tr WHERE t_idx < 20")
+def sparse_dense(spark, d):
+    rows = user_tracks(spark, d).where("t_idx < 20").select("track", "t_idx", "npix")
+    return tb.sparse(tb.dense(rows, ["npix"], 20), ["npix"])
+
+
+@query(f"WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT frame_id FROM ship), g AS (SELECT p.frame_id, a.y, b.x, coalesce(s.v, 0) AS v, s.v IS NULL AS missing FROM p, generate_series(0, 23) AS a(y), generate_series(0, 23) AS b(x) LEFT JOIN ship s ON s.frame_id = p.frame_id AND s.y = a.y AND s.x = b.x WHERE p.frame_id % 12 = 1), n AS (SELECT g.frame_id, g.y, g.x, coalesce(h.v, 0) AS v FROM g, generate_series(-1, 1) AS i(dy), generate_series(-1, 1) AS j(dx) LEFT JOIN g h ON h.frame_id = g.frame_id AND h.y = g.y + dy AND h.x = g.x + dx WHERE g.missing) SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(median(v) AS DOUBLE) AS filled FROM n GROUP BY ALL")
+def median_fill(spark, d):
+    from ..functions import kernels as K
+
+    def kernel(a):
+        return np.where(np.isnan(a), K.median_filled(a, 3), np.nan)
+
+    return I.by_frame(src.ship(spark, d).where("frame_id % 12 = 1"), (24, 24), kernel, out="frame_id long, y int, x int, filled double")
+
+
+@query()
+def whole_run(spark, d):
+    """Objects, links, numbers, statistics and masks of the monthly frames: the mask table."""
+    from . import tracking
+    from .config import Config
+
+    pixels = src.ship(spark, d)
+    frames = pixels.select("frame_id").distinct().withColumn("base_time", F.col("frame_id") * 3600)
+    return tracking.run(pixels, frames, Config(ny=24, nx=24, identify={"low": 75.0}, least_pixels=1, othresh=0.2, timegap=1.5))["masks"]
