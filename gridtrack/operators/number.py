@@ -95,6 +95,27 @@ def _resolved(features: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFr
     return rows.groupBy("frame_id", "next_id").applyInPandas(kernel, "frame_id long, next_id long, side string, feature long, status int, inherits long, mint long, other long")
 
 
+#: Frames whose inheritance is followed in one task before the rounds of pointer jumping between tasks.
+BLOCK = 64
+
+
+def _within_blocks(nodes: DataFrame, seg: DataFrame) -> DataFrame:
+    """``nodes`` with each pointer followed to a number, or out of its block of consecutive frames."""
+    place = seg.select("frame_id", F.floor((F.row_number().over(Window.orderBy("base_time")) - 1) / BLOCK).alias("block"), "base_time")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        known: dict[tuple[int, int], tuple] = {}
+        out = []
+        for _, f, x, ff, fx, n in pdf.sort_values(["base_time", "feature"])[["base_time", "frame_id", "feature", "from_frame", "from_feature", "track"]].itertuples(index=False):
+            up = (None, None, int(n)) if not pd.isna(n) else known.get((int(ff), int(fx)), (int(ff), int(fx), None))
+            known[int(f), int(x)] = up
+            out.append((int(f), int(x), *up))
+        got = pd.DataFrame(out, columns=["frame_id", "feature", "from_frame", "from_feature", "track"])
+        return got.astype({c: "Int64" for c in got.columns})
+
+    return nodes.join(place, "frame_id").groupBy("block").applyInPandas(follow, "frame_id long, feature long, from_frame long, from_feature long, track long")
+
+
 def _stored(df: DataFrame) -> DataFrame:
     """Writes to the shared checkpoint folder and reads back, so that lineage stays short and lost executors cost nothing."""
     spark = df.sparkSession
@@ -124,7 +145,7 @@ def track_numbers(frames: DataFrame, features: DataFrame, links: DataFrame, time
     order = Window.orderBy("base_time").rowsBetween(Window.unboundedPreceding, -1)
     base = seg.join(mints, "frame_id", "left").select("frame_id", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     nodes = first.union(later).join(base, "frame_id").withColumn("track", F.when(F.col("mint").isNotNull(), F.col("base") + F.col("mint") + 1)).drop("base", "mint")
-    nodes = _stored(nodes)
+    nodes = _stored(_within_blocks(nodes, seg))
     while not nodes.where("track IS NULL").limit(1).isEmpty():
         up = nodes.select(F.col("frame_id").alias("from_frame"), F.col("feature").alias("from_feature"), F.col("track").alias("t"), F.col("from_frame").alias("ff"), F.col("from_feature").alias("fx"))
         open_ = nodes.where("track IS NULL").join(up, ["from_frame", "from_feature"]).select("frame_id", "feature", F.col("ff").alias("from_frame"), F.col("fx").alias("from_feature"), F.col("t").alias("track"))
