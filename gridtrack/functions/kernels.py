@@ -136,6 +136,24 @@ def background(dbz: np.ndarray, valid: np.ndarray, radius: float) -> np.ndarray:
         return np.where(valid & (n > 0), 10 * np.log10(total / n), np.nan)
 
 
+def dilated_by_background(core: np.ndarray, bkg: np.ndarray, steps: list[tuple[float, float]]) -> np.ndarray:
+    """Core pixels widened by a radius (pixels) that depends on their background: ``steps`` (lower bound, radius), rising."""
+    out = core.copy()
+    bounds = [b for b, _ in steps] + [np.inf]
+    for (low, radius), high in zip(steps, bounds[1:]):
+        with np.errstate(invalid="ignore"):
+            own = core & (bkg >= low) & (bkg < high)
+        if own.any():
+            out |= dilated(own, disk(radius))
+    return out
+
+
+def strided(v: np.ndarray, factor: int) -> np.ndarray:
+    """Mean over factor x factor windows (odd), taken at every ``factor``-th pixel from the first whole window."""
+    w = np.lib.stride_tricks.sliding_window_view(v, (factor, factor)).mean(axis=(2, 3))
+    return w[::factor, ::factor]
+
+
 def grown(seeds: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """Seeds spread over ``allowed`` pixels breadth first, eight neighbours; a pixel takes the commonest label around it, the smallest on ties."""
     out = seeds.copy()

@@ -121,3 +121,16 @@ def masks_within(x: Column, y: Column, radii: list[float]) -> list[Column]:
     """A flag for each radius: the point lies within it of the origin."""
     r = F.sqrt(x * x + y * y)
     return [(r <= km).alias(f"within_{km:g}") for km in radii]
+
+
+def radius_steps(least: float, increment: float, start: float, step: float, most: float) -> list[tuple[float, float]]:
+    """(background dBZ from, radius km): the radius grows by ``step`` for each ``increment`` of background from ``least``, up to ``most``."""
+    out = [(-math.inf, start)]
+    while out[-1][1] + step <= most:
+        out.append((least + increment * len(out), out[-1][1] + step))
+    return out
+
+
+def symmetric_positions(n: int) -> list[int]:
+    """n whole steps around 0, one more below it than above where n is even."""
+    return list(range(-(n // 2), n - n // 2))

@@ -212,3 +212,28 @@ def running_median(rows: DataFrame, keys: list[str], order: str, column: str, wi
     around = F.collect_list(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-k, k))
     padded = F.array_sort(F.concat(around, F.array_repeat(F.lit(0.0), F.lit(window) - F.size(around))))
     return rows.withColumn(f"{column}_median", F.element_at(padded, k + 1))
+
+
+def boxes(labels: DataFrame, nx: int, wrap: bool = False) -> DataFrame:
+    """(frame_id, feature, y0, y1, x0, x1): bounding boxes; with ``wrap`` an object over the edge has x1 < x0 + its width counted on past nx.
+
+    The columns that an object has are ordered round the circle; its box starts after the widest gap.
+    """
+    rows = labels.groupBy("frame_id", "feature").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    if not wrap:
+        return rows
+    cols = labels.select("frame_id", "feature", "x").distinct()
+    order = Window.partitionBy("frame_id", "feature").orderBy("x")
+    nxt = F.coalesce(F.lead("x").over(order), F.first("x").over(order) + nx)
+    gap = cols.withColumns({"start": nxt, "gap": nxt - F.col("x")})
+    start = gap.groupBy("frame_id", "feature").agg(F.max(F.struct("gap", "start")).alias("g"))
+    both = rows.join(start, ["frame_id", "feature"])
+    x0 = F.pmod(F.col("g.start"), F.lit(nx))
+    return both.select("frame_id", "feature", "y0", "y1", x0.alias("x0"), (x0 + nx - F.col("g.gap")).alias("x1"))
+
+
+def started_between(rows: DataFrame, start: int, end: int, smooth: str = "lat_smooth") -> DataFrame:
+    """Rows of tracks that begin within the times, with the smoothed latitude where there is one."""
+    first = rows.where(F.col("t_idx") == 0).where(F.col("base_time").between(start, end)).select("track")
+    lat = F.coalesce(F.col(smooth), F.col("lat")) if smooth in rows.columns else F.col("lat")
+    return rows.join(first, "track", "left_semi").withColumn("lat", lat)

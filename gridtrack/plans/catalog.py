@@ -629,6 +629,55 @@ def median_fill(spark, d):
     return I.by_frame(src.ship(spark, d).where("frame_id % 12 = 1"), (24, 24), kernel, out="frame_id long, y int, x int, filled double")
 
 
+@query(LABELS_SQL + " SELECT frame_id, feature, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM labels GROUP BY ALL")
+def bounding_boxes(spark, d):
+    return T.boxes(block_labels(spark, d), 24)
+
+
+@query(LABELS_SQL + ", w AS (SELECT frame_id, feature, y, (x + 20) % 24 AS x FROM labels), c AS (SELECT DISTINCT frame_id, feature, x FROM w), g AS (SELECT frame_id, feature, coalesce(lead(x) OVER o, first_value(x) OVER o + 24) AS nxt, x FROM c WINDOW o AS (PARTITION BY frame_id, feature ORDER BY x)), m AS (SELECT frame_id, feature, arg_max(nxt, (nxt - x) * 100 + nxt) AS nxt, max(nxt - x) AS gap FROM g GROUP BY ALL) SELECT m.frame_id, m.feature, min(y) AS y0, max(y) AS y1, any_value(nxt % 24) AS x0, any_value(nxt % 24 + 24 - gap) AS x1 FROM m JOIN w USING (frame_id, feature) GROUP BY ALL")
+def wrapped_boxes(spark, d):
+    labels = block_labels(spark, d).withColumn("x", ((F.col("x") + 20) % 24).cast("int"))
+    return T.boxes(labels, 24, wrap=True)
+
+
+@query(TRACKS_SQL + " SELECT track, t_idx, round(lat, 6) AS lat FROM tr WHERE track IN (SELECT track FROM tr WHERE t_idx = 0 AND base_time BETWEEN 1704067200 AND 1704110400)")
+def tracks_started(spark, d):
+    return rounded(T.started_between(user_tracks(spark, d), 1704067200, 1704110400).select("track", "t_idx", "lat"))
+
+
+@query(f"WITH {src.SHIP_SQL} SELECT c.frame_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, round(sum(coalesce(v, 0)) / 9, 6) AS c FROM (SELECT DISTINCT frame_id FROM ship) c, generate_series(0, 7) AS a(gy), generate_series(0, 7) AS b(gx) LEFT JOIN ship s ON s.frame_id = c.frame_id AND s.y // 3 = gy AND s.x // 3 = gx GROUP BY ALL HAVING sum(coalesce(v, 0)) > 0")
+def strided_mean(spark, d):
+    from ..functions import kernels as K
+
+    def kernel(a):
+        c = K.strided(np.nan_to_num(a), 3)
+        return np.where(c > 0, c, np.nan)
+
+    return rounded(I.by_frame(src.ship(spark, d), (24, 24), kernel, out="frame_id long, y int, x int, c double"))
+
+
+@query()
+def cold_pools(spark, d):
+    return I.cold_pools(src.ship(spark, d), (24, 24), 1.0, 30.0, 40.0, 2)
+
+
+@query()
+def stratiform_split(spark, d):
+    """Convective pixels: cores widened by a radius that grows with their background."""
+    from ..functions import kernels as K
+
+    steps = S.radius_steps(20.0, 5.0, 1.0, 1.0, 3.0)
+
+    def kernel(a):
+        ok = ~np.isnan(a) & (a >= 5)
+        bkg = K.background(np.nan_to_num(a), ok, 3)
+        with np.errstate(invalid="ignore"):
+            core = ok & ((a >= 45) | (a - bkg >= 8 * np.cos(np.pi * np.clip(bkg, 0, 64) / 128)))
+        return np.where(ok, 1 + K.dilated_by_background(core, bkg, steps), 0)
+
+    return I.by_frame(src.ship(spark, d).withColumn("v", F.col("v") / 2), (24, 24), kernel, out="frame_id long, y int, x int, class long")
+
+
 @query()
 def whole_run(spark, d):
     """Objects, links, numbers, statistics and masks of the monthly frames: the mask table."""

@@ -104,3 +104,18 @@ def test_gaussian_keeps_the_mean():
     v = np.random.default_rng(4).random((12, 15))
     assert K.gaussian_filter(v, 1.5).mean() == pytest.approx(v.mean(), abs=0.02)
     np.testing.assert_allclose(K.gaussian_filter(np.full((9, 9), 3.0), 2), 3.0)
+
+
+def test_dilation_by_background():
+    core, bkg = np.zeros((9, 20), bool), np.full((9, 20), 10.0)
+    core[4, 4] = core[4, 14] = True
+    bkg[:, 10:] = 40.0
+    got = K.dilated_by_background(core, bkg, [(-np.inf, 1), (30, 2)])
+    assert got[:, :10].sum() == 5 and got[:, 10:].sum() == 13
+
+
+def test_small_tables():
+    from gridtrack.functions import scalar as S
+
+    assert S.radius_steps(20, 5, 1, 1, 3) == [(-np.inf, 1), (25, 2), (30, 3)]
+    assert S.symmetric_positions(5) == [-2, -1, 0, 1, 2] and S.symmetric_positions(4) == [-2, -1, 0, 1]

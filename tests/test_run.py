@@ -93,3 +93,14 @@ def test_streamed_links(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(out) == [("d", 0, 1, 1, 7, 3, 0.75), ("d", 1, 2, 7, 8, 3, 0.75)]
+
+
+def test_calendars(spark):
+    from gridtrack.functions import scalar as S
+
+    one = spark.range(1)
+    day = lambda y, m, d, c: one.select(S.calendar_seconds(F.lit(y), F.lit(m), F.lit(d), F.lit(0), c)).first()[0]
+    assert day(2001, 3, 1, "noleap") - day(2000, 3, 1, "noleap") == 365 * 86400
+    assert day(2000, 3, 1, "noleap") - day(2000, 2, 28, "noleap") == 86400
+    assert day(2000, 3, 1, "360_day") - day(2000, 2, 1, "360_day") == 30 * 86400
+    assert day(1970, 1, 2, "standard") == 86400
