@@ -164,6 +164,8 @@ def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similar
     at = stored(at.join(full, ["b", "k"]), "blocks")
     weight = at.groupBy("g").agg(F.sum("n").alias("w"))
     centres = at.join(weight, "g").groupBy("b", "k").agg(F.max(F.struct("w", "g")).alias("heavy"), F.min(F.struct(F.xxhash64("g", "b"), "g")).alias("other"))
+    # Stored on its own, so that the join below is a plain one whose crowded blocks can be split.
+    centres = stored(centres, "centres")
     pairs = at.join(centres, ["b", "k"]).select("g", F.explode(F.array("heavy.g", "other.g")).alias("v")).where("g <> v").distinct()
     sigs = nodes.select("g", "sig")
     both = pairs.join(sigs, "g").join(sigs.select(F.col("g").alias("v"), F.col("sig").alias("sig_v")), "v")
