@@ -84,11 +84,13 @@ def host_rates(rows: DataFrame) -> DataFrame:
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs"), *[F.sum(F.expr(f"CASE WHEN {c} THEN 1 ELSE 0 END")).alias(f"f_{r}") for r, c in RULES.items()])
     rate = {r: F.col(f"f_{r}") / F.col("n_docs") for r in RULES}
-    prior = hosts.agg(*[x for r in RULES for x in (F.avg(rate[r]).alias(f"m_{r}"), F.var_pop(rate[r]).alias(f"v_{r}"))])
-    both = hosts.join(F.broadcast(prior))  # one row
-    weight = {r: F.least(F.greatest(F.expr(f"m_{r} * (1 - m_{r}) / nullif(v_{r}, 0) - 1"), F.lit(1.0)), F.lit(1000.0)) for r in RULES}
-    weight = {r: F.when(F.col(f"v_{r}") > 1e-12, w).otherwise(F.lit(1000.0)) for r, w in weight.items()}
-    return both.select("host", "n_docs", *[((F.col(f"f_{r}") + F.col(f"m_{r}") * weight[r]) / (F.col("n_docs") + weight[r])).alias(f"rate_{r}") for r in RULES])
+    one = hosts.agg(*[x for r in RULES for x in (F.avg(rate[r]).alias(f"m_{r}"), F.var_pop(rate[r]).alias(f"v_{r}"))]).first()  # one row
+    out = []
+    for r in RULES:
+        m, v = one[f"m_{r}"] or 0.0, one[f"v_{r}"] or 0.0
+        weight = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v > 1e-12 else 1000.0
+        out.append(((F.col(f"f_{r}") + m * weight) / (F.col("n_docs") + weight)).alias(f"rate_{r}"))
+    return hosts.select("host", "n_docs", *out)
 
 
 def judged(docs: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
