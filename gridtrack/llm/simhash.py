@@ -109,6 +109,14 @@ _ODD = _rng.integers(0, 1 << 31, SIGNATURE, dtype=np.uint32) * np.uint32(2) + np
 _ADD = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32)
 
 
+def shingles_of(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles.  No words: one, that of the empty shingle."""
+    words = text.lower().split()
+    n = min(width, len(words))
+    shingles = {b" ".join(x) for x in zip(*(words[k:] for k in range(n)))} if words else {b""}
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
+
+
 def signature(text: bytes, width: int = 5) -> tuple[int, bytes, np.ndarray]:
     """(set, bits, keys) of a text's distinct shingles.
 
@@ -117,10 +125,7 @@ def signature(text: bytes, width: int = 5) -> tuple[int, bytes, np.ndarray]:
     similarity of their shingle sets; ``keys`` hash the first SAMPLE smallest of each block.
     No words: all zero, a text like any other without words.
     """
-    words = text.lower().split()
-    n = min(width, len(words))
-    shingles = {b" ".join(x) for x in zip(*(words[k:] for k in range(n)))} if words else {b""}
-    h = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
+    h = shingles_of(text, width)
     low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
     least = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 256):
@@ -136,17 +141,70 @@ def signature(text: bytes, width: int = 5) -> tuple[int, bytes, np.ndarray]:
     return xxhash.xxh3_64_intdigest(h.tobytes()), bits, key
 
 
-def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similarity: float = 0.8, slack: float = 0.04) -> DataFrame:
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(g, set): the shingle hashes of each row of ``texts`` (g, t)."""
+
+    def kernel(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                own = [shingles_of(t or b"", width).view(np.int64) for t in part.column("t").to_pylist()]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("g"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["g", "set"])
+
+    return texts.select("g", "t").mapInArrow(kernel, "g long, set array<long>")
+
+
+def company(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The groups ``by`` of ``rows`` that hold two roots (column r) at least, with n, their rows."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(*by, "n")
+
+
+def met(rows: DataFrame, by: list[str], differ: int, bucket: int) -> DataFrame:
+    """Pairs (u, v), u < v, of the rows (g, r, sig, n and ``by``) of each group that have other roots r and signatures apart by ``differ`` bits or fewer.
+
+    A group of over ``bucket`` rows is dealt to parts and each pair of parts compared on its own.
+    Roots and distance are part of the join's condition.
+    """
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / bucket).cast("int")).withColumn("p", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
+    own = ["g", "r", "sig"]
+    left = rows.select(*by, *own, F.col("p").alias("i"), F.explode(F.sequence("p", F.col("parts") - 1)).alias("j")).alias("a")
+    right = rows.select(*by, *own, F.explode(F.sequence(F.lit(0), "p")).alias("i"), F.col("p").alias("j")).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "i", "j")]
+    apart = sum((F.bit_count(F.col("a.sig")[k].bitwiseXOR(F.col("b.sig")[k])) for k in range(SIGNATURE // 64)), F.lit(0))
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.g") < F.col("b.g"))
+    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), apart <= differ])
+    return pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
+
+
+def rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """(g, t): of each set its rarest shingles, so many that two sets of ``similarity`` or more share one (prefix filter); those of one set only are left out.
+
+    Two such sets share ``similarity`` of the larger one at least, so under any common order
+    of the shingles one lies among the first n - ceil(similarity n) + 1 of both.
+    """
+    each = sets.select("g", F.size("set").alias("size"), F.explode("set").alias("t"))
+    often = stored(each.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "shingles")
+    held = each.join(often, "t").groupBy("g").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "t"))).alias("l"))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1 - (F.col("size") - F.size("l"))
+    return held.select("g", F.explode(F.slice("l", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("g", "x.t")
+
+
+def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similarity: float = 0.8, slack: float = 0.04, crowd: int = 64, bucket: int = 1024) -> DataFrame:
     """(keys, root): components of texts whose shingle sets have an estimated similarity of ``similarity`` - ``slack`` or more.
 
     The radius that such a similarity means is far too wide for whole blocks of one
     fingerprint, so blocks hash small samples of the shingles, which similar texts share
     with probability J^2 each, and the Hamming distance of 512-bit signatures verifies.
-    Texts with equal sets are one.  In a block the others are compared with two of its texts: the
-    one that shares most blocks with others, and one by hash; so the pairs grow with the texts.
+    Texts with equal sets are one.  Every pair that shares a block is compared unless links
+    join its texts already: first each text of a block with the one that shares most blocks
+    with others; then all pairs of different components, in blocks of up to ``crowd``
+    texts directly.  Texts of larger blocks meet by their rarest shingles instead
+    (:func:`rare`), which loses no pair, so a passage that very many share brings no pairs;
+    groups over ``bucket`` are dealt to parts.
     """
     rows = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").cast("binary").alias("t"))
-    words = SIGNATURE // 64
+    texts, words = rows, SIGNATURE // 64
 
     def kernel(batches):
         for b in batches:
@@ -158,20 +216,37 @@ def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similar
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets), *lists], names=[*keys, "g", "sig", "key"])
 
     rows = stored(rows.mapInArrow(kernel, ", ".join(f"{k} long" for k in keys) + ", g long, sig array<long>, key array<long>"), "signatures")
-    nodes = stored(rows.groupBy("g").agg(F.first("sig").alias("sig"), F.first("key").alias("key")), "sets")
+    nodes = stored(rows.groupBy("g").agg(F.first("sig").alias("sig"), F.first("key").alias("key"), F.min(F.struct(*keys)).alias("rep")), "sets")
     at = nodes.select("g", F.posexplode("key").alias("b", "k"))
     full = at.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")
     at = stored(at.join(full, ["b", "k"]), "blocks")
     weight = at.groupBy("g").agg(F.sum("n").alias("w"))
-    centres = at.join(weight, "g").groupBy("b", "k").agg(F.max(F.struct("w", "g")).alias("heavy"), F.min(F.struct(F.xxhash64("g", "b"), "g")).alias("other"))
+    # Only texts with company are hashed again; repeated rows of the one that stands for its set count once.
+    standing = nodes.join(weight, "g", "left_semi").select("g", "rep.*")
+    sets = stored(shingle_sets(texts.join(standing, keys).groupBy(*keys, "g").agg(F.first("t").alias("t")), width), "shingles")
+    sigs, differ = nodes.select("g", "sig"), int((1 - similarity + slack) / 2 * SIGNATURE)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return stored(pairs, "near")
+
+    centres = at.join(weight, "g").groupBy("b", "k").agg(F.max(F.struct("w", "g"))["g"].alias("v"))
     # Stored on its own, so that the join below is a plain one whose crowded blocks can be split.
     centres = stored(centres, "centres")
-    pairs = at.join(centres, ["b", "k"]).select("g", F.explode(F.array("heavy.g", "other.g")).alias("v")).where("g <> v").distinct()
-    sigs = nodes.select("g", "sig")
-    both = pairs.join(sigs, "g").join(sigs.select(F.col("g").alias("v"), F.col("sig").alias("sig_v")), "v")
+    pairs = at.join(centres, ["b", "k"]).select(F.col("g").alias("u"), "v").where("u <> v").distinct()
+    both = pairs.join(sigs.select(F.col("g").alias("u"), "sig"), "u").join(sigs.select(F.col("g").alias("v"), F.col("sig").alias("sig_v")), "v")
     apart = sum((F.bit_count(F.col("sig")[k].bitwiseXOR(F.col("sig_v")[k])) for k in range(words)), F.lit(0))
-    near = both.where(apart <= int((1 - similarity + slack) / 2 * SIGNATURE)).select(F.col("g").alias("u"), "v")
-    roots = connected_components(near).withColumnRenamed("node", "g")
+    roots = stored(connected_components(verified(both.where(apart <= differ).select("u", "v"))).withColumnRenamed("node", "g"), "roots")
+
+    members = stored(at.drop("n").join(roots, "g", "left").withColumn("r", F.coalesce("root", "g")).drop("root"), "members")
+    blocks = stored(company(members, ["b", "k"]), "company")
+    members = members.join(blocks, ["b", "k"])
+    small = met(members.where(F.col("n") <= crowd).join(sigs, "g"), ["b", "k"], differ, bucket)
+    crowded = stored(members.where(F.col("n") > crowd).select("g", "r").distinct(), "crowded")
+    few = stored(rare(sets.join(crowded, "g", "left_semi"), similarity).join(crowded, "g"), "rare")
+    groups = stored(company(few, ["t"]), "company")
+    large = met(few.join(groups, "t").join(sigs, "g"), ["t"], differ, bucket)
+    more = verified(small.union(large).distinct())
+    roots = connected_components(roots.select(F.col("g").alias("u"), F.col("root").alias("v")).union(more)).withColumnRenamed("node", "g")
     return rows.select(*keys, "g").join(roots, "g", "left").select(*keys, F.coalesce("root", "g").alias("root"))
 
 

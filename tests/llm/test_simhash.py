@@ -110,3 +110,16 @@ def test_signature_estimates_similarity():
     true = len(shingle_set(ta.decode()) & shingle_set(tb.decode())) / len(shingle_set(ta.decode()) | shingle_set(tb.decode()))
     x, y = (int.from_bytes(simhash.signature(t)[1], "big") for t in (ta, tb))
     assert abs(1 - 2 * (x ^ y).bit_count() / simhash.SIGNATURE - true) < 0.1
+
+
+def test_every_pair_of_a_block_is_compared(spark):
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    boiler, rows = [word() for _ in range(140)], []
+    for g in range(500):
+        own = [word() for _ in range(60)]
+        rows += [(10 * g, " ".join(boiler + own)), (10 * g + 1, " ".join(boiler + own[:-20] + [word() for _ in range(20)]))]
+    text = {d: shingle_set(t) for d, t in rows}
+    assert all(0.8 < len(text[10 * g] & text[10 * g + 1]) / len(text[10 * g] | text[10 * g + 1]) < 0.83 for g in range(500))
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == [10 * g for g in range(500)]
