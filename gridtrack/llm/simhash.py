@@ -190,12 +190,12 @@ def rare(sets: DataFrame, similarity: float) -> DataFrame:
     return held.select("g", F.explode(F.slice("l", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("g", "x.t")
 
 
-def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similarity: float = 0.8, slack: float = 0.04, crowd: int = 64, bucket: int = 1024) -> DataFrame:
-    """(keys, root): components of texts whose shingle sets have an estimated similarity of ``similarity`` - ``slack`` or more.
+def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similarity: float = 0.8, slack: float = 0.15, crowd: int = 64, bucket: int = 1024) -> DataFrame:
+    """(keys, root): components of texts whose shingle sets have a similarity of ``similarity`` or more.
 
     The radius that such a similarity means is far too wide for whole blocks of one
     fingerprint, so blocks hash small samples of the shingles, which similar texts share
-    with probability J^2 each, and the Hamming distance of 512-bit signatures verifies.
+    with probability J^2 each, and the exact similarity of the shingle sets decides.  The Hamming distance of 512-bit signatures only spares hopeless pairs that: ``slack`` is over five errors of its estimate.
     Texts with equal sets are one.  Every pair that shares a block is compared unless links
     join its texts already: first each text of a block with the one that shares most blocks
     with others; then all pairs of different components, in blocks of up to ``crowd``
@@ -227,7 +227,11 @@ def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similar
     sigs, differ = nodes.select("g", "sig"), int((1 - similarity + slack) / 2 * SIGNATURE)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return stored(pairs, "near")
+        pairs = stored(pairs, "near")
+        both = pairs.join(sets.select(F.col("g").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("g").alias("v"), F.col("set").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        both = both.select("u", "v", shared.alias("x"), (F.size("a") + F.size("b")).alias("n"))
+        return stored(both.where(F.col("x") >= similarity * (F.col("n") - F.col("x")) - 1e-9).select("u", "v"), "linked")
 
     centres = at.join(weight, "g").groupBy("b", "k").agg(F.max(F.struct("w", "g"))["g"].alias("v"))
     # Stored on its own, so that the join below is a plain one whose crowded blocks can be split.

@@ -123,3 +123,16 @@ def test_every_pair_of_a_block_is_compared(spark):
     assert all(0.8 < len(text[10 * g] & text[10 * g + 1]) / len(text[10 * g] | text[10 * g + 1]) < 0.83 for g in range(500))
     got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
     assert sorted(r.doc_id for r in got.collect()) == [10 * g for g in range(500)]
+
+
+def test_similarity_is_exact_at_the_limit(spark):
+    rng = random.Random(22)
+    rows, want = [], []
+    for g in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        shared = (80, 79, 77, 75, 72, 70)[g % 6]  # of 100 shingles
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[: shared + 4]))]
+        assert len(shingle_set(rows[-1][1])) == shared and shingle_set(rows[-1][1]) < shingle_set(rows[-2][1])
+        want += [10 * g] if shared >= 80 else [10 * g, 10 * g + 1]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == want
