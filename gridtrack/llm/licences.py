@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values: (sentence id, normalised words). A sentence that holds the words, on word
-# boundaries, is that sentence; where several fit, the longest counts.
+# boundaries, holds that sentence; of those that begin together the longest counts.
 SENTENCES = (
     ("apache2-ref", "licensed under the apache license version 2 0"),
     ("apache2-may", "you may not use this file except in compliance with the license"),
@@ -85,24 +85,27 @@ RULES = (
 )
 FAMILIES = ("restricted", "copyleft", "permissive")
 
-#: Where a sentence ends: a line end, or a stop that blank space or the end follows.
+#: Where a sentence of the SQL ends: a line end, or a stop that blank space or the end follows.
 END = r"\n|[.;!?]+(\s+|$)"
+#: Where a sentence ends: a line blank but for comment marks, or such a stop unless it is a comment mark itself; single line ends do not.
+STOP = r"\n[ \t\r]*(?:[^\w\s]+[ \t\r]*)?(?=\n)|[.;!?]++(?<!(?:^|\n)[ \t;]{0,20};)(?:\s+|$)"
+#: Comment marks in letters at the start of a line; others are no words.
+LETTERS = r"(?i)(^|\n)[ \t]*(?:rem|dnl)(?=[ \t])"
 #: A sentence is looked up only if it holds one of these, which every known sentence does.
 HINT = r"(?i)licen[sc]e|permission|copyright|redistribut|warranty|under cc|spdx|mozilla|eclipse|public domain|later version|may be used to endorse|will be useful|provided (by|as)|rights reserved|cc0"
 
 
 def sentence_ids(text: Column) -> Column:
-    """array<string>: the identifiers of the known sentences of ``text``, in their order, repeats included."""
-    held = F.filter(F.split(text, END, -1), lambda s: s.rlike(HINT))
-    words = F.transform(held, lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), F.lit(" ")))
+    """array<string>: the identifiers of the known sentences of ``text``, in their order, repeats included.
 
-    def known(s: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, phrase in sorted(SENTENCES, key=lambda x: (len(x[1]), x[0])):
-            out = F.when(s.contains(f" {phrase} "), F.lit(name)).otherwise(out)
-        return out
-
-    return F.filter(F.transform(words, known), lambda i: i.isNotNull())
+    A sentence may run over lines and hold several known ones that do not overlap; of those that begin together the longest counts.
+    """
+    held = F.filter(F.split(text, STOP, -1), lambda s: s.rlike(HINT.replace(" ", "[^a-z0-9]+")))
+    words = F.transform(held, lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, LETTERS, "$1")), "[^a-z0-9]+", " ")), F.lit(" ")))
+    phrases = "|".join(sorted((p for _, p in SENTENCES), key=len, reverse=True))
+    known = F.flatten(F.transform(words, lambda s: F.regexp_extract_all(s, F.lit(f" ({phrases})(?= )"), F.lit(1))))
+    name = F.create_map(*[F.lit(x) for n, p in SENTENCES for x in (p, n)])
+    return F.transform(known, lambda p: F.element_at(name, p))
 
 
 def rule_pattern(ids: tuple[str, ...], gap: int) -> str:
@@ -135,7 +138,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for :func:`scanned` over the table documents."""
+    """DuckDB SQL for :func:`scanned` over the table documents, where no known sentence runs over lines and no sentence holds two."""
     q = lambda s: s.replace("'", "''")
     known = "CASE " + " ".join(f"WHEN contains(s, ' {q(p)} ') THEN '{n}'" for n, p in sorted(SENTENCES, key=lambda x: (len(x[1]), x[0]), reverse=True)) + " END"
     licences = ", ".join(f"CASE WHEN regexp_matches(seq, '{q(rule_pattern(ids, gap))}') THEN '{name}' END" for name, _, ids, gap in RULES)

@@ -40,3 +40,49 @@ def test_every_rule_uses_known_sentences():
 
 def test_empty(spark):
     assert licences.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+WRAPPED_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+WRAPPED_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+WRAPPED_GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY."""
+
+
+def test_wrapped_and_commented(spark):
+    wants = [(WRAPPED_MIT, "MIT"), (WRAPPED_BSD.format(""), "BSD-2-Clause"), (WRAPPED_BSD.format(ENDORSE), "BSD-3-Clause"), (WRAPPED_GPL, "GPL")]
+    rows, want = [], []
+    for text, name in wants:
+        for mark in ("", " * ", "# ", "// ", ";; ", "REM ", "dnl "):
+            want.append((len(rows), name))
+            rows.append((len(rows), "\r\n".join(mark + x for x in text.split("\n")) if mark == "// " else "\n".join(mark + x for x in text.split("\n"))))
+    want.append((len(rows), "Apache-2.0,MIT"))
+    rows.append((len(rows), "It is licensed under the Apache License, Version 2.0 and under the MIT License."))
+    got = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.licences) for r in got) == want
