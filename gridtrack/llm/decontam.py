@@ -138,12 +138,13 @@ class Index:
 
 def merged(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     out: list[tuple[int, int, int, int]] = []
-    for item, start, end, d in sorted(found):
+    by_item = lambda x: (x[0] is None, x[0] or 0)  # noqa: E731  items without an id come last
+    for item, start, end, d in sorted(found, key=lambda x: (by_item(x), x[1:])):
         if out and out[-1][0] == item and start <= out[-1][2]:
             out[-1] = (item, out[-1][1], max(end, out[-1][2]), min(d, out[-1][3]))
         else:
             out.append((item, start, end, d))
-    return sorted(out, key=lambda x: (x[1], x[0]))
+    return sorted(out, key=lambda x: (x[1], by_item(x)))
 
 
 def regions(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -152,7 +153,7 @@ def regions(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -
     Items are dealt to passes of about ``block_chars`` characters, so what a task holds is
     bounded whatever the benchmark's size; documents are never shuffled.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-chars // block_chars))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -179,10 +180,10 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``items`` is the sorted array of the item ids found; ``regions`` lists item:start:end:edits
     by start, in characters of the normalised UTF-8 text.  An item under 24 normalised
-    characters is not looked for.  Null text has no regions; an empty benchmark finds nothing.
+    characters is not looked for.  Items without an id count as one item, of id null.  Null text has no regions; an empty benchmark finds nothing.
     """
     rows = regions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items)
-    said = F.array_join(F.transform("_regions", lambda r: F.concat_ws(":", r["item"].cast("string"), r["start"].cast("string"), r["end"].cast("string"), r["edits"].cast("string"))), ",")
+    said = F.array_join(F.transform("_regions", lambda r: F.concat_ws(":", F.coalesce(r["item"].cast("string"), F.lit("null")), r["start"].cast("string"), r["end"].cast("string"), r["edits"].cast("string"))), ",")
     return rows.select("doc_id", (F.size("_regions") > 0).alias("contaminated"), F.size("_regions").cast("long").alias("n_regions"), F.array_sort(F.array_distinct(F.transform("_regions", lambda r: r["item"]))).alias("items"), said.alias("regions"))
 
 

@@ -67,3 +67,15 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.judged(docs, bench).count() == 0
     assert not D.judged(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), bench).first().contaminated
+
+
+def test_items_without_an_id(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"thing{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"before {text} and {other} after"), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (7, other), (7, text)], "item_id long, text string")
+    got = {r.doc_id: r for r in D.judged(docs, bench).collect()}
+    assert set(got[1]["items"]) == {None, 7} and got[1].n_regions == 2 and got[1].regions.count("null:") == 1
+    assert not got[2].contaminated
+    only = spark.createDataFrame([(None, text)], "item_id long, text string")
+    assert [r.doc_id for r in D.cleaned(docs, only).collect()] == [2]
