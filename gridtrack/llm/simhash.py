@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, fresh, released, stored
 
 #: Shingles whose bits are counted at once: bounds the memory of a very long text.
 PIECE = 1 << 16
@@ -155,25 +155,43 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("g", "t").mapInArrow(kernel, "g long, set array<long>")
 
 
+def apart(a: str, b: str):
+    """Differing bits of the signatures in two columns."""
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SIGNATURE // 64)), F.lit(0))
+
+
 def company(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The groups ``by`` of ``rows`` that hold two roots (column r) at least, with n, their rows."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(*by, "n")
+    """The groups ``by`` of ``rows`` that hold two roots (column r) at least: n rows, of which m are not of the root ``most`` that has most."""
+    each = rows.groupBy(*by, "r").agg(F.count("*").alias("c"))
+    groups = each.groupBy(*by).agg(F.sum("c").alias("n"), F.max(F.struct("c", "r")).alias("x"), F.count("*").alias("roots")).where("roots > 1")
+    return groups.select(*by, "n", (F.col("n") - F.col("x.c")).alias("m"), F.col("x.r").alias("most"))
 
 
 def met(rows: DataFrame, by: list[str], differ: int, bucket: int) -> DataFrame:
-    """Pairs (u, v), u < v, of the rows (g, r, sig, n and ``by``) of each group that have other roots r and signatures apart by ``differ`` bits or fewer.
+    """Pairs (u, v), u < v, of the rows (g, r, sig, n, m, most and ``by``) of each group that have other roots r and signatures apart by ``differ`` bits or fewer.
 
-    A group of over ``bucket`` rows is dealt to parts and each pair of parts compared on its own.
-    Roots and distance are part of the join's condition.
+    One of such a pair is not of the group's commonest root, so only those m rows are
+    compared with all n.  Both are dealt to parts of ``bucket`` and each pair of parts is
+    compared on its own.  Roots and distance are part of the join's condition.
     """
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / bucket).cast("int")).withColumn("p", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
-    own = ["g", "r", "sig"]
-    left = rows.select(*by, *own, F.col("p").alias("i"), F.explode(F.sequence("p", F.col("parts") - 1)).alias("j")).alias("a")
-    right = rows.select(*by, *own, F.explode(F.sequence(F.lit(0), "p")).alias("i"), F.col("p").alias("j")).alias("b")
+    parts = {c: F.ceil(F.col(x) / bucket).cast("int") for c, x in (("i", "m"), ("j", "n"))}
+    rows = rows.withColumns({f"of_{c}": x for c, x in parts.items()})
+    at, others = {c: F.pmod(F.xxhash64("g"), F.col(f"of_{c}")).cast("int").alias(c) for c in parts}, {c: F.explode(F.sequence(F.lit(0), F.col(f"of_{c}") - 1)).alias(c) for c in parts}
+    left = rows.where("r <> most").select(*by, "g", "r", "sig", at["i"], others["j"]).alias("a")
+    right = rows.select(*by, "g", "r", "sig", (F.col("r") != F.col("most")).alias("both"), at["j"], others["i"]).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "i", "j")]
-    apart = sum((F.bit_count(F.col("a.sig")[k].bitwiseXOR(F.col("b.sig")[k])) for k in range(SIGNATURE // 64)), F.lit(0))
-    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.g") < F.col("b.g"))
-    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), apart <= differ])
+    once = ~F.col("b.both") | (F.col("a.g") < F.col("b.g"))
+    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), apart("a.sig", "b.sig") <= differ])
+    return pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
+
+
+def hubs(rows: DataFrame, by: list[str], differ: int, classes: int) -> DataFrame:
+    """Pairs as of :func:`met`, but each row only with the heaviest (column w) of its group in each of ``classes`` classes of texts: as many pairs as rows, times ``classes``."""
+    k = F.pmod(F.xxhash64(F.lit(classes), "g"), F.lit(classes)).alias("class")
+    # Stored on its own, so that the join below is a plain one whose crowded groups can be split.
+    hub = stored(rows.groupBy(*by, k).agg(F.max(F.struct("w", "g", "r", "sig")).alias("x")).select(*by, "x.g", "x.r", "x.sig"), "hubs").alias("b")
+    rows = rows.alias("a")
+    pairs = rows.join(hub, [*[F.col(f"a.{c}") == F.col(f"b.{c}") for c in by], F.col("a.r") != F.col("b.r"), apart("a.sig", "b.sig") <= differ])
     return pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
 
 
@@ -190,18 +208,19 @@ def rare(sets: DataFrame, similarity: float) -> DataFrame:
     return held.select("g", F.explode(F.slice("l", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("g", "x.t")
 
 
-def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similarity: float = 0.8, slack: float = 0.15, crowd: int = 64, bucket: int = 1024) -> DataFrame:
+def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similarity: float = 0.8, slack: float = 0.1, rounds: tuple[int, ...] = (1, 8), work: int = 1 << 24, bucket: int = 1024) -> DataFrame:
     """(keys, root): components of texts whose shingle sets have a similarity of ``similarity`` or more.
 
     The radius that such a similarity means is far too wide for whole blocks of one
     fingerprint, so blocks hash small samples of the shingles, which similar texts share
-    with probability J^2 each, and the exact similarity of the shingle sets decides.  The Hamming distance of 512-bit signatures only spares hopeless pairs that: ``slack`` is over five errors of its estimate.
+    with probability J^2 each, and the exact similarity of the shingle sets decides.  The Hamming distance of 512-bit signatures only spares hopeless pairs that: ``slack`` is 3.8 errors of its estimate.
     Texts with equal sets are one.  Every pair that shares a block is compared unless links
-    join its texts already: first each text of a block with the one that shares most blocks
-    with others; then all pairs of different components, in blocks of up to ``crowd``
-    texts directly.  Texts of larger blocks meet by their rarest shingles instead
-    (:func:`rare`), which loses no pair, so a passage that very many share brings no pairs;
-    groups over ``bucket`` are dealt to parts.
+    join its texts already.  ``rounds`` first compare each text with a few heavy ones of its
+    blocks (those that share most blocks with others), which joins nearly all that can be
+    joined; then what is still apart in a block is compared pair by pair, those outside its
+    commonest component with all.  Where that is over ``work`` comparisons, texts meet by
+    their rarest shingles instead (:func:`rare`), which loses no pair, so a passage that
+    very many different texts share brings no pairs; groups over ``bucket`` are dealt to parts.
     """
     rows = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").cast("binary").alias("t"))
     texts, words = rows, SIGNATURE // 64
@@ -222,35 +241,43 @@ def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similar
     at = stored(at.join(full, ["b", "k"]), "blocks")
     weight = at.groupBy("g").agg(F.sum("n").alias("w"))
     # Only texts with company are hashed again; repeated rows of the one that stands for its set count once.
-    standing = nodes.join(weight, "g", "left_semi").select("g", "rep.*")
-    sets = stored(shingle_sets(texts.join(standing, keys).groupBy(*keys, "g").agg(F.first("t").alias("t")), width), "shingles")
-    sigs, differ = nodes.select("g", "sig"), int((1 - similarity + slack) / 2 * SIGNATURE)
+    standing = stored(nodes.join(weight, "g").select("g", "w", "sig", "rep.*"), "standing")
+    sets = stored(shingle_sets(texts.join(standing.select("g", *keys), keys).groupBy(*keys, "g").agg(F.first("t").alias("t")), width), "shingles")
+    blocks, at = at, stored(at.select("b", "k", "g").join(standing.select("g", "w", "sig"), "g"), "members")
+    released(blocks, nodes)
+    differ, by = int((1 - similarity + slack) / 2 * SIGNATURE), ["b", "k"]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "near")
-        both = pairs.join(sets.select(F.col("g").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("g").alias("v"), F.col("set").alias("b")), "v")
+        near = stored(pairs, "near")
+        both = near.join(sets.select(F.col("g").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("g").alias("v"), F.col("set").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         both = both.select("u", "v", shared.alias("x"), (F.size("a") + F.size("b")).alias("n"))
-        return stored(both.where(F.col("x") >= similarity * (F.col("n") - F.col("x")) - 1e-9).select("u", "v"), "linked")
-
-    centres = at.join(weight, "g").groupBy("b", "k").agg(F.max(F.struct("w", "g"))["g"].alias("v"))
-    # Stored on its own, so that the join below is a plain one whose crowded blocks can be split.
-    centres = stored(centres, "centres")
-    pairs = at.join(centres, ["b", "k"]).select(F.col("g").alias("u"), "v").where("u <> v").distinct()
-    both = pairs.join(sigs.select(F.col("g").alias("u"), "sig"), "u").join(sigs.select(F.col("g").alias("v"), F.col("sig").alias("sig_v")), "v")
-    apart = sum((F.bit_count(F.col("sig")[k].bitwiseXOR(F.col("sig_v")[k])) for k in range(words)), F.lit(0))
-    roots = stored(connected_components(verified(both.where(apart <= differ).select("u", "v"))).withColumnRenamed("node", "g"), "roots")
-
-    members = stored(at.drop("n").join(roots, "g", "left").withColumn("r", F.coalesce("root", "g")).drop("root"), "members")
-    blocks = stored(company(members, ["b", "k"]), "company")
-    members = members.join(blocks, ["b", "k"])
-    small = met(members.where(F.col("n") <= crowd).join(sigs, "g"), ["b", "k"], differ, bucket)
-    crowded = stored(members.where(F.col("n") > crowd).select("g", "r").distinct(), "crowded")
-    few = stored(rare(sets.join(crowded, "g", "left_semi"), similarity).join(crowded, "g"), "rare")
-    groups = stored(company(few, ["t"]), "company")
-    large = met(few.join(groups, "t").join(sigs, "g"), ["t"], differ, bucket)
-    more = verified(small.union(large).distinct())
-    roots = connected_components(roots.select(F.col("g").alias("u"), F.col("root").alias("v")).union(more)).withColumnRenamed("node", "g")
+        out = stored(both.where(F.col("x") >= similarity * (F.col("n") - F.col("x")) - 1e-9).select("u", "v"), "linked")
+        released(near)
+        return out
+
+    def apart_yet() -> DataFrame:
+        """The members of the blocks that hold two roots yet, with n, m and most of :func:`company`."""
+        own = at.withColumn("r", F.col("g")) if roots is None else at.join(roots, "g", "left").withColumn("r", F.coalesce("root", "g")).drop("root")
+        own = stored(own, "rooted")
+        out = stored(own.join(stored(company(own, by), "company"), by), "apart")
+        released(own)
+        return out
+
+    roots = None
+    for classes in rounds:
+        more = verified(hubs(apart_yet(), by, differ, classes))
+        more = more if roots is None else more.union(roots.select(F.col("g").alias("u"), F.col("root").alias("v")))
+        roots = stored(connected_components(more).withColumnRenamed("node", "g"), "roots")
+    members = apart_yet()
+    direct = F.col("m") * F.col("n") <= work
+    few = met(members.where(direct), by, differ, bucket)
+    crowded = stored(members.where(~direct).select("g", "r", "sig").dropDuplicates(["g"]), "crowded")
+    if not crowded.isEmpty():
+        own = stored(rare(sets.join(crowded.select("g"), "g", "left_semi"), similarity).join(crowded, "g"), "rare")
+        few = few.union(met(own.join(stored(company(own, ["t"]), "company"), "t"), ["t"], differ, bucket)).distinct()
+    more = verified(few).union(roots.select(F.col("g").alias("u"), F.col("root").alias("v")))
+    roots = stored(connected_components(more).withColumnRenamed("node", "g"), "roots")
     return rows.select(*keys, "g").join(roots, "g", "left").select(*keys, F.coalesce("root", "g").alias("root"))
 
 
@@ -261,19 +288,20 @@ def deduplicated(docs: DataFrame, width: int = 3, bits: int = 3, blocks: int = 6
     ``width`` words, else those of fingerprints that differ in ``bits`` bits or fewer.
     All columns are kept; repeated rows count as copies, so one of them stays.
     """
-    names, keys = docs.columns, ["_d", "_h"]
-    keyed = docs.withColumn("_h", F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    names, keys = docs.columns, fresh(docs, "_d", "_h")
+    keyed = docs.withColumn(keys[1], F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])).withColumn(keys[0], F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
     if similarity is None:
         rows = stored(fingerprints(keyed, width, keys), "fingerprints")
         rows = rows.join(stored(components(rows, bits, blocks), "components"), "fp")
     else:
         rows = similar_components(keyed, keys, width, similarity)
     named = stored(rows.groupBy("root", *keys).agg(F.count("*").alias("n")), "members")
-    first = named.groupBy("root").agg(F.min(F.struct(*keys)).alias("first"))
+    # Stored on its own, so that the members of a large group can be split in the join.
+    first = stored(named.groupBy("root").agg(F.min(F.struct(*keys)).alias("first")), "first")
     named = named.join(first, "root")
     is_first = F.struct(*keys) == F.col("first")
     kept = keyed.join(named.where(~is_first).select(*keys), keys, "left_anti")
     again = named.where(is_first & (F.col("n") > 1)).select(*keys)
     if not again.isEmpty():  # repeated rows of one that stays
         kept = kept.join(again, keys, "left_anti").unionByName(kept.join(again, keys, "left_semi").dropDuplicates(keys))
-    return kept.select(*names)
+    return kept.select(*[F.col(f"`{c}`") for c in names])

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import xxhash
 from pyspark.sql import functions as F
 
@@ -136,3 +138,43 @@ def test_similarity_is_exact_at_the_limit(spark):
         want += [10 * g] if shared >= 80 else [10 * g, 10 * g + 1]
     got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("work", [1, 1 << 24])
+def test_components_of_similar_texts_equal_brute_force(spark, work):
+    """With and without the way of rare shingles; a boilerplate half, chains of copies, empty and null texts, clashing names."""
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    boiler, rows = [word() for _ in range(100)], []
+    for g in range(40):
+        own = boiler + [word() for _ in range(80)]
+        for c in range(4):
+            rows.append((10 * g + c, " ".join(own)))
+            for k in rng.sample(range(100, 180), 3):
+                own[k] = word()
+    rows += [(9000, None), (9001, ""), (9002, "few words")]
+    sets, root = {d: shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "g long, text string, sig int, root int")
+    got = {r.g: r.root for r in simhash.similar_components(df.withColumnRenamed("g", "doc_id"), ["doc_id"], work=work).withColumnRenamed("doc_id", "g").collect()}
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(got[d], d)
+    assert {d: first[got[d]] for d in sets} == {d: find(d) for d in sets}
+
+
+def test_names_that_clash_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8), (3, "d e f", 9, 10)], "doc_id long, text string, _d int, _H int")
+    got = simhash.deduplicated(df)
+    assert got.columns == ["doc_id", "text", "_d", "_H"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c", 5, 6), (3, "d e f", 9, 10)]
