@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -9,8 +9,12 @@ from gridtrack.llm import repeats
 SCHEMA = "doc_id long, text string, d long, k string, spans int"
 
 
-def brute(rows, least):
+def brute(rows, least, passage):
     texts = [(t or "").encode() for _, t in rows]
+    owners = defaultdict(set)
+    for (d, _), t in zip(rows, texts):
+        for i in range(len(t) - passage + 1):
+            owners[t[i : i + passage]].add((d, t))
     seen = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
     out = []
     for (d, _), t in zip(rows, texts):
@@ -19,7 +23,7 @@ def brute(rows, least):
             if seen[t[i : i + least]] > 1:
                 gone[i : i + least] = True
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
-        out.append((str(d), len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((str(d), len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), any(len(owners[t[i : i + passage]]) > 1 for i in range(len(t) - passage + 1))))
     return sorted(out)
 
 
@@ -40,25 +44,26 @@ def fixture(seed, n=60):
     return rows
 
 
-def check(spark, rows, least, q):
+def check(spark, rows, least, q, passage):
     df = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], SCHEMA)
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.counted(df, least, q).collect())
-    assert got == brute(rows, least)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.repeated) for r in repeats.counted(df, least, q, passage).collect())
+    assert got == brute(rows, least, passage)
 
 
 def test_against_brute_force(spark):
-    check(spark, fixture(1), 50, 16)
+    check(spark, fixture(1), 50, 16, 50)
+    check(spark, fixture(3), 60, 12, 35)
 
 
 def test_large_groups(spark, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", 2)
-    check(spark, fixture(2), 50, 16)
+    check(spark, fixture(2), 50, 16, 30)
 
 
 def test_production_length(spark):
     rng = random.Random(9)
     t = "".join(rng.choice("abcdefgh ") for _ in range(3000))
-    check(spark, [(1, t), (2, t[:399] + "!" + t[500:899]), (3, t[600:1000] + "?" + t[1200:]), (4, t[:400]), (5, "x" * 1000)], 400, 64)
+    check(spark, [(1, t), (2, t[:399] + "!" + t[500:899]), (3, t[600:1000] + "?" + t[1200:]), (4, t[:400]), (5, "x" * 1000), (6, t[:270] + "," + t[900:1100]), (7, t[1300:1559])], 400, 48, 260)
 
 
 def test_pieces(monkeypatch):
@@ -78,3 +83,24 @@ def test_maximal_repeats():
 
 def test_empty(spark):
     assert repeats.counted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_occurrences_are_whole(spark):
+    """Each repeat lists every place of its string, and every string that occurs twice lies in one of them."""
+    rows = [(d, t) for d, t in fixture(5, 25) if d is not None and len(t or "") < 3000]
+    texts = {d: (t or "").encode() for d, t in rows}
+    rows = sorted({d: t for d, t in rows}.items())
+    least = 40
+    got = defaultdict(set)
+    for r in repeats.occurrences(spark.createDataFrame(rows, "doc_id long, text string"), least, 12).collect():
+        got[r.repeat, texts[r.doc_id][r.start : r.end]].add((r.doc_id, r.start))
+    assert len(got) == len({name for name, _ in got}) and got
+    places = lambda s: {(d, i) for d, t in texts.items() for i in range(len(t) - len(s) + 1) if t.startswith(s, i)}
+    starts = defaultdict(set)
+    for d, t in texts.items():
+        for i in range(len(t) - least + 1):
+            starts[t[i : i + least]].add((d, i))
+    for (_, s), own in got.items():
+        assert len(s) >= least and len(own) > 1 and own == places(s)
+    listed = {(d, i + k) for (_, s), own in got.items() for d, i in own for k in range(len(s) - least + 1)}
+    assert listed >= {p for own in starts.values() if len(own) > 1 for p in own}
