@@ -16,6 +16,8 @@ from .common import stored
 SPAN = 16
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 LAST = 0x7FFFFFFFFFFFFFFF
+#: Least bytes of a stretch of repeated chunks that goes: about twenty words.
+RUN = 120
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -82,27 +84,37 @@ def chunked(docs: DataFrame, mean: int = 40, least: int = 20, most: int = 160) -
 
 
 def marked(docs: DataFrame, **sizes: int) -> DataFrame:
-    """The chunks of :func:`chunked` with ``shared`` (another document holds it too) and ``removed``.
+    """The chunks of :func:`chunked` with ``shared`` (another document holds it too) and ``repeat`` (it is not the one that stays).
 
     Of equal chunks the first stays: the one of the smallest doc_id (null counts as
-    largest), and the first in its text.  Rows with the same doc_id count as one document,
-    and each keeps what its other rows hold too.
+    largest), and the first in its text.  Rows with the same doc_id, or without any, count
+    as one document, and each keeps what its other rows hold too.
     """
     c = stored(chunked(docs, **sizes), "chunks")
     order = F.coalesce("doc_id", F.lit(LAST))
-    several = c.where("seq IS NOT NULL AND NOT again").groupBy("d1", "d2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = c.where("seq IS NOT NULL AND NOT again").groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last")
     out = c.join(several, ["d1", "d2"], "left")
-    return out.withColumn("shared", F.coalesce(F.col("n") > 1, F.lit(False)) & F.col("seq").isNotNull()).withColumn("removed", (F.col("again") | (F.col("shared") & (order > F.col("first")))) & F.col("seq").isNotNull())
+    shared = F.col("first").isNotNull() & F.col("seq").isNotNull()
+    return out.withColumn("shared", shared).withColumn("repeat", F.col("again") | (shared & F.coalesce(order > F.col("first"), F.lit(False))))
 
 
-def deduplicated(docs: DataFrame, **sizes: int) -> DataFrame:
+def deduplicated(docs: DataFrame, run: int = RUN, **sizes: int) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, n_shared, n_removed, n_spans, spans): one row for each row of ``docs``.
 
+    What goes are stretches of adjoining repeated chunks (:func:`marked`) of ``run`` bytes or
+    more; shorter ones are phrases that texts share by chance, and stay.
     ``n_shared`` counts the bytes of chunks that another document holds too, first or not;
     ``n_removed`` those that go; ``spans`` lists the removed stretches, start:end in bytes
-    of the UTF-8 text, adjoining chunks joined.
+    of the UTF-8 text.  A null or empty text has one row with zeros and no spans; a null
+    doc_id stays null; other columns are not read.
     """
     m = marked(docs, **sizes)
-    gone = F.when(F.col("removed"), F.struct("start", (F.col("start") + F.col("len")).alias("end")))
-    rows = m.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("len").cast("long")).alias("n_bytes"), F.count("seq").alias("n_chunks"), F.sum(F.when(F.col("shared"), F.col("len").cast("long")).otherwise(0)).alias("n_shared"), F.sum(F.when(F.col("removed"), F.col("len").cast("long")).otherwise(0)).alias("n_removed"), F.array_sort(F.collect_list(gone)).alias("gone"))
-    return rows.withColumn("_s", F.array_except(F.transform("gone", lambda s: s["start"]), F.transform("gone", lambda s: s["end"]))).withColumn("_e", F.array_except(F.transform("gone", lambda s: s["end"]), F.transform("gone", lambda s: s["start"]))).select("doc_id", "n_bytes", "n_chunks", "n_shared", "n_removed", F.size("_s").cast("long").alias("n_spans"), F.array_join(F.zip_with("_s", "_e", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), ",").alias("spans"))
+    gone = F.when(F.col("repeat"), F.struct("start", (F.col("start") + F.col("len")).alias("end")))
+    rows = m.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("len").cast("long")).alias("n_bytes"), F.count("seq").alias("n_chunks"), F.sum(F.when(F.col("shared"), F.col("len").cast("long")).otherwise(0)).alias("n_shared"), F.array_sort(F.collect_list(gone)).alias("gone"))
+    starts, ends = F.transform("gone", lambda s: s["start"]), F.transform("gone", lambda s: s["end"])
+    # Where one repeated chunk ends and the next one starts, the stretch goes on.
+    joined = F.zip_with(F.array_except(starts, ends), F.array_except(ends, starts), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    rows = rows.withColumn("runs", F.filter(joined, lambda x: x["e"] - x["s"] >= run))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+    spans = F.array_join(F.transform("runs", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return rows.select("doc_id", "n_bytes", "n_chunks", "n_shared", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), spans.alias("spans"))

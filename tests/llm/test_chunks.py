@@ -41,14 +41,14 @@ def brute(rows):
         key = chunks.LAST if d is None else d
         for c in {x for *_, x in cs}:
             first[c] = min(first.get(c, key), key)
-            holders[c] = holders.get(c, 0) + 1
+            holders.setdefault(c, set()).add(key)
     out = []
     for (d, t), cs in zip(rows, cut):
         key, seen, gone, shared = chunks.LAST if d is None else d, set(), [], 0
         for a, b, c in cs:
-            if holders[c] > 1:
+            if len(holders[c]) > 1:
                 shared += b - a
-            if c in seen or (holders[c] > 1 and key > first[c]):
+            if c in seen or key > first[c]:
                 gone.append((a, b))
             seen.add(c)
         spans = []
@@ -57,7 +57,8 @@ def brute(rows):
                 spans[-1] = (spans[-1][0], b)
             else:
                 spans.append((a, b))
-        out.append((str(d), len((t or "").encode()), len(cs), shared, sum(b - a for a, b in gone), len(spans), ",".join(f"{a}:{b}" for a, b in spans)))
+        spans = [(a, b) for a, b in spans if b - a >= 120]
+        out.append((str(d), len((t or "").encode()), len(cs), shared, sum(b - a for a, b in spans), len(spans), ",".join(f"{a}:{b}" for a, b in spans)))
     return sorted(out)
 
 
@@ -73,6 +74,19 @@ def test_against_brute_force(spark):
     assert all(r.n_removed > 250 for r in got if r.doc_id and r.doc_id >= 40)
 
 
+def test_passages_go_and_shared_phrases_stay(spark):
+    """Of documents with phrases of four words in common all bytes stay; passages of 51 words go but for their edges."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    phrases, passage = [text(4) for _ in range(20)], text(51)
+    clean = [(d, " ".join(text(rng.randint(5, 12)) + " " + rng.choice(phrases) for _ in range(15))) for d in range(100)]
+    held = [(d, text(40) + " " + passage + " " + text(40)) for d in range(100, 200)]
+    got = {r.doc_id: r.n_removed for r in chunks.deduplicated(spark.createDataFrame(clean + held, "doc_id long, text string")).collect()}
+    assert all(got[d] == 0 for d, _ in clean)
+    assert got[100] == 0 and all(120 <= got[d] <= len(passage) for d in range(101, 200))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_empty(spark, rows):
     got = chunks.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
