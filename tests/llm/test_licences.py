@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 
 from gridtrack.llm import licences
@@ -42,6 +44,57 @@ def test_empty(spark):
     assert licences.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+MIT_TEXT = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+ZERO_BSD_TEXT = ISC_TEXT.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL3_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+LGPL_TEXT = GPL3_TEXT.replace("General", "Lesser General").replace("version 3", "version 2.1")
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it freely:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software."""
 WRAPPED_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, subject to the following conditions:
@@ -86,3 +139,42 @@ def test_wrapped_and_commented(spark):
     rows.append((len(rows), "It is licensed under the Apache License, Version 2.0 and under the MIT License."))
     got = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.licences) for r in got) == want
+
+
+NOTICES = [(MIT_TEXT, "MIT"), (ISC_TEXT, "ISC"), (ZERO_BSD_TEXT, "0BSD"), (APACHE_TEXT, "Apache-2.0"), (GPL3_TEXT, "GPL,GPL-3.0-or-later"), (LGPL_TEXT, "LGPL-2.1-or-later"), (MPL_TEXT, "MPL-2.0"), (ZLIB_TEXT, "Zlib")]
+NEAR_MISSES = [
+    "that is not all rights reserved here",
+    "This is not licensed under the Apache License, Version 2.0.",
+    "It is no longer under the MIT License",
+    MIT_TEXT.replace("The above copyright notice and this permission notice shall be included in all copies", "Keep the notice"),
+    WRAPPED_BSD.format("").replace("2. Redistributions in binary form must reproduce", "2. Binaries must show"),
+    ISC_TEXT.replace("the author", "nobody").replace("THE AUTHOR", "NOBODY"),
+    "\n\n".join(reversed(ZLIB_TEXT.split("\n\n"))),
+    GPL3_TEXT.replace("GNU General Public License", "terms below"),
+    "the licensed under, the Apache. License version 2.0",
+]
+
+
+def test_notices_and_near_misses_by_query_and_sql(spark):
+    rows, want = [], []
+    for text, name in NOTICES:
+        for mark in ("", " * ", "# ", "// ", ";; ", "REM ", "dnl ", "<!-- "):
+            for end in ("\n", "\r\n"):
+                rows.append((len(rows), "x = 1\n" + end.join(mark + x for x in text.split("\n")) + "\nMore text."))
+                want.append((len(want), name))
+        rows.append((len(rows), text.replace("\n\n", "@@").replace("\n", " ").replace("@@", "\n\n")))
+        want.append((len(want), name))
+    for text in NEAR_MISSES:
+        rows.append((len(rows), text))
+        want.append((len(want), ""))
+    got = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.licences) for r in got.collect()) == want
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    sql = con.sql(licences.oracle())
+    assert sorted(map(str, map(tuple, got.select(*sql.columns).collect()))) == sorted(map(str, sql.fetchall()))
+
+
+def test_the_hint_holds_every_known_sentence():
+    assert all(re.search(licences.hint(), p) for _, p in licences.SENTENCES)
