@@ -7,11 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 12
-#: Characters of a passage, the step between passages of an item, share of edits allowed, least characters of an item.
-PASSAGE, STEP, RATE, LEAST = 80, 40, 0.05, 24
+from .common import fresh, released, stored
+
+Q = 8
+#: Characters of a window, the step between windows of an item, share of edits allowed. Items under LEAST characters are looked for exactly.
+PASSAGE, STEP, RATE, LEAST = 64, 8, 0.1, 24
+#: q-grams that a window and its match share at least, so that bands of one chance q-gram are never aligned.
+SHARED = 3
 #: Characters of items that one pass holds; more items take more passes.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
+#: An item longer than this is indexed in parts that overlap by a window.
+PART = 1 << 16
+#: Hits of a stretch of text that are counted at once.
+HITS = 1 << 22
 _BLANK = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _FILTER_BITS = 22
 
@@ -22,21 +30,25 @@ def normalised(text: str) -> bytes:
 
 
 def grams(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each q-gram."""
+    """The q-grams as 64-bit numbers, mixed one to one."""
     n = len(text) - Q + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    head, tail = np.ndarray((n,), "<u8", text, strides=(1,)), np.ndarray((n,), "<u4", text, Q - 4, (1,))
-    h = head * np.uint64(0x9E3779B97F4A7C15)
+    h = np.ndarray((n,), "<u8", text, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
-    h += tail
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h
 
 
 def budget(length: int) -> int:
-    """Edits allowed in a passage: a twentieth of it, and no more than leave a shared q-gram by the lemma."""
-    return min(int(RATE * length), (length - Q) // Q)
+    """Edits allowed in a window: a tenth of it, and no more than leave SHARED common q-grams by the lemma."""
+    return max(0, min(int(RATE * length), (length - Q + 1 - SHARED) // Q))
+
+
+def windows(length: int) -> list[tuple[int, int]]:
+    """The (start, length) of the windows of an item of so many characters."""
+    n = min(PASSAGE, length)
+    return [(at, n) for at in sorted({*range(0, length - n + 1, STEP), length - n})]
 
 
 def banded_distance(a: bytes, b: bytes, low: int, high: int, most: int) -> int:
@@ -64,28 +76,28 @@ def banded_distance(a: bytes, b: bytes, low: int, high: int, most: int) -> int:
 
 
 class Index:
-    """The q-grams of a block of items, and the passages in which they lie."""
+    """The q-grams of a block of items with their places, and the items that are too short for them."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.passages, keys, places = [], [], [], []
+        self.parts: list[tuple[int, bytes]] = []
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # words, item, ids
         for item, text in items:
             s = normalised(text or "")
-            if len(s) < LEAST:
-                continue
-            length = min(PASSAGE, len(s))
-            for at in sorted({*range(0, len(s) - length + 1, STEP), len(s) - length}):
-                self.passages.append((item, s[at : at + length]))
-                g = grams(s[at : at + length])
-                keys.append(g)
-                places.append(np.stack([np.full(len(g), len(self.passages) - 1), np.arange(len(g))], 1))
-        key = np.concatenate([np.zeros(0, np.uint64), *keys])
+            if len(s) >= LEAST:
+                self.parts += [(item, s[at : at + PART + PASSAGE]) for at in range(0, max(1, len(s) - PASSAGE), PART)]
+            elif s:
+                self.short.setdefault(s.count(b" ") + 1, {}).setdefault(s, []).append(item)
+        sizes = [max(0, len(p) - Q + 1) for _, p in self.parts]
+        key = np.concatenate([np.zeros(0, np.uint64), *(grams(p) for _, p in self.parts)])
         order = np.argsort(key, kind="stable")
-        self.places = np.concatenate([np.zeros((0, 2), np.int64), *places])[order]
+        self.part = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.place = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])[order]
         self.keys, self.first = np.unique(key[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(key)))
-        self.edits = np.array([budget(len(p)) for _, p in self.passages] + [0], np.int64)
-        self.least = np.array([len(p) - Q + 1 - budget(len(p)) * Q for _, p in self.passages] + [1], np.int64)
-        self.fewest = int(self.least[:-1].min()) if len(self.passages) else 1
+        lengths = [min(PASSAGE, len(p)) for _, p in self.parts]
+        self.edits = np.array([budget(n) for n in lengths], np.int64)
+        self.least = np.array([n - Q + 1 - budget(n) * Q for n in lengths], np.int64)
+        self.fewest = int(self.least.min()) if lengths else 1 << 30
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.slot(self.keys)] = True
 
@@ -94,46 +106,69 @@ class Index:
         return (g >> np.uint64(64 - _FILTER_BITS)).view(np.int64)
 
     def found(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) for each passage verified in the normalised text, by start; overlapping passages of an item are merged."""
+        """(item, start, end, edits) for each window or short item verified in the normalised text, by start; overlapping ones of an item are merged."""
         s = normalised(text)
-        hits = []
+        out = self.found_short(s) if self.short else []
+        ahead = PASSAGE + 2 * int(RATE * PASSAGE)  # no match is longer
         for at in range(0, max(len(s) - Q + 1, 0), 1 << 20):
-            g = grams(s[at : at + (1 << 20) + Q - 1])
-            i = np.flatnonzero(self.maybe[self.slot(g)])
-            k = np.searchsorted(self.keys, g[i])
-            k[k == len(self.keys)] = 0
-            ok = self.keys[k] == g[i] if len(self.keys) else np.zeros(len(i), bool)
-            hits.append((i[ok] + at, k[ok]))
-        i, k = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 2
+            out += self.found_in(s, at, min(at + (1 << 20) + ahead, len(s) - Q + 1), ahead)
+        return merged(out)
+
+    def found_short(self, s: bytes) -> list[tuple[int, int, int, int]]:
+        words, out, at = s.split(b" "), [], 0
+        for i, word in enumerate(words):
+            for n, items in self.short.items():
+                own = b" ".join(words[i : i + n])
+                out += [(item, at, at + len(own), 0) for item in items.get(own, ())]
+            at += len(word) + 1
+        return out
+
+    def found_in(self, s: bytes, low: int, high: int, ahead: int) -> list[tuple[int, int, int, int]]:
+        """Of the windows whose matches have their q-grams at low..high - 1: a stretch with too many hits is halved, the halves overlap by a match."""
+        g = grams(s[low : high + Q - 1])
+        i = np.flatnonzero(self.maybe[self.slot(g)])
+        k = np.searchsorted(self.keys, g[i])
+        k[k == len(self.keys)] = 0
+        ok = self.keys[k] == g[i] if len(self.keys) else np.zeros(len(i), bool)
+        i, k = i[ok] + low, k[ok]
         if len(i) < self.fewest:
             return []
         n = self.count[k]
+        if n.sum() > HITS and high - low > 4 * ahead:
+            mid = (low + high) // 2
+            return self.found_in(s, low, mid + ahead, ahead) + self.found_in(s, mid, high, ahead)
         row = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        passage, j = self.places[row].T
+        part, j = self.part[row].astype(np.int64), self.place[row].astype(np.int64)
         # Bands are twice the budget wide (and two more) and overlap by half, so a true match lies whole in one of them.
-        low = (np.repeat(i, n) - j + PASSAGE) // (self.edits[passage] + 1)
-        span = len(s) + 2 * PASSAGE
-        band, count = np.unique(passage * span + low, return_counts=True)
+        shift = PART + 2 * PASSAGE
+        at = (np.repeat(i, n) - j + shift) // (self.edits[part] + 1)
+        span = len(s) + 2 * shift
+        order = np.argsort(part * span + at, kind="stable")
+        half, j = (part * span + at)[order], j[order]
+        band, first, count = np.unique(half, return_index=True, return_counts=True)
+        # A band's hits are those of its lower half and of the half above it.
         after = np.searchsorted(band, band + 1)
         after[after == len(band)] = 0
-        # A band's hits are those of its lower half and of the half above it.
         upper = np.where(band[after] == band + 1, count[after], 0)
         below = np.flatnonzero(np.append(True, band[1:] != band[:-1] + 1)) if len(band) else np.zeros(0, np.int64)
         keys = np.concatenate([band, band[below] - 1])
         total = np.concatenate([count + upper, count[below]])
-        p, b = (keys + 1) // span, (keys + 1) % span - 1
-        ok = total >= self.least[p]
-        bands = np.stack([p[ok], b[ok]], 1)
         out = []
-        for p, b in bands.tolist():
-            item, a = self.passages[p]
-            w, edits = int(self.edits[p]) + 1, int(self.edits[p])
-            lo, hi = b * w - PASSAGE, (b + 2) * w - 1 - PASSAGE
-            start = max(0, lo - edits)
-            d = banded_distance(a, s[start : hi + edits + len(a) + edits], lo - start - edits, hi - start + edits, edits)
-            if d <= edits:
-                out.append((item, max(0, lo), min(len(s), hi + len(a)), d))
-        return merged(out)
+        for key in keys[total >= self.least[(keys + 1) // span]].tolist():
+            p, b = (key + 1) // span, (key + 1) % span - 1
+            ends = np.searchsorted(band, [key, key + 2])
+            js = np.sort(j[first[ends[0]] : first[ends[1]] if ends[1] < len(first) else len(j)])
+            item, a = self.parts[p]
+            edits = int(self.edits[p])
+            lo, hi = b * (edits + 1) - shift, (b + 2) * (edits + 1) - 1 - shift
+            for start, length in windows(len(a)):
+                if np.searchsorted(js, start + length - Q, "right") - np.searchsorted(js, start) < self.least[p]:
+                    continue
+                left = max(0, start + lo - edits)
+                d = banded_distance(a[start : start + length], s[left : start + hi + edits + length + edits], start + lo - left - edits, start + hi - left + edits, edits)
+                if d <= edits:
+                    out.append((item, max(0, start + lo), min(len(s), start + hi + length), d))
+        return out
 
 
 def merged(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -147,40 +182,51 @@ def merged(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return sorted(out, key=lambda x: (x[1], by_item(x)))
 
 
-def regions(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with ``_regions``, array<struct<item,start,end,edits>>: where passages of ``items`` (item_id, text) lie in the normalised text.
-
-    Items are dealt to passes of about ``block_chars`` characters, so what a task holds is
-    bounded whatever the benchmark's size; documents are never shuffled.
-    """
+def _regions(docs: DataFrame, items: DataFrame, block_chars: int, name: str) -> DataFrame:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-chars // block_chars))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     shape = "array<struct<item:long,start:int,end:int,edits:int>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` {shape}"
     of = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
-    out = docs.withColumn("_regions", F.lit(None).cast(shape))
+    out = docs.withColumn(name, F.lit(None).cast(shape))
     for k in range(passes):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own.collect()]))  # about block_chars
 
         def kernel(batches, index=index):
             for b in batches:
-                texts, before = b.column("text").cast(pa.string()).to_pylist(), b.column("_regions").to_pylist()
+                texts, before = b.column("text").cast(pa.string()).to_pylist(), b.column(name).to_pylist()
                 new = [(x or []) + [dict(zip(("item", "start", "end", "edits"), r)) for r in (index.value.found(t) if t else [])] for t, x in zip(texts, before)]
-                cols = [*b.columns[:-1], pa.array(new, of)]
-                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
-
-        out = out.mapInArrow(kernel, f"{schema}, _regions {shape}")
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, of)], names=b.schema.names)
+
+        last, out = out, out.mapInArrow(kernel, schema)
+        if passes > 1:  # one block at a time is alive
+            out = stored(out, "regions")
+            index.destroy()
+            if k:
+                released(last)
     return out
 
 
+def regions(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` with ``_regions`` (with more underscores if ``docs`` has that name), array<struct<item,start,end,edits>>: where windows of ``items`` (item_id, text) lie in the normalised text.
+
+    Items are dealt to passes of about ``block_chars`` characters, each stored before the
+    next, so what a task holds is bounded whatever the benchmark's size; documents are never shuffled.
+    """
+    return _regions(docs, items, block_chars, fresh(docs, "_regions")[0])
+
+
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_regions, items, regions): one row for each row of ``docs``.
 
     ``items`` is the sorted array of the item ids found; ``regions`` lists item:start:end:edits
-    by start, in characters of the normalised UTF-8 text.  An item under 24 normalised
-    characters is not looked for.  Items without an id count as one item, of id null.  Null text has no regions; an empty benchmark finds nothing.
+    by start, in characters of the normalised UTF-8 text.  An item is found by a window of 64
+    characters with a tenth of edits, one of 24 to 64 characters whole, and a shorter one by its
+    exact words.  Items without an id count as one item, of id null; those without a letter
+    or digit are nowhere.  Null text has no regions; an empty benchmark finds nothing;
+    repeated rows and null ids stay as they are.
     """
     rows = regions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items)
     said = F.array_join(F.transform("_regions", lambda r: F.concat_ws(":", F.coalesce(r["item"].cast("string"), F.lit("null")), r["start"].cast("string"), r["end"].cast("string"), r["edits"].cast("string"))), ",")
@@ -188,5 +234,6 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no passage of ``items`` is found; all columns stay."""
-    return regions(docs, items).where(F.size("_regions") == 0).drop("_regions")
+    """The rows of ``docs`` in which no window of ``items`` is found (see :func:`judged`); all columns stay, a null text too."""
+    name = fresh(docs, "_regions")[0]
+    return _regions(docs, items, BLOCK_CHARS, name).where(F.size(name) == 0).drop(name)
