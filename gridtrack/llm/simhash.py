@@ -170,6 +170,7 @@ def company(rows: DataFrame, by: list[str]) -> DataFrame:
 def met(rows: DataFrame, by: list[str], differ: int, bucket: int) -> DataFrame:
     """Pairs (u, v), u < v, of the rows (g, r, sig, n, m, most and ``by``) of each group that have other roots r and signatures apart by ``differ`` bits or fewer.
 
+    Of the blocks (b, k) a pair comes from the first that it shares only, which the rows' array ``key`` tells.
     One of such a pair is not of the group's commonest root, so only those m rows are
     compared with all n.  Both are dealt to parts of ``bucket`` and each pair of parts is
     compared on its own.  Roots and distance are part of the join's condition.
@@ -177,11 +178,13 @@ def met(rows: DataFrame, by: list[str], differ: int, bucket: int) -> DataFrame:
     parts = {c: F.ceil(F.col(x) / bucket).cast("int") for c, x in (("i", "m"), ("j", "n"))}
     rows = rows.withColumns({f"of_{c}": x for c, x in parts.items()})
     at, others = {c: F.pmod(F.xxhash64("g"), F.col(f"of_{c}")).cast("int").alias(c) for c in parts}, {c: F.explode(F.sequence(F.lit(0), F.col(f"of_{c}") - 1)).alias(c) for c in parts}
-    left = rows.where("r <> most").select(*by, "g", "r", "sig", at["i"], others["j"]).alias("a")
-    right = rows.select(*by, "g", "r", "sig", (F.col("r") != F.col("most")).alias("both"), at["j"], others["i"]).alias("b")
+    own = ["g", "r", "sig", *(["key"] if "key" in rows.columns else [])]
+    left = rows.where("r <> most").select(*by, *own, at["i"], others["j"]).alias("a")
+    right = rows.select(*by, *own, (F.col("r") != F.col("most")).alias("both"), at["j"], others["i"]).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "i", "j")]
     once = ~F.col("b.both") | (F.col("a.g") < F.col("b.g"))
-    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), apart("a.sig", "b.sig") <= differ])
+    first = [(F.col("a.b") <= k) | (F.col("a.key")[k] != F.col("b.key")[k]) for k in range(SAMPLES - 1)] if "key" in own else []
+    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), *first, apart("a.sig", "b.sig") <= differ])
     return pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
 
 
@@ -241,9 +244,9 @@ def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similar
     at = stored(at.join(full, ["b", "k"]), "blocks")
     weight = at.groupBy("g").agg(F.sum("n").alias("w"))
     # Only texts with company are hashed again; repeated rows of the one that stands for its set count once.
-    standing = stored(nodes.join(weight, "g").select("g", "w", "sig", "rep.*"), "standing")
+    standing = stored(nodes.join(weight, "g").select("g", "w", "sig", "key", "rep.*"), "standing")
     sets = stored(shingle_sets(texts.join(standing.select("g", *keys), keys).groupBy(*keys, "g").agg(F.first("t").alias("t")), width), "shingles")
-    blocks, at = at, stored(at.select("b", "k", "g").join(standing.select("g", "w", "sig"), "g"), "members")
+    blocks, at = at, stored(at.select("b", "k", "g").join(standing.select("g", "w", "sig", "key"), "g"), "members")
     released(blocks, nodes)
     differ, by = int((1 - similarity + slack) / 2 * SIGNATURE), ["b", "k"]
 
