@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 # The pattern kinds in the order in which their spans are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,8 +26,14 @@ ENCODINGS = (
     ("letters", r"^(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)$", LOWER),
     ("base64", r"", UPPER + LOWER + DIGIT + "+/"),
 )
-#: Sums of the squares and cubes of letter frequencies in natural text (about those of English).
-NATURAL2, NATURAL3 = 0.066, 0.0056
+#: Natural text: sums of the squares and cubes of letter frequencies (about those of English; the second pair where a
+#: seventh are capitals, which are other letters then), how often neighbours are of different classes (camel-cased words
+#: of five and four letters), and the correlation of neighbours: characters of a class stand together, vowels do not.
+SQUARES, CUBES = {"one case": 0.066, "mixed": 0.049}, {"one case": 0.0056, "mixed": 0.0035}
+TURNS = {"one case": 0.2, "mixed": 0.25}
+TOGETHER, VOWELS = 0.3, -0.35
+#: A change of class: between letters and digits, and from a small letter to a capital.
+TURN = r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])"
 #: Upper bounds of the length classes within which discoveries are controlled.
 CLASSES = (23, 31, 47, 1 << 30)
 STEPS = 400
@@ -81,8 +87,10 @@ def token_tests(tokens: DataFrame) -> DataFrame:
     """Adds to rows with a string ``tok``: encoding, p_chi (uniformity), p_runs, p_serial, and p_natural.
 
     The first three are p-values under independent uniform characters of the inferred
-    alphabet.  p_natural is the chance that natural letters of this length show a
-    uniformity statistic as low as this one; it falls with length.
+    alphabet.  p_natural combines the same three tests against natural text: how uniform its
+    characters are, how many runs of a class it has and how little its neighbours have to do with each other,
+    each in standard errors, their sum over the root of their number.  Uniformity is left out for hex digits, which
+    natural text cannot be told by, and runs for letters of one case, which have one.
     """
     kind, size, values = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("array<int>")
     bare = F.regexp_replace("tok", "=+$", "")
@@ -91,23 +99,36 @@ def token_tests(tokens: DataFrame) -> DataFrame:
         codes = _codes(word, alphabet)
         test = F.col("tok").rlike(fits) if fits else F.lit(True)
         kind, size, values = F.when(test, F.lit(name)).otherwise(kind), F.when(test, F.lit(float(len(alphabet)))).otherwise(size), F.when(test, codes).otherwise(values)
+    names = tokens.columns
     t = tokens.withColumns({"encoding": kind, "_a": size, "_v": F.filter(values, lambda v: v >= 0)})
     t = t.withColumn("_n", F.greatest(F.size("_v"), F.lit(2)).cast("double"))
+    letters, mixed = F.col("encoding") == "letters", F.col("encoding") == "base64"
+    vowels = F.transform(F.split(F.lower(bare), ""), lambda c: (F.instr(F.lit("aeiou"), c) > 0).cast("double"))
+    t = t.withColumn("_s", F.when(letters, vowels).otherwise(F.transform("_v", lambda v: v.cast("double"))))
+    t = t.withColumn("_m", _sum(F.col("_s")) / F.size("_s"))
     squares = _sum(F.transform(F.array_distinct("_v"), lambda d: F.pow(F.size(F.filter(F.col("_v"), lambda v: v == d)).cast("double"), 2)))
     middle = (F.col("_a") - 1) / 2
-    late, soon = F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0))), F.slice("_v", 1, F.greatest(F.size("_v") - 1, F.lit(0)))
-    turns = _sum(F.zip_with(late, soon, lambda x, y: ((x > middle) != (y > middle)).cast("int")))
-    product = _sum(F.zip_with(late, soon, lambda x, y: (x - middle) * (y - middle)))
-    t = t.withColumns({"_x": F.col("_a") / F.col("_n") * squares - F.col("_n"), "_turns": turns, "_prod": product})
-    a, n, x = F.col("_a"), F.col("_n"), F.col("_x")
-    dof = a - 1
+    after = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+    before = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    turns = _sum(F.zip_with(after("_v"), before("_v"), lambda x, y: ((x > middle) != (y > middle)).cast("int")))
+    product = _sum(F.zip_with(after("_v"), before("_v"), lambda x, y: (x - middle) * (y - middle)))
+    spread = _sum(F.transform("_s", lambda x: (x - F.col("_m")) * (x - F.col("_m"))))
+    together = _sum(F.zip_with(after("_s"), before("_s"), lambda x, y: (x - F.col("_m")) * (y - F.col("_m")))) / F.when(spread > 1e-9, spread)
+    word = F.regexp_replace("tok", "[-_+/=]", "")
+    t = t.withColumns({"_x": F.col("_a") / F.col("_n") * squares - F.col("_n"), "_turns": turns, "_prod": product, "_r": together, "_t": F.regexp_count(word, F.lit(TURN)).cast("double"), "_w": F.length(word).cast("double")})
+    a, n, x, dof = F.col("_a"), F.col("_n"), F.col("_x"), F.col("_a") - 1
     # The cube root of a chi-squared over its degrees is close to normal.
     z_chi = (F.cbrt(F.greatest(x, F.lit(0.0)) / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof))
     z_runs = (F.col("_turns") - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     z_serial = F.col("_prod") / ((a * a - 1) / 12 * F.sqrt(n - 1))
-    mean = dof + (n - 1) * (a * NATURAL2 - 1)
-    spread = F.sqrt(2 * dof + 4 * n * a * a * (NATURAL3 - NATURAL2**2))
-    return t.withColumns({"p_chi": normal_tail(z_chi), "p_runs": 2 * normal_tail(F.abs(z_runs)), "p_serial": 2 * normal_tail(F.abs(z_serial)), "p_natural": normal_tail((mean - x) / spread)}).drop("_a", "_n", "_v", "_x", "_turns", "_prod")
+    of = lambda x: F.when(mixed, F.lit(x["mixed"])).otherwise(F.lit(x["one case"]))
+    mean = dof + (n - 1) * (a * of(SQUARES) - 1)
+    uniform = (mean - x) / F.sqrt(2 * dof + 4 * n * a * a * (of(CUBES) - of(SQUARES) * of(SQUARES)))
+    changes = (F.col("_t") - 0.5 - of(TURNS) * (F.col("_w") - 1)) / F.sqrt(of(TURNS) * (1 - of(TURNS)) * F.greatest(F.col("_w") - 1, F.lit(1.0)))
+    apart = F.when(letters, (F.col("_r") - VOWELS) * F.sqrt(n) / (1 - VOWELS**2)).otherwise((TOGETHER - F.col("_r")) * F.sqrt(n) / (1 - TOGETHER**2))
+    apart = F.coalesce(apart, F.lit(-6.0))  # one character only
+    z = F.when(F.col("encoding") == "hex", (changes + apart) / math.sqrt(2)).when(letters, (uniform + apart) / math.sqrt(2)).otherwise((uniform + changes + apart) / math.sqrt(3))
+    return t.select(*names, "encoding", normal_tail(z_chi).alias("p_chi"), (2 * normal_tail(F.abs(z_runs))).alias("p_runs"), (2 * normal_tail(F.abs(z_serial))).alias("p_serial"), normal_tail(z).alias("p_natural"))
 
 
 def _class(length: Column) -> Column:
@@ -155,8 +176,8 @@ def scanned(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans): one row for each row of ``docs``.
 
     A token of 20 characters or more outside the pattern spans is a further finding, kind
-    ``random``, if no test of the battery rejects randomness at level ``alpha`` and it is a
-    discovery against natural text at rate ``q`` among tokens of its length class.
+    ``random``, if no test of the battery rejects randomness at level ``alpha`` and their
+    combination is a discovery against natural text at rate ``q`` among tokens of its length class.
     Null text counts as empty; repeated rows and null ids are kept as they are; positions
     are code points, ends exclusive.  Columns other than doc_id and text are not read.
     """
@@ -178,7 +199,8 @@ def redacted(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame
     """``docs`` with each finding in ``text`` replaced by ``[SECRET]`` (overlapping findings by one); all rows and columns stay, ``n_chars`` follows where there is one.
 
     The cutoffs of :func:`cutoffs` come from a first pass over all rows; the second pass
-    needs them only, so text is not shuffled.  Null text stays null.
+    needs them only, so text is not shuffled.  Null text stays null; columns whose names
+    the scan uses stay as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     first = docs.select(F.lit(0).alias("_row"), pattern_spans(text).alias("_base"), spans_of(text, TOKEN).alias("_tokens")).where(F.size("_tokens") > 0)
@@ -192,22 +214,23 @@ def redacted(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame
 
 def _replaced(docs: DataFrame, text: Column, found: DataFrame) -> DataFrame:
     names = docs.columns
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_base": pattern_spans(text), "_tokens": spans_of(text, TOKEN)})
-    rows = stored(rows.withColumn("_tokens", F.filter("_tokens", lambda s: ~_overlaps(s, F.col("_base")))), "redact")
-    token = rows.select("_row", F.explode("_tokens").alias("s")).select("_row", F.col("s.hit").alias("tok"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    more = token.join(found, "tok", "left_semi").groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), "end")).alias("_more"))
+    row, base, tokens, more, every = fresh(docs, "_row", "_base", "_tokens", "_more", "_all")
+    rows = docs.withColumns({row: F.monotonically_increasing_id(), base: pattern_spans(text), tokens: spans_of(text, TOKEN)})
+    rows = stored(rows.withColumn(tokens, F.filter(tokens, lambda s: ~_overlaps(s, F.col(base)))), "redact")
+    token = rows.select(row, F.explode(tokens).alias("s")).select(row, F.col("s.hit").alias("tok"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    hits = token.join(found, "tok", "left_semi").groupBy(row).agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), "end")).alias(more))
     none = F.lit(None).cast("array<struct<start:int,rank:int,end:int>>")
     # Only texts that hold a token can have more than pattern spans: the others are not shuffled.
-    rows = rows.where(F.size("_tokens") > 0).join(more, "_row", "left").unionByName(rows.where(F.size("_tokens") == 0).withColumn("_more", none))
-    spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)"))))
+    rows = rows.where(F.size(tokens) > 0).join(hits, row, "left").unionByName(rows.where(F.size(tokens) == 0).withColumn(more, none))
+    spans = F.array_sort(F.concat(base, F.coalesce(more, F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)"))))
 
     def step(acc, s):
         inside = s["start"] < acc["at"]
         piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    clean = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn("_all", spans).withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rows = rows.withColumn(every, spans).withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+        rows = rows.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*[F.col(f"`{c}`") for c in names])

@@ -53,6 +53,58 @@ def test_random_tokens(spark):
     assert one.spans == "random:4:44"
 
 
+def test_catch_by_encoding_and_length(spark):
+    """Random tokens of each encoding and length among three times as many natural identifiers; these are left alone."""
+    rng = random.Random(3)
+    lower, upper, digit = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    of = {"base64": lower + upper + digit + "+/", "base62": lower + upper + digit, "base36": lower + digit, "BASE36": upper + digit, "base32": upper + "234567", "HEX": digit + "ABCDEF"}
+    words = "user request header session manager get find list update delete internal server error handler factory abstract proxy config value number version release build final backup report daily monthly customer account invoice payment order stock price total".split()
+
+    def natural():
+        own = [rng.choice(words) for _ in range(rng.randint(4, 8))]
+        kind = rng.randrange(6)
+        if kind == 0:
+            return own[0] + "".join(w.title() for w in own[1:])
+        if kind == 1:
+            return "_".join(own[:4]) + f"_{rng.randint(1990, 2030)}_v{rng.randint(1, 9)}"
+        if kind == 2:
+            return "".join(own)
+        if kind == 3:
+            return "_".join(own).upper()
+        if kind == 4:
+            return "".join(rng.choice(digit) for _ in range(rng.randint(20, 23)))
+        return "".join(own[:4]) + "".join(rng.choice(digit) for _ in range(8))
+
+    rows, kinds = [], {}
+    for name, alphabet in of.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(60):
+                kinds[len(rows)] = (name, n)
+                rows.append((len(rows), "key " + "".join(rng.choice(alphabet) for _ in range(n)) + " ends"))
+    for _ in range(3 * len(rows)):
+        w = natural()
+        while len(w) < 20:
+            w = natural()
+        rows.append((len(rows), f"the {w} here"))
+    got = {r.doc_id: r.n_random for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = {}
+    for d, k in kinds.items():
+        caught.setdefault(k, []).append(got[d])
+    rate = {k: sum(v) / len(v) for k, v in caught.items()}
+    print({f"{k}-{n}": round(v, 2) for (k, n), v in rate.items()}, sum(n for d, n in got.items() if d not in kinds))
+    assert sum(n for d, n in got.items() if d not in kinds) <= 0.001 * (len(rows) - len(kinds))
+    assert all(v >= 0.9 for (_, n), v in rate.items() if n == 64)
+    assert all(v >= 0.6 for (_, n), v in rate.items() if n == 40)
+    assert all(v >= 0.3 for (_, n), v in rate.items() if n == 32)
+
+
+def test_redaction_with_clashing_names(spark):
+    rows = [(1, "my password=hunter22 ok", 1, 2, 3), (2, None, 4, 5, 6)]
+    got = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, _row int, _Base int, _all int"))
+    assert got.columns == ["doc_id", "text", "_row", "_Base", "_all"]
+    assert sorted(map(tuple, got.collect())) == [(1, "my [SECRET] ok", 1, 2, 3), (2, None, 4, 5, 6)]
+
+
 def test_redaction(spark):
     rows = [(1, "my password=hunter22 ok", 23), (2, None, 0), (3, "plain", 5), (3, "plain", 5), (4, "AKIA" + "B" * 20 + " token=" + "0af1" * 10, 60)]
     got = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
