@@ -154,61 +154,107 @@ def strided(v: np.ndarray, factor: int) -> np.ndarray:
     return w[::factor, ::factor]
 
 
-def grown(seeds: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """Seeds spread over ``allowed`` pixels breadth first, eight neighbours; a pixel takes the commonest label around it, the smallest on ties."""
-    out = seeds.copy()
+def grown(seeds: np.ndarray, allowed: np.ndarray, wrap: bool = False) -> np.ndarray:
+    """Seeds spread over ``allowed`` pixels breadth first, eight neighbours; a pixel takes the commonest label around it, the smallest on ties.
+
+    Labels stand in a flat frame with a border that nothing enters; ``wrap`` joins the left
+    and right edges by their places in it.
+    """
     ny, nx = seeds.shape
-    queue = deque(map(tuple, np.argwhere(seeds > 0)))
-    waiting = np.zeros(seeds.shape, bool)
+    width = nx + 2
+    out = np.pad(seeds, 1).ravel().tolist()
+    open_ = (np.pad(allowed, 1) & (np.pad(seeds, 1) == 0)).ravel().tolist()
+    steps = [dy * width + dx for dy, dx in SQUARE]
+
+    def near(p: int) -> list[int]:
+        if not wrap or 1 < p % width < nx:
+            return [p + s for s in steps]
+        row, col = divmod(p, width)
+        return [(row + dy) * width + (col + dx - 1) % nx + 1 for dy, dx in SQUARE]
+
+    queue = deque(np.flatnonzero(np.pad(seeds, 1).ravel()).tolist())
     while queue:
-        y, x = queue.popleft()
-        for dy, dx in SQUARE:
-            b, a = y + dy, x + dx
-            if 0 <= b < ny and 0 <= a < nx and allowed[b, a] and out[b, a] == 0 and not waiting[b, a]:
-                around = [out[b + p, a + q] for p, q in SQUARE if 0 <= b + p < ny and 0 <= a + q < nx and out[b + p, a + q] > 0]
-                values, count = np.unique(around, return_counts=True)
-                out[b, a] = values[count.argmax()]
-                queue.append((b, a))
+        for p in near(queue.popleft()):
+            if open_[p]:
+                open_[p] = False
+                count: dict[int, int] = {}
+                for q in near(p):
+                    if out[q]:
+                        count[out[q]] = count.get(out[q], 0) + 1
+                most = max(count.values())
+                out[p] = min(k for k, n in count.items() if n == most)
+                queue.append(p)
+    return np.array(out, seeds.dtype).reshape(ny + 2, width)[1:-1, 1:-1]
+
+
+def widened(labels: np.ndarray, radii) -> np.ndarray:
+    """Labels spread to each radius in turn, in order of their numbers: a pixel that another has by then stays with it."""
+    out = labels.copy()
+    ny, nx = labels.shape
+    order = np.argsort(labels.ravel(), kind="stable")
+    ends = np.searchsorted(labels.ravel()[order], np.arange(1, labels.max() + 2))
+    cores = [order[a:b] for a, b in zip(ends, ends[1:])]
+    for radius in radii:
+        steps = np.array(disk(radius))
+        for k, core in enumerate(cores, 1):
+            y = (core // nx)[:, None] + steps[:, 0]
+            x = (core % nx)[:, None] + steps[:, 1]
+            inside = (y >= 0) & (y < ny) & (x >= 0) & (x < nx)
+            y, x = y[inside], x[inside]
+            free = out[y, x] == 0
+            out[y[free], x[free]] = k
     return out
 
 
-def local_maxima(v: np.ndarray, distance: int, least: float) -> list[tuple[int, int]]:
+def local_maxima(v: np.ndarray, distance: int, least: float, wrap: bool = False) -> list[tuple[int, int]]:
     """Pixels over ``least`` that are highest within ``distance`` (square), of equal ones too near the first in raster order; highest first."""
-    padded = np.pad(v, distance, constant_values=-np.inf)
+    padded = np.pad(np.pad(v, ((0, 0), (distance, distance)), mode="wrap") if wrap else np.pad(v, ((0, 0), (distance, distance)), constant_values=-np.inf), ((distance, distance), (0, 0)), constant_values=-np.inf)
     top = np.lib.stride_tricks.sliding_window_view(padded, (2 * distance + 1,) * 2).max(axis=(2, 3))
     found = sorted(((-v[y, x], y, x) for y, x in np.argwhere((v == top) & (v > least))))
     out: list[tuple[int, int]] = []
+    taken = np.zeros(np.array(v.shape) + 2 * distance, bool)
     for _, y, x in found:
-        if all(max(abs(y - b), abs(x - a)) > distance for b, a in out):
+        if not taken[y + distance, x + distance]:
             out.append((int(y), int(x)))
+            for at in (x - v.shape[1], x, x + v.shape[1]) if wrap else (x,):
+                taken[y : y + 2 * distance + 1, max(0, at) : max(0, at + 2 * distance + 1)] = True
     return out
 
 
-def watershed(v: np.ndarray, markers: list[tuple[int, int]], mask: np.ndarray, line: bool = True) -> np.ndarray:
-    """Flooding from the markers over ``mask``, highest values first and then by age; with ``line`` a pixel between two labels stays 0."""
-    out = np.zeros(v.shape, np.int64)
+def watershed(v: np.ndarray, markers: list[tuple[int, int]], mask: np.ndarray, line: bool = True, wrap: bool = False) -> np.ndarray:
+    """Flooding from the markers over ``mask``, highest values first and then by age; with ``line`` a pixel between two labels stays 0.  ``wrap`` joins the left and right edges.
+
+    The frame is flat, with a border that nothing enters.
+    """
+    ny, nx = v.shape
+    width = nx + 2
+    out = [0] * ((ny + 2) * width)
+    level = (-np.pad(v, 1)).ravel().tolist()
+    free = np.pad(mask, 1).ravel().tolist()
     heap, age = [], 0
     for k, (y, x) in enumerate(markers, 1):
-        out[y, x] = k
-        heap.append((-v[y, x], age, y, x))
+        p = (y + 1) * width + x + 1
+        out[p] = k
+        free[p] = False
+        heap.append((level[p], age, p))
         age += 1
     heapq.heapify(heap)
-    done = out > 0
-    ny, nx = v.shape
     while heap:
-        _, _, y, x = heapq.heappop(heap)
-        around = [(y + dy, x + dx) for dy, dx in CROSS if 0 <= y + dy < ny and 0 <= x + dx < nx]
-        if not out[y, x]:
-            near = {int(out[b, a]) for b, a in around if out[b, a] > 0}
+        _, _, p = heapq.heappop(heap)
+        col = p % width
+        west, east = (p + nx - 1 if wrap and col == 1 else p - 1), (p - nx + 1 if wrap and col == nx else p + 1)
+        around = (p - width, west, east, p + width)
+        if not out[p]:
+            near = {out[q] for q in around if out[q]}
             if line and len(near) > 1:
                 continue
-            out[y, x] = min(near)
-        for b, a in around:
-            if mask[b, a] and not done[b, a]:
-                done[b, a] = True
-                heapq.heappush(heap, (-v[b, a], age, b, a))
+            out[p] = min(near)
+        for q in around:
+            if free[q]:
+                free[q] = False
+                heapq.heappush(heap, (level[q], age, q))
                 age += 1
-    return out
+    return np.array(out, np.int64).reshape(ny + 2, width)[1:-1, 1:-1]
 
 
 def displacement(first: np.ndarray, second: np.ndarray, share: float = 0.005) -> tuple[float, float]:

@@ -73,11 +73,10 @@ def seasonal_ratio(rows: DataFrame, month: Column, keys: list[str], mask: Column
     return g.withColumn("fraction", F.col("amount") / F.expr("nullif(total, 0)"))
 
 
-def seasonal_cycle(starts: DataFrame, years: list[int]) -> DataFrame:
-    """Mean and population deviation over ``years`` of counts by month, months without any as 0."""
-    spark = starts.sparkSession
-    grid = spark.range(1, 13).select(F.col("id").cast("int").alias("month"), F.explode(F.array(*[F.lit(y) for y in years])).alias("year"))
+def seasonal_cycle(starts: DataFrame) -> DataFrame:
+    """Mean and population deviation, over the years from the first to the last, of counts by month, months without any as 0."""
     n = starts.groupBy("year", "month").agg(F.count("*").alias("n"))
+    grid = n.agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year")).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     return grid.join(n, ["year", "month"], "left").fillna(0, ["n"]).groupBy("month").agg(F.avg("n").alias("mean_n"), F.stddev_pop("n").alias("std_n"))
 
 

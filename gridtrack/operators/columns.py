@@ -20,15 +20,31 @@ def echo_tops(profile: DataFrame, keys: list[str], thresholds: list[float], gap:
 
 
 def cold_pool_depth(profile: DataFrame, keys: list[str], below: float, least_depth: float) -> DataFrame:
-    """base, top, depth and intensity sqrt(-2 I) of the lowest layer with buoyancy under ``below``; I integrates by trapezoids."""
-    layer = first_layer(profile, keys, F.col("v") < below)
-    order = Window.partitionBy(*keys).orderBy("z")
-    strip = (F.col("v") + F.lead("v").over(order)) / 2 * (F.lead("height").over(order) - F.col("height"))
-    g = layer.withColumn("strip", strip).groupBy(*keys).agg(F.min("height").alias("base"), F.max("height").alias("top"), F.sum("strip").alias("i"), F.min("z").alias("z_base"))
-    g = g.withColumn("depth", F.col("top") - F.col("base")).where(F.col("depth") >= least_depth)
+    """base, top, depth (over ``least_depth``) and intensity sqrt(-2 I) of the lowest layer with buoyancy under ``below``; I integrates by Simpson's rule (:func:`simpson_terms`)."""
+    layer = simpson_terms(first_layer(profile, keys, F.col("v") < below), keys)
+    g = layer.groupBy(*keys).agg(F.min("height").alias("base"), F.max("height").alias("top"), F.sum("term").alias("i"), F.min("z").alias("z_base"))
+    g = g.withColumn("depth", F.col("top") - F.col("base")).where(F.col("depth") > least_depth)
     return g.select(*keys, "base", "top", "depth", "z_base", F.sqrt(F.greatest(-2 * F.col("i"), F.lit(0.0))).alias("intensity"))
 
 
+def simpson_terms(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``term``: the sum over a column is the integral of v over height by Simpson's rule for uneven steps.
+
+    Each pair of steps has a parabola; an odd step at the end takes its share of the one
+    through the last three levels, and a single step is a trapezoid.
+    """
+    order = Window.partitionBy(*keys).orderBy("z")
+    v, h = (lambda k: F.lead("v", k).over(order)), (lambda k: F.lead("height", k).over(order))
+    x = profile.withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(*keys)), "_v1": v(1), "_v2": v(2), "_a": h(1) - F.col("height"), "_b": h(2) - h(1)})
+    a, b, y, y1, y2 = (F.col(c) for c in ("_a", "_b", "v", "_v1", "_v2"))
+    pair = (a + b) / 6 * (y * (2 - b / a) + y1 * (a + b) * (a + b) / (a * b) + y2 * (2 - a / b))
+    last = (2 * b * b + 3 * a * b) / (6 * (a + b)) * y2 + (b * b + 3 * a * b) / (6 * a) * y1 - b * b * b / (6 * a * (a + b)) * y
+    whole = (F.col("_k") % 2 == 1) & (F.col("_k") + 2 <= F.col("_n"))
+    odd_end = (F.col("_n") % 2 == 0) & (F.col("_k") + 2 == F.col("_n"))
+    term = F.when(F.col("_n") == 2, (y + y1) / 2 * a).otherwise(F.when(whole, pair).otherwise(0) + F.when(odd_end, last).otherwise(0))
+    return x.withColumn("term", F.coalesce(term, F.lit(0.0))).drop("_k", "_n", "_v1", "_v2", "_a", "_b")
+
+
 def composite(profile: DataFrame, keys: list[str], above_surface: Column, floor: float, low_z: int) -> DataFrame:
     """Highest value of a column over all levels kept and over those up to ``low_z``; values under ``floor`` are missing."""
     kept = profile.where(above_surface)

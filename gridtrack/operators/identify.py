@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +22,44 @@ def frame_array(pdf: pd.DataFrame, column: str, shape: tuple[int, int], missing:
 
 
 def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = LABELS) -> DataFrame:
-    """Runs ``kernel`` (a frame's values, missing as NaN) on each frame; non-zero, non-missing results come back as rows of ``out``'s last column."""
+    """Runs ``kernel`` (a frame's values, missing as NaN) on each frame; non-zero, non-missing results come back as rows of ``out``'s last column.
+
+    Frames are dealt to tasks and come one after the other as Arrow batches, of which a task
+    cuts its frames; it holds one frame and one batch at a time.
+    """
     name, kind = out.split(", ")[-1].split(" ")
+    of = {"double": pa.float64(), "long": pa.int64()}[kind]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = kernel(frame_array(pdf, value, shape))
+    def cut(frame: int, parts: list[tuple]) -> pa.RecordBatch:
+        a = np.full(shape, np.nan)
+        for y, x, v in parts:
+            a[y, x] = v
+        got = kernel(a)
         y, x = np.nonzero(~np.isnan(got) if kind == "double" else got)
-        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "y": y.astype("int32"), "x": x.astype("int32"), name: got[y, x]})
-
-    return pixels.select("frame_id", "y", "x", F.col(value).cast("double").alias(value)).groupBy("frame_id").applyInPandas(run, out)
+        cols = [np.full(len(y), frame), y.astype(np.int32), x.astype(np.int32), got[y, x]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), of))], names=["frame_id", "y", "x", name])
+
+    def run(batches):
+        frame, parts = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, y, x = (b.column(k).to_numpy() for k in range(3))
+            v = b.column(3).to_numpy(zero_copy_only=False)
+            ends = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            done = []
+            for lo, hi in zip(ends, ends[1:]):
+                if ids[lo] != frame and frame is not None:
+                    done.append(cut(frame, parts))
+                    parts = []
+                frame = int(ids[lo])
+                parts.append((y[lo:hi].copy(), x[lo:hi].copy(), v[lo:hi].copy()))
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches() if done else ()
+        if frame is not None:
+            yield cut(frame, parts)
+
+    rows = pixels.select(F.col("frame_id").cast("long").alias("frame_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value))
+    return rows.repartition("frame_id").sortWithinPartitions("frame_id").mapInArrow(run, out)
 
 
 def threshold_labels(pixels: DataFrame, shape: tuple[int, int], low: float, high: float = float("inf"), eight: bool = False, wrap: bool = False, value: str = "v") -> DataFrame:
@@ -38,27 +68,27 @@ def threshold_labels(pixels: DataFrame, shape: tuple[int, int], low: float, high
     return by_frame(kept, shape, lambda a: K.components(~np.isnan(a), eight, wrap), value)
 
 
-def watershed_labels(pixels: DataFrame, shape: tuple[int, int], least: float, peak: float, distance: int, line: bool = True, value: str = "v") -> DataFrame:
-    """Flooding of pixels over ``least`` from local maxima over ``peak``."""
+def watershed_labels(pixels: DataFrame, shape: tuple[int, int], least: float, peak: float, distance: int, line: bool = True, value: str = "v", wrap: bool = False) -> DataFrame:
+    """Flooding of pixels over ``least`` from local maxima over ``peak``; ``wrap`` joins the left and right edges."""
 
     def kernel(a: np.ndarray) -> np.ndarray:
         v = np.where(np.isnan(a), -np.inf, a)
-        return K.watershed(v, K.local_maxima(v, distance, peak), v > least, line)
+        return K.watershed(v, K.local_maxima(v, distance, peak, wrap), v > least, line, wrap)
 
     return by_frame(pixels, shape, kernel, value)
 
 
-def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold: float, least_core: int, least_cold: int, smooth: int = 1, value: str = "v") -> DataFrame:
+def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold: float, least_core: int, least_cold: int, smooth: int = 1, value: str = "v", wrap: bool = False) -> DataFrame:
     """Cold cores (value < core after smoothing) of ``least_core`` pixels or more, grown over pixels < cold; cold areas left over with more than ``least_cold`` pixels are objects too; numbered by size."""
 
     def kernel(a: np.ndarray) -> np.ndarray:
         s = K.box_mean(a, smooth) if smooth > 1 else a
         with np.errstate(invalid="ignore"):
-            cores, colds = K.components(s < core), a < cold
+            cores, colds = K.components(s < core, wrap=wrap), a < cold
         count = np.bincount(cores.ravel())
         cores[np.isin(cores, np.flatnonzero(count < least_core))] = 0
-        out = K.grown(cores, colds)
-        rest = K.components(colds & (out == 0))
+        out = K.grown(cores, colds, wrap)
+        rest = K.components(colds & (out == 0), wrap=wrap)
         count = np.bincount(rest.ravel())
         rest[np.isin(rest, np.flatnonzero(count <= least_cold))] = 0
         return K.by_size(np.where(rest > 0, rest + out.max(), out))
@@ -66,8 +96,12 @@ def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold:
     return by_frame(pixels, shape, kernel, value)
 
 
-def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, truncation: float, weak: float, least: int, dilate: float, value: str = "v") -> DataFrame:
-    """Cells of reflectivity that reaches ``truncation`` or exceeds its background by the peakedness curve; small cores go, the others are labelled by size and widened by ``dilate`` without overlap."""
+def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, truncation: float, weak: float, least: int, dilate: tuple[float, ...], value: str = "v") -> DataFrame:
+    """Cells of reflectivity that reaches ``truncation`` or exceeds its background by the peakedness curve.
+
+    Cores are four-connected; those of ``least`` pixels or fewer go, the others are numbered by
+    size (:func:`kernels.by_size`) and widened (:func:`kernels.widened`) to each of the radii ``dilate``.
+    """
 
     def kernel(a: np.ndarray) -> np.ndarray:
         ok = ~np.isnan(a) & (a >= weak)
@@ -75,11 +109,7 @@ def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, t
         with np.errstate(invalid="ignore"):
             peak = np.where(bkg < 0, 8.0, np.where(bkg < 64, 8.0 * np.cos(np.pi * bkg / 128), 0.0))
             core = ok & ((a >= truncation) | (a - bkg >= peak))
-        labels = K.by_size(K.components(core, eight=True), least - 1)
-        for k in range(1, int(labels.max()) + 1):
-            wide = K.dilated(labels == k, K.disk(dilate)) & ok & (labels == 0)
-            labels[wide] = k
-        return labels
+        return K.widened(K.by_size(K.components(core), least), dilate)
 
     return by_frame(pixels, shape, kernel, value)
 
@@ -119,18 +149,51 @@ def renumbered(labels: DataFrame, least: float = 0, area: Column | None = None)
 
 
 def absorbed(labels: DataFrame, rain: DataFrame) -> DataFrame:
-    """Objects that share a rain feature take the number of the largest of them; rain pixels outside all objects join it.
+    """Objects under one rain feature become one: (frame_id, y, x, feature).
 
-    ``labels`` (frame_id, y, x, feature), ``rain`` (frame_id, y, x, pf).  A chain of shared
-    features is resolved to its largest object over a few rounds of minima.
+    ``labels`` (frame_id, y, x, feature), ``rain`` (frame_id, y, x, pf).  Rain features are
+    taken in order.  Each gives the objects that it overlaps the number of the one that is largest by
+    then (the lowest number on ties), and its pixels outside all objects too; an object
+    takes a new number, or keeps its own, once only.  Joins find the overlaps; the order is followed within a frame,
+    over one row for each overlap.
     """
     size = labels.groupBy("frame_id", "feature").agg(F.count("*").alias("n"))
-    touch = labels.join(rain, ["frame_id", "y", "x"]).select("frame_id", "pf", "feature").distinct().join(size, ["frame_id", "feature"])
-    top = touch.groupBy("frame_id", "pf").agg(F.max(F.struct("n", -F.col("feature"))).alias("m")).select("frame_id", "pf", (-F.col("m.col2")).alias("into"))
-    moved = touch.join(top, ["frame_id", "pf"]).groupBy("frame_id", "feature").agg(F.max(F.struct("n", -F.col("into"))).alias("m")).select("frame_id", "feature", (-F.col("m.col2")).alias("into"))
-    own = labels.join(moved, ["frame_id", "feature"], "left").select("frame_id", "y", "x", F.coalesce("into", "feature").alias("feature"))
-    more = rain.join(top, ["frame_id", "pf"]).join(labels, ["frame_id", "y", "x"], "left_anti").select("frame_id", "y", "x", F.col("into").alias("feature"))
-    return own.unionByName(more)
+    over = rain.join(labels, ["frame_id", "y", "x"], "left")
+    touch = over.groupBy("frame_id", "pf", "feature").agg(F.count("*").alias("shared")).join(size, ["frame_id", "feature"], "left")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        now, weight, fixed, heirs = {}, {}, set(), []
+        for f, n in pdf.loc[pdf["feature"].notna(), ["feature", "n"]].drop_duplicates().itertuples(index=False):
+            now[int(f)], weight[int(f)] = int(f), int(n)
+        for pf, own in pdf.groupby("pf"):
+            met = sorted(int(f) for f in own["feature"].dropna())
+            if not met:
+                continue
+            heir = max(sorted({now[f] for f in met}), key=lambda k: weight[k])
+            sizes = dict(pdf.loc[pdf["feature"].isin(met), ["feature", "n"]].drop_duplicates().itertuples(index=False))
+            for f in met:
+                if f not in fixed:
+                    weight[now[f]] -= int(sizes[f])
+                    weight[heir] = weight.get(heir, 0) + int(sizes[f])
+                    now[f] = heir
+                    fixed.add(f)
+            weight[heir] += int(own.loc[own["feature"].isna(), "shared"].sum())
+            heirs.append((int(pf), heir))
+        frame = int(pdf["frame_id"].iloc[0])
+        rows = [(frame, None, f, to) for f, to in now.items()] + [(frame, pf, None, to) for pf, to in heirs]
+        return pd.DataFrame(rows, columns=["frame_id", "pf", "feature", "into"]).astype("Int64")
+
+    moves = touch.groupBy("frame_id").applyInPandas(follow, "frame_id long, pf long, feature long, into long")
+    own = labels.join(moves.where("feature IS NOT NULL").drop("pf"), ["frame_id", "feature"], "left").select("frame_id", "y", "x", F.coalesce("into", "feature").alias("feature"))
+    bare = over.where("feature IS NULL").drop("feature")
+    return own.unionByName(bare.join(moves.where("pf IS NOT NULL").drop("feature"), ["frame_id", "pf"]).select("frame_id", "y", "x", F.col("into").alias("feature")))
+
+
+def renumbered_with(labels: DataFrame, other: DataFrame, least: float = 0) -> tuple[DataFrame, DataFrame]:
+    """``labels`` by :func:`renumbered`, and a second mask (frame_id, y, x, feature) with the same old numbers given the same new ones; objects that go are gone from both."""
+    new = renumbered(labels, least)
+    pairs = labels.select("frame_id", "y", "x", F.col("feature").alias("old")).join(new.select("frame_id", "y", "x", "feature"), ["frame_id", "y", "x"]).select("frame_id", "old", "feature").distinct()
+    return new, other.withColumnRenamed("feature", "old").join(pairs, ["frame_id", "old"]).select("frame_id", "y", "x", "feature")
 
 
 #: Identifiers by name; others can be added.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .link import frame_pairs, segments
+from .scratch import stored
 
 # Statuses of an earlier object (stop, goes on, larger and smaller part of a merge, splits) and
 # of a later one (larger and smaller part of a split); those of both kinds add up.
@@ -116,15 +115,6 @@ def _within_blocks(nodes: DataFrame, seg: DataFrame) -> DataFrame:
     return nodes.join(place, "frame_id").groupBy("block").applyInPandas(follow, "frame_id long, feature long, from_frame long, from_feature long, track long")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Writes to the shared checkpoint folder and reads back, so that lineage stays short and lost executors cost nothing."""
-    spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/gridtrack-{uuid.uuid4().hex}"
-    path = f"{top.rstrip('/')}/tracks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def track_numbers(frames: DataFrame, features: DataFrame, links: DataFrame, timegap: float) -> DataFrame:
     """(frame_id, feature, track, status, merge_track, split_track, reset) of all objects in frames with a neighbour.
 
@@ -135,8 +125,8 @@ def track_numbers(frames: DataFrame, features: DataFrame, links: DataFrame, time
     """
     pairs = frame_pairs(frames, timegap)
     alone = pairs.select("frame_id").union(pairs.select("next_id")).distinct()
-    seg = _stored(segments(frames, timegap).join(alone, "frame_id", "left_semi"))
-    got = _stored(_resolved(features, links, pairs))
+    seg = stored(segments(frames, timegap).join(alone, "frame_id", "left_semi"))
+    got = stored(_resolved(features, links, pairs))
     own = features.join(seg.where("is_first").select("frame_id"), "frame_id")
     first = Window.partitionBy("frame_id").orderBy("feature")
     first = own.select("frame_id", "feature", (F.row_number().over(first) - 1).cast("long").alias("mint"), F.lit(None).cast("long").alias("from_frame"), F.lit(None).cast("long").alias("from_feature"))
@@ -145,11 +135,11 @@ def track_numbers(frames: DataFrame, features: DataFrame, links: DataFrame, time
     order = Window.orderBy("base_time").rowsBetween(Window.unboundedPreceding, -1)
     base = seg.join(mints, "frame_id", "left").select("frame_id", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     nodes = first.union(later).join(base, "frame_id").withColumn("track", F.when(F.col("mint").isNotNull(), F.col("base") + F.col("mint") + 1)).drop("base", "mint")
-    nodes = _stored(_within_blocks(nodes, seg))
+    nodes = stored(_within_blocks(nodes, seg))
     while not nodes.where("track IS NULL").limit(1).isEmpty():
         up = nodes.select(F.col("frame_id").alias("from_frame"), F.col("feature").alias("from_feature"), F.col("track").alias("t"), F.col("from_frame").alias("ff"), F.col("from_feature").alias("fx"))
         open_ = nodes.where("track IS NULL").join(up, ["from_frame", "from_feature"]).select("frame_id", "feature", F.col("ff").alias("from_frame"), F.col("fx").alias("from_feature"), F.col("t").alias("track"))
-        nodes = _stored(nodes.where("track IS NOT NULL").select(*open_.columns).union(open_))
+        nodes = stored(nodes.where("track IS NOT NULL").select(*open_.columns).union(open_))
     track = nodes.select("frame_id", "feature", "track")
     was = got.where("side = 'ref'").select("frame_id", "feature", F.col("status").alias("s_ref"), F.col("other").alias("into"))
     is_ = got.where("side = 'new'").select(F.col("next_id").alias("frame_id"), "feature", F.col("status").alias("s_new"), F.col("frame_id").alias("before"), F.col("other").alias("of"), F.col("mint").isNotNull().alias("minted"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .scratch import numbered
 
 
 def feature_stats(pixels: DataFrame, value: str = "v", core: float | None = None, cell_km2: float = 1.0) -> DataFrame:
@@ -36,7 +37,7 @@ def start_end(rows: DataFrame, max_times: int | None = None) -> DataFrame:
 def without_short(rows: DataFrame, least: int) -> DataFrame:
     """Tracks of ``least`` times or more, renumbered from 1 in order (track keeps its old number as old_track)."""
     keep = rows.groupBy("track").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    new = keep.select(F.col("track").alias("old_track"), F.row_number().over(Window.orderBy("track")).cast("long").alias("track"))
+    new = numbered(keep.select(F.col("track").alias("old_track")), "old_track", "track")
     return rows.withColumnRenamed("track", "old_track").join(new, "old_track")
 
 
@@ -104,17 +105,23 @@ def shapes(pixels: DataFrame, keys: list[str], km: float = 1.0) -> DataFrame:
 
 
 def robust(rows: DataFrame, axis: tuple[float, float], gap: int, least: float, area: tuple[float, float], rate: tuple[float, float], skew: tuple[float, float], heavy: tuple[float, float], hours: float = 1.0) -> DataFrame:
-    """Tracks with a long enough run of the largest rain feature's axis in range and enough times over thresholds linear in the run's length.
+    """Tracks with a long enough run of the largest rain feature's axis in range in which it is long enough over thresholds linear in the run's length.
 
-    ``rows``: track, t_idx, pf_axis, pf_area, pf_rate, pf_skew, pf_heavy; each threshold is
-    intercept + slope * hours.
+    ``rows``: track, t_idx, pf_axis, pf_area, pf_rate, pf_skew, pf_heavy, pf_total; each
+    threshold is intercept + slope * hours.  A track is looked at if its times with the axis
+    in range last over ``least`` hours in all; a run if it lasts ``least``, gaps counted in.  Of a run's own
+    times, those with area, rate and skewness over their thresholds together have to last ``least`` hours, and
+    the run's heavy rain, in percent of its total, has to be over its threshold.
     """
-    runs = islands(rows, F.col("pf_axis").between(*axis), gap).withColumn("pf_hours", F.col("length") * hours).where(F.col("pf_hours") >= least)
-    inside = rows.join(runs, "track").where(F.col("t_idx").between(F.col("first_idx"), F.col("last_idx")))
+    own = rows.where(F.col("pf_axis").between(*axis))
+    order = Window.partitionBy("track").orderBy("t_idx")
+    own = own.withColumns({"_run": F.sum(F.when(F.col("t_idx") - F.lag("t_idx").over(order) > gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_times": F.count("*").over(Window.partitionBy("track"))})
+    run = Window.partitionBy("track", "_run")
+    own = own.where(F.col("_times") * hours > least).withColumn("pf_hours", (F.max("t_idx").over(run) - F.min("t_idx").over(run) + 1) * F.lit(float(hours)))
     line = lambda p: F.lit(float(p[0])) + F.lit(float(p[1])) * F.col("pf_hours")
-    over = lambda c, p: F.sum((F.col(c) > line(p)).cast("long")).alias(f"n_{c}")
-    g = inside.groupBy("track", "run", "pf_hours").agg(over("pf_area", area), over("pf_rate", rate), over("pf_skew", skew), over("pf_heavy", heavy))
-    return g.where("n_pf_area > 0 AND n_pf_rate > 0 AND n_pf_skew > 0 AND n_pf_heavy > 0").groupBy("track").agg(F.max("pf_hours").alias("pf_hours"), F.count("*").alias("n_runs"))
+    together = (F.col("pf_area") > line(area)) & (F.col("pf_rate") > line(rate)) & (F.col("pf_skew") > line(skew))
+    g = own.where(F.col("pf_hours") >= least).groupBy("track", "_run", "pf_hours").agg((F.sum(together.cast("long")) * hours).alias("_over"), (100 * F.sum("pf_heavy") / F.expr("nullif(sum(pf_total), 0)")).alias("_heavy"))
+    return g.where((F.col("_over") >= least) & (F.col("_heavy") > line(heavy))).groupBy("track").agg(F.max("pf_hours").alias("pf_hours"), F.count("*").alias("n_runs"))
 
 
 def lifetime_over(rows: DataFrame, column: str, over: float, hours: float = 1.0) -> DataFrame:

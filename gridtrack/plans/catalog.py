@@ -16,6 +16,7 @@ from ..operators import link as L
 from ..operators import number as N
 from ..operators import regrid as R
 from ..operators import tracks as T
+from ..operators.scratch import stored
 from ..sources import tables as tb
 from ..sources import rasters as src
 
@@ -200,10 +201,23 @@ def label_grow(spark, d):
 
 @query()
 def convective_cells(spark, d):
-    return I.convective_cells(src.ship(spark, d).withColumn("v", F.col("v") / 2), (24, 24), 3, 45, 5, 2, 1)
-
-
-@query(LABELS_SQL + ", rain AS (SELECT frame_id, y, x, CAST(1 + y // 12 AS BIGINT) AS pf FROM ship WHERE v2 > 3), size AS (SELECT frame_id, feature, count(*) AS n FROM labels GROUP BY ALL), touch AS (SELECT DISTINCT frame_id, pf, feature, n FROM labels JOIN rain USING (frame_id, y, x) JOIN size USING (frame_id, feature)), top AS (SELECT frame_id, pf, arg_max(feature, n * 1000 - feature) AS top, max(n) AS n FROM touch GROUP BY ALL), moved AS (SELECT t.frame_id, t.feature, arg_max(p.top, t.n * 1000 - p.top) AS top FROM touch t JOIN top p ON p.frame_id = t.frame_id AND p.pf = t.pf GROUP BY ALL), own AS (SELECT l.frame_id, y, x, coalesce(top, l.feature) AS feature FROM labels l LEFT JOIN moved m ON m.frame_id = l.frame_id AND m.feature = l.feature) SELECT * FROM own UNION ALL SELECT frame_id, y, x, top AS feature FROM rain JOIN top USING (frame_id, pf) ANTI JOIN labels USING (frame_id, y, x)")
+    return I.convective_cells(src.ship(spark, d).withColumn("v", F.col("v") / 2), (24, 24), 3, 45, 5, 2, (1, 2))
+
+
+#: Two rain features a frame, taken one after the other.
+@query(LABELS_SQL + """, rain AS (SELECT frame_id, y, x, CAST(1 + y // 12 AS BIGINT) AS pf FROM ship WHERE v2 > 3),
+size AS (SELECT frame_id, feature, count(*) AS n FROM labels GROUP BY ALL), touch AS (SELECT DISTINCT frame_id, pf, feature FROM labels JOIN rain USING (frame_id, y, x)),
+bare AS (SELECT frame_id, y, x, pf FROM rain ANTI JOIN labels USING (frame_id, y, x)), spare AS (SELECT frame_id, pf, count(*) AS n FROM bare GROUP BY ALL),
+top1 AS (SELECT frame_id, arg_max(feature, n * 1000 - feature) AS top FROM touch JOIN size USING (frame_id, feature) WHERE pf = 1 GROUP BY frame_id),
+now1 AS (SELECT s.frame_id, s.feature, n, t.feature IS NOT NULL AS fixed, CASE WHEN t.feature IS NOT NULL THEN top ELSE s.feature END AS cur
+  FROM size s LEFT JOIN (SELECT * FROM touch WHERE pf = 1) t USING (frame_id, feature) LEFT JOIN top1 ON top1.frame_id = s.frame_id),
+size1 AS (SELECT c.frame_id, cur, sum(c.n) + max(CASE WHEN cur = top THEN coalesce(p.n, 0) ELSE 0 END) AS n FROM now1 c LEFT JOIN top1 ON top1.frame_id = c.frame_id
+  LEFT JOIN spare p ON p.frame_id = c.frame_id AND p.pf = 1 GROUP BY ALL),
+top2 AS (SELECT t.frame_id, arg_max(cur, z.n * 1000 - cur) AS top FROM touch t JOIN now1 USING (frame_id, feature) JOIN size1 z USING (frame_id, cur) WHERE pf = 2 GROUP BY t.frame_id),
+now2 AS (SELECT c.frame_id, c.feature, CASE WHEN t.feature IS NOT NULL AND NOT fixed THEN top ELSE cur END AS into_
+  FROM now1 c LEFT JOIN (SELECT * FROM touch WHERE pf = 2) t USING (frame_id, feature) LEFT JOIN top2 ON top2.frame_id = c.frame_id)
+SELECT l.frame_id, y, x, into_ AS feature FROM labels l JOIN now2 n ON n.frame_id = l.frame_id AND n.feature = l.feature
+UNION ALL SELECT frame_id, y, x, top AS feature FROM bare JOIN (SELECT *, 1 AS pf FROM top1 UNION ALL SELECT *, 2 FROM top2) USING (frame_id, pf)""")
 def rain_absorbed(spark, d):
     rain = src.ship(spark, d).where("v2 > 3").select("frame_id", "y", "x", (1 + F.floor(F.col("y") / 12)).cast("long").alias("pf"))
     return I.absorbed(block_labels(spark, d).drop("v"), rain)
@@ -241,17 +255,19 @@ def overlap_drift(spark, d):
     return _links(spark, d, "forward", 0.2, drift)
 
 
-@query("WITH f AS (SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS base_time FROM events WHERE user_id < 20), g AS (SELECT base_time, CAST(sum(CASE WHEN base_time - l >= 2 * 3600 THEN 1 ELSE 0 END) OVER (ORDER BY base_time) AS BIGINT) AS segment FROM (SELECT base_time, lag(base_time) OVER (ORDER BY base_time) AS l FROM f)) SELECT base_time, segment, base_time = min(base_time) OVER (PARTITION BY segment) AS is_first, base_time = max(base_time) OVER (PARTITION BY segment) AS is_last FROM g")
+@query("""WITH f AS (SELECT DISTINCT CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS base_time FROM events),
+g AS (SELECT base_time, CAST(sum(CASE WHEN base_time - l >= 360 THEN 1 ELSE 0 END) OVER (ORDER BY base_time) AS BIGINT) AS segment FROM (SELECT base_time, lag(base_time) OVER (ORDER BY base_time) AS l FROM f))
+SELECT base_time, segment, base_time = min(base_time) OVER (PARTITION BY segment) AS is_first, base_time = max(base_time) OVER (PARTITION BY segment) AS is_last FROM g""")
 def gap_segments(spark, d):
-    f = src.table(spark, d, "events").where("user_id < 20").select((F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600).alias("base_time")).distinct()
-    return L.segments(f, 2)
+    f = src.table(spark, d, "events").select((F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60) * 60).alias("base_time")).distinct()
+    return L.segments(f, 0.1)
 
 
 @query()
 def track_numbers(spark, d):
     """Objects of monthly frames, linked and numbered."""
     pixels = src.ship(spark, d)
-    labels = N._stored(I.renumbered(I.threshold_labels(pixels, (24, 24), 75.0), 1))
+    labels = stored(I.renumbered(I.threshold_labels(pixels, (24, 24), 75.0), 1))
     features = labels.groupBy("frame_id", "feature").agg(F.max("npix").alias("npix"))
     frames, pairs = _monthly_pairs(spark, d)
     return N.track_numbers(frames, features, L.overlaps(labels, pairs, 0.2), 1.5)
@@ -305,10 +321,13 @@ def ccs_islands(spark, d):
     return T.long_systems(user_tracks(spark, d), "area", 5000, 2, 24, 6.0)
 
 
-@query(TRACKS_SQL + ", s AS (SELECT track, base_time FROM tr WHERE track < 30), o AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS base_time_right FROM events WHERE user_id >= 140) SELECT track, base_time, event_id, base_time_right FROM s JOIN o ON abs(base_time - base_time_right) < 1800")
+@query(TRACKS_SQL + """, o AS (SELECT CAST(floor(epoch(ts) / 1200) AS BIGINT) * 1200 + 60 AS base_time_right, count(*) AS n_events FROM events GROUP BY ALL)
+SELECT track, base_time, n_events, base_time_right FROM tr JOIN o ON abs(base_time - base_time_right) < 1800""")
 def pf_match_interval(spark, d):
-    right = src.table(spark, d, "events").where("user_id >= 140").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("base_time"))
-    return T.near_in_time(user_tracks(spark, d).where("track < 30").select("track", "base_time"), right, "base_time", 1800).select("track", "base_time", "event_id", "base_time_right")
+    """Each time of a track with the frames, one every twenty minutes, that are less than half an hour away."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    frames = src.table(spark, d, "events").groupBy((F.floor(seconds / 1200) * 1200 + 60).alias("base_time")).agg(F.count("*").alias("n_events"))
+    return T.near_in_time(user_tracks(spark, d).select("track", "base_time"), frames, "base_time", 1800).select("track", "base_time", "n_events", "base_time_right")
 
 
 PF_SQL = LABELS_SQL + ", pf AS (SELECT frame_id, feature, CAST(y % 8 // 4 * 2 + x % 8 // 4 AS BIGINT) AS pf, y, x, CAST(v AS DOUBLE) AS v FROM labels)"
@@ -328,13 +347,19 @@ def pf_shape(spark, d):
     return rounded(T.shapes(_pf(spark, d), ["frame_id", "feature"]).drop("orientation").withColumn("eccentricity", F.round("eccentricity", 4)))
 
 
-ROBUST_SQL = ISLANDS_SQL.format(gap=2, test="npix BETWEEN 1 AND 3") + ", r AS (SELECT *, CAST(length * 6 AS DOUBLE) AS h FROM runs WHERE length * 6.0 >= 30), g AS (SELECT r.track, run, h, sum(CASE WHEN area > 1000 + 10 * h THEN 1 ELSE 0 END) AS a, sum(CASE WHEN lat > -5 + 0.01 * h THEN 1 ELSE 0 END) AS b, sum(CASE WHEN lon > 20 + 0.02 * h THEN 1 ELSE 0 END) AS c, sum(CASE WHEN area % 100 > 5 + 0.01 * h THEN 1 ELSE 0 END) AS e FROM tr JOIN r ON tr.track = r.track AND t_idx BETWEEN first_idx AND last_idx GROUP BY ALL) SELECT track, max(h) AS pf_hours, count(*) AS n_runs FROM g WHERE a > 0 AND b > 0 AND c > 0 AND e > 0 GROUP BY track"
+ROBUST_SQL = TRACKS_SQL + """, own AS (SELECT *, area % 100 AS heavy FROM tr WHERE npix BETWEEN 1 AND 3),
+on_ AS (SELECT *, sum(CASE WHEN t_idx - l > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY t_idx) AS run, count(*) OVER (PARTITION BY track) AS times
+  FROM (SELECT *, lag(t_idx) OVER (PARTITION BY track ORDER BY t_idx) AS l FROM own)),
+h AS (SELECT *, CAST((max(t_idx) OVER r - min(t_idx) OVER r + 1) * 6 AS DOUBLE) AS h FROM on_ WHERE times * 6 > 30 WINDOW r AS (PARTITION BY track, run)),
+g AS (SELECT track, run, h, 6 * sum(CASE WHEN area > 1000 + 2 * h AND lat > -8 + 0.01 * h AND lon > 20 + 0.02 * h THEN 1 ELSE 0 END) AS o, 100 * sum(heavy) / nullif(sum(area), 0) AS q
+  FROM h WHERE h >= 30 GROUP BY ALL)
+SELECT track, max(h) AS pf_hours, count(*) AS n_runs FROM g WHERE o >= 30 AND q > 0.3 + 0.0005 * h GROUP BY track"""
 
 
 @query(ROBUST_SQL)
 def robust_filter(spark, d):
-    rows = user_tracks(spark, d).select("track", "t_idx", F.col("npix").alias("pf_axis"), F.col("area").alias("pf_area"), F.col("lat").alias("pf_rate"), F.col("lon").alias("pf_skew"), (F.col("area") % 100).alias("pf_heavy"))
-    return T.robust(rows, (1, 3), 2, 30, (1000, 10), (-5, 0.01), (20, 0.02), (5, 0.01), 6.0)
+    rows = user_tracks(spark, d).select("track", "t_idx", F.col("npix").alias("pf_axis"), F.col("area").alias("pf_area"), F.col("lat").alias("pf_rate"), F.col("lon").alias("pf_skew"), (F.col("area") % 100).alias("pf_heavy"), F.col("area").alias("pf_total"))
+    return T.robust(rows, (1, 3), 2, 30, (1000, 2), (-8, 0.01), (20, 0.02), (0.3, 0.0005), 6.0)
 
 
 @query(TRACKS_SQL + " SELECT track, CAST(sum(CASE WHEN area > 10000 THEN 1 ELSE 0 END) * 6 AS DOUBLE) AS pf_lifetime FROM tr GROUP BY track")
@@ -440,11 +465,14 @@ def seasonal_ratio(spark, d):
     return rounded(C.seasonal_ratio(src.ship(spark, d), month_of(), ["y"], F.col("v") > THR))
 
 
-@query("WITH n AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders WHERE o_custkey % 50 = 0 GROUP BY ALL) SELECT CAST(gm AS INTEGER) AS month, round(avg(coalesce(n, 0)), 6) AS mean_n, round(stddev_pop(coalesce(n, 0)), 6) AS std_n FROM generate_series(1, 12) AS a(gm), generate_series(1995, 1999) AS b(gy) LEFT JOIN n ON n.y = gy AND n.m = gm GROUP BY ALL")
+@query("""WITH n AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL),
+years AS (SELECT unnest(generate_series(min(y), max(y))) AS gy FROM n)
+SELECT CAST(gm AS INTEGER) AS month, round(avg(coalesce(n, 0)), 6) AS mean_n, round(stddev_pop(coalesce(n, 0)), 6) AS std_n
+FROM generate_series(1, 12) AS a(gm), years LEFT JOIN n ON n.y = gy AND n.m = gm GROUP BY ALL""")
 def seasonal_cycle(spark, d):
     t = F.col("o_orderdate")
-    starts = src.table(spark, d, "orders").where("o_custkey % 50 = 0").select(F.year(t).alias("year"), F.month(t).alias("month"))
-    return rounded(C.seasonal_cycle(starts, list(range(1995, 2000))))
+    starts = src.table(spark, d, "orders").select(F.year(t).alias("year"), F.month(t).alias("month"))
+    return rounded(C.seasonal_cycle(starts))
 
 
 @query(TRACKS_SQL + ", k AS (SELECT track FROM tr GROUP BY track HAVING count(*) BETWEEN 40 AND 60) SELECT t_idx, count(*) AS n, round(avg(area), 6) AS mean, round(quantile_cont(area, 0.25), 6) AS q25, round(quantile_cont(area, 0.5), 6) AS q50, round(quantile_cont(area, 0.75), 6) AS q75 FROM tr JOIN k USING (track) GROUP BY t_idx")
@@ -496,9 +524,17 @@ def echotop(spark, d):
     return V.echo_tops(_profile(spark, d), ["frame_id", "x"], [2.0, 8.0], 2)
 
 
-@query(PROFILE_SQL + ", on_ AS (SELECT *, sum(CASE WHEN z - l > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_id, x ORDER BY z) AS run FROM (SELECT *, lag(z) OVER (PARTITION BY frame_id, x ORDER BY z) AS l FROM prof WHERE v < -1)), s AS (SELECT *, (v + lead(v) OVER o) / 2 * (lead(height) OVER o - height) AS strip FROM on_ WHERE run = 0 WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)) SELECT frame_id, x, CAST(min(height) AS DOUBLE) AS base, CAST(max(height) AS DOUBLE) AS top, CAST(max(height) - min(height) AS DOUBLE) AS depth, min(z) AS z_base, round(sqrt(greatest(-2 * sum(strip), 0)), 5) AS intensity FROM s GROUP BY ALL HAVING max(height) - min(height) >= 1.5")
+@query(PROFILE_SQL + """, on_ AS (SELECT *, sum(CASE WHEN z - l > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_id, x ORDER BY z) AS run
+  FROM (SELECT *, lag(z) OVER (PARTITION BY frame_id, x ORDER BY z) AS l FROM prof WHERE v < -1)),
+s AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY frame_id, x) AS n, lead(v) OVER o AS v1, lead(v, 2) OVER o AS v2, lead(height) OVER o - height AS a,
+  lead(height, 2) OVER o - lead(height) OVER o AS b FROM on_ WHERE run = 0 WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)),
+t AS (SELECT *, coalesce(CASE WHEN n = 2 THEN (v + v1) / 2 * a ELSE
+    CASE WHEN k % 2 = 1 AND k + 2 <= n THEN (a + b) / 6 * (v * (2 - b / a) + v1 * (a + b) * (a + b) / (a * b) + v2 * (2 - a / b)) ELSE 0 END
+    + CASE WHEN n % 2 = 0 AND k + 2 = n THEN (2 * b * b + 3 * a * b) / (6 * (a + b)) * v2 + (b * b + 3 * a * b) / (6 * a) * v1 - b * b * b / (6 * a * (a + b)) * v ELSE 0 END END, 0) AS term FROM s)
+SELECT frame_id, x, CAST(min(height) AS DOUBLE) AS base, CAST(max(height) AS DOUBLE) AS top, CAST(max(height) - min(height) AS DOUBLE) AS depth, min(z) AS z_base,
+  round(sqrt(greatest(-2 * sum(term), 0)), 5) AS intensity FROM t GROUP BY ALL HAVING max(height) - min(height) > 1""")
 def coldpool_depth(spark, d):
-    return rounded(V.cold_pool_depth(_profile(spark, d), ["frame_id", "x"], -1.0, 1.5).withColumn("intensity", F.round("intensity", 5)))
+    return rounded(V.cold_pool_depth(_profile(spark, d), ["frame_id", "x"], -1.0, 1.0).withColumn("intensity", F.round("intensity", 5)))
 
 
 @query(PROFILE_SQL + ", c AS (SELECT frame_id, x, v, height, lead(v) OVER o AS up, lead(height) OVER o AS h FROM prof WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)) SELECT frame_id, x, round(max(CASE WHEN v > 0 AND up <= 0 THEN height + v / (v - up) * (h - height) END), 6) AS crossing FROM c GROUP BY ALL")
@@ -613,20 +649,20 @@ def buoyancy(spark, d):
     return src.ship(spark, d).select("frame_id", "y", "x", F.round(S.anomaly_buoyancy(300 + F.col("v"), Window.partitionBy("frame_id")), 6).alias("buoyancy"))
 
 
-@query(TRACKS_SQL + " SELECT track, t_idx, npix FROM tr WHERE t_idx < 20")
+@query(TRACKS_SQL + " SELECT track, t_idx, npix FROM tr")
 def sparse_dense(spark, d):
-    rows = user_tracks(spark, d).where("t_idx < 20").select("track", "t_idx", "npix")
-    return tb.sparse(tb.dense(rows, ["npix"], 20), ["npix"])
+    rows = stored(user_tracks(spark, d).select("track", "t_idx", "npix"))
+    return tb.sparse(tb.dense(rows, ["npix"]), ["npix"])
 
 
-@query(f"WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT frame_id FROM ship), g AS (SELECT p.frame_id, a.y, b.x, coalesce(s.v, 0) AS v, s.v IS NULL AS missing FROM p, generate_series(0, 23) AS a(y), generate_series(0, 23) AS b(x) LEFT JOIN ship s ON s.frame_id = p.frame_id AND s.y = a.y AND s.x = b.x WHERE p.frame_id % 12 = 1), n AS (SELECT g.frame_id, g.y, g.x, coalesce(h.v, 0) AS v FROM g, generate_series(-1, 1) AS i(dy), generate_series(-1, 1) AS j(dx) LEFT JOIN g h ON h.frame_id = g.frame_id AND h.y = g.y + dy AND h.x = g.x + dx WHERE g.missing) SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(median(v) AS DOUBLE) AS filled FROM n GROUP BY ALL")
+@query(f"WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT frame_id FROM ship), g AS (SELECT p.frame_id, a.y, b.x, coalesce(s.v, 0) AS v, s.v IS NULL AS missing FROM p, generate_series(0, 23) AS a(y), generate_series(0, 23) AS b(x) LEFT JOIN ship s ON s.frame_id = p.frame_id AND s.y = a.y AND s.x = b.x), n AS (SELECT g.frame_id, g.y, g.x, coalesce(h.v, 0) AS v FROM g, generate_series(-1, 1) AS i(dy), generate_series(-1, 1) AS j(dx) LEFT JOIN g h ON h.frame_id = g.frame_id AND h.y = g.y + dy AND h.x = g.x + dx WHERE g.missing) SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(median(v) AS DOUBLE) AS filled FROM n GROUP BY ALL")
 def median_fill(spark, d):
     from ..functions import kernels as K
 
     def kernel(a):
         return np.where(np.isnan(a), K.median_filled(a, 3), np.nan)
 
-    return I.by_frame(src.ship(spark, d).where("frame_id % 12 = 1"), (24, 24), kernel, out="frame_id long, y int, x int, filled double")
+    return I.by_frame(src.ship(spark, d), (24, 24), kernel, out="frame_id long, y int, x int, filled double")
 
 
 @query(LABELS_SQL + " SELECT frame_id, feature, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM labels GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import identify, link, number, tracks
+from ..operators.scratch import stored
 from .config import Config
 
 
@@ -15,14 +16,14 @@ def run(pixels: DataFrame, frames: DataFrame, cfg: Config, drift: DataFrame | No
     labels, features, links, nodes, track_stats, tracks, main, attached, masks.
     """
     found = identify.IDENTIFIERS[cfg.feature_type](pixels, (cfg.ny, cfg.nx), **cfg.identify)
-    labels = number._stored(identify.renumbered(found, cfg.least_pixels))
-    features = number._stored(tracks.feature_stats(pixels.join(labels.select("frame_id", "y", "x", "feature"), ["frame_id", "y", "x"]), cell_km2=cfg.pixel_km**2))
-    links = number._stored(link.overlaps(labels, link.frame_pairs(frames, cfg.timegap), cfg.othresh, drift))
-    nodes = number._stored(number.track_numbers(frames, features, links, cfg.timegap))
+    labels = stored(identify.renumbered(found, cfg.least_pixels))
+    features = stored(tracks.feature_stats(pixels.join(labels.select("frame_id", "y", "x", "feature"), ["frame_id", "y", "x"]), cell_km2=cfg.pixel_km**2))
+    links = stored(link.overlaps(labels, link.frame_pairs(frames, cfg.timegap), cfg.othresh, drift))
+    nodes = stored(number.track_numbers(frames, features, links, cfg.timegap))
     rows = nodes.join(features, ["frame_id", "feature"]).join(frames, "frame_id")
     rows = tracks.without_short(rows, cfg.least_times)
     rows = tracks.renumbered_targets(rows, ["merge_track", "split_track"])
-    stats = number._stored(tracks.time_index(rows, "base_time"))
+    stats = stored(tracks.time_index(rows, "base_time"))
     main = tracks.main_tracks(stats, cfg.main_times, "area", cfg.main_area)
     kept = stats.select("frame_id", "feature", "track", "merge_track", "split_track")
     return {

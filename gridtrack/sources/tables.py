@@ -68,8 +68,10 @@ def published(df: DataFrame, preset: str, rename: dict[str, str] | None = None)
     return df.select(*PRESETS[preset]) if PRESETS[preset] else df
 
 
-def dense(rows: DataFrame, values: list[str], times: int) -> DataFrame:
-    """One row for each track with an array of ``times`` entries for each value, missing times null."""
+def dense(rows: DataFrame, values: list[str], times: int | None = None) -> DataFrame:
+    """One row for each track with an array of ``times`` entries (as many as the longest track has, if not given) for each value, missing times null."""
+    if times is None:
+        times = (rows.agg(F.max("t_idx")).first()[0] or 0) + 1
     slot = F.sequence(F.lit(0), F.lit(times - 1))
     out = rows.groupBy("track").agg(*[F.map_from_entries(F.collect_list(F.struct("t_idx", c))).alias(c) for c in values])
     return out.select("track", *[F.transform(slot, _lookup(c)).alias(c) for c in values])

@@ -119,3 +119,64 @@ def test_small_tables():
 
     assert S.radius_steps(20, 5, 1, 1, 3) == [(-np.inf, 1), (25, 2), (30, 3)]
     assert S.symmetric_positions(5) == [-2, -1, 0, 1, 2] and S.symmetric_positions(4) == [-2, -1, 0, 1]
+
+
+def test_growth_and_flooding_over_the_edge():
+    """With the edges joined the result turns with the frame."""
+    rng = np.random.default_rng(8)
+    v = rng.random((12, 16)) * 10
+    seeds = np.where(rng.random((12, 16)) < 0.04, np.arange(192).reshape(12, 16) + 1, 0)
+    ok = (rng.random((12, 16)) < 0.7) | (seeds > 0)
+    assert (K.grown(seeds, ok, True) > 0).sum() >= (K.grown(seeds, ok) > 0).sum()
+    hill = np.zeros((9, 16))
+    hill[4, [15, 0, 1]] = 5, 9, 6
+    for turn in range(16):
+        h = np.roll(hill, turn, 1)
+        got = K.watershed(h, K.local_maxima(h, 2, 1, True), h > 1, True, True)
+        assert got.max() == 1 and (got > 0).sum() == 3
+        one = K.grown(np.where(h == 9, 1, 0), h > 1, True)
+        assert (one > 0).sum() == 3
+    for turn in (3, 7):
+        a = K.grown(np.roll(np.where(seeds > 0, 1, 0), turn, 1), np.roll(ok, turn, 1), True)
+        assert (np.roll(a, -turn, 1) == K.grown(np.where(seeds > 0, 1, 0), ok, True)).all()
+
+
+def brute_growth(seeds, ok):
+    from collections import deque
+
+    out = seeds.copy()
+    queue = deque(map(tuple, np.argwhere(seeds > 0)))
+    while queue:
+        y, x = queue.popleft()
+        for dy, dx in K.SQUARE:
+            b, a = y + dy, x + dx
+            if 0 <= b < out.shape[0] and 0 <= a < out.shape[1] and ok[b, a] and out[b, a] == 0:
+                around = [out[b + p, a + q] for p, q in K.SQUARE if 0 <= b + p < out.shape[0] and 0 <= a + q < out.shape[1] and out[b + p, a + q] > 0]
+                values, count = np.unique(around, return_counts=True)
+                out[b, a] = values[count.argmax()]
+                queue.append((b, a))
+    return out
+
+
+def test_growth_equals_pixel_by_pixel():
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        seeds = np.where(rng.random((15, 13)) < 0.06, rng.integers(1, 5, (15, 13)), 0)
+        ok = rng.random((15, 13)) < 0.75
+        assert (K.grown(seeds, ok) == brute_growth(seeds, ok)).all()
+
+
+def test_widening_takes_radii_and_cores_in_turn():
+    labels = np.zeros((9, 12), np.int64)
+    labels[4, 2], labels[4, 7] = 1, 2
+    got = K.widened(labels, (1, 3))
+    want = labels.copy()
+    for radius in (1, 3):
+        for k in (1, 2):
+            near = np.zeros(labels.shape, bool)
+            for y, x in np.argwhere(labels == k):
+                for b in range(9):
+                    for a in range(12):
+                        near[b, a] |= (b - y) ** 2 + (a - x) ** 2 <= radius * radius
+            want[near & (want == 0)] = k
+    assert (got == want).all() and got[4, 5] == 1 and got[4, 6] == 2

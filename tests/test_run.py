@@ -86,10 +86,11 @@ def test_streamed_links(spark, tmp_path):
     schema = "domain string, frame_id long, y int, x int, feature long"
     (tmp_path / "in").mkdir()
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    for k, rows in enumerate([[("d", 0, 1, x, 1) for x in range(4)], [("d", 1, 1, x + 1, 7) for x in range(4)], [("d", 0, 1, x, 9) for x in range(4)], [("d", 2, 1, x, 8) for x in range(2, 6)]]):
+    # Frame 1 comes in two batches, a row of frame 0 late, frame 9 after a gap; a row without a feature closes it.
+    for k, rows in enumerate([[("d", 0, 1, x, 1) for x in range(4)], [("d", 1, 1, x + 1, 7) for x in range(2)], [("d", 1, 1, x + 1, 7) for x in range(2, 4)], [("d", 0, 1, x, 9) for x in range(4)], [("d", 2, 1, x, 8) for x in range(2, 6)], [("d", 9, 1, x, 3) for x in range(2, 6)], [("d", 10, 0, 0, None)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)
-    q = stream.linked(read, 0.2).writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    q = stream.linked(read, 0.2, max_step=3).writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
     q.processAllAvailable()
     q.stop()
     assert sorted(out) == [("d", 0, 1, 1, 7, 3, 0.75), ("d", 1, 2, 7, 8, 3, 0.75)]

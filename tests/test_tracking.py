@@ -115,3 +115,53 @@ def test_pair_rules():
     assert only_back["ref", 1][2] == 1 and only_back["new", 1][3] == 1
     ties = {(r[0], r[1]): r for r in N.resolve_pair([("forward", 1, 1), ("forward", 2, 1)], {1: 5, 2: 5}, {1: 3})}
     assert ties["ref", 1][2] == 2 and ties["ref", 2][2] == 21
+
+
+def test_robust_systems_need_their_criteria_together(spark):
+    """Track 1 exceeds each line at some time, never all at one; track 2 together and long enough; track 3 has too little heavy rain."""
+    from gridtrack.operators import tracks as T
+
+    rows = []
+    for t in range(6):
+        odd = t % 2
+        rows += [(1, t, 5.0, 20.0 if odd else 0.0, 0.0 if odd else 9.0, 9.0, 50.0, 100.0), (2, t, 5.0, 20.0, 9.0, 9.0, 50.0, 100.0), (3, t, 5.0, 20.0, 9.0, 9.0, 5.0 if t else 99.0, 100.0)]
+    df = spark.createDataFrame(rows, "track long, t_idx long, pf_axis double, pf_area double, pf_rate double, pf_skew double, pf_heavy double, pf_total double")
+    got = T.robust(df, (1, 10), 1, 4, (10, 0), (5, 0), (5, 0), (40, 0))
+    assert [tuple(r) for r in got.collect()] == [(2, 6.0, 1)]
+
+
+def test_rain_features_are_taken_in_order_with_current_sizes(spark):
+    """Cloud 2 joins 1 by the first rain feature; the second then finds 1 larger than 3 only with it; a renumbered cloud stays."""
+    from gridtrack.operators import identify as I
+
+    line = [(0, 0, x, 1) for x in range(4)] + [(0, 0, x, 2) for x in range(5, 8)] + [(0, 0, x, 3) for x in range(9, 14)] + [(0, 2, x, 4) for x in range(3)]
+    rain = [(0, 0, x, 1) for x in (3, 4, 5)] + [(0, 0, x, 2) for x in (7, 8, 9)] + [(0, 5, 5, 3)]
+    got = I.absorbed(spark.createDataFrame(line, "frame_id long, y int, x int, feature long"), spark.createDataFrame(rain, "frame_id long, y int, x int, pf long"))
+    where = {(r.y, r.x): r.feature for r in got.collect()}
+    assert {where[0, x] for x in range(14)} == {1} and {where[2, x] for x in range(3)} == {4} and (5, 5) not in where
+
+
+def test_cells_are_four_connected_and_more_than_the_least(spark):
+    from gridtrack.operators import identify as I
+
+    v = [(0, 1, 1, 60.0), (0, 1, 2, 60.0), (0, 1, 3, 60.0), (0, 2, 4, 60.0), (0, 3, 4, 60.0), (0, 4, 4, 60.0), (0, 8, 8, 60.0), (0, 8, 9, 60.0)]
+    got = I.convective_cells(spark.createDataFrame(v, "frame_id long, y int, x int, v double"), (12, 12), 2, 45, 5, 2, (0.5,))
+    assert sorted((r.y, r.x, r.feature) for r in got.collect()) == [(1, 1, 2), (1, 2, 2), (1, 3, 2), (2, 4, 1), (3, 4, 1), (4, 4, 1)]
+
+
+def test_folder_of_stored_tables():
+    from gridtrack.operators import scratch
+
+    assert scratch.folder("hdfs://x/y/", "spark://a:1") == "hdfs://x/y"
+    assert scratch.folder(None, "local[4]").startswith("file:///")
+    for master in ("spark://a:1", "yarn", "local-cluster[2,1,1024]", "k8s://b"):
+        with pytest.raises(ValueError):
+            scratch.folder(None, master)
+
+
+def test_numbers_by_order_without_one_task(spark):
+    from gridtrack.operators import scratch
+
+    rows = spark.range(0, 5000, 1, 13).selectExpr("(id * 7919) % 5003 AS k")
+    got = [(r.k, r.n) for r in scratch.numbered(rows, "k", "n").collect()]
+    assert sorted(n for _, n in got) == list(range(1, 5001)) and [k for k, _ in sorted(got, key=lambda x: x[1])] == sorted(k for k, _ in got)
