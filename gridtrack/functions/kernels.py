@@ -60,18 +60,27 @@ def by_size(labels: np.ndarray, least: float = 0, area: np.ndarray | None = None
 
 
 def box_mean(v: np.ndarray, n: int) -> np.ndarray:
-    """Mean of the valid pixels in a window of n x n (odd n), edges extended; missing pixels stay missing."""
+    """Mean of the valid pixels in a window of n x n, edges extended; missing pixels stay missing. An even n is n + 1 wide with half weight at the rim."""
     k = n // 2
     ok = ~np.isnan(v)
     total = np.pad(np.where(ok, v, 0.0), k, mode="edge")
     weight = np.pad(ok.astype(float), k, mode="edge")
 
+    def window(a: np.ndarray, axis: int, width: int) -> np.ndarray:
+        c = np.insert(a.cumsum(axis), 0, 0, axis)
+        ends = np.arange(width, c.shape[axis])
+        return np.take(c, ends, axis) - np.take(c, ends - width, axis)
+
     def summed(a: np.ndarray) -> np.ndarray:
-        c = np.pad(a, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-        return c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]
+        for axis in (0, 1):
+            wide = window(a, axis, 2 * k + 1)
+            # The half rim is the mean of the window with it and the one without.
+            inner = window(np.take(a, np.arange(1, a.shape[axis] - 1), axis), axis, 2 * k - 1) if n % 2 == 0 else wide
+            a = (wide + inner) / 2
+        return a
 
     w = summed(weight)
-    return np.where(ok, summed(total) / np.maximum(w, 1), np.nan)
+    return np.where(ok, summed(total) / np.maximum(w, 1e-12), np.nan)
 
 
 def median_filter(v: np.ndarray, n: int, fill: float | None = 0.0) -> np.ndarray:

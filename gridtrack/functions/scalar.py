@@ -134,3 +134,8 @@ def radius_steps(least: float, increment: float, start: float, step: float, most
 def symmetric_positions(n: int) -> list[int]:
     """n whole steps around 0, one more below it than above where n is even."""
     return list(range(-(n // 2), n - n // 2))
+
+
+def frame_name(prefix: str, seconds: Column, form: str = "yyyyMMdd_HHmmss") -> Column:
+    """The name of a frame's file: prefix, date and time, .parquet."""
+    return F.concat(F.lit(prefix), F.date_format(F.timestamp_seconds(seconds), form), F.lit(".parquet"))

@@ -98,3 +98,16 @@ def in_region(rows: DataFrame, lat: tuple[float, float], lon: tuple[float, float
     first = rows.where((F.col("t_idx") == 0) & F.col("lat").between(*lat) & F.col("lon").between(*lon) & month.isin(*months)).select("track")
     life = rows.groupBy("track").agg(F.count("*").alias("lifetime"), F.max(F.col("merge_track").isNotNull()).alias("merges"), F.max(F.col("split_track").isNotNull()).alias("splits"))
     return life.where(F.col("lifetime") >= least).join(first, "track")
+
+
+def density2d(rows: DataFrame, a: Column, b: Column, grid_a: list[float], grid_b: list[float], width_a: float, width_b: float) -> DataFrame:
+    """Joint Gaussian kernel density on a fixed grid (at_a, at_b)."""
+    ga, gb = (F.explode(F.array(*[F.lit(float(g)) for g in grid])) for grid in (grid_a, grid_b))
+    each = rows.select(a.alias("_a"), b.alias("_b")).withColumn("at_a", ga).withColumn("at_b", gb)
+    z = F.pow((F.col("at_a") - F.col("_a")) / width_a, 2) + F.pow((F.col("at_b") - F.col("_b")) / width_b, 2)
+    return each.groupBy("at_a", "at_b").agg((F.avg(F.exp(-z / 2)) / (2 * math.pi * width_a * width_b)).alias("density"))
+
+
+def initiation_map(rows: DataFrame, keys: list[str], hours: float) -> DataFrame:
+    """By place: hours with a track there, tracks that start there, and the mean speed."""
+    return rows.groupBy(*keys).agg((F.count_distinct("base_time") * hours).alias("track_hours"), F.sum((F.col("t_idx") == 0).cast("long")).alias("n_started"), F.avg("speed").alias("speed_mean"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def frame_pairs(frames: DataFrame, timegap: float) -> DataFrame:
-    """(frame_id, next_id): consecutive frames by base_time that are less than ``timegap`` hours apart.
+def frame_pairs(frames: DataFrame, timegap: float, lag: int = 1) -> DataFrame:
+    """(frame_id, next_id): frames by base_time and the ``lag``-th after each, less than ``timegap`` hours apart.
 
     ``frames`` has a row for each snapshot, so this is the one step that orders them all.
     """
     order = Window.orderBy("base_time")
-    nxt = frames.select("frame_id", F.lead("frame_id").over(order).alias("next_id"), ((F.lead("base_time").over(order) - F.col("base_time")) / 3600).alias("hours"))
+    nxt = frames.select("frame_id", F.lead("frame_id", lag).over(order).alias("next_id"), ((F.lead("base_time", lag).over(order) - F.col("base_time")) / 3600).alias("hours"))
     return nxt.where((F.col("hours") > 0) & (F.col("hours") < timegap)).select("frame_id", "next_id")
 
 

@@ -244,3 +244,126 @@ def started_between(rows: DataFrame, start: int, end: int, smooth: str = "lat_sm
     first = rows.where(F.col("t_idx") == 0).where(F.col("base_time").between(start, end)).select("track")
     lat = F.coalesce(F.col(smooth), F.col("lat")) if smooth in rows.columns else F.col("lat")
     return rows.join(first, "track", "left_semi").withColumn("lat", lat)
+
+
+def painted_in_full(labels: DataFrame, nodes: DataFrame, rain: DataFrame, over: float) -> DataFrame:
+    """The pixel mask with all its variants.
+
+    (frame_id, y, x, tracknumber, track_status, merge_tracknumber, split_tracknumber, pcp_tracknumber): the track, its
+    status at the time, the track that it merges into or splits from, and the track where ``rain`` (frame_id, y, x,
+    v) is over a limit, 0 elsewhere.
+    """
+    n = nodes.select("frame_id", "feature", F.col("track").alias("tracknumber"), F.col("status").alias("track_status"), F.col("merge_track").alias("merge_tracknumber"), F.col("split_track").alias("split_tracknumber"))
+    wet = rain.where(F.col("v") > over).select("frame_id", "y", "x", F.lit(True).alias("_wet"))
+    out = labels.join(n, ["frame_id", "feature"]).join(wet, ["frame_id", "y", "x"], "left")
+    return out.select("frame_id", "y", "x", "tracknumber", "track_status", F.coalesce("merge_tracknumber", F.lit(0)).alias("merge_tracknumber"), F.coalesce("split_tracknumber", F.lit(0)).alias("split_tracknumber"), F.when(F.col("_wet"), F.col("tracknumber")).otherwise(0).alias("pcp_tracknumber"))
+
+
+def merge_split_index(rows: DataFrame) -> DataFrame:
+    """(track, merge_track, end_merge_idx, end_merge_feature, split_track, start_split_idx, start_split_feature).
+
+    Where a track ends by merging, the time index in the other track is one after the one at
+    the same time, and the feature is that of the other track then; where it starts by a split, one before.  Null where the
+    other track has no such time.
+    """
+    last = rows.groupBy("track").agg(F.max_by(F.struct("base_time", "merge_track"), "t_idx").alias("e"), F.min_by(F.struct("base_time", "split_track"), "t_idx").alias("s"))
+    last = last.select("track", F.col("e.merge_track").alias("merge_track"), F.col("e.base_time").alias("end_time"), F.col("s.split_track").alias("split_track"), F.col("s.base_time").alias("start_time"))
+    at = rows.select("track", "base_time", "t_idx", "feature")
+
+    def met(other: str, time: str, step: int, index: str, feature: str) -> DataFrame:
+        same = last.where(F.col(other).isNotNull()).select(F.col("track").alias("of"), F.col(other).alias("track"), F.col(time).alias("base_time")).join(at, ["track", "base_time"])
+        return same.select("of", "track", (F.col("t_idx") + step).alias("t_idx")).join(at.drop("base_time"), ["track", "t_idx"]).select(F.col("of").alias("track"), F.col("t_idx").alias(index), F.col("feature").alias(feature))
+
+    return last.select("track", "merge_track", "split_track").join(met("merge_track", "end_time", 1, "end_merge_idx", "end_merge_feature"), "track", "left").join(met("split_track", "start_time", -1, "start_split_idx", "start_split_feature"), "track", "left")
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: str, within: float) -> DataFrame:
+    """Each row of ``left`` with the row of ``right`` of the same keys that is nearest in time and less than ``within`` seconds away, the earlier of two as near; rows without one stay away.
+
+    An equi-join on time buckets; the right side's columns come as a struct ``nearest``.
+    """
+    bucket = F.floor(F.col(time) / within)
+    a = left.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    names = [c for c in right.columns if c not in keys]
+    b = right.select(*keys, F.struct(*names).alias("_r"), bucket.alias("_b"))
+    dt = F.abs(F.col(time) - F.col(f"_r.{time}"))
+    both = a.join(b, [*keys, "_b"]).where(dt < within)
+    best = both.groupBy(*left.columns).agg(F.min_by("_r", F.struct(dt, F.col(f"_r.{time}"))).alias("nearest"))
+    return best
+
+
+def aligned(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Both tables by their keys, rows of either kept; a column that both have is the left one's, and the right one's where that is missing."""
+    both = [c for c in right.columns if c in left.columns and c not in keys]
+    r = right.select(*keys, *[F.col(c).alias(f"_{c}") if c in both else F.col(c) for c in right.columns if c not in keys])
+    out = left.join(r, keys, "full")
+    return out.select(*keys, *[F.coalesce(c, f"_{c}").alias(c) if c in both else F.col(c) for c in left.columns if c not in keys], *[F.col(c) for c in right.columns if c not in left.columns])
+
+
+def at_common_times(left: DataFrame, right: DataFrame, time: str = "base_time") -> DataFrame:
+    """Rows of ``left`` and ``right`` at the times that both have: columns of the right side end in _right."""
+    r = right.select(time, *[F.col(c).alias(f"{c}_right") for c in right.columns if c != time])
+    return left.join(r, time)
+
+
+def echo_areas(columns: DataFrame, keys: list[str], heights: list[float], cell_km2: float = 1.0) -> DataFrame:
+    """Area of an object's pixels whose echo top is over each height, mean and highest echo top."""
+    top = F.col("echo_top")
+    return columns.groupBy(*keys).agg(*[(F.count(F.when(top > h, 1)) * cell_km2).alias(f"area_eth{h:g}") for h in heights], F.avg(top).alias("eth_mean"), F.max(top).alias("eth_max"))
+
+
+def core_stats(pixels: DataFrame, keys: list[str], core: str, top: int, km: float = 1.0) -> DataFrame:
+    """The ``top`` largest cores of each object: rank, pixels, axes, eccentricity, mean and highest value, weighted centre."""
+    inside = pixels.where(F.col(core) > 0)
+    shape = shapes(inside, [*keys, core], km)
+    value = inside.groupBy(*keys, core).agg(F.avg("v").alias("core_mean"), F.max("v").alias("core_max"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("npix"), core)
+    return shape.join(value, [*keys, core]).withColumn("core_rank", F.row_number().over(order).cast("long")).where(F.col("core_rank") <= top)
+
+
+def guarded(rows: DataFrame, keys: list[str], limit: int, what: str) -> DataFrame:
+    """``rows``, with an error as soon as a group of ``keys`` has over ``limit`` of them."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    message = F.concat(F.lit(f"over {limit} {what}: "), n.cast("string"))
+    return rows.withColumn("_n", F.when(n > limit, F.raise_error(message).cast("long")).otherwise(n)).where("_n IS NOT NULL").drop("_n")
+
+
+def merge_split_kinds(rows: DataFrame) -> DataFrame:
+    """(track, ms, nms, nm, ns): whether a track merges or splits, does neither, does not merge, does not split."""
+    g = rows.groupBy("track").agg(F.max(F.col("merge_track").isNotNull()).alias("m"), F.max(F.col("split_track").isNotNull()).alias("s"))
+    m, s = F.col("m"), F.col("s")
+    return g.select("track", (m | s).alias("ms"), (~m & ~s).alias("nms"), (~m).alias("nm"), (~s).alias("ns"))
+
+
+def perimeters(labels: DataFrame) -> DataFrame:
+    """(frame_id, feature, perimeter): the length of an object's edge.
+
+    Edge pixels have one of their four neighbours outside; each counts 1, root 2 or their mean by how many edge
+    pixels are beside it and across its corners, as a path through it does.
+    """
+    own = labels.select("frame_id", "feature", "y", "x")
+
+    def around(rows: DataFrame, steps: list[tuple[int, int]], name: str) -> DataFrame:
+        moved = rows.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])))
+        return moved.select("frame_id", "feature", (F.col("y") + F.col("_s.a")).alias("y"), (F.col("x") + F.col("_s.b")).alias("x")).groupBy("frame_id", "feature", "y", "x").agg(F.count("*").alias(name))
+
+    cross, corners = [(-1, 0), (0, -1), (0, 1), (1, 0)], [(-1, -1), (-1, 1), (1, -1), (1, 1)]
+    keys = ["frame_id", "feature", "y", "x"]
+    edge = own.join(around(own, cross, "n"), keys, "left").where(F.coalesce("n", F.lit(0)) < 4).select(*keys)
+    code = edge.join(around(edge, cross, "c"), keys, "left").join(around(edge, corners, "d"), keys, "left")
+    # One for itself, two for each edge pixel beside it, ten for each across a corner.
+    code = code.withColumn("k", 1 + 2 * F.coalesce("c", F.lit(0)) + 10 * F.coalesce("d", F.lit(0)))
+    length = F.when(F.col("k").isin(5, 7, 15, 17, 25, 27), 1.0).when(F.col("k").isin(21, 33), math.sqrt(2)).when(F.col("k").isin(13, 23), (1 + math.sqrt(2)) / 2).otherwise(0.0)
+    return code.groupBy("frame_id", "feature").agg(F.sum(length).alias("perimeter"))
+
+
+def snapped(box: DataFrame, ny: int, nx: int, near: int = 10) -> DataFrame:
+    """Boxes (y0, y1, x0, x1) drawn out to the frame's edges that they come within ``near`` pixels of."""
+    low = lambda c: F.when(F.col(c) < near, 0).otherwise(F.col(c)).alias(c)
+    high = lambda c, n: F.when(F.col(c) > n - 1 - near, n - 1).otherwise(F.col(c)).alias(c)
+    return box.select("frame_id", "feature", low("y0"), high("y1", ny), low("x0"), high("x1", nx))
+
+
+def rolled(labels: DataFrame, nx: int, shift: int) -> DataFrame:
+    """Pixels moved by ``shift`` columns round the domain."""
+    return labels.withColumn("x", F.pmod(F.col("x") + shift, F.lit(nx)).cast("int"))
