@@ -21,8 +21,8 @@ def frame_array(pdf: pd.DataFrame, column: str, shape: tuple[int, int], missing:
     return out
 
 
-def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = LABELS) -> DataFrame:
-    """Runs ``kernel`` (a frame's values, missing as NaN) on each frame; non-zero, non-missing results come back as rows of ``out``'s last column.
+def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = LABELS, keep: bool = False) -> DataFrame:
+    """Runs ``kernel`` (a frame's values, missing as NaN) on each frame; non-zero, non-missing results come back as rows of ``out``'s last column, with ``keep`` together with the pixel's value.
 
     Frames are dealt to tasks and come one after the other as Arrow batches, of which a task
     cuts its frames; it holds one frame and one batch at a time.
@@ -36,8 +36,10 @@ def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.nda
             a[y, x] = v
         got = kernel(a)
         y, x = np.nonzero(~np.isnan(got) if kind == "double" else got)
-        cols = [np.full(len(y), frame), y.astype(np.int32), x.astype(np.int32), got[y, x]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), of))], names=["frame_id", "y", "x", name])
+        cols = [pa.array(np.full(len(y), frame)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(got[y, x], of)]
+        if keep:
+            cols.append(pa.array(a[y, x], from_pandas=True))
+        return pa.RecordBatch.from_arrays(cols, names=["frame_id", "y", "x", name, *([value] if keep else [])])
 
     def run(batches):
         frame, parts = None, []
@@ -59,26 +61,26 @@ def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.nda
             yield cut(frame, parts)
 
     rows = pixels.select(F.col("frame_id").cast("long").alias("frame_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value))
-    return rows.repartition("frame_id").sortWithinPartitions("frame_id").mapInArrow(run, out)
+    return rows.repartition("frame_id").sortWithinPartitions("frame_id").mapInArrow(run, f"{out}, {value} double" if keep else out)
 
 
-def threshold_labels(pixels: DataFrame, shape: tuple[int, int], low: float, high: float = float("inf"), eight: bool = False, wrap: bool = False, value: str = "v") -> DataFrame:
+def threshold_labels(pixels: DataFrame, shape: tuple[int, int], low: float, high: float = float("inf"), eight: bool = False, wrap: bool = False, value: str = "v", keep: bool = False) -> DataFrame:
     """Connected pixels with low < value < high, numbered in raster order."""
     kept = pixels.where((F.col(value) > low) & (F.col(value) < high))
-    return by_frame(kept, shape, lambda a: K.components(~np.isnan(a), eight, wrap), value)
+    return by_frame(kept, shape, lambda a: K.components(~np.isnan(a), eight, wrap), value, keep=keep)
 
 
-def watershed_labels(pixels: DataFrame, shape: tuple[int, int], least: float, peak: float, distance: int, line: bool = True, value: str = "v", wrap: bool = False) -> DataFrame:
+def watershed_labels(pixels: DataFrame, shape: tuple[int, int], least: float, peak: float, distance: int, line: bool = True, value: str = "v", wrap: bool = False, keep: bool = False) -> DataFrame:
     """Flooding of pixels over ``least`` from local maxima over ``peak``; ``wrap`` joins the left and right edges."""
 
     def kernel(a: np.ndarray) -> np.ndarray:
         v = np.where(np.isnan(a), -np.inf, a)
         return K.watershed(v, K.local_maxima(v, distance, peak, wrap), v > least, line, wrap)
 
-    return by_frame(pixels, shape, kernel, value)
+    return by_frame(pixels, shape, kernel, value, keep=keep)
 
 
-def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold: float, least_core: int, least_cold: int, smooth: int = 1, value: str = "v", wrap: bool = False) -> DataFrame:
+def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold: float, least_core: int, least_cold: int, smooth: int = 1, value: str = "v", wrap: bool = False, keep: bool = False) -> DataFrame:
     """Cold cores (value < core after smoothing) of ``least_core`` pixels or more, grown over pixels < cold; cold areas left over with more than ``least_cold`` pixels are objects too; numbered by size."""
 
     def kernel(a: np.ndarray) -> np.ndarray:
@@ -93,10 +95,10 @@ def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold:
         rest[np.isin(rest, np.flatnonzero(count <= least_cold))] = 0
         return K.by_size(np.where(rest > 0, rest + out.max(), out))
 
-    return by_frame(pixels, shape, kernel, value)
+    return by_frame(pixels, shape, kernel, value, keep=keep)
 
 
-def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, truncation: float, weak: float, least: int, dilate: tuple[float, ...], value: str = "v") -> DataFrame:
+def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, truncation: float, weak: float, least: int, dilate: tuple[float, ...], value: str = "v", keep: bool = False) -> DataFrame:
     """Cells of reflectivity that reaches ``truncation`` or exceeds its background by the peakedness curve.
 
     Cores are four-connected; those of ``least`` pixels or fewer go, the others are numbered by
@@ -111,17 +113,17 @@ def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, t
             core = ok & ((a >= truncation) | (a - bkg >= peak))
         return K.widened(K.by_size(K.components(core), least), dilate)
 
-    return by_frame(pixels, shape, kernel, value)
+    return by_frame(pixels, shape, kernel, value, keep=keep)
 
 
-def cold_pools(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: float, peak: float, distance: int, value: str = "v") -> DataFrame:
+def cold_pools(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: float, peak: float, distance: int, value: str = "v", keep: bool = False) -> DataFrame:
     """Flooding of the smoothed cold-pool intensity."""
 
     def kernel(a: np.ndarray) -> np.ndarray:
         v = K.gaussian_filter(np.nan_to_num(a), sigma)
         return K.watershed(v, K.local_maxima(v, distance, peak), v > least)
 
-    return by_frame(pixels, shape, kernel, value)
+    return by_frame(pixels, shape, kernel, value, keep=keep)
 
 
 def smoothed(pixels: DataFrame, shape: tuple[int, int], n: int, value: str = "v") -> DataFrame:
@@ -196,5 +198,5 @@ def renumbered_with(labels: DataFrame, other: DataFrame, least: float = 0) -> tu
     return new, other.withColumnRenamed("feature", "old").join(pairs, ["frame_id", "old"]).select("frame_id", "y", "x", "feature")
 
 
-#: Identifiers by name; others can be added.
+#: Identifiers by name; others can be added. With keep they give the pixels' values too.
 IDENTIFIERS: dict[str, Callable[..., DataFrame]] = {"threshold": threshold_labels, "watershed": watershed_labels, "label_grow": label_and_grow, "convective": convective_cells, "cold_pool": cold_pools}

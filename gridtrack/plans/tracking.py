@@ -15,10 +15,10 @@ def run(pixels: DataFrame, frames: DataFrame, cfg: Config, drift: DataFrame | No
 
     labels, features, links, nodes, track_stats, tracks, main, attached, masks.
     """
-    found = identify.IDENTIFIERS[cfg.feature_type](pixels, (cfg.ny, cfg.nx), **cfg.identify)
+    found = identify.IDENTIFIERS[cfg.feature_type](pixels, (cfg.ny, cfg.nx), keep=True, **cfg.identify)
     labels = stored(identify.renumbered(found, cfg.least_pixels))
-    features = stored(tracks.feature_stats(pixels.join(labels.select("frame_id", "y", "x", "feature"), ["frame_id", "y", "x"]), cell_km2=cfg.pixel_km**2))
-    links = stored(link.overlaps(labels, link.frame_pairs(frames, cfg.timegap), cfg.othresh, drift))
+    features = stored(tracks.feature_stats(labels, cell_km2=cfg.pixel_km**2))
+    links = stored(link.overlaps(labels.drop("v"), link.frame_pairs(frames, cfg.timegap), cfg.othresh, drift))
     nodes = stored(number.track_numbers(frames, features, links, cfg.timegap))
     rows = nodes.join(features, ["frame_id", "feature"]).join(frames, "frame_id")
     rows = tracks.without_short(rows, cfg.least_times)
