@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, released, stored
 
-Q = 8
+Q = 10
 #: Characters of a window, the step between windows of an item, share of edits allowed. Items under LEAST characters are looked for exactly.
-PASSAGE, STEP, RATE, LEAST = 64, 8, 0.1, 24
+PASSAGE, STEP, RATE, LEAST = 64, 8, 1 / 16, 24
 #: q-grams that a window and its match share at least, so that bands of one chance q-gram are never aligned.
 SHARED = 3
 #: Characters of items that one pass holds; more items take more passes.
@@ -30,18 +30,19 @@ def normalised(text: str) -> bytes:
 
 
 def grams(text: bytes) -> np.ndarray:
-    """The q-grams as 64-bit numbers, mixed one to one."""
+    """A 64-bit hash of each q-gram."""
     n = len(text) - Q + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     h = np.ndarray((n,), "<u8", text, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
+    h += np.ndarray((n,), "<u2", text, Q - 2, (1,))
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h
 
 
 def budget(length: int) -> int:
-    """Edits allowed in a window: a tenth of it, and no more than leave SHARED common q-grams by the lemma."""
+    """Edits allowed in a window: a sixteenth of it, and no more than leave SHARED common q-grams by the lemma."""
     return max(0, min(int(RATE * length), (length - Q + 1 - SHARED) // Q))
 
 
@@ -98,6 +99,7 @@ class Index:
         self.edits = np.array([budget(n) for n in lengths], np.int64)
         self.least = np.array([n - Q + 1 - budget(n) * Q for n in lengths], np.int64)
         self.fewest = int(self.least.min()) if lengths else 1 << 30
+        self.reach = max(lengths, default=0) + int(self.edits.max(initial=0)) - Q
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.slot(self.keys)] = True
 
@@ -131,8 +133,15 @@ class Index:
         k[k == len(self.keys)] = 0
         ok = self.keys[k] == g[i] if len(self.keys) else np.zeros(len(i), bool)
         i, k = i[ok] + low, k[ok]
-        if len(i) < self.fewest:
+        # A match has so many of its q-grams that close together.
+        start = np.flatnonzero(i[self.fewest - 1 :] - i[: max(0, len(i) - self.fewest + 1)] <= self.reach)
+        if not len(start):
             return []
+        close = np.zeros(len(i) + 1, np.int64)
+        np.add.at(close, start, 1)
+        np.add.at(close, start + self.fewest, -1)
+        close = np.cumsum(close[:-1]) > 0
+        i, k = i[close], k[close]
         n = self.count[k]
         if n.sum() > HITS and high - low > 4 * ahead:
             mid = (low + high) // 2
@@ -223,7 +232,7 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``items`` is the sorted array of the item ids found; ``regions`` lists item:start:end:edits
     by start, in characters of the normalised UTF-8 text.  An item is found by a window of 64
-    characters with a tenth of edits, one of 24 to 64 characters whole, and a shorter one by its
+    characters with four edits, one of 24 to 64 characters whole with a sixteenth of edits, and a shorter one by its
     exact words.  Items without an id count as one item, of id null; those without a letter
     or digit are nowhere.  Null text has no regions; an empty benchmark finds nothing;
     repeated rows and null ids stay as they are.
