@@ -27,6 +27,11 @@ def n_tokens(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long")
 
 
+def _named(column: str) -> Column:
+    name = F.col(column).cast("string")
+    return F.when(name.startswith("?"), F.concat(F.lit("?"), name)).otherwise(F.coalesce(name, F.lit("?")))
+
+
 def _weight(level: str, weights: dict[tuple[str, str], float]) -> Column:
     out = F.lit(1.0)
     for (at, name), w in weights.items():
@@ -77,7 +82,7 @@ def mixed(docs: DataFrame, share: float = 0.5, weights: dict[tuple[str, str], fl
     A leaf's order in epoch e is by a hash of seed, e and document; its epochs follow one
     another and the prefix of its budget's length is taken, so ``take_tokens`` is short of
     ``n_tokens`` for the last document of a leaf only.  Null lang or source is a leaf of
-    its own, named ``?``.  A document without tokens is never taken.  Repeated rows are
+    its own, named ``?``; a name that begins so has one more.  A document without tokens is never taken.  Repeated rows are
     documents of their own.  Weights must be positive.
 
     A leaf of any size is ordered in ``buckets`` hash ranges: token sums by range place each
@@ -85,7 +90,7 @@ def mixed(docs: DataFrame, share: float = 0.5, weights: dict[tuple[str, str], fl
     """
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
-    source, lang = F.coalesce(F.col("source").cast("string"), F.lit("?")), F.coalesce(F.col("lang").cast("string"), F.lit("?"))
+    source, lang = _named("source"), _named("lang")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (domain_of(source) if domain is None else domain).alias("domain"), lang.alias("lang"), source.alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     rows = stored(rows.where("n_tokens > 0"), "mix")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
