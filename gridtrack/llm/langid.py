@@ -99,7 +99,8 @@ def fit(docs: DataFrame, per_lang: int = 2000, segments: int = 4, seed: int = 11
 
     Each bit's classifier holds the log-odds of n-gram buckets between the languages with
     the bit set and those without, each language counting the same.  Four fifths of the
-    segments give the log-odds, the rest a logistic scale and bias for each bit.
+    segments give the log-odds, the rest a logistic scale and bias for each bit; under fifty
+    segments all give both.
     """
     got = training_rows(docs, per_lang, segments, seed).toPandas()  # per_lang * segments * 400 characters a language at most
     langs = sorted(set(got["lang"]))
@@ -140,35 +141,35 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
     return max(a, 1e-3), b
 
 
-def predicted(docs: DataFrame, model: Model | None, min_score: float = 0.6) -> DataFrame:
+def predicted(docs: DataFrame, model: Model | None, min_score: float = 0.6, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous; whole texts are read, all columns and rows stay.
 
     ``und`` with score 0 where text is null or has no letter, or nothing was learned.
     ``ambiguous`` marks a decoded language whose share among the codewords is under ``min_score``.
-    Columns of these names in ``docs`` are replaced.
+    Columns of these names in ``docs`` are replaced; ``names`` can give others.
     """
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = docs.drop(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches):
         m = model_b.value
         for b in batches:
-            names, scores, doubt = [], [], []
+            langs, scores, doubt = [], [], []
             for text in b.column("text").cast(pa.string()).to_pylist():
                 if m is None or not text or not any(map(str.isalpha, text)):
-                    names.append("und")
+                    langs.append("und")
                     scores.append(0.0)
                     doubt.append(False)
                     continue
                 k, share, _ = m.decode(m.logits(buckets(text)))
-                names.append(m.langs[k])
+                langs.append(m.langs[k])
                 scores.append(share)
                 doubt.append(share < min_score)
-            out = [*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names, "lang_pred", "score", "ambiguous"])
+            out = [*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(kernel, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(kernel, ", ".join([schema, *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean")))]))
 
 
 def remainder(docs: DataFrame, mod: int):

@@ -68,3 +68,24 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 1000)
     cut = np.bincount(np.concatenate(langid.buckets(text)), minlength=1 << langid.BITS)
     assert np.abs(whole - cut).sum() <= 0.02 * whole.sum()
+
+
+def test_prediction_equals_a_plain_decoder(spark):
+    """n-grams counted one by one, bits summed by loops, losses compared codeword by codeword."""
+    data = rows(3, 200)
+    df = spark.createDataFrame(data, SCHEMA)
+    model = langid.fit(df.select("doc_id", "text", "lang"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(df.select("doc_id", "text"), model).collect()}
+    for d, text, *_ in data[:60]:
+        raw = b" " + b" ".join("".join(c if c.isalpha() and (c.isascii() or ord(c) > 127) else " " for c in text.lower()).encode().split()) + b" "
+        total, n = np.zeros(model.code.shape[1]), 0
+        for order in langid.ORDERS:
+            padded = raw + b"\0" * 3
+            for i in range(len(padded) - 3 - order + 1):
+                gram = int.from_bytes(padded[i : i + order], "little") + order
+                total += model.weights[((gram & 0xFFFFFFFF) * 2654435761 & 0xFFFFFFFF) >> (32 - langid.BITS)]
+                n += 1
+        logits = model.scale * total / np.sqrt(n) + model.bias
+        loss = [sum(np.log1p(np.exp(-c * z)) for c, z in zip(word, logits)) for word in model.code]
+        share = np.exp(min(loss) - np.array(loss))
+        assert got[d][0] == model.langs[int(np.argmin(loss))] and abs(got[d][1] - 1 / share.sum()) < 1e-3
