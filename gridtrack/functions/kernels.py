@@ -344,3 +344,52 @@ def quadratic_filled(t: np.ndarray, v: np.ndarray, limit: float) -> np.ndarray:
     inside = (t >= x[0]) & (t <= x[-1])
     out[inside] = basis(t[inside].astype(float)) @ weights
     return np.where(ok, v, out)
+
+
+def storm_class(v: np.ndarray, z: np.ndarray, melting: float, reach: int, fraction: float = 0.3, aloft: float = 45.0, top25: float = 10.0, beside: float = 25.0, at3: float = 20.0, under3: float = 10.0, fill: float = 20.0, gradient: float = 8.0, gradient_top: float = 7.0, updraft: float = 40.0) -> np.ndarray:
+    """Classes of the columns of a volume (z, y, x; km, missing as NaN): 1 updraft, 2 convective, 3 stratiform with rain, 4 stratiform without, 5 anvil, 0 none.
+
+    Convective are columns that stand out from the median of their surroundings (windows of 2 ``reach`` + 1) at ``fraction`` of
+    their levels up to 9 km, or have ``aloft`` over a kilometre above the melting level, or 25 dBZ up to ``top25``;
+    lone ones go, and neighbours with ``beside`` join.  Updrafts are convective columns with a steep
+    gradient aloft of a place full of echo.  ``reach`` pixels at the edge have no class.
+    """
+    nz, ny, nx = v.shape
+    v = v.copy()
+    level = lambda km: max(int(np.searchsorted(z, km, "right")) - 1, 0)
+    k3, k4, k5, k9 = (level(km) for km in (3.0, 4.0, 5.0, 9.0))
+    with np.errstate(invalid="ignore"):
+        low = np.isnan(v[k3]) & (v[k4] >= fill)
+        v[k3][low] = v[k4][low]
+        some, filled = ~np.isnan(v), np.where(np.isnan(v), -np.inf, v)
+        aloft_echo = (filled[k3:] >= 0).sum(0) > 0
+        highest = filled.max(0)
+        top = (np.where(filled >= 25, z[:, None, None], 0.0)).max(0)
+        above = np.where(some, np.where((z > melting + 1)[:, None, None], v, 0.0), -np.inf).max(0)
+        part = v[: k9 + 1]
+        stands = np.zeros((ny, nx))
+        for f in part:
+            wide = np.lib.stride_tricks.sliding_window_view(np.pad(f, reach, mode="edge"), (2 * reach + 1,) * 2).reshape(ny, nx, -1)
+            have = ~np.isnan(wide).all(-1)
+            middle = np.full((ny, nx), np.nan)
+            middle[have] = np.nanmedian(wide[have], -1)
+            stands += f - middle > np.maximum(10 - f * f / 337.5, 4)
+        levels = some[: k9 + 1].sum(0)
+        peaked = (levels > 0) & (stands >= fraction * np.maximum(levels, 1))
+    out = np.where(peaked | (above >= aloft) | (top >= top25), 2, 0)
+    near = lambda m: sum(np.pad(m.astype(float), 1, mode="edge")[1 + dy : 1 + dy + ny, 1 + dx : 1 + dx + nx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)) / 9
+    out[(out == 2) & (near(out == 2) <= 0.15)] = 0
+    out[(near(out == 2) > 0.001) & (highest >= beside)] = 2
+    out[((filled[k3] >= at3) | (filled[:k3] >= under3).any(0)) & (out == 0)] = 3
+    out[(filled[k3] < at3) & aloft_echo & (out == 0)] = 4
+    out[~some[k3 : k5 + 1].any(0) & aloft_echo & np.isin(out, (0, 4))] = 5
+    if nz > 1:
+        with np.errstate(invalid="ignore"):
+            steep = np.diff(v, axis=0) >= gradient
+        full = np.stack([near(m) for m in some[:-1]]) >= 0.7
+        rises = (steep & full & (z[:-1] <= gradient_top)[:, None, None]).any(0)
+        out[rises & (highest >= updraft) & (out == 2)] = 1
+        lone = (out == 1) & (near(out == 1) <= 0.15)
+        out[lone] = median_filter(out.astype(float), 3, None)[lone].astype(int)
+    out[:reach], out[ny - reach :], out[:, :reach], out[:, nx - reach :] = 0, 0, 0, 0
+    return out

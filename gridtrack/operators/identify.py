@@ -21,19 +21,21 @@ def frame_array(pdf: pd.DataFrame, column: str, shape: tuple[int, int], missing:
     return out
 
 
-def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = LABELS, keep: bool = False) -> DataFrame:
+def by_frame(pixels: DataFrame, shape: tuple[int, ...], kernel: Callable[[np.ndarray], np.ndarray], value: str = "v", out: str = LABELS, keep: bool = False) -> DataFrame:
     """Runs ``kernel`` (a frame's values, missing as NaN) on each frame; non-zero, non-missing results come back as rows of ``out``'s last column, with ``keep`` together with the pixel's value.
 
     Frames are dealt to tasks and come one after the other as Arrow batches, of which a task
-    cuts its frames; it holds one frame and one batch at a time.
+    cuts its frames; it holds one frame and one batch at a time.  A shape of three sizes takes a
+    volume (frame_id, z, y, x) to a frame.
     """
     name, kind = out.split(", ")[-1].split(" ")
+    axes = ("z", "y", "x")[-len(shape) :]
     of = {"double": pa.float64(), "long": pa.int64()}[kind]
 
     def cut(frame: int, parts: list[tuple]) -> pa.RecordBatch:
         a = np.full(shape, np.nan)
-        for y, x, v in parts:
-            a[y, x] = v
+        for *at, v in parts:
+            a[tuple(at)] = v
         got = kernel(a)
         y, x = np.nonzero(~np.isnan(got) if kind == "double" else got)
         cols = [pa.array(np.full(len(y), frame)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(got[y, x], of)]
@@ -46,8 +48,8 @@ def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.nda
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, y, x = (b.column(k).to_numpy() for k in range(3))
-            v = b.column(3).to_numpy(zero_copy_only=False)
+            ids, *at = (b.column(k).to_numpy() for k in range(len(axes) + 1))
+            v = b.column(len(axes) + 1).to_numpy(zero_copy_only=False)
             ends = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
             done = []
             for lo, hi in zip(ends, ends[1:]):
@@ -55,12 +57,12 @@ def by_frame(pixels: DataFrame, shape: tuple[int, int], kernel: Callable[[np.nda
                     done.append(cut(frame, parts))
                     parts = []
                 frame = int(ids[lo])
-                parts.append((y[lo:hi].copy(), x[lo:hi].copy(), v[lo:hi].copy()))
+                parts.append(tuple(c[lo:hi].copy() for c in (*at, v)))
             yield from pa.Table.from_batches(done).combine_chunks().to_batches() if done else ()
         if frame is not None:
             yield cut(frame, parts)
 
-    rows = pixels.select(F.col("frame_id").cast("long").alias("frame_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value))
+    rows = pixels.select(F.col("frame_id").cast("long").alias("frame_id"), *[F.col(c).cast("int").alias(c) for c in axes], F.col(value).cast("double").alias(value))
     return rows.repartition("frame_id").sortWithinPartitions("frame_id").mapInArrow(run, f"{out}, {value} double" if keep else out)
 
 
@@ -116,6 +118,12 @@ def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, t
     return by_frame(pixels, shape, kernel, value, keep=keep)
 
 
+def storm_classes(volume: DataFrame, shape: tuple[int, int, int], heights: list[float], melting: float, reach: int) -> DataFrame:
+    """(frame_id, y, x, sl_class): the class of each column of reflectivity (:func:`kernels.storm_class`); columns of class 0 have no row."""
+    z = np.array(heights)
+    return by_frame(volume, shape, lambda a: K.storm_class(a, z, melting, reach), out="frame_id long, y int, x int, sl_class long")
+
+
 def cold_pools(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: float, peak: float, distance: int, value: str = "v", keep: bool = False) -> DataFrame:
     """Flooding of the smoothed cold-pool intensity."""
 

@@ -199,3 +199,11 @@ def guarded_features(spark, d):
     """Sizes of objects, after the check that no frame has over 9 of them."""
     f = block_labels(spark, d).groupBy("frame_id", "feature").agg(F.count("*").alias("npix"))
     return T.guarded(f, ["frame_id"], 9, "objects in a frame")
+
+
+@query()
+def storm_classes(spark, d):
+    """Volumes of 16 x 8 columns with 8 levels, from the vectors."""
+    v = F.col("v") * 250 + 18
+    volume = src.emb(spark, d).select(F.floor(F.col("frame_id") / 16).alias("frame_id"), F.col("y").alias("z"), (F.col("frame_id") % 16).cast("int").alias("y"), "x", F.when(v > -10, v).alias("v"))
+    return I.storm_classes(volume, (8, 16, 8), [0.5 + 1.5 * k for k in range(8)], 4.0, 1)
