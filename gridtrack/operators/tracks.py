@@ -16,7 +16,11 @@ def feature_stats(pixels: DataFrame, value: str = "v", core: float | None = None
     v = F.col(value)
     core_test = v > (core if core is not None else float("inf"))
     top = F.min_by(F.struct("y", "x"), F.struct(-v, "y", "x"))
-    out = pixels.groupBy("frame_id", "feature").agg(F.count("*").alias("npix"), (F.count("*") * cell_km2).alias("area"), F.avg("y").alias("mean_y"), F.avg("x").alias("mean_x"), F.avg(v).alias("mean_v"), F.min(v).alias("min_v"), F.max(v).alias("max_v"), top.alias("top"), F.sum(core_test.cast("long")).alias("core_px"), F.avg(F.when(core_test, v)).alias("core_mean"))
+    out = pixels.groupBy("frame_id", "feature").agg(
+        F.count("*").alias("npix"), (F.count("*") * cell_km2).alias("area"), F.avg("y").alias("mean_y"), F.avg("x").alias("mean_x"),
+        F.avg(v).alias("mean_v"), F.min(v).alias("min_v"), F.max(v).alias("max_v"), top.alias("top"),
+        F.sum(core_test.cast("long")).alias("core_px"), F.avg(F.when(core_test, v)).alias("core_mean"),
+    )
     return out.withColumns({"top_y": F.col("top.y"), "top_x": F.col("top.x")}).drop("top")
 
 

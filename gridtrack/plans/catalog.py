@@ -86,7 +86,9 @@ def scan_time_range(spark, d):
     return rows.groupBy((F.year(t) * 100 + F.month(t)).cast("long").alias("ym")).agg(F.count("*").alias("n"), F.min(s).alias("t0"), F.max(s).alias("t1"))
 
 
-@query(f"WITH {src.SHIP_SQL}, grid AS (SELECT DISTINCT y, x, 10 + y * 0.5 + x * 0.01 AS lat, 100 + x * 0.5 - y * 0.02 AS lon FROM ship), box AS (SELECT min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM grid WHERE lat BETWEEN 12 AND 18 AND lon BETWEEN 102 AND 107) SELECT frame_id, y - y0 AS y, x - x0 AS x, v FROM ship, box WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")
+@query(f"""WITH {src.SHIP_SQL}, grid AS (SELECT DISTINCT y, x, 10 + y * 0.5 + x * 0.01 AS lat, 100 + x * 0.5 - y * 0.02 AS lon FROM ship), box AS (SELECT min(y) y0, max(y) y1,
+  min(x) x0, max(x) x1 FROM grid WHERE lat BETWEEN 12 AND 18 AND lon BETWEEN 102 AND 107) SELECT frame_id, y - y0 AS y, x - x0 AS x, v FROM ship, box WHERE y BETWEEN y0 AND
+  y1 AND x BETWEEN x0 AND x1""")
 def geo_subset(spark, d):
     p = src.ship(spark, d)
     grid = p.select("y", "x").distinct().select("y", "x", (10 + F.col("y") * 0.5 + F.col("x") * 0.01).alias("lat"), (100 + F.col("x") * 0.5 - F.col("y") * 0.02).alias("lon"))
@@ -103,7 +105,8 @@ def olr_to_tb(spark, d):
     return src.ship(spark, d).select("frame_id", "y", "x", F.round(S.brightness_temperature(80 + F.col("v")), 6).alias("tb"))
 
 
-@query(f"WITH {src.EVT_SQL}, acc AS (SELECT frame_id, y, x, frame_id * 21600 AS t, sum(v) OVER (PARTITION BY y, x ORDER BY frame_id) AS total FROM evt) SELECT frame_id, y, x, round(3600 * CAST(lead(total) OVER o - total AS DOUBLE) / (lead(t) OVER o - t), 6) AS rate FROM acc WINDOW o AS (PARTITION BY y, x ORDER BY frame_id)")
+@query(f"""WITH {src.EVT_SQL}, acc AS (SELECT frame_id, y, x, frame_id * 21600 AS t, sum(v) OVER (PARTITION BY y, x ORDER BY frame_id) AS total FROM evt) SELECT frame_id, y, x,
+  round(3600 * CAST(lead(total) OVER o - total AS DOUBLE) / (lead(t) OVER o - t), 6) AS rate FROM acc WINDOW o AS (PARTITION BY y, x ORDER BY frame_id)""")
 def accum_to_rate(spark, d):
     from pyspark.sql import Window
 
@@ -124,7 +127,11 @@ def missing_gate(spark, d):
     return rounded(g.where("missing < 0.35"))
 
 
-@query(f"WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT y * 8 - 90 AS lat1, x * 15 - 180 AS lon1, (23 - y) * 7 - 80 AS lat2, x * 13 - 150 AS lon2 FROM ship) SELECT lat1, lon1, lat2, lon2, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))), 6) AS km, round(6371.0 * 6371.0 * cos(radians(lat1)) * radians(1) * radians(0.5), 6) AS cell_km2, CASE WHEN lon2 <> lon1 OR lat2 <> lat1 THEN round(CASE WHEN 90 - degrees(atan2(lat2 - lat1, lon2 - lon1)) < 0 THEN 450 - degrees(atan2(lat2 - lat1, lon2 - lon1)) ELSE 90 - degrees(atan2(lat2 - lat1, lon2 - lon1)) END, 6) END AS bearing FROM p")
+@query(f"""WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT y * 8 - 90 AS lat1, x * 15 - 180 AS lon1, (23 - y) * 7 - 80 AS lat2, x * 13 - 150 AS lon2 FROM ship) SELECT lat1, lon1, lat2,
+  lon2, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))),
+  6) AS km, round(6371.0 * 6371.0 * cos(radians(lat1)) * radians(1) * radians(0.5), 6) AS cell_km2, CASE WHEN lon2 <> lon1 OR lat2 <> lat1 THEN round(CASE WHEN 90 -
+  degrees(atan2(lat2 - lat1, lon2 - lon1)) < 0 THEN 450 - degrees(atan2(lat2 - lat1, lon2 - lon1)) ELSE 90 - degrees(atan2(lat2 - lat1, lon2 - lon1)) END, 6) END AS bearing
+  FROM p""")
 def haversine_distance(spark, d):
     p = src.ship(spark, d).select((F.col("y") * 8 - 90).alias("lat1"), (F.col("x") * 15 - 180).alias("lon1"), ((23 - F.col("y")) * 7 - 80).alias("lat2"), (F.col("x") * 13 - 150).alias("lon2")).distinct()
     a, b, c, e = (F.col(k) for k in ("lat1", "lon1", "lat2", "lon2"))
@@ -134,7 +141,9 @@ def haversine_distance(spark, d):
 # ---- neighbourhoods and identification ----------------------------------------------------------
 
 
-@query(f"WITH {src.SHIP_SQL}, o AS (SELECT least(23, greatest(0, a.y + dy)) AS ny, least(23, greatest(0, a.x + dx)) AS nx, a.frame_id, a.y, a.x FROM ship a, generate_series(-1, 1) AS g(dy), generate_series(-1, 1) AS h(dx)) SELECT o.frame_id, o.y, o.x, round(avg(b.v), 6) AS s FROM o JOIN ship b ON b.frame_id = o.frame_id AND b.y = o.ny AND b.x = o.nx GROUP BY ALL")
+@query(f"""WITH {src.SHIP_SQL}, o AS (SELECT least(23, greatest(0, a.y + dy)) AS ny, least(23, greatest(0, a.x + dx)) AS nx, a.frame_id, a.y, a.x FROM ship a, generate_series(-1, 1)
+  AS g(dy), generate_series(-1, 1) AS h(dx)) SELECT o.frame_id, o.y, o.x, round(avg(b.v), 6) AS s FROM o JOIN ship b ON b.frame_id = o.frame_id AND b.y = o.ny AND b.x =
+  o.nx GROUP BY ALL""")
 def box_smooth(spark, d):
     return rounded(I.smoothed(src.ship(spark, d), (24, 24), 3))
 
@@ -155,12 +164,16 @@ def label_components(spark, d):
     return I.threshold_labels(src.emb(spark, d), (8, 8), 0.0)
 
 
-@query(RECURSIVE + ", size AS (SELECT frame_id, feature AS old, count(*) AS npix, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY count(*) DESC, feature DESC) AS BIGINT) AS feature FROM labels GROUP BY frame_id, old HAVING count(*) > 2) SELECT l.frame_id, y, x, s.feature, npix FROM labels l JOIN size s ON l.frame_id = s.frame_id AND l.feature = s.old")
+@query(RECURSIVE + """, size AS (SELECT frame_id, feature AS old, count(*) AS npix, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY count(*) DESC, feature DESC) AS BIGINT) AS feature
+  FROM labels GROUP BY frame_id, old HAVING count(*) > 2) SELECT l.frame_id, y, x, s.feature, npix FROM labels l JOIN size s ON l.frame_id = s.frame_id AND l.feature =
+  s.old""")
 def size_renumber(spark, d):
     return I.renumbered(I.threshold_labels(src.emb(spark, d), (8, 8), 0.0), 2)
 
 
-@query(LABELS_SQL + " SELECT frame_id, feature, count(*) AS npix, CAST(count(*) * 100 AS DOUBLE) AS area, round(avg(y), 6) AS mean_y, round(avg(x), 6) AS mean_x, round(avg(v), 6) AS mean_v, min(v) AS min_v, max(v) AS max_v, CAST(count(*) FILTER (v > 90) AS BIGINT) AS core_px, round(avg(v) FILTER (v > 90), 6) AS core_mean, arg_min(y, (-v) * 10000 + y * 100 + x) AS top_y, arg_min(x, (-v) * 10000 + y * 100 + x) AS top_x FROM labels GROUP BY ALL")
+@query(LABELS_SQL + """  SELECT frame_id, feature, count(*) AS npix, CAST(count(*) * 100 AS DOUBLE) AS area, round(avg(y), 6) AS mean_y, round(avg(x), 6) AS mean_x, round(avg(v), 6) AS mean_v,
+  min(v) AS min_v, max(v) AS max_v, CAST(count(*) FILTER (v > 90) AS BIGINT) AS core_px, round(avg(v) FILTER (v > 90), 6) AS core_mean, arg_min(y, (-v) * 10000 + y * 100 +
+  x) AS top_y, arg_min(x, (-v) * 10000 + y * 100 + x) AS top_x FROM labels GROUP BY ALL""")
 def feature_stats(spark, d):
     return rounded(T.feature_stats(block_labels(spark, d), core=90, cell_km2=100.0))
 
@@ -170,12 +183,16 @@ def circular_mean(spark, d):
     return rounded(T.circular_mean(block_labels(spark, d), ["frame_id", "feature"], "x", 0.0, 24.0))
 
 
-@query(LABELS_SQL + ", n AS (SELECT l.frame_id, l.y, l.x, l.feature, count(*) AS same FROM labels l JOIN labels o ON o.frame_id = l.frame_id AND o.feature = l.feature AND abs(o.y - l.y) + abs(o.x - l.x) = 1 GROUP BY ALL) SELECT l.frame_id, l.y, l.x, l.feature FROM labels l LEFT JOIN n ON n.frame_id = l.frame_id AND n.y = l.y AND n.x = l.x WHERE coalesce(same, 0) < 4")
+@query(LABELS_SQL + """, n AS (SELECT l.frame_id, l.y, l.x, l.feature, count(*) AS same FROM labels l JOIN labels o ON o.frame_id = l.frame_id AND o.feature = l.feature AND abs(o.y - l.y) +
+  abs(o.x - l.x) = 1 GROUP BY ALL) SELECT l.frame_id, l.y, l.x, l.feature FROM labels l LEFT JOIN n ON n.frame_id = l.frame_id AND n.y = l.y AND n.x = l.x WHERE
+  coalesce(same, 0) < 4""")
 def mask_perimeter(spark, d):
     return I.outline(block_labels(spark, d), (24, 24), 1)
 
 
-@query(f"WITH {src.SHIP_SQL}, z AS (SELECT frame_id, y, x, v, pow(10, v / 20.0) AS lin FROM ship WHERE v >= 10), b AS (SELECT a.frame_id, a.y, a.x, a.v, 10 * log10(avg(c.lin)) AS bkg FROM z a JOIN z c ON c.frame_id = a.frame_id AND (c.y - a.y) * (c.y - a.y) + (c.x - a.x) * (c.x - a.x) <= 9 GROUP BY ALL) SELECT frame_id, y, x, round(bkg, 6) AS bkg, (v / 2.0 >= 45 OR v / 2.0 - bkg >= CASE WHEN bkg < 0 THEN 8 WHEN bkg < 64 THEN 8 * cos(pi() * bkg / 128) ELSE 0 END) AS core FROM b")
+@query(f"""WITH {src.SHIP_SQL}, z AS (SELECT frame_id, y, x, v, pow(10, v / 20.0) AS lin FROM ship WHERE v >= 10), b AS (SELECT a.frame_id, a.y, a.x, a.v, 10 * log10(avg(c.lin)) AS
+  bkg FROM z a JOIN z c ON c.frame_id = a.frame_id AND (c.y - a.y) * (c.y - a.y) + (c.x - a.x) * (c.x - a.x) <= 9 GROUP BY ALL) SELECT frame_id, y, x, round(bkg, 6) AS bkg,
+  (v / 2.0 >= 45 OR v / 2.0 - bkg >= CASE WHEN bkg < 0 THEN 8 WHEN bkg < 64 THEN 8 * cos(pi() * bkg / 128) ELSE 0 END) AS core FROM b""")
 def steiner_core(spark, d):
     from ..functions import kernels as K
 
@@ -281,7 +298,8 @@ def track_time_index(spark, d):
     return user_tracks(spark, d).select("track", "frame_id", "t_idx")
 
 
-@query(TRACKS_SQL + " SELECT track, count(*) AS duration, min(base_time) AS start_basetime, CASE WHEN count(*) < 60 THEN max(base_time) ELSE -1 END AS end_basetime, arg_min(status, t_idx) AS start_status, CASE WHEN count(*) < 60 THEN arg_max(status, t_idx) ELSE -1 END AS end_status FROM tr GROUP BY track")
+@query(TRACKS_SQL + """  SELECT track, count(*) AS duration, min(base_time) AS start_basetime, CASE WHEN count(*) < 60 THEN max(base_time) ELSE -1 END AS end_basetime, arg_min(status, t_idx) AS
+  start_status, CASE WHEN count(*) < 60 THEN arg_max(status, t_idx) ELSE -1 END AS end_status FROM tr GROUP BY track""")
 def track_start_end(spark, d):
     return T.start_end(user_tracks(spark, d), 60).fillna(-1)
 
@@ -307,13 +325,19 @@ def main_tracks(spark, d):
     return T.main_tracks(user_tracks(spark, d), 50, "area", 20000)
 
 
-@query(MAIN_SQL + ", small AS (SELECT track, max(merge_track) AS i, min(split_track) AS o FROM tr WHERE track NOT IN (SELECT track FROM main) GROUP BY track HAVING count(*) < 55), e AS (SELECT track AS small_track, i AS main, 'merge' AS kind FROM small WHERE i IS NOT NULL UNION ALL SELECT track, o, 'split' FROM small WHERE o IS NOT NULL) SELECT main.track, t.base_time, kind, CAST(row_number() OVER (PARTITION BY main.track, t.base_time, kind ORDER BY small_track, t.feature) AS BIGINT) AS rank, small_track, t.feature, t.area FROM e JOIN main ON e.main = main.track JOIN tr t ON t.track = small_track JOIN tr m ON m.track = main.track AND m.base_time = t.base_time QUALIFY rank <= 2")
+@query(MAIN_SQL + """, small AS (SELECT track, max(merge_track) AS i, min(split_track) AS o FROM tr WHERE track NOT IN (SELECT track FROM main) GROUP BY track HAVING count(*) < 55), e AS
+  (SELECT track AS small_track, i AS main, 'merge' AS kind FROM small WHERE i IS NOT NULL UNION ALL SELECT track, o, 'split' FROM small WHERE o IS NOT NULL) SELECT
+  main.track, t.base_time, kind, CAST(row_number() OVER (PARTITION BY main.track, t.base_time, kind ORDER BY small_track, t.feature) AS BIGINT) AS rank, small_track,
+  t.feature, t.area FROM e JOIN main ON e.main = main.track JOIN tr t ON t.track = small_track JOIN tr m ON m.track = main.track AND m.base_time = t.base_time QUALIFY rank
+  <= 2""")
 def merge_split_attach(spark, d):
     rows = user_tracks(spark, d)
     return T.attached(rows, T.main_tracks(rows, 50, "area", 20000), 55, 2)
 
 
-ISLANDS_SQL = TRACKS_SQL + ", on_ AS (SELECT track, t_idx, sum(CASE WHEN t_idx - l > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY t_idx) AS run FROM (SELECT track, t_idx, lag(t_idx) OVER (PARTITION BY track ORDER BY t_idx) AS l FROM tr WHERE {test})), runs AS (SELECT track, run, min(t_idx) AS first_idx, max(t_idx) AS last_idx, max(t_idx) - min(t_idx) + 1 AS length, count(*) AS n FROM on_ GROUP BY ALL)"
+ISLANDS_SQL = TRACKS_SQL + """, on_ AS (SELECT track, t_idx, sum(CASE WHEN t_idx - l > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY t_idx) AS run FROM (SELECT track, t_idx, lag(t_idx)
+  OVER (PARTITION BY track ORDER BY t_idx) AS l FROM tr WHERE {test})), runs AS (SELECT track, run, min(t_idx) AS first_idx, max(t_idx) AS last_idx, max(t_idx) - min(t_idx)
+  + 1 AS length, count(*) AS n FROM on_ GROUP BY ALL)"""
 
 
 @query(ISLANDS_SQL.format(gap=2, test="area > 5000") + " SELECT track, CAST(max(length * 6) AS DOUBLE) AS main_hours, count(*) AS n_runs FROM runs WHERE length * 6.0 >= 24 GROUP BY track")
@@ -337,12 +361,19 @@ def _pf(spark, d):
     return block_labels(spark, d).withColumn("pf", (F.floor(F.col("y") % 8 / 4) * 2 + F.floor(F.col("x") % 8 / 4)).cast("long"))
 
 
-@query(PF_SQL + ", m AS (SELECT frame_id, feature, pf, count(*) AS pf_npix, avg(v) AS mu, max(v) AS mx, sum(v) AS s, sum(CASE WHEN v > 100 THEN v ELSE 0 END) AS h, quantile_cont(v, 0.95) AS p FROM pf GROUP BY ALL), k AS (SELECT pf.frame_id, pf.feature, pf.pf, avg(pow(v - mu, 3)) AS m3, avg(pow(v - mu, 2)) AS m2 FROM pf JOIN m USING (frame_id, feature, pf) GROUP BY ALL) SELECT frame_id, feature, pf, pf_npix, round(mu, 6) AS pf_rainrate, mx AS pf_maxrate, CASE WHEN m2 > 0 THEN round(m3 / pow(m2, 1.5), 6) END AS pf_skewness, s AS pf_accum, h AS pf_heavy, round(p, 6) AS pf_p95, CAST(row_number() OVER (PARTITION BY frame_id, feature ORDER BY pf_npix DESC, pf) AS BIGINT) AS pf_rank FROM m JOIN k USING (frame_id, feature, pf) QUALIFY pf_rank <= 3")
+@query(PF_SQL + """, m AS (SELECT frame_id, feature, pf, count(*) AS pf_npix, avg(v) AS mu, max(v) AS mx, sum(v) AS s, sum(CASE WHEN v > 100 THEN v ELSE 0 END) AS h, quantile_cont(v, 0.95)
+  AS p FROM pf GROUP BY ALL), k AS (SELECT pf.frame_id, pf.feature, pf.pf, avg(pow(v - mu, 3)) AS m3, avg(pow(v - mu, 2)) AS m2 FROM pf JOIN m USING (frame_id, feature, pf)
+  GROUP BY ALL) SELECT frame_id, feature, pf, pf_npix, round(mu, 6) AS pf_rainrate, mx AS pf_maxrate, CASE WHEN m2 > 0 THEN round(m3 / pow(m2, 1.5), 6) END AS pf_skewness,
+  s AS pf_accum, h AS pf_heavy, round(p, 6) AS pf_p95, CAST(row_number() OVER (PARTITION BY frame_id, feature ORDER BY pf_npix DESC, pf) AS BIGINT) AS pf_rank FROM m JOIN k
+  USING (frame_id, feature, pf) QUALIFY pf_rank <= 3""")
 def pf_topk_stats(spark, d):
     return rounded(T.rain_stats(_pf(spark, d), 100, 3))
 
 
-@query(PF_SQL + ", m AS (SELECT frame_id, feature, count(*) AS npix, var_pop(x) + 1 / 12 AS a, var_pop(y) + 1 / 12 AS c, covar_pop(x, y) AS b, sum(v * y) / sum(v) AS wy, sum(v * x) / sum(v) AS wx FROM pf GROUP BY ALL), r AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS p, greatest((a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b), 0) AS q FROM m) SELECT frame_id, feature, npix, round(4 * sqrt(p), 6) AS majoraxis, round(4 * sqrt(q), 6) AS minoraxis, round(sqrt(1 - q / p), 4) AS eccentricity, round(wy, 6) AS weighted_y, round(wx, 6) AS weighted_x FROM r")
+@query(PF_SQL + """, m AS (SELECT frame_id, feature, count(*) AS npix, var_pop(x) + 1 / 12 AS a, var_pop(y) + 1 / 12 AS c, covar_pop(x, y) AS b, sum(v * y) / sum(v) AS wy, sum(v * x) /
+  sum(v) AS wx FROM pf GROUP BY ALL), r AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS p, greatest((a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b), 0) AS
+  q FROM m) SELECT frame_id, feature, npix, round(4 * sqrt(p), 6) AS majoraxis, round(4 * sqrt(q), 6) AS minoraxis, round(sqrt(1 - q / p), 4) AS eccentricity, round(wy, 6)
+  AS weighted_y, round(wx, 6) AS weighted_x FROM r""")
 def pf_shape(spark, d):
     return rounded(T.shapes(_pf(spark, d), ["frame_id", "feature"]).drop("orientation").withColumn("eccentricity", F.round("eccentricity", 4)))
 
@@ -370,12 +401,15 @@ def pf_lifetime(spark, d):
 STAGE = "CASE WHEN area < 2000 THEN 0 WHEN area < 5000 THEN 1 WHEN area < 8000 THEN 2 WHEN area < 12000 THEN 3 WHEN area < 18000 THEN 4 ELSE 5 END"
 
 
-@query(ISLANDS_SQL.format(gap=2, test=f"{STAGE} BETWEEN 1 AND 5") + f", best AS (SELECT track, arg_max(first_idx, length * 1000 - run) AS a, arg_max(last_idx, length * 1000 - run) AS b FROM runs GROUP BY track), s AS (SELECT tr.track, t_idx, {STAGE} AS stage FROM tr JOIN best ON tr.track = best.track AND t_idx BETWEEN a AND b) SELECT track, count(DISTINCT stage) AS stages, {', '.join(f'coalesce(min(t_idx) FILTER (stage = {k}), -1) AS idx{k}' for k in range(1, 6))}, count(DISTINCT stage) >= 4 AS complete FROM s WHERE stage > 0 GROUP BY track")
+@query(ISLANDS_SQL.format(gap=2, test=f"{STAGE} BETWEEN 1 AND 5") + f""", best AS (SELECT track, arg_max(first_idx, length * 1000 - run) AS a, arg_max(last_idx, length * 1000 - run) AS b FROM runs GROUP BY track), s AS (SELECT tr.track,
+  t_idx, {STAGE} AS stage FROM tr JOIN best ON tr.track = best.track AND t_idx BETWEEN a AND b) SELECT track, count(DISTINCT stage) AS stages,
+  {', '.join(f'coalesce(min(t_idx) FILTER (stage = {k}), -1) AS idx{k}' for k in range(1, 6))}, count(DISTINCT stage) >= 4 AS complete FROM s WHERE stage > 0 GROUP BY track""")
 def lifecycle(spark, d):
     return T.lifecycle(user_tracks(spark, d), F.expr(STAGE)).fillna(-1)
 
 
-@query(LABELS_SQL + ", n AS (SELECT DISTINCT frame_id, feature, frame_id % 7 * 10 + feature AS track, CASE WHEN feature % 4 = 0 THEN feature + 100 END AS m, CASE WHEN feature % 3 = 0 THEN feature + 200 END AS s FROM labels) SELECT l.frame_id, y, x, track AS tracknumber, coalesce(m, s, track) AS incl_attached FROM labels l JOIN n USING (frame_id, feature)")
+@query(LABELS_SQL + """, n AS (SELECT DISTINCT frame_id, feature, frame_id % 7 * 10 + feature AS track, CASE WHEN feature % 4 = 0 THEN feature + 100 END AS m, CASE WHEN feature % 3 = 0 THEN
+  feature + 200 END AS s FROM labels) SELECT l.frame_id, y, x, track AS tracknumber, coalesce(m, s, track) AS incl_attached FROM labels l JOIN n USING (frame_id, feature)""")
 def mask_paint(spark, d):
     labels = block_labels(spark, d)
     f = F.col("feature")
@@ -383,17 +417,24 @@ def mask_paint(spark, d):
     return T.painted(labels, nodes)
 
 
-@query(TRACKS_SQL + ", s AS (SELECT track, t_idx, lon, lon - lag(lon) OVER (PARTITION BY track ORDER BY t_idx) AS step FROM tr), w AS (SELECT *, CAST(sum(CASE WHEN step > 180 THEN -1 WHEN step < -180 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY t_idx) AS BIGINT) AS wraps FROM s) SELECT track, t_idx, wraps, round(lon + wraps * 360, 6) AS lon_path FROM w")
+@query(TRACKS_SQL + """, s AS (SELECT track, t_idx, lon, lon - lag(lon) OVER (PARTITION BY track ORDER BY t_idx) AS step FROM tr), w AS (SELECT *, CAST(sum(CASE WHEN step > 180 THEN -1 WHEN
+  step < -180 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY t_idx) AS BIGINT) AS wraps FROM s) SELECT track, t_idx, wraps, round(lon + wraps * 360, 6) AS lon_path
+  FROM w""")
 def path_unwrap(spark, d):
     return rounded(T.unwrapped(user_tracks(spark, d), "lon", 360.0, 180.0).select("track", "t_idx", "wraps", "lon_path"))
 
 
-@query(TRACKS_SQL + ", p AS (SELECT track, t_idx, lat, lon, base_time, lead(lat) OVER o AS la, lead(lon) OVER o AS lo, lead(base_time) OVER o AS t FROM tr WINDOW o AS (PARTITION BY track ORDER BY t_idx)), k AS (SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2)))) AS km FROM p) SELECT track, t_idx, round(km, 5) AS distance, round(km / ((t - base_time) / 3600), 5) AS speed FROM k")
+@query(TRACKS_SQL + """, p AS (SELECT track, t_idx, lat, lon, base_time, lead(lat) OVER o AS la, lead(lon) OVER o AS lo, lead(base_time) OVER o AS t FROM tr WINDOW o AS (PARTITION BY track
+  ORDER BY t_idx)), k AS (SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon)
+  / 2), 2)))) AS km FROM p) SELECT track, t_idx, round(km, 5) AS distance, round(km / ((t - base_time) / 3600), 5) AS speed FROM k""")
 def haversine_speed(spark, d):
     return rounded(T.speeds(user_tracks(spark, d)).select("track", "t_idx", "distance", "speed"), 5)
 
 
-@query(TRACKS_SQL + ", h AS (SELECT track, t_idx, base_time, CASE WHEN area % 3 > 0 THEN lat END AS v FROM tr), f AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS v0, last_value(CASE WHEN v IS NOT NULL THEN base_time END IGNORE NULLS) OVER a AS t0, first_value(v IGNORE NULLS) OVER b AS v1, first_value(CASE WHEN v IS NOT NULL THEN base_time END IGNORE NULLS) OVER b AS t1 FROM h WINDOW a AS (PARTITION BY track ORDER BY t_idx), b AS (PARTITION BY track ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT track, t_idx, round(coalesce(v, v0 + (v1 - v0) * (base_time - t0) / (t1 - t0)), 6) + 0.0 AS v_filled FROM f")
+@query(TRACKS_SQL + """, h AS (SELECT track, t_idx, base_time, CASE WHEN area % 3 > 0 THEN lat END AS v FROM tr), f AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS v0, last_value(CASE WHEN v
+  IS NOT NULL THEN base_time END IGNORE NULLS) OVER a AS t0, first_value(v IGNORE NULLS) OVER b AS v1, first_value(CASE WHEN v IS NOT NULL THEN base_time END IGNORE NULLS)
+  OVER b AS t1 FROM h WINDOW a AS (PARTITION BY track ORDER BY t_idx), b AS (PARTITION BY track ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT
+  track, t_idx, round(coalesce(v, v0 + (v1 - v0) * (base_time - t0) / (t1 - t0)), 6) + 0.0 AS v_filled FROM f""")
 def gap_interpolation(spark, d):
     rows = user_tracks(spark, d).withColumn("v", F.when(F.col("area") % 3 > 0, F.col("lat")))
     return rounded(T.interpolated(rows, "v").select("track", "t_idx", "v_filled")).withColumn("v_filled", F.col("v_filled") + 0.0)
@@ -402,12 +443,17 @@ def gap_interpolation(spark, d):
 # ---- climatology -------------------------------------------------------------------------------
 
 
-@query(f"WITH {src.SHIP_SQL} SELECT {MONTH} AS month, y, x, CAST(sum(v) AS BIGINT) AS precipitation, CAST(sum(CASE WHEN v2 > 2 THEN v ELSE 0 END) AS BIGINT) AS masked_precipitation, CAST(sum(CASE WHEN v2 > 2 AND v > {THR} THEN 1 ELSE 0 END) AS BIGINT) AS masked_count, count(DISTINCT frame_id) AS ntimes FROM ship GROUP BY ALL")
+@query(f"""WITH {src.SHIP_SQL} SELECT {MONTH} AS month, y, x, CAST(sum(v) AS BIGINT) AS precipitation, CAST(sum(CASE WHEN v2 > 2 THEN v ELSE 0 END) AS BIGINT) AS
+  masked_precipitation, CAST(sum(CASE WHEN v2 > 2 AND v > {THR} THEN 1 ELSE 0 END) AS BIGINT) AS masked_count, count(DISTINCT frame_id) AS ntimes FROM ship GROUP BY ALL""")
 def monthly_rainmap(spark, d):
     return C.monthly_map(src.ship(spark, d), month_of(), F.col("v2") > 2, THR)
 
 
-@query(TRACKS_SQL + ", p AS (SELECT track, CAST(floor(lat / 5) AS BIGINT) AS y, CAST(floor(lon / 30) AS BIGINT) AS x, area / 6.0 AS speed FROM tr), l AS (SELECT track, count(*) AS lifetime FROM tr GROUP BY track), o AS (SELECT y, x, count(*) AS n_tracks, avg(lifetime) AS m, quantile_cont(lifetime, 0.5) AS a, quantile_cont(lifetime, 0.75) AS b, quantile_cont(lifetime, 0.9) AS c, quantile_cont(lifetime, 0.95) AS e FROM (SELECT DISTINCT track, y, x, lifetime FROM p JOIN l USING (track)) GROUP BY ALL) SELECT y, x, count(*) AS n_times, round(avg(speed), 6) AS speed_mean, n_tracks, round(m, 6) AS lifetime_mean, round(a, 6) AS lifetime_p50, round(b, 6) AS lifetime_p75, round(c, 6) AS lifetime_p90, round(e, 6) AS lifetime_p95 FROM p JOIN o USING (y, x) GROUP BY ALL")
+@query(TRACKS_SQL + """, p AS (SELECT track, CAST(floor(lat / 5) AS BIGINT) AS y, CAST(floor(lon / 30) AS BIGINT) AS x, area / 6.0 AS speed FROM tr), l AS (SELECT track, count(*) AS lifetime
+  FROM tr GROUP BY track), o AS (SELECT y, x, count(*) AS n_tracks, avg(lifetime) AS m, quantile_cont(lifetime, 0.5) AS a, quantile_cont(lifetime, 0.75) AS b,
+  quantile_cont(lifetime, 0.9) AS c, quantile_cont(lifetime, 0.95) AS e FROM (SELECT DISTINCT track, y, x, lifetime FROM p JOIN l USING (track)) GROUP BY ALL) SELECT y, x,
+  count(*) AS n_times, round(avg(speed), 6) AS speed_mean, n_tracks, round(m, 6) AS lifetime_mean, round(a, 6) AS lifetime_p50, round(b, 6) AS lifetime_p75, round(c, 6) AS
+  lifetime_p90, round(e, 6) AS lifetime_p95 FROM p JOIN o USING (y, x) GROUP BY ALL""")
 def monthly_statsmap(spark, d):
     rows = user_tracks(spark, d)
     p = rows.select("track", F.floor(F.col("lat") / 5).alias("y"), F.floor(F.col("lon") / 30).alias("x"), (F.col("area") / 6.0).alias("speed"))
@@ -442,7 +488,9 @@ def unique_track_density(spark, d):
     return C.unique_density(user_tracks(spark, d), F.col("lat") / 4, F.col("lon") / 16)
 
 
-@query(TRACKS_SQL + " SELECT CAST(floor(lat / 10) AS BIGINT) AS a, CAST(floor(lon / 60) AS BIGINT) AS b, count(*) AS n, CASE WHEN count(*) >= 10 THEN round(avg(area), 6) END AS mean, CASE WHEN count(*) >= 10 THEN round(quantile_cont(area, 0.5), 6) END AS median, CASE WHEN count(*) >= 10 THEN max(area) END AS highest, CASE WHEN count(*) >= 10 THEN round(quantile_cont(area, 0.95), 6) END AS p95 FROM tr GROUP BY ALL")
+@query(TRACKS_SQL + """  SELECT CAST(floor(lat / 10) AS BIGINT) AS a, CAST(floor(lon / 60) AS BIGINT) AS b, count(*) AS n, CASE WHEN count(*) >= 10 THEN round(avg(area), 6) END AS mean, CASE
+  WHEN count(*) >= 10 THEN round(quantile_cont(area, 0.5), 6) END AS median, CASE WHEN count(*) >= 10 THEN max(area) END AS highest, CASE WHEN count(*) >= 10 THEN
+  round(quantile_cont(area, 0.95), 6) END AS p95 FROM tr GROUP BY ALL""")
 def box_percentile(spark, d):
     return rounded(C.box_statistics(user_tracks(spark, d), [F.floor(F.col("lat") / 10).alias("a"), F.floor(F.col("lon") / 60).alias("b")], F.col("area"), 10))
 
@@ -452,7 +500,10 @@ def diurnal_cycle(spark, d):
     return rounded(src.table(spark, d, "events").groupBy("event_type", F.hour("ts").alias("hour")).agg(F.avg("value").alias("mean_value"), F.count("*").alias("n")))
 
 
-@query("WITH c AS (SELECT event_type, hour(ts) AS h, avg(value) AS m FROM events GROUP BY ALL), g AS (SELECT event_type, k AS harmonic, 2 * avg(m * cos(2 * pi() * k * h / 24)) AS a, 2 * avg(m * sin(2 * pi() * k * h / 24)) AS b, var_pop(m) AS v FROM c, generate_series(1, 2) AS s(k) GROUP BY ALL) SELECT event_type, harmonic, round(sqrt(a * a + b * b), 6) AS amplitude, round((CASE WHEN atan2(b, a) < 0 THEN atan2(b, a) + 2 * pi() ELSE atan2(b, a) END) / (2 * pi()) * 24 / harmonic, 6) AS peak_hour, round((a * a + b * b) / 2 / nullif(v, 0), 6) AS variance_share FROM g")
+@query("""WITH c AS (SELECT event_type, hour(ts) AS h, avg(value) AS m FROM events GROUP BY ALL), g AS (SELECT event_type, k AS harmonic, 2 * avg(m * cos(2 * pi() * k * h / 24)) AS
+  a, 2 * avg(m * sin(2 * pi() * k * h / 24)) AS b, var_pop(m) AS v FROM c, generate_series(1, 2) AS s(k) GROUP BY ALL) SELECT event_type, harmonic, round(sqrt(a * a + b *
+  b), 6) AS amplitude, round((CASE WHEN atan2(b, a) < 0 THEN atan2(b, a) + 2 * pi() ELSE atan2(b, a) END) / (2 * pi()) * 24 / harmonic, 6) AS peak_hour, round((a * a + b *
+  b) / 2 / nullif(v, 0), 6) AS variance_share FROM g""")
 def diurnal_harmonics(spark, d):
     return rounded(C.harmonics(src.table(spark, d, "events"), ["event_type"], F.hour("ts"), F.col("value"), 2))
 
@@ -460,7 +511,9 @@ def diurnal_harmonics(spark, d):
 SEASON = "CASE WHEN {m} IN (12, 1, 2) THEN 'DJF' WHEN {m} IN (3, 4, 5) THEN 'MAM' WHEN {m} IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END"
 
 
-@query(f"WITH {src.SHIP_SQL} SELECT {SEASON.format(m=MONTH)} AS season, y, CAST(sum(v) AS BIGINT) AS total, CAST(sum(CASE WHEN v > {THR} THEN v ELSE 0 END) AS BIGINT) AS amount, round(avg(CASE WHEN v > {THR} THEN 1.0 ELSE 0.0 END), 6) AS frequency, round(avg(v) FILTER (v > {THR}), 6) AS intensity, round(sum(CASE WHEN v > {THR} THEN v ELSE 0 END) / nullif(sum(v), 0), 6) AS fraction FROM ship GROUP BY ALL")
+@query(f"""WITH {src.SHIP_SQL} SELECT {SEASON.format(m=MONTH)} AS season, y, CAST(sum(v) AS BIGINT) AS total, CAST(sum(CASE WHEN v > {THR} THEN v ELSE 0 END) AS BIGINT) AS amount,
+  round(avg(CASE WHEN v > {THR} THEN 1.0 ELSE 0.0 END), 6) AS frequency, round(avg(v) FILTER (v > {THR}), 6) AS intensity, round(sum(CASE WHEN v > {THR} THEN v ELSE 0 END)
+  / nullif(sum(v), 0), 6) AS fraction FROM ship GROUP BY ALL""")
 def seasonal_ratio(spark, d):
     return rounded(C.seasonal_ratio(src.ship(spark, d), month_of(), ["y"], F.col("v") > THR))
 
@@ -475,7 +528,8 @@ def seasonal_cycle(spark, d):
     return rounded(C.seasonal_cycle(starts))
 
 
-@query(TRACKS_SQL + ", k AS (SELECT track FROM tr GROUP BY track HAVING count(*) BETWEEN 40 AND 60) SELECT t_idx, count(*) AS n, round(avg(area), 6) AS mean, round(quantile_cont(area, 0.25), 6) AS q25, round(quantile_cont(area, 0.5), 6) AS q50, round(quantile_cont(area, 0.75), 6) AS q75 FROM tr JOIN k USING (track) GROUP BY t_idx")
+@query(TRACKS_SQL + """, k AS (SELECT track FROM tr GROUP BY track HAVING count(*) BETWEEN 40 AND 60) SELECT t_idx, count(*) AS n, round(avg(area), 6) AS mean, round(quantile_cont(area, 0.25),
+  6) AS q25, round(quantile_cont(area, 0.5), 6) AS q50, round(quantile_cont(area, 0.75), 6) AS q75 FROM tr JOIN k USING (track) GROUP BY t_idx""")
 def composite_evolution(spark, d):
     return rounded(C.composite(user_tracks(spark, d), F.col("area"), (40, 60)))
 
@@ -485,7 +539,9 @@ def kde1d(spark, d):
     return rounded(C.density(user_tracks(spark, d), F.col("lat"), list(range(-20, 21, 2)), 2.5))
 
 
-@query(TRACKS_SQL + ", f AS (SELECT track FROM tr WHERE t_idx = 0 AND lat BETWEEN -15 AND 15 AND lon BETWEEN 10 AND 350 AND (base_time // 86400) % 12 + 1 IN (5, 6, 7, 8, 9)) SELECT track, count(*) AS lifetime, bool_or(merge_track IS NOT NULL) AS merges, bool_or(split_track IS NOT NULL) AS splits FROM tr SEMI JOIN f USING (track) GROUP BY track HAVING count(*) >= 40")
+@query(TRACKS_SQL + """, f AS (SELECT track FROM tr WHERE t_idx = 0 AND lat BETWEEN -15 AND 15 AND lon BETWEEN 10 AND 350 AND (base_time // 86400) % 12 + 1 IN (5, 6, 7, 8, 9)) SELECT track,
+  count(*) AS lifetime, bool_or(merge_track IS NOT NULL) AS merges, bool_or(split_track IS NOT NULL) AS splits FROM tr SEMI JOIN f USING (track) GROUP BY track HAVING
+  count(*) >= 40""")
 def track_selection(spark, d):
     return C.in_region(user_tracks(spark, d), (-15, 15), (10, 350), 40, [5, 6, 7, 8, 9], F.floor(F.col("base_time") / 86400) % 12 + 1)
 
@@ -493,14 +549,18 @@ def track_selection(spark, d):
 # ---- other grids and columns ----------------------------------------------------------------------
 
 
-@query(f"WITH {src.SHIP_SQL}, grid AS (SELECT y, x, CAST(sum(v) AS BIGINT) AS total FROM ship GROUP BY ALL), {TRACKS_SQL.removeprefix('WITH ')}, p AS (SELECT track, t_idx, lat, lon, CAST(floor((lat + 20) / 1.75 + 0.5) AS INTEGER) AS y, CAST(floor(lon / 16 + 0.5) AS INTEGER) AS x FROM tr) SELECT track, t_idx, y, x, total FROM p JOIN grid USING (y, x) WHERE abs(lat - (-20 + y * 1.75)) <= 0.8 AND abs(lon - x * 16) <= 0.8")
+@query(f"""WITH {src.SHIP_SQL}, grid AS (SELECT y, x, CAST(sum(v) AS BIGINT) AS total FROM ship GROUP BY ALL), {TRACKS_SQL.removeprefix('WITH ')}, p AS (SELECT track, t_idx, lat,
+  lon, CAST(floor((lat + 20) / 1.75 + 0.5) AS INTEGER) AS y, CAST(floor(lon / 16 + 0.5) AS INTEGER) AS x FROM tr) SELECT track, t_idx, y, x, total FROM p JOIN grid USING
+  (y, x) WHERE abs(lat - (-20 + y * 1.75)) <= 0.8 AND abs(lon - x * 16) <= 0.8""")
 def nearest_regrid(spark, d):
     grid = src.ship(spark, d).groupBy("y", "x").agg(F.sum("v").alias("total"))
     points = user_tracks(spark, d).select("track", "t_idx", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     return R.nearest(points, grid, -20.0, 1.75, 0.0, 16.0, 0.8).select("track", "t_idx", "y", "x", "total")
 
 
-@query(f"WITH {src.SHIP_SQL}, w AS (SELECT y, x, CAST(floor((y + a / 2.0) / 4) * 7 + floor((x + b / 2.0) / 4) AS BIGINT) AS dst, count(*) / 4 AS w FROM generate_series(0, 23) AS g(y), generate_series(0, 23) AS h(x), generate_series(0, 1) AS i(a), generate_series(0, 1) AS j(b) GROUP BY ALL) SELECT frame_id, dst, round(sum(w * v) / sum(w), 6) AS v FROM ship JOIN w USING (y, x) GROUP BY ALL")
+@query(f"""WITH {src.SHIP_SQL}, w AS (SELECT y, x, CAST(floor((y + a / 2.0) / 4) * 7 + floor((x + b / 2.0) / 4) AS BIGINT) AS dst, count(*) / 4 AS w FROM generate_series(0, 23) AS
+  g(y), generate_series(0, 23) AS h(x), generate_series(0, 1) AS i(a), generate_series(0, 1) AS j(b) GROUP BY ALL) SELECT frame_id, dst, round(sum(w * v) / sum(w), 6) AS v
+  FROM ship JOIN w USING (y, x) GROUP BY ALL""")
 def weighted_regrid(spark, d):
     return rounded(R.weighted(src.ship(spark, d), R.block_weights(spark, 24, 24, 4)))
 
@@ -519,7 +579,9 @@ def _profile(spark, d):
     return src.emb(spark, d).select("frame_id", "x", F.col("y").alias("z"), (0.5 + F.col("y") * 1.5).alias("height"), (F.col("v") * 100).alias("v"))
 
 
-@query(PROFILE_SQL + ", on_ AS (SELECT frame_id, x, t AS threshold, height, sum(CASE WHEN z - l > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_id, x, t ORDER BY z) AS run FROM (SELECT *, lag(z) OVER (PARTITION BY frame_id, x, t ORDER BY z) AS l FROM prof, (VALUES (2.0::DOUBLE), (8.0::DOUBLE)) AS s(t) WHERE v >= t)) SELECT frame_id, x, threshold, CAST(max(height) AS DOUBLE) AS echo_top FROM on_ WHERE run = 0 GROUP BY ALL")
+@query(PROFILE_SQL + """, on_ AS (SELECT frame_id, x, t AS threshold, height, sum(CASE WHEN z - l > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_id, x, t ORDER BY z) AS run FROM (SELECT *,
+  lag(z) OVER (PARTITION BY frame_id, x, t ORDER BY z) AS l FROM prof, (VALUES (2.0::DOUBLE), (8.0::DOUBLE)) AS s(t) WHERE v >= t)) SELECT frame_id, x, threshold,
+  CAST(max(height) AS DOUBLE) AS echo_top FROM on_ WHERE run = 0 GROUP BY ALL""")
 def echotop(spark, d):
     return V.echo_tops(_profile(spark, d), ["frame_id", "x"], [2.0, 8.0], 2)
 
@@ -537,7 +599,8 @@ def coldpool_depth(spark, d):
     return rounded(V.cold_pool_depth(_profile(spark, d), ["frame_id", "x"], -1.0, 1.0).withColumn("intensity", F.round("intensity", 5)))
 
 
-@query(PROFILE_SQL + ", c AS (SELECT frame_id, x, v, height, lead(v) OVER o AS up, lead(height) OVER o AS h FROM prof WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)) SELECT frame_id, x, round(max(CASE WHEN v > 0 AND up <= 0 THEN height + v / (v - up) * (h - height) END), 6) AS crossing FROM c GROUP BY ALL")
+@query(PROFILE_SQL + """, c AS (SELECT frame_id, x, v, height, lead(v) OVER o AS up, lead(height) OVER o AS h FROM prof WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)) SELECT frame_id, x,
+  round(max(CASE WHEN v > 0 AND up <= 0 THEN height + v / (v - up) * (h - height) END), 6) AS crossing FROM c GROUP BY ALL""")
 def melting_level(spark, d):
     return rounded(V.crossing_height(_profile(spark, d), ["frame_id", "x"]))
 
@@ -574,7 +637,11 @@ def trajectory_smooth(spark, d):
 # ---- further scalars, sources and statistics -----------------------------------------------------
 
 
-@query(f"WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT y, x FROM ship) SELECT y, x, CASE WHEN x % 12 + 1 IN (12, 1, 2) THEN 'DJF' WHEN x % 12 + 1 IN (3, 4, 5) THEN 'MAM' WHEN x % 12 + 1 IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, CAST(CASE WHEN (x * 30 - 180) % 360 < 0 THEN (x * 30 - 180) % 360 + 360 ELSE (x * 30 - 180) % 360 END - 180 AS BIGINT) AS lon, round(2 * sqrt(y * 10 / pi()), 6) AS diameter, round(pow(10, y * 2 / 10.0), 6) AS z, round(10 * log10(x + 1), 6) AS dbz, sqrt(y * y + x * x) <= 10 AS within_10, round(degrees(asin(sin(radians(y + 1)) * cos(x * 50 / 6374.2) + cos(radians(y + 1)) * sin(x * 50 / 6374.2) * cos(radians(x * 15)))), 6) AS lat2, CAST(greatest(y * 1.5 - 10, 0) AS DOUBLE) AS clamped FROM p")
+@query(f"""WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT y, x FROM ship) SELECT y, x, CASE WHEN x % 12 + 1 IN (12, 1, 2) THEN 'DJF' WHEN x % 12 + 1 IN (3, 4, 5) THEN 'MAM' WHEN x % 12
+  + 1 IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, CAST(CASE WHEN (x * 30 - 180) % 360 < 0 THEN (x * 30 - 180) % 360 + 360 ELSE (x * 30 - 180) % 360 END - 180 AS
+  BIGINT) AS lon, round(2 * sqrt(y * 10 / pi()), 6) AS diameter, round(pow(10, y * 2 / 10.0), 6) AS z, round(10 * log10(x + 1), 6) AS dbz, sqrt(y * y + x * x) <= 10 AS
+  within_10, round(degrees(asin(sin(radians(y + 1)) * cos(x * 50 / 6374.2) + cos(radians(y + 1)) * sin(x * 50 / 6374.2) * cos(radians(x * 15)))), 6) AS lat2,
+  CAST(greatest(y * 1.5 - 10, 0) AS DOUBLE) AS clamped FROM p""")
 def scalar_functions(spark, d):
     y, x = F.col("y"), F.col("x")
     lat2, _ = S.destination(y + 1, F.lit(0), x * 50, x * 15)
@@ -589,7 +656,9 @@ def hourly_mean(spark, d):
     return rounded(tb.hourly_mean(e, ["user_id"], "value"))
 
 
-@query(TRACKS_SQL + ", e AS (SELECT track, count(*) AS n, min(base_time) AS t0, max(base_time) AS t1, bool_or(merge_track IS NOT NULL) AS m FROM tr GROUP BY track) SELECT CAST(t0 // 3600 % 24 AS BIGINT) AS start_hour, CAST(t1 // 3600 % 24 AS BIGINT) AS end_hour, count(*) AS n_all, count(*) FILTER (NOT m) AS n_without_merge, count(*) FILTER (n > 50) AS n_long FROM e GROUP BY ALL")
+@query(TRACKS_SQL + """, e AS (SELECT track, count(*) AS n, min(base_time) AS t0, max(base_time) AS t1, bool_or(merge_track IS NOT NULL) AS m FROM tr GROUP BY track) SELECT CAST(t0 // 3600 % 24
+  AS BIGINT) AS start_hour, CAST(t1 // 3600 % 24 AS BIGINT) AS end_hour, count(*) AS n_all, count(*) FILTER (NOT m) AS n_without_merge, count(*) FILTER (n > 50) AS n_long
+  FROM e GROUP BY ALL""")
 def start_end_hours(spark, d):
     e = user_tracks(spark, d).groupBy("track").agg(F.count("*").alias("n"), F.min("base_time").alias("t0"), F.max("base_time").alias("t1"), F.max(F.col("merge_track").isNotNull()).alias("m"))
     hour = lambda c: F.floor(F.col(c) / 3600) % 24
@@ -602,7 +671,9 @@ def last_valid(spark, d):
     return rounded(T.last_valid(rows, ["lat", "lon_east"]))
 
 
-@query(LABELS_SQL + " SELECT frame_id, feature, count(*) FILTER (v > 90) AS conv_px, round(avg(v) FILTER (v > 90), 6) AS conv_mean, CAST(sum(CASE WHEN v > 90 THEN v ELSE 0 END) AS BIGINT) AS conv_total, count(*) FILTER (v <= 90) AS strat_px, round(avg(v) FILTER (v <= 90), 6) AS strat_mean, CAST(sum(CASE WHEN v <= 90 THEN v ELSE 0 END) AS BIGINT) AS strat_total, round(count(*) FILTER (v > 90) / count(*), 6) AS conv_share FROM labels GROUP BY ALL")
+@query(LABELS_SQL + """  SELECT frame_id, feature, count(*) FILTER (v > 90) AS conv_px, round(avg(v) FILTER (v > 90), 6) AS conv_mean, CAST(sum(CASE WHEN v > 90 THEN v ELSE 0 END) AS BIGINT) AS
+  conv_total, count(*) FILTER (v <= 90) AS strat_px, round(avg(v) FILTER (v <= 90), 6) AS strat_mean, CAST(sum(CASE WHEN v <= 90 THEN v ELSE 0 END) AS BIGINT) AS
+  strat_total, round(count(*) FILTER (v > 90) / count(*), 6) AS conv_share FROM labels GROUP BY ALL""")
 def convective_split(spark, d):
     return rounded(T.split_rain(block_labels(spark, d), ["frame_id", "feature"], F.col("v") > 90))
 
@@ -632,12 +703,15 @@ def running_median(spark, d):
     return T.running_median(rows, ["track"], "t_idx", "speed", 3).select("track", "t_idx", "speed_median")
 
 
-@query(PROFILE_SQL + ", c AS (SELECT frame_id, x, max(CASE WHEN height > 5 THEN v END) AS aloft, max(CASE WHEN height <= 5 THEN v END) AS below, max(height) AS top FROM prof GROUP BY ALL) SELECT frame_id, x, CAST(CASE WHEN aloft >= 15 AND top >= 10 THEN 1 WHEN greatest(aloft, below) >= 15 THEN 2 WHEN below >= 7.5 THEN 3 WHEN below > 0 THEN 4 WHEN aloft > 0 THEN 5 ELSE 0 END AS INTEGER) AS sl_class FROM c")
+@query(PROFILE_SQL + """, c AS (SELECT frame_id, x, max(CASE WHEN height > 5 THEN v END) AS aloft, max(CASE WHEN height <= 5 THEN v END) AS below, max(height) AS top FROM prof GROUP BY ALL)
+  SELECT frame_id, x, CAST(CASE WHEN aloft >= 15 AND top >= 10 THEN 1 WHEN greatest(aloft, below) >= 15 THEN 2 WHEN below >= 7.5 THEN 3 WHEN below > 0 THEN 4 WHEN aloft > 0
+  THEN 5 ELSE 0 END AS INTEGER) AS sl_class FROM c""")
 def column_class(spark, d):
     return V.column_class(_profile(spark, d), ["frame_id", "x"], 5.0, 15.0, 10.0)
 
 
-@query(PROFILE_SQL + ", c AS (SELECT *, lead(v) OVER o AS v1, lead(height) OVER o AS h1 FROM prof WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)) SELECT frame_id, x, level, round(v + (v1 - v) * (level - height) / (h1 - height), 5) AS v FROM c, (VALUES (1.0::DOUBLE), (4.0::DOUBLE), (8.5::DOUBLE)) AS l(level) WHERE level >= height AND level < h1")
+@query(PROFILE_SQL + """, c AS (SELECT *, lead(v) OVER o AS v1, lead(height) OVER o AS h1 FROM prof WINDOW o AS (PARTITION BY frame_id, x ORDER BY z)) SELECT frame_id, x, level, round(v + (v1 -
+  v) * (level - height) / (h1 - height), 5) AS v FROM c, (VALUES (1.0::DOUBLE), (4.0::DOUBLE), (8.5::DOUBLE)) AS l(level) WHERE level >= height AND level < h1""")
 def level_interpolation(spark, d):
     return rounded(V.at_levels(_profile(spark, d), ["frame_id", "x"], [1.0, 4.0, 8.5]), 5)
 
@@ -655,7 +729,10 @@ def sparse_dense(spark, d):
     return tb.sparse(tb.dense(rows, ["npix"]), ["npix"])
 
 
-@query(f"WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT frame_id FROM ship), g AS (SELECT p.frame_id, a.y, b.x, coalesce(s.v, 0) AS v, s.v IS NULL AS missing FROM p, generate_series(0, 23) AS a(y), generate_series(0, 23) AS b(x) LEFT JOIN ship s ON s.frame_id = p.frame_id AND s.y = a.y AND s.x = b.x), n AS (SELECT g.frame_id, g.y, g.x, coalesce(h.v, 0) AS v FROM g, generate_series(-1, 1) AS i(dy), generate_series(-1, 1) AS j(dx) LEFT JOIN g h ON h.frame_id = g.frame_id AND h.y = g.y + dy AND h.x = g.x + dx WHERE g.missing) SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(median(v) AS DOUBLE) AS filled FROM n GROUP BY ALL")
+@query(f"""WITH {src.SHIP_SQL}, p AS (SELECT DISTINCT frame_id FROM ship), g AS (SELECT p.frame_id, a.y, b.x, coalesce(s.v, 0) AS v, s.v IS NULL AS missing FROM p,
+  generate_series(0, 23) AS a(y), generate_series(0, 23) AS b(x) LEFT JOIN ship s ON s.frame_id = p.frame_id AND s.y = a.y AND s.x = b.x), n AS (SELECT g.frame_id, g.y,
+  g.x, coalesce(h.v, 0) AS v FROM g, generate_series(-1, 1) AS i(dy), generate_series(-1, 1) AS j(dx) LEFT JOIN g h ON h.frame_id = g.frame_id AND h.y = g.y + dy AND h.x =
+  g.x + dx WHERE g.missing) SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(median(v) AS DOUBLE) AS filled FROM n GROUP BY ALL""")
 def median_fill(spark, d):
     from ..functions import kernels as K
 
@@ -670,7 +747,10 @@ def bounding_boxes(spark, d):
     return T.boxes(block_labels(spark, d), 24)
 
 
-@query(LABELS_SQL + ", w AS (SELECT frame_id, feature, y, (x + 20) % 24 AS x FROM labels), c AS (SELECT DISTINCT frame_id, feature, x FROM w), g AS (SELECT frame_id, feature, coalesce(lead(x) OVER o, first_value(x) OVER o + 24) AS nxt, x FROM c WINDOW o AS (PARTITION BY frame_id, feature ORDER BY x)), m AS (SELECT frame_id, feature, arg_max(nxt, (nxt - x) * 100 + nxt) AS nxt, max(nxt - x) AS gap FROM g GROUP BY ALL) SELECT m.frame_id, m.feature, min(y) AS y0, max(y) AS y1, any_value(nxt % 24) AS x0, any_value(nxt % 24 + 24 - gap) AS x1 FROM m JOIN w USING (frame_id, feature) GROUP BY ALL")
+@query(LABELS_SQL + """, w AS (SELECT frame_id, feature, y, (x + 20) % 24 AS x FROM labels), c AS (SELECT DISTINCT frame_id, feature, x FROM w), g AS (SELECT frame_id, feature, coalesce(lead(x)
+  OVER o, first_value(x) OVER o + 24) AS nxt, x FROM c WINDOW o AS (PARTITION BY frame_id, feature ORDER BY x)), m AS (SELECT frame_id, feature, arg_max(nxt, (nxt - x) *
+  100 + nxt) AS nxt, max(nxt - x) AS gap FROM g GROUP BY ALL) SELECT m.frame_id, m.feature, min(y) AS y0, max(y) AS y1, any_value(nxt % 24) AS x0, any_value(nxt % 24 + 24 -
+  gap) AS x1 FROM m JOIN w USING (frame_id, feature) GROUP BY ALL""")
 def wrapped_boxes(spark, d):
     labels = block_labels(spark, d).withColumn("x", ((F.col("x") + 20) % 24).cast("int"))
     return T.boxes(labels, 24, wrap=True)
@@ -681,7 +761,9 @@ def tracks_started(spark, d):
     return rounded(T.started_between(user_tracks(spark, d), 1704067200, 1704110400).select("track", "t_idx", "lat"))
 
 
-@query(f"WITH {src.SHIP_SQL} SELECT c.frame_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, round(sum(coalesce(v, 0)) / 9, 6) AS c FROM (SELECT DISTINCT frame_id FROM ship) c, generate_series(0, 7) AS a(gy), generate_series(0, 7) AS b(gx) LEFT JOIN ship s ON s.frame_id = c.frame_id AND s.y // 3 = gy AND s.x // 3 = gx GROUP BY ALL HAVING sum(coalesce(v, 0)) > 0")
+@query(f"""WITH {src.SHIP_SQL} SELECT c.frame_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x, round(sum(coalesce(v, 0)) / 9, 6) AS c FROM (SELECT DISTINCT frame_id FROM
+  ship) c, generate_series(0, 7) AS a(gy), generate_series(0, 7) AS b(gx) LEFT JOIN ship s ON s.frame_id = c.frame_id AND s.y // 3 = gy AND s.x // 3 = gx GROUP BY ALL
+  HAVING sum(coalesce(v, 0)) > 0""")
 def strided_mean(spark, d):
     from ..functions import kernels as K
 
