@@ -136,6 +136,12 @@ def symmetric_positions(n: int) -> list[int]:
     return list(range(-(n // 2), n - n // 2))
 
 
+def echo_type(dbz: Column, core: Column, low: float, weak: float) -> Column:
+    """0 without a valid value, else 3 stratiform, 4 a convective core, 2 weak (between the two limits, a core too), 1 none at the surface (under ``low``)."""
+    kind = F.when(dbz < low, 1).when((dbz > low) & (dbz < weak), 2).when(core, 4).otherwise(3)
+    return F.when(dbz.isNotNull(), kind).otherwise(0)
+
+
 def frame_name(prefix: str, seconds: Column, form: str = "yyyyMMdd_HHmmss") -> Column:
     """The name of a frame's file: prefix, date and time, .parquet."""
     return F.concat(F.lit(prefix), F.date_format(F.timestamp_seconds(seconds), form), F.lit(".parquet"))

@@ -199,6 +199,17 @@ def absorbed(labels: DataFrame, rain: DataFrame) -> DataFrame:
     return own.unionByName(bare.join(moves.where("pf IS NOT NULL").drop("feature"), ["frame_id", "pf"]).select("frame_id", "y", "x", F.col("into").alias("feature")))
 
 
+def clouds_with_rain(pixels: DataFrame, rain: DataFrame, shape: tuple[int, int], cold: dict, rain_over: float, rain_smooth: int, least: float = 0, wrap: bool = False) -> DataFrame:
+    """Cold clouds (:func:`label_and_grow` with the settings ``cold``) that rain features join, numbered by size: (frame_id, y, x, feature, npix).
+
+    Rain features are connected pixels over ``rain_over`` of the smoothed ``rain`` (frame_id, y, x, v).
+    """
+    clouds = label_and_grow(pixels, shape, wrap=wrap, **cold)
+    wet = smoothed(rain, shape, rain_smooth).withColumnRenamed("s", "v") if rain_smooth > 1 else rain
+    features = threshold_labels(wet, shape, rain_over, wrap=wrap).withColumnRenamed("feature", "pf")
+    return renumbered(absorbed(clouds, features), least)
+
+
 def renumbered_with(labels: DataFrame, other: DataFrame, least: float = 0) -> tuple[DataFrame, DataFrame]:
     """``labels`` by :func:`renumbered`, and a second mask (frame_id, y, x, feature) with the same old numbers given the same new ones; objects that go are gone from both."""
     new = renumbered(labels, least)

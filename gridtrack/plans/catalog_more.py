@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -207,3 +208,31 @@ def storm_classes(spark, d):
     v = F.col("v") * 250 + 18
     volume = src.emb(spark, d).select(F.floor(F.col("frame_id") / 16).alias("frame_id"), F.col("y").alias("z"), (F.col("frame_id") % 16).cast("int").alias("y"), "x", F.when(v > -10, v).alias("v"))
     return I.storm_classes(volume, (8, 16, 8), [0.5 + 1.5 * k for k in range(8)], 4.0, 1)
+
+
+STEINER = """z AS (SELECT frame_id, y, x, v / 2.0 AS dbz, pow(10, v / 20.0) AS lin FROM ship WHERE v >= 10),
+b AS (SELECT a.frame_id, a.y, a.x, a.dbz, 10 * log10(avg(c.lin)) AS bkg FROM z a JOIN z c ON c.frame_id = a.frame_id AND (c.y - a.y) * (c.y - a.y) + (c.x - a.x) * (c.x - a.x) <= 9 GROUP BY ALL)"""
+
+
+@query(f"""WITH {src.SHIP_SQL}, {STEINER}
+SELECT s.frame_id, s.y, s.x, CAST(CASE WHEN dbz IS NULL THEN 0 WHEN dbz < 8 THEN 1 WHEN dbz > 8 AND dbz < 15 THEN 2
+  WHEN dbz >= 45 OR dbz - bkg >= CASE WHEN bkg < 0 THEN 8 WHEN bkg < 64 THEN 8 * cos(pi() * bkg / 128) ELSE 0 END THEN 4 ELSE 3 END AS INTEGER) AS kind
+FROM ship s LEFT JOIN b ON b.frame_id = s.frame_id AND b.y = s.y AND b.x = s.x""")
+def steiner_classes(spark, d):
+    from ..functions import kernels as K
+
+    def kernel(a):
+        return K.background(np.nan_to_num(a), ~np.isnan(a), 3)
+
+    p = src.ship(spark, d).select("frame_id", "y", "x", F.when(F.col("v") >= 10, F.col("v") / 2).alias("v"))
+    both = p.join(I.by_frame(p, (24, 24), kernel, out="frame_id long, y int, x int, bkg double"), ["frame_id", "y", "x"], "left")
+    core = (F.col("v") >= 45) | (F.col("v") - F.col("bkg") >= S.convective_peakedness(F.col("bkg")))
+    return both.select("frame_id", "y", "x", S.echo_type(F.col("v"), core, 8.0, 15.0).alias("kind"))
+
+
+@query()
+def clouds_with_rain(spark, d):
+    """Cold clouds of the monthly frames, joined by features of the item counts."""
+    p = src.ship(spark, d)
+    rain = p.select("frame_id", "y", "x", F.col("v2").cast("double").alias("v"))
+    return I.clouds_with_rain(p, rain, (24, 24), {"core": 25, "cold": 45, "least_core": 2, "least_cold": 2}, 3.0, 3)

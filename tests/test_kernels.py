@@ -251,3 +251,65 @@ def test_storm_classes_equal_column_by_column():
         assert (got == plain_storm_class(v, z, 4.0, 2)).all()
         found |= set(np.unique(got).tolist())
     assert found == {0, 1, 2, 3, 4, 5}
+
+
+def test_flooding_equals_pixel_by_pixel():
+    """By a list that is searched for its highest, oldest pixel each time."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        v = rng.random((11, 13))
+        mask = v > 0.2
+        marks = K.local_maxima(v, 2, 0.5)
+        out, todo = np.zeros(v.shape, int), []
+        for k, (y, x) in enumerate(marks, 1):
+            out[y, x] = k
+            todo.append((y, x))
+        seen = set(todo)
+        order = {p: k for k, p in enumerate(todo)}
+        while todo:
+            p = min(todo, key=lambda q: (-v[q], order[q]))
+            todo.remove(p)
+            around = [(p[0] + dy, p[1] + dx) for dy, dx in K.CROSS if 0 <= p[0] + dy < 11 and 0 <= p[1] + dx < 13]
+            if not out[p]:
+                near = {out[q] for q in around if out[q]}
+                if len(near) > 1:
+                    continue
+                out[p] = near.pop()
+            for q in around:
+                if mask[q] and q not in seen:
+                    seen.add(q)
+                    order[q] = len(order)
+                    todo.append(q)
+        assert (K.watershed(v, marks, mask) == out).all() and len(marks) > 2
+
+
+def test_maxima_are_apart_and_highest():
+    for wrap in (False, True):
+        rng = np.random.default_rng(4)
+        v = rng.integers(0, 30, (20, 24)).astype(float)
+        got = K.local_maxima(v, 3, 5, wrap)
+        gap = lambda a, b: min(abs(a - b), 24 - abs(a - b)) if wrap else abs(a - b)
+        for y, x in got:
+            assert all(v[b, a] <= v[y, x] for b in range(20) for a in range(24) if abs(b - y) <= 3 and gap(a, x) <= 3)
+        assert all(max(abs(y - b), gap(x, a)) > 3 for i, (y, x) in enumerate(got) for b, a in got[:i])
+
+
+def test_paths_without_outliers_by_loops():
+    """The kept points are those within the speed of the last kept one, from the best of three starts."""
+    km = lambda a, b, c, d: float(np.hypot(a - c, b - d) * 111)
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        t = np.arange(12) * 3600
+        lat, lon = np.cumsum(rng.normal(0, 0.2, 12)), np.cumsum(rng.normal(0, 0.2, 12))
+        lat[rng.integers(0, 12, 2)] += 9
+        tries = []
+        for first in range(3):
+            keep = [first]
+            for i in range(first + 1, 12):
+                if km(lat[keep[-1]], lon[keep[-1]], lat[i], lon[i]) <= 100 * (t[i] - t[keep[-1]]) / 3600:
+                    keep.append(i)
+            tries.append((first > 0, 12 - len(keep), keep))
+        keep = min(tries, key=lambda x: x[:2])[2]
+        a, b = K.smoothed_path(t, lat, lon, 100.0, km)
+        np.testing.assert_allclose(a, np.interp(t, t[keep], lat[keep]))
+        np.testing.assert_allclose(b, np.interp(t, t[keep], lon[keep]))

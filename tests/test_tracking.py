@@ -165,3 +165,30 @@ def test_numbers_by_order_without_one_task(spark):
     rows = spark.range(0, 5000, 1, 13).selectExpr("(id * 7919) % 5003 AS k")
     got = [(r.k, r.n) for r in scratch.numbered(rows, "k", "n").collect()]
     assert sorted(n for _, n in got) == list(range(1, 5001)) and [k for k, _ in sorted(got, key=lambda x: x[1])] == sorted(k for k, _ in got)
+
+
+def test_sphere_cells_have_equal_areas(spark):
+    """Each of the 48 cells of order 1 holds its share of evenly spread points, and finer cells lie within them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from gridtrack.operators import regrid
+
+    n = 48000
+    k = np.arange(n) + 0.5
+    lat, lon = np.degrees(np.arcsin(1 - 2 * k / n)), np.degrees(np.pi * (1 + 5**0.5) * k) % 360
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lat, lon)], "lat double, lon double")
+    cells = df.select(regrid.sphere_cell(F.col("lat"), F.col("lon"), 1).alias("c"), regrid.sphere_cell(F.col("lat"), F.col("lon"), 3).alias("f"))
+    count = {r.c: r["count"] for r in cells.groupBy("c").count().collect()}
+    assert set(count) == set(range(48)) and all(abs(v - n / 48) < 0.06 * n / 48 for v in count.values())
+    assert cells.where("f div 16 <> c").count() == 0 and cells.select("f").distinct().count() == 768
+
+
+def test_clouds_with_rain(spark):
+    from gridtrack.operators import identify as I
+
+    cold = [(0, y, x, 20.0) for y in range(2, 6) for x in [*range(2, 8), *range(10, 13)]]
+    rain = [(0, 3, x, 9.0) for x in range(6, 12)]
+    schema = "frame_id long, y int, x int, v double"
+    got = I.clouds_with_rain(spark.createDataFrame(cold, schema), spark.createDataFrame(rain, schema), (10, 16), {"core": 25, "cold": 45, "least_core": 2, "least_cold": 2}, 5.0, 1)
+    assert {(r.y, r.x): (r.feature, r.npix) for r in got.collect()} == {(y, x): (1, 38) for _, y, x, _ in cold + rain}
