@@ -304,8 +304,12 @@ def _in_cuts(large: DataFrame, length: int) -> DataFrame:
 
 
 def _found(docs: DataFrame, least: int, q: int, passage: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The stored anchors, contexts and contexts with their bytes."""
-    rows = stored(anchored(docs, least, q, passage), "anchors")
+    """The stored rows of anchors that occur twice or more, their contexts, and the contexts with their bytes."""
+    each = stored(anchored(docs, least, q, passage), "anchors")
+    # Most anchors occur once: they go before anything but their hash moves.
+    twice = stored(each.groupBy("a").agg(F.count("*").alias("places")).where("places > 1").select("a"), "twice")
+    rows = stored(each.join(twice.hint("merge"), "a", "left_semi"), "anchors")
+    released(each, twice)
     every = stored(contexts(rows), "contexts")
     return rows, every, stored(_with_bytes(docs, every.where("size > 1"), passage), "edges")
 
