@@ -91,10 +91,21 @@ def near_in_time(left: DataFrame, right: DataFrame, time: str, seconds: int) ->
     return a.join(b, "_b").where(F.abs(F.col(time) - F.col(f"{time}_right")) < seconds).drop("_b")
 
 
-def rain_stats(pixels: DataFrame, heavy: float, top: int) -> DataFrame:
-    """For the ``top`` largest rain features of each object: size, mean, highest, skewness, heavy amount, 95th percentile."""
+def rain_totals(pixels: DataFrame, heavy: float, wet: float = 0.0) -> DataFrame:
+    """(frame_id, feature, total_rain, total_heavyrain, rain_npix, max_rain, max_y, max_x): amounts over the whole object, whether in a rain feature or not, and the place of its highest rain (first in raster order on ties)."""
     v = F.col("v").cast("double")
-    f = pixels.groupBy("frame_id", "feature", "pf").agg(F.count("*").alias("pf_npix"), F.avg(v).alias("pf_rainrate"), F.max(v).alias("pf_maxrate"), F.skewness(v).alias("pf_skewness"), F.sum(v).alias("pf_accum"), F.sum(F.when(v > heavy, v).otherwise(0)).alias("pf_heavy"), F.percentile(v, 0.95).alias("pf_p95"))
+    g = pixels.groupBy("frame_id", "feature").agg(
+        F.sum(F.when(v > wet, v).otherwise(0)).alias("total_rain"), F.sum(F.when(v > heavy, v).otherwise(0)).alias("total_heavyrain"),
+        F.sum((v > wet).cast("long")).alias("rain_npix"), F.max(v).alias("max_rain"), F.min_by(F.struct("y", "x"), F.struct(-v, "y", "x")).alias("_at"),
+    )
+    return g.withColumns({"max_y": F.col("_at.y"), "max_x": F.col("_at.x")}).drop("_at")
+
+
+def rain_stats(pixels: DataFrame, heavy: float, top: int, land: str | None = None) -> DataFrame:
+    """For the ``top`` largest rain features of each object: size, mean, highest, skewness, heavy amount, 95th percentile; with a column ``land``, its share of land."""
+    v = F.col("v").cast("double")
+    f = pixels.groupBy("frame_id", "feature", "pf").agg(F.count("*").alias("pf_npix"), F.avg(v).alias("pf_rainrate"), F.max(v).alias("pf_maxrate"), F.skewness(v).alias("pf_skewness"), F.sum(v).alias("pf_accum"), F.sum(F.when(v > heavy, v).otherwise(0)).alias("pf_heavy"), F.percentile(v, 0.95).alias("pf_p95"),
+        *([F.avg((F.col(land) > 0).cast("double")).alias("pf_landfrac")] if land else []))
     order = Window.partitionBy("frame_id", "feature").orderBy(F.desc("pf_npix"), "pf")
     return f.withColumn("pf_rank", F.row_number().over(order).cast("long")).where(F.col("pf_rank") <= top)
 

@@ -236,3 +236,16 @@ def clouds_with_rain(spark, d):
     p = src.ship(spark, d)
     rain = p.select("frame_id", "y", "x", F.col("v2").cast("double").alias("v"))
     return I.clouds_with_rain(p, rain, (24, 24), {"core": 25, "cold": 45, "least_core": 2, "least_cold": 2}, 3.0, 3)
+
+
+@query(LABELS_SQL + """ SELECT frame_id, feature, CAST(sum(CASE WHEN v > 65 THEN v ELSE 0 END) AS DOUBLE) AS total_rain, CAST(sum(CASE WHEN v > 100 THEN v ELSE 0 END) AS DOUBLE) AS total_heavyrain,
+  count(*) FILTER (v > 65) AS rain_npix, CAST(max(v) AS DOUBLE) AS max_rain, arg_min(y, (-v) * 10000 + y * 100 + x) AS max_y, arg_min(x, (-v) * 10000 + y * 100 + x) AS max_x FROM labels GROUP BY ALL""")
+def pf_totals(spark, d):
+    return T.rain_totals(block_labels(spark, d), 100, 65)
+
+
+@query(LABELS_SQL + f""", {GRID_SQL}, p AS (SELECT frame_id, feature, y % 8 // 4 * 2 + x % 8 // 4 AS pf, count(*) AS n, avg(land) AS landfrac FROM labels JOIN grid USING (y, x) GROUP BY ALL)
+SELECT frame_id, feature, CAST(pf AS BIGINT) AS pf, round(landfrac, 6) AS pf_landfrac, row_number() OVER (PARTITION BY frame_id, feature ORDER BY n DESC, pf) AS pf_rank FROM p QUALIFY pf_rank <= 2""")
+def pf_land(spark, d):
+    rows = T.rain_stats(G.on_grid(_pf(spark, d), _grid(spark), ["land"]), 100, 2, "land")
+    return rounded(rows.select("frame_id", "feature", "pf", "pf_landfrac", "pf_rank"))

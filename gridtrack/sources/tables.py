@@ -61,6 +61,19 @@ def write(df: DataFrame, path: str, partition: list[str] | None = None, sort: li
     (w.partitionBy(*partition) if partition else w).parquet(path)
 
 
+def write_run(tables: dict[str, DataFrame], frames: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Each table of a run in a folder of its own: those with frames by date, sorted by frame inside files; the others as they are.
+
+    ``frames`` (frame_id, base_time); a mode of ``ignore`` leaves tables that are there already.
+    """
+    days = frames.select("frame_id", F.to_date(F.timestamp_seconds("base_time")).alias("date"))
+    for name, df in tables.items():
+        if "frame_id" in df.columns:
+            write(df.join(days, "frame_id"), f"{path}/{name}", ["date"], ["frame_id"], mode)
+        else:
+            write(df, f"{path}/{name}", mode=mode)
+
+
 def published(df: DataFrame, preset: str, rename: dict[str, str] | None = None) -> DataFrame:
     """The columns of a preset, renamed."""
     for a, b in (rename or {}).items():

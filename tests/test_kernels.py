@@ -313,3 +313,20 @@ def test_paths_without_outliers_by_loops():
         a, b = K.smoothed_path(t, lat, lon, 100.0, km)
         np.testing.assert_allclose(a, np.interp(t, t[keep], lat[keep]))
         np.testing.assert_allclose(b, np.interp(t, t[keep], lon[keep]))
+
+
+def test_even_box_has_half_weight_at_its_rim():
+    rng = np.random.default_rng(3)
+    v = rng.random((7, 8))
+    v[2, 3] = np.nan
+    got = K.box_mean(v, 4)
+    weight = np.array([0.5, 1, 1, 1, 0.5])
+    for y in range(7):
+        for x in range(8):
+            total = n = 0.0
+            for i, dy in enumerate(range(-2, 3)):
+                for j, dx in enumerate(range(-2, 3)):
+                    a = v[min(max(y + dy, 0), 6), min(max(x + dx, 0), 7)]
+                    if not np.isnan(a):
+                        total, n = total + weight[i] * weight[j] * a, n + weight[i] * weight[j]
+            assert np.isnan(got[y, x]) if (y, x) == (2, 3) else abs(got[y, x] - total / n) < 1e-12

@@ -105,3 +105,25 @@ def test_calendars(spark):
     assert day(2000, 3, 1, "noleap") - day(2000, 2, 28, "noleap") == 86400
     assert day(2000, 3, 1, "360_day") - day(2000, 2, 1, "360_day") == 30 * 86400
     assert day(1970, 1, 2, "standard") == 86400
+
+
+def test_run_is_written_by_date(spark, tmp_path):
+    from gridtrack.sources import tables
+
+    frames = spark.createDataFrame([(0, 0), (1, 86400), (2, 90000)], "frame_id long, base_time long")
+    labels = spark.createDataFrame([(k, 1, x, 1) for k in range(3) for x in range(4)], "frame_id long, y int, x int, feature long")
+    once = spark.createDataFrame([(1, 3)], "track long, duration long")
+    tables.write_run({"labels": labels, "tracks": once}, frames, f"{tmp_path}/run")
+    back = spark.read.parquet(f"{tmp_path}/run/labels")
+    assert {(str(r.date), r.frame_id) for r in back.collect()} == {("1970-01-01", 0), ("1970-01-02", 1), ("1970-01-02", 2)} and back.count() == 12
+    tables.write_run({"tracks": once.limit(0)}, frames, f"{tmp_path}/run", mode="ignore")
+    assert spark.read.parquet(f"{tmp_path}/run/tracks").count() == 1
+
+
+def test_guards_stop_a_run(spark):
+    from gridtrack.operators import tracks
+
+    rows = spark.createDataFrame([(0, k) for k in range(5)] + [(1, 0)], "frame_id long, feature long")
+    assert tracks.guarded(rows, ["frame_id"], 5, "objects").count() == 6
+    with pytest.raises(Exception, match="over 4 objects: 5"):
+        tracks.guarded(rows, ["frame_id"], 4, "objects").count()
