@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, collocations, decontam, langid, licences, mixing, quality, repeats, secrets, simhash, toxicity, trie
+from . import chunks, collocations, decontam, jaccard, langid, licences, mixing, quality, repeats, secrets, simhash, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,14 +58,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under a similarity of 85 % of 4-word shingle sets; see :func:`jaccard.joined`."""
+    return jaccard.joined(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of the rebuilt conversations, a row for each node; see :func:`trie.trie`."""
     return trie.trie(_table(spark, sf_dir, "conversations")).drop("preorder", "preorder_end")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_chunks, op3_mixing, op4_repeats, op5_langid, op6_quality, op7_decontam, op8_secrets, op9_licences, op10_toxicity, op11_collocations, op13_trie)}
+    return {f.__name__: f for f in (op1_simhash, op2_chunks, op3_mixing, op4_repeats, op5_langid, op6_quality, op7_decontam, op8_secrets, op9_licences, op10_toxicity, op11_collocations, op12_jaccard, op13_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": quality.oracle(), "op9_licences": licences.oracle(), "op11_collocations": collocations.oracle(), "op13_trie": trie.oracle()}
+    return {"op6_quality": quality.oracle(), "op9_licences": licences.oracle(), "op11_collocations": collocations.oracle(), "op12_jaccard": jaccard.oracle(), "op13_trie": trie.oracle()}
