@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections import Counter
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -23,16 +24,16 @@ FILTER = 1 << 25
 
 
 class _Combined:
-    """Weights by (lang, key), given out as record batches whenever COMBINED keys are held."""
+    """Weights by (lang, key), given out as record batches whenever ``most`` keys are held."""
 
-    def __init__(self, schema: pa.Schema):
-        self.schema, self.held = schema, {}
+    def __init__(self, schema: pa.Schema, most: int):
+        self.schema, self.most, self.held = schema, most, {}
 
     def of(self, lang: str) -> Counter:
         return self.held.setdefault(lang, Counter())
 
-    def batches(self, least: int = COMBINED):
-        if sum(map(len, self.held.values())) < max(least, 1):
+    def batches(self, rest: bool = False):
+        if not rest and sum(map(len, self.held.values())) < self.most:
             return
         for lang, held in self.held.items():
             keys, n = list(held), list(held.values())
@@ -52,42 +53,44 @@ def pieces(docs: DataFrame) -> DataFrame:
     Pieces end at ``.,;:!?`` and line ends; pieces without words are left out.  Null texts have none, a null lang is ``und``.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    most = COMBINED
 
     def kernel(batches):
-        out = _Combined(_schema("piece"))
+        out = _Combined(_schema("piece"), most)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 found = text.translate(_PLAIN).split(b"\n")
                 out.of(lang).update(x for x in (b" ".join(p.split(b" ")) if b"  " not in p else b" ".join(p.split()) for p in map(bytes.strip, found)) if x)
                 yield from out.batches()
-        yield from out.batches(0)
+        yield from out.batches(rest=True)
 
     return rows.mapInArrow(kernel, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def _bits(keys: list[bytes]) -> np.ndarray:
-    """Two places in the filter for each key."""
+def _places(keys: list[bytes], size: int) -> np.ndarray:
+    """Two places in a filter of ``size`` bits for each key."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-    return np.stack([h % np.uint64(FILTER), (h >> np.uint64(32)) % np.uint64(FILTER)])
+    return np.stack([h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size)])
 
 
 def filter_of(grams: DataFrame) -> np.ndarray:
     """FILTER bits, of which those of every gram in column gram (any lang) are set.  What comes to the driver are the filter's words of 32 bits that are not 0, a million at most."""
+    size = FILTER
 
     def kernel(batches):
         for b in batches:
-            at = np.unique(_bits(b.column(0).cast(pa.binary()).to_pylist()).ravel())
+            at = np.unique(_places(b.column(0).cast(pa.binary()).to_pylist(), size).ravel())
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int64)), pa.array((np.int64(1) << (at & np.uint64(31)).astype(np.int64)))], names=["at", "bit"])
 
     words = grams.select("gram").mapInArrow(kernel, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
-    out = np.zeros(FILTER >> 5, np.uint32)
+    out = np.zeros(size >> 5, np.uint32)
     out[words["at"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
 def _held(bits: np.ndarray, keys: list[bytes]) -> np.ndarray:
     """Which keys may be in the filter."""
-    at = _bits(keys)
+    at = _places(keys, 32 * len(bits))
     return (((bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)) == 1).all(0)
 
 
@@ -97,29 +100,38 @@ def windows(distinct: DataFrame, shortest: int, longest: int, bits=None, part: i
     All n-grams that begin at the word are beginnings of the stretch.  Rows of one stretch are combined within a task, weighted by the pieces' multiplicities.
     """
 
+    held_most = COMBINED
+
     def kernel(batches):
-        out, known = _Combined(_schema("gram")), bits.value if bits is not None else None
+        out, known = _Combined(_schema("gram"), held_most), bits.value if bits is not None else None
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                rows = b.slice(at, 512)
+            for at in range(0, b.num_rows, 2048):
+                rows = b.slice(at, 2048)
                 words = [p.split(b" ") for p in rows.column(1).cast(pa.binary()).to_pylist()]
-                if known is not None:
-                    ok = iter(_held(known, [b" ".join(w[i : i + part]) for w in words for i in range(len(w) - part + 1)]).tolist())
-                for lang, w, n in zip(rows.column(0).to_pylist(), words, rows.column(2).to_pylist()):
-                    held, size = out.of(lang), len(w)
-                    if known is None:
-                        for x in w:
-                            held[x] += n
-                        continue
-                    good = [next(ok) for _ in range(size - part + 1)]
-                    run = 0  # of good parts that begin at i, i + 1 and so on
-                    for i in range(size - part, -1, -1):
-                        run = run + 1 if good[i] else 0
-                        most = min(run + part - 1, longest)
-                        if run and most >= shortest:
-                            held[b" ".join(w[i : i + most])] += n
+                flat, sizes = list(chain.from_iterable(words)), np.fromiter(map(len, words), np.int64, len(words))
+                ends = np.repeat(sizes.cumsum(), sizes)
+                places = np.arange(len(flat))
+                if known is None:
+                    most = np.ones(len(flat), np.int64)
+                else:
+                    whole = np.flatnonzero(places + part <= ends)
+                    good = np.zeros(len(flat) + 1, bool)
+                    good[whole] = _held(known, [flat[i] for i in whole] if part == 1 else [b" ".join(flat[i : i + part]) for i in whole])
+                    # The next place from each on whose part is not good; up to there every part is.
+                    bad = np.where(good, len(flat), np.arange(len(flat) + 1))
+                    run = np.minimum.accumulate(bad[::-1])[::-1][:-1] - places
+                    most = np.where(run > 0, np.minimum(np.minimum(run + part - 1, ends - places), longest), 0)
+                of = np.repeat(np.arange(len(words)), sizes)
+                langs = rows.column(0).dictionary_encode()
+                code, weight = langs.indices.to_numpy()[of], rows.column(2).to_numpy()[of]
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    mine, held = (code == k) & (most >= shortest), out.of(lang)
+                    once = np.flatnonzero(mine & (weight == 1))
+                    held.update([flat[i] for i in once] if longest == 1 else [b" ".join(flat[i : i + m]) for i, m in zip(once.tolist(), most[once].tolist())])
+                    for i in np.flatnonzero(mine & (weight > 1)).tolist():
+                        held[b" ".join(flat[i : i + most[i]])] += int(weight[i])
                 yield from out.batches()
-        yield from out.batches(0)
+        yield from out.batches(rest=True)
 
     return distinct.select("lang", "piece", "n").mapInArrow(kernel, "lang string, gram string, n long")
 

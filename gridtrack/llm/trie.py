@@ -62,23 +62,27 @@ def rebuilt(turns: DataFrame, splice: int = 6, of: int = 100) -> tuple[DataFrame
     return convs.select("c"), opening.union(own)
 
 
-def _pieces(batches):
-    """(m, d, first, piece) of rows (m, d, c) in order: the decimal c of a node, joined by commas, cut where a piece is full or a batch ends."""
-    for b in batches:
-        out = []
-        rows = zip(*(b.column(k).to_pylist() for k in range(3)))
+def _pieces(most: int):
+    """Kernel from rows (m, d, c) in order to (m, d, first, piece): the decimal c of a node, joined by commas, cut after ``most`` bytes and where a batch ends."""
+
+    def cut(rows):
         for (m, d), group in groupby(rows, lambda x: x[:2]):
-            held, size, first = [], 0, None
+            held, size = [], 0
             for _, _, c in group:
-                first = c if first is None else first
-                held.append(str(c))
-                size += len(held[-1]) + 1
-                if size > PIECE:
-                    out.append((m, d, first, ",".join(held)))
-                    held, size, first = [], 0, None
+                held.append(c)
+                size += len(str(c)) + 1
+                if size > most:
+                    yield m, d, held[0], ",".join(map(str, held))
+                    held, size = [], 0
             if held:
-                out.append((m, d, first, ",".join(held)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["m", "d", "first", "piece"])
+                yield m, d, held[0], ",".join(map(str, held))
+
+    def kernel(batches):
+        for b in batches:
+            out = list(cut(zip(*(b.column(k).to_pylist() for k in range(3)))))
+            yield pa.RecordBatch.from_pylist([dict(zip(_PIECES.names, x)) for x in out], schema=_PIECES)
+
+    return kernel
 
 
 def _hashed(batches):
@@ -99,6 +103,7 @@ def _hashed(batches):
         yield pa.RecordBatch.from_pylist([{"m": at[0], "d": at[1], "sha": sha.hexdigest()}], schema=_SHA)
 
 
+_PIECES = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("first", pa.int64()), ("piece", pa.string())])
 _SHA = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("sha", pa.string())])
 
 
@@ -108,7 +113,7 @@ def ends_hashed(ends: DataFrame) -> DataFrame:
     Sorting and joining them to pieces is spread over ranges; only the pieces of a node, a row for some thousands of
     conversations, come to one task, as a stream.
     """
-    pieces = ends.repartitionByRange("m", "d", "c").sortWithinPartitions("m", "d", "c").mapInArrow(_pieces, "m long, d long, first long, piece string")
+    pieces = ends.repartitionByRange("m", "d", "c").sortWithinPartitions("m", "d", "c").mapInArrow(_pieces(PIECE), "m long, d long, first long, piece string")
     pieces = stored(pieces, "pieces")
     return pieces.repartition("m", "d").sortWithinPartitions("m", "d", "first").mapInArrow(_hashed, "m long, d long, sha string")
 
