@@ -5,16 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored
+from .common import connected_components, released, stored
 from .simhash import company
 
 #: 64-bit words of a set's parity bitmap.
 WORDS = 8
-#: A shingle that stands in the prefix of more sets than this comes last in the order of the shingles.
-COMMON = 64
+#: A shingle that stands in the prefix of more sets than this comes last in the order of the shingles, as does any that shares
+#: its bit of a filter of fixed size: every task uses the same filter, so the order is one order whatever falls together.
+COMMON, FILTER = 64, 1 << 25
 #: Blocks of a list are of one size class and one of this many stretches of the prefix.
 STRETCHES = 4
 
@@ -27,10 +28,28 @@ def shingle_set(text: bytes, width: int = 4) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
+def parities(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Bitmap of a set: a bit is the parity of the elements that fall on it, so two sets differ in as many elements at least as their bitmaps in bits."""
-    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def fine(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of two to four bits an element; one of half the words is its two halves' exclusive or."""
+    return parities(hashes, max(WORDS, 1 << (2 * len(hashes) // 64).bit_length()))
+
+
+#: Bits in which fine bitmaps a and b differ, the longer one folded to the shorter one's words.
+DIFFER = """aggregate(sequence(0, least(size(a), size(b)) - 1), 0, (n, i) -> n + bit_count(
+  aggregate(sequence(i, size(a) - 1, least(size(a), size(b))), 0L, (x, j) -> x ^ a[j]) ^ aggregate(sequence(i, size(b) - 1, least(size(a), size(b))), 0L, (x, j) -> x ^ b[j])))"""
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose fine bitmaps do not show already that they differ in too much."""
+    pairs = stored(pairs, "met")
+    side = lambda x, y: pairs.join(nodes.select(F.col("g").alias(x), F.col("s").alias(f"s{x}"), F.col("fine").alias(y)), x)
+    both = side("u", "a").join(side("v", "b"), ["u", "v"])
+    return both.where(F.expr(DIFFER) <= F.col("su") + F.col("sv") - 2 * at_least(F.col("su"), F.col("sv"), percent)).select("u", "v")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -44,17 +63,34 @@ def _slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
-def sets_of(texts: DataFrame, width: int) -> DataFrame:
-    """(g, s, set): the shingle hashes of each row of ``texts`` (g, t), s of them, in order as unsigned numbers."""
+def sets_of(texts: DataFrame, width: int, percent: int | None = None, bits=None) -> DataFrame:
+    """(g, s, set) of each row of ``texts`` (g, t): its s shingle hashes in order as unsigned numbers; with ``bits``, a broadcast filter of common ones, only its prefix, common ones last."""
 
     def kernel(batches):
         for b in _slices(batches):
             own = [shingle_set(t or b"", width) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array([len(x) for x in own], pa.int64()), _lists(own)], names=["g", "s", "set"])
+            sizes = pa.array([len(x) for x in own], pa.int64())
+            if bits is not None:
+                own = [x[np.argsort(_in(bits.value, x), kind="stable")[: prefix(len(x), percent)]] for x in own]
+            yield pa.RecordBatch.from_arrays([b.column("g"), sizes, _lists(own)], names=["g", "s", "set"])
 
     return texts.select("g", "t").mapInArrow(kernel, "g long, s long, set array<long>")
 
 
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(32 * len(bits))
+    return (bits[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """FILTER bits, of which those of every hash in column t are set; words of 32 bits that are not 0 come to the driver, a million at most."""
+    at = F.shiftrightunsigned("t", 5).bitwiseAND(F.lit((FILTER >> 5) - 1))
+    words = hashes.groupBy(at.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(t & 31 AS INT))")).alias("bit")).toPandas()
+    out = np.zeros(FILTER >> 5, np.uint32)
+    out[words["at"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
 def at_least(s: Column, t: Column, percent: int) -> Column:
     """Elements that sets of sizes s and t have to share to be similar: the smallest o with 100 o >= percent (s + t - o)."""
     return F.floor((percent * (s + t) + 99 + percent) / (100 + percent))
@@ -103,33 +139,40 @@ def own_block(percent: int) -> list[Column]:
     return [_size_class(F.col("s"), percent).alias("c"), F.least(q, F.lit(STRETCHES - 1)).cast("int").alias("q")]
 
 
-def indexed(nodes: DataFrame, sets, percent: int) -> DataFrame:
+def indexed(nodes: DataFrame, prefixes, percent: int) -> DataFrame:
     """The index lists: (t, g, s, sig, p) for each shingle t in the prefix of set g, at place p, if another set has it in its prefix.
 
     The order of the shingles is that of their hashes, but those that more than COMMON sets have in their hash-ordered
-    prefix come last.  Only sets with such a shingle in that prefix need their whole set for the prefix proper, and
-    ``sets`` (a function of a table of g) makes it.
+    prefix come last.  Only sets with such a shingle in that prefix are read again for the prefix proper, by
+    ``prefixes`` (a function of a table of g and the filter).
     """
     at = nodes.select("g", "s", F.posexplode("first").alias("p", "t"))
-    common = stored(at.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("t"), "common")
-    late = stored(at.join(common, "t", "left_semi").select("g").distinct(), "late")
-    whole = sets(late).select("g", "s", F.posexplode("set").alias("i", "t")).join(common.withColumn("last", F.lit(1)), "t", "left")
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.coalesce("last", F.lit(0)), "i")) - 1
-    whole = whole.withColumn("p", place).where(F.col("p") < prefix(F.col("s"), percent)).select("g", "s", "p", "t")
-    at = stored(at.join(late, "g", "left_anti").select("g", "s", "p", "t").union(whole), "entries")
+    bits = nodes.sparkSession.sparkContext.broadcast(filter_of(at.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("t")))
+
+    def late(batches):
+        for b in batches:
+            first = b.column("first")
+            hit = _in(bits.value, first.values.to_numpy(zero_copy_only=False).view(np.uint64))
+            of = np.repeat(np.arange(b.num_rows), np.diff(first.offsets.to_numpy()))
+            yield b.select(["g"]).take(pa.array(np.unique(of[hit[first.offsets[0].as_py() :][: len(of)]])))
+
+    again = stored(nodes.select("g", "first").mapInArrow(late, "g long"), "late")
+    other = prefixes(again, bits).select("g", "s", F.posexplode("set").alias("p", "t"))
+    at = stored(at.join(again, "g", "left_anti").union(other), "entries")
     several = stored(at.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"), "lists")
-    return at.join(several, "t").join(nodes.select("g", "sig"), "g")
+    out = stored(at.join(several, "t").join(nodes.select("g", "sig"), "g"), "index")
+    released(at)
+    return out
 
 
-def links(nodes: DataFrame, sets, percent: int, classes: tuple[int, ...] = (1, 8), bucket: int = 1024) -> DataFrame:
-    """(g, root): components of the sets of ``nodes`` (g, s, first, sig) under similarity of ``percent`` % or more, for sets with a link.
+def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ...] = (1, 8), bucket: int = 1024) -> DataFrame:
+    """(g, root): components of the sets of ``nodes`` (g, s, first, sig, fine) under similarity of ``percent`` % or more, for sets with a link.
 
     In rounds each set is compared with a leader of its lists (one for each class of sets), which joins nearly all that can
     be joined; then the entries of a list that are still of different components are compared, those outside the list's
     commonest component with all, block by block (:func:`visited`), and large lists part by part.
     """
-    entries = stored(indexed(nodes, sets, percent), "index")
-    own = stored(sets(entries.select("g").distinct()), "sets")
+    entries = indexed(nodes, prefixes, percent)
     near, roots = None, None
     for n in classes:
         rows = _rooted(entries, roots)
@@ -137,7 +180,7 @@ def links(nodes: DataFrame, sets, percent: int, classes: tuple[int, ...] = (1, 8
         k = F.pmod(F.xxhash64(F.lit(n), "g"), F.lit(n))
         leaders = stored(rows.groupBy("t", k.alias("k")).agg(F.min(F.struct(F.xxhash64("g").alias("h"), "g", "s", "sig", "p", "r")).alias("x")).select("t", "x.*"), "leaders")
         pairs = rows.alias("a").join(leaders.alias("b"), [F.col("a.t") == F.col("b.t"), F.col("a.r") != F.col("b.r"), can_match("a", "b", percent)])
-        shared = stored(overlaps(pairs.select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct(), own), "shared")
+        shared = stored(overlaps(possible(pairs.select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct(), nodes, percent), sets), "shared")
         now = shared.where(_similar("o", percent))
         # Those within half of what a pair may differ in are near enough for answers to carry over.
         close = shared.where(_similar("o", (100 + percent) // 2)).select(F.col("u").alias("g"), F.col("v").alias("lead"), "o")
@@ -158,7 +201,7 @@ def links(nodes: DataFrame, sets, percent: int, classes: tuple[int, ...] = (1, 8
     once = ~F.col("b.both") | (F.col("a.g") < F.col("b.g"))
     pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), can_match("a", "b", percent)])
     pairs = pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
-    return _joined(derived(pairs, near, own, percent), roots)
+    return _joined(derived(possible(pairs, nodes, percent), near, nodes.select("g", "s"), sets, percent), roots)
 
 
 def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -177,14 +220,17 @@ def _similar(o: str, percent: int) -> Column:
     return 100 * F.col(o) >= percent * (F.col("su") + F.col("sv") - F.col(o))
 
 
-def overlaps(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """(u, v, su, sv, o): sizes of the two sets of each pair and the elements that they share."""
+def overlaps(pairs: DataFrame, sets) -> DataFrame:
+    """(u, v, su, sv, o): sizes of the two sets of each pair and the elements that they share; only sets that are in a pair are read."""
     pairs = stored(pairs, "pairs")
-    both = pairs.join(own.select(F.col("g").alias("u"), F.col("s").alias("su"), F.col("set").alias("a")), "u").join(own.select(F.col("g").alias("v"), F.col("s").alias("sv"), F.col("set").alias("b")), "v")
-    return both.select("u", "v", "su", "sv", F.size(F.array_intersect("a", "b")).cast("long").alias("o"))
+    own = stored(sets(pairs.select(F.explode(F.array("u", "v")).alias("g")).distinct()), "sets")
+    # Each side on its own: where there are few pairs, they go to the sets.
+    side = lambda x: pairs.join(own.select(F.col("g").alias(x), F.col("s").alias(f"s{x}"), F.col("set").alias(f"set{x}")), x)
+    both = side("u").join(side("v"), ["u", "v"])
+    return both.select("u", "v", "su", "sv", F.size(F.array_intersect("setu", "setv")).cast("long").alias("o"))
 
 
-def derived(pairs: DataFrame, near: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+def derived(pairs: DataFrame, near: DataFrame, sizes: DataFrame, sets, percent: int) -> DataFrame:
     """The similar ones of ``pairs`` (u, v).
 
     A set that is near a leader has nearly its leader's answers.  Elements that the two leaders share are counted once for all
@@ -192,17 +238,16 @@ def derived(pairs: DataFrame, near: DataFrame, own: DataFrame, percent: int) ->
     from both sides.  Only where the bounds leave it open the two sets themselves are compared.
     """
     pairs = stored(pairs, "open")
-    sizes = own.select("g", "s")
     # A leader stands for itself: it lacks nothing and has nothing beyond.
-    side = sizes.join(near, "g", "left").select("g", "s", F.coalesce("lead", "g").alias("lead"), F.coalesce("o", "s").alias("o"))
+    side = sizes.join(pairs.select(F.explode(F.array("u", "v")).alias("g")).distinct(), "g", "left_semi").join(near, "g", "left").select("g", "s", F.coalesce("lead", "g").alias("lead"), F.coalesce("o", "s").alias("o"))
     side = stored(side.join(sizes.select(F.col("g").alias("lead"), F.col("s").alias("ls")), "lead").select("g", "lead", "s", (F.col("ls") - F.col("o")).alias("lacks"), (F.col("s") - F.col("o")).alias("beyond")), "sides")
     of = lambda x: side.select(*[F.col(c).alias(x if c == "g" else f"{c}{x}") for c in side.columns])
     both = stored(pairs.join(of("u"), "u").join(of("v"), "v").withColumns({"x": F.least("leadu", "leadv"), "y": F.greatest("leadu", "leadv")}), "sided")
-    answers = overlaps(both.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), own).select(F.col("u").alias("x"), F.col("v").alias("y"), "o")
+    answers = overlaps(both.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), sets).select(F.col("u").alias("x"), F.col("v").alias("y"), "o")
     both = both.join(stored(answers, "answers"), ["x", "y"])
     both = stored(both.select("u", "v", "su", "sv", (F.col("o") - F.col("lacksu") - F.col("lacksv")).alias("low"), (F.col("o") + F.col("beyondu") + F.col("beyondv")).alias("high")), "bounded")
     certain, possible = _similar("low", percent), _similar("high", percent)
-    rest = overlaps(both.where(~certain & possible).select("u", "v"), own).where(_similar("o", percent))
+    rest = overlaps(both.where(~certain & possible).select("u", "v"), sets).where(_similar("o", percent))
     return both.where(certain).select("u", "v").union(rest.select("u", "v"))
 
 
@@ -222,24 +267,27 @@ def joined(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
             own = [shingle_set(t or b"", width) for t in b.column("t").to_pylist()]
             g = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in own), np.uint64, len(own)).view(np.int64)
             first = _lists([x[: prefix(len(x), percent)] if len(x) else x for x in own])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(g), pa.array([len(x) for x in own], pa.int64()), first, _lists([parities(x) for x in own])], names=["doc_id", "h", "g", "s", "first", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(g), pa.array([len(x) for x in own], pa.int64()), first, _lists([parities(x) for x in own]), _lists([fine(x) for x in own])], names=["doc_id", "h", "g", "s", "first", "sig", "fine"])
 
-    all_rows = stored(rows.mapInArrow(kernel, "doc_id long, h long, g long, s long, first array<long>, sig array<long>"), "sets")
-    some = all_rows.where("s > 0")
-    nodes = stored(some.groupBy("g").agg(F.first("s").alias("s"), F.first("first").alias("first"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h")).alias("rep")), "distinct")
-    repeated = not some.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    wide = stored(rows.mapInArrow(kernel, "doc_id long, h long, g long, s long, first array<long>, sig array<long>, fine array<long>"), "sets")
+    every = stored(wide.select("doc_id", "h", "g", "s"), "rows")
+    nodes = stored(wide.where("s > 0").groupBy("g").agg(F.first("s").alias("s"), F.first("first").alias("first"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h")).alias("rep")), "distinct")
+    released(wide)
+    repeated = not every.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
-    def sets(which: DataFrame) -> DataFrame:
+    def texts(which: DataFrame) -> DataFrame:
         # One document for each set, by its id and the digest of its text; only rows alike in both come more than once.
-        asked = nodes.join(which, "g").select("g", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("k"))
-        found = sets_of(rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))), width)
+        asked = stored(nodes.join(which, "g").select("g", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("k")), "asked")
+        return rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")))
+
+    def once(found: DataFrame) -> DataFrame:
         return found.dropDuplicates(["g"]) if repeated else found
 
-    roots = links(nodes, sets, percent)
+    roots = links(nodes, lambda which: once(sets_of(texts(which), width)), lambda which, bits: once(sets_of(texts(which), width, percent, bits)), percent)
     named = nodes.select("g", "doc_id").join(roots, "g", "left").withColumn("root", F.coalesce("root", "g"))
     named = stored(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("g", "component_id"), "components")
-    out = some.select("doc_id", "g", "s").join(named, "g").select("doc_id", F.col("s").alias("n_shingles"), "component_id")
-    return out.union(all_rows.where("s = 0").select("doc_id", "s", F.col("doc_id").alias("component_id")))
+    out = every.where("s > 0").join(named, "g").select("doc_id", F.col("s").alias("n_shingles"), "component_id")
+    return out.union(every.where("s = 0").select("doc_id", "s", F.col("doc_id").alias("component_id")))
 
 
 def oracle(width: int = 4, percent: int = 85) -> str:

@@ -82,7 +82,7 @@ def test_parts_of_large_lists(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     whole = jaccard.links
     try:
-        jaccard.links = lambda nodes, sets, percent: whole(nodes, sets, percent, classes=(1,), bucket=2)
+        jaccard.links = lambda *a: whole(*a, classes=(1,), bucket=2)
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard.joined(frame).collect())
     finally:
         jaccard.links = whole
