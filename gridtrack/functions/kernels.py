@@ -11,26 +11,29 @@ CROSS = ((-1, 0), (0, -1), (0, 1), (1, 0))
 SQUARE = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 
 
-def components(mask: np.ndarray, eight: bool = False, wrap: bool = False) -> np.ndarray:
+def axes_of(wrap: bool | str) -> tuple[bool, bool]:
+    """Whether the edges meet along y and along x; ``wrap`` names the axes ("x", "y", "xy"), True stands for x."""
+    return ("y" in wrap, "x" in wrap) if isinstance(wrap, str) else (False, wrap)
+
+
+def components(mask: np.ndarray, eight: bool = False, wrap: bool | str = False) -> np.ndarray:
     """Labels 1..n of connected pixels in raster order of their first pixel, 0 elsewhere.
 
-    Neighbouring pixels are hooked to the smaller root until nothing changes; ``wrap``
-    joins the left and right edges.
+    Neighbouring pixels are hooked to the smaller root until nothing changes; the edges
+    of the axes of ``wrap`` (:func:`axes_of`) meet.
     """
     ny, nx = mask.shape
+    wy, wx = axes_of(wrap)
     ids = np.arange(ny * nx).reshape(ny, nx)
     pairs = []
-    steps = ((0, 1), (1, 0), (1, 1), (1, -1)) if eight else ((0, 1), (1, 0))
-    for dy, dx in steps:
-        a = (slice(0, ny - dy), slice(max(0, -dx), nx - max(0, dx)))
-        b = (slice(dy, ny), slice(max(0, dx), nx + min(0, dx)))
-        both = mask[a] & mask[b]
-        pairs.append(np.stack([ids[a][both], ids[b][both]]))
-        if wrap and dx:
-            rows = np.arange(ny - dy)
-            left, right = (nx - 1, 0) if dx > 0 else (0, nx - 1)
-            both = mask[rows, left] & mask[rows + dy, right]
-            pairs.append(np.stack([ids[rows, left][both], ids[rows + dy, right][both]]))
+    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)) if eight else ((0, 1), (1, 0)):
+        back = lambda m: np.roll(m, (-dy, -dx), (0, 1))  # noqa: E731,B023
+        both = mask & back(mask)
+        if dy and not wy:
+            both[-1] = False
+        if dx and not wx:
+            both[:, -1 if dx > 0 else 0] = False
+        pairs.append(np.stack([ids[both], back(ids)[both]]))
     a, b = np.concatenate(pairs, 1)
     root = np.arange(ny * nx)
     while True:
@@ -163,23 +166,24 @@ def strided(v: np.ndarray, factor: int) -> np.ndarray:
     return w[::factor, ::factor]
 
 
-def grown(seeds: np.ndarray, allowed: np.ndarray, wrap: bool = False) -> np.ndarray:
+def grown(seeds: np.ndarray, allowed: np.ndarray, wrap: bool | str = False) -> np.ndarray:
     """Seeds spread over ``allowed`` pixels breadth first, eight neighbours; a pixel takes the commonest label around it, the smallest on ties.
 
-    Labels stand in a flat frame with a border that nothing enters; ``wrap`` joins the left
-    and right edges by their places in it.
+    Labels stand in a flat frame with a border that nothing enters; the edges of the axes
+    of ``wrap`` meet by their places in it.
     """
     ny, nx = seeds.shape
+    wy, wx = axes_of(wrap)
     width = nx + 2
     out = np.pad(seeds, 1).ravel().tolist()
     open_ = (np.pad(allowed, 1) & (np.pad(seeds, 1) == 0)).ravel().tolist()
     steps = [dy * width + dx for dy, dx in SQUARE]
 
     def near(p: int) -> list[int]:
-        if not wrap or 1 < p % width < nx:
-            return [p + s for s in steps]
         row, col = divmod(p, width)
-        return [(row + dy) * width + (col + dx - 1) % nx + 1 for dy, dx in SQUARE]
+        if not (wx and col in (1, nx) or wy and row in (1, ny)):
+            return [p + s for s in steps]
+        return [((row + dy - 1) % ny + 1 if wy else row + dy) * width + ((col + dx - 1) % nx + 1 if wx else col + dx) for dy, dx in SQUARE]
 
     queue = deque(np.flatnonzero(np.pad(seeds, 1).ravel()).tolist())
     while queue:
@@ -215,9 +219,12 @@ def widened(labels: np.ndarray, radii) -> np.ndarray:
     return out
 
 
-def local_maxima(v: np.ndarray, distance: int, least: float, wrap: bool = False) -> list[tuple[int, int]]:
+def local_maxima(v: np.ndarray, distance: int, least: float, wrap: bool | str = False) -> list[tuple[int, int]]:
     """Pixels over ``least`` that are highest within ``distance`` (square), of equal ones too near the first in raster order; highest first."""
-    padded = np.pad(np.pad(v, ((0, 0), (distance, distance)), mode="wrap") if wrap else np.pad(v, ((0, 0), (distance, distance)), constant_values=-np.inf), ((distance, distance), (0, 0)), constant_values=-np.inf)
+    meets, padded = axes_of(wrap), v
+    for axis in (0, 1):
+        rim = [(distance, distance) if a == axis else (0, 0) for a in (0, 1)]
+        padded = np.pad(padded, rim, mode="wrap") if meets[axis] else np.pad(padded, rim, constant_values=-np.inf)
     top = np.lib.stride_tricks.sliding_window_view(padded, (2 * distance + 1,) * 2).max(axis=(2, 3))
     found = sorted(((-v[y, x], y, x) for y, x in np.argwhere((v == top) & (v > least))))
     out: list[tuple[int, int]] = []
@@ -225,43 +232,62 @@ def local_maxima(v: np.ndarray, distance: int, least: float, wrap: bool = False)
     for _, y, x in found:
         if not taken[y + distance, x + distance]:
             out.append((int(y), int(x)))
-            for at in (x - v.shape[1], x, x + v.shape[1]) if wrap else (x,):
-                taken[y : y + 2 * distance + 1, max(0, at) : max(0, at + 2 * distance + 1)] = True
+            places = [(p - n, p, p + n) if meet else (p,) for p, n, meet in zip((y, x), v.shape, meets)]
+            for row in places[0]:
+                for col in places[1]:
+                    taken[max(0, row) : max(0, row + 2 * distance + 1), max(0, col) : max(0, col + 2 * distance + 1)] = True
     return out
 
 
-def watershed(v: np.ndarray, markers: list[tuple[int, int]], mask: np.ndarray, line: bool = True, wrap: bool = False) -> np.ndarray:
-    """Flooding from the markers over ``mask``, highest values first and then by age; with ``line`` a pixel between two labels stays 0.  ``wrap`` joins the left and right edges.
+def watershed(v: np.ndarray, markers: list[tuple[int, int]], mask: np.ndarray, line: bool = True, wrap: bool | str = False, compactness: float = 0.0) -> np.ndarray:
+    """Flooding from the markers over ``mask``, highest values first and then by age; with ``line`` a pixel between two labels stays 0.  The edges of the axes of ``wrap`` meet.
 
-    The frame is flat, with a border that nothing enters.
+    With ``compactness`` a pixel is flooded the later the farther it is from its marker, by that factor times the distance;
+    pixels that two markers reach are taken by the one that reaches them first.  The frame is flat, with a border that nothing enters.
     """
     ny, nx = v.shape
+    wy, wx = axes_of(wrap)
     width = nx + 2
     out = [0] * ((ny + 2) * width)
     level = (-np.pad(v, 1)).ravel().tolist()
-    free = np.pad(mask, 1).ravel().tolist()
-    heap, age = [], 0
+    open_ = np.pad(mask, 1).ravel().tolist()
+    heap: list[tuple[float, int, int, int]] = []
+    age = 0
+
+    def far(p: int, k: int) -> float:
+        apart = [abs(a - b) for a, b in zip(divmod(p, width), (markers[k - 1][0] + 1, markers[k - 1][1] + 1))]
+        apart = [min(d, n - d) if meet else d for d, n, meet in zip(apart, (ny, nx), (wy, wx))]
+        return (apart[0] ** 2 + apart[1] ** 2) ** 0.5
+
+    def around(p: int) -> tuple[int, int, int, int]:
+        row, col = divmod(p, width)
+        return (
+            p + (ny - 1) * width if wy and row == 1 else p - width, p + nx - 1 if wx and col == 1 else p - 1,
+            p - nx + 1 if wx and col == nx else p + 1, p - (ny - 1) * width if wy and row == ny else p + width,
+        )
+
     for k, (y, x) in enumerate(markers, 1):
         p = (y + 1) * width + x + 1
         out[p] = k
-        free[p] = False
-        heap.append((level[p], age, p))
+        open_[p] = False
+        heap.append((level[p], age, p, k))
         age += 1
     heapq.heapify(heap)
     while heap:
-        _, _, p = heapq.heappop(heap)
-        col = p % width
-        west, east = (p + nx - 1 if wrap and col == 1 else p - 1), (p - nx + 1 if wrap and col == nx else p + 1)
-        around = (p - width, west, east, p + width)
+        _, _, p, k = heapq.heappop(heap)
+        if compactness and out[p] not in (0, k):
+            continue
         if not out[p]:
-            near = {out[q] for q in around if out[q]}
+            near = {out[q] for q in around(p) if out[q]}
             if line and len(near) > 1:
+                open_[p] = False
                 continue
-            out[p] = min(near)
-        for q in around:
-            if free[q]:
-                free[q] = False
-                heapq.heappush(heap, (level[q], age, q))
+            out[p] = k if compactness else min(near)
+        for q in around(p):
+            if open_[q] and not out[q]:
+                # Without compactness a pixel waits once; with it each label that reaches it has its own turn.
+                open_[q] = bool(compactness)
+                heapq.heappush(heap, (level[q] + compactness * far(q, out[p]), age, q, out[p]))
                 age += 1
     return np.array(out, np.int64).reshape(ny + 2, width)[1:-1, 1:-1]
 
@@ -344,52 +370,3 @@ def quadratic_filled(t: np.ndarray, v: np.ndarray, limit: float) -> np.ndarray:
     inside = (t >= x[0]) & (t <= x[-1])
     out[inside] = basis(t[inside].astype(float)) @ weights
     return np.where(ok, v, out)
-
-
-def storm_class(v: np.ndarray, z: np.ndarray, melting: float, reach: int, fraction: float = 0.3, aloft: float = 45.0, top25: float = 10.0, beside: float = 25.0, at3: float = 20.0, under3: float = 10.0, fill: float = 20.0, gradient: float = 8.0, gradient_top: float = 7.0, updraft: float = 40.0) -> np.ndarray:
-    """Classes of the columns of a volume (z, y, x; km, missing as NaN): 1 updraft, 2 convective, 3 stratiform with rain, 4 stratiform without, 5 anvil, 0 none.
-
-    Convective are columns that stand out from the median of their surroundings (windows of 2 ``reach`` + 1) at ``fraction`` of
-    their levels up to 9 km, or have ``aloft`` over a kilometre above the melting level, or 25 dBZ up to ``top25``;
-    lone ones go, and neighbours with ``beside`` join.  Updrafts are convective columns with a steep
-    gradient aloft of a place full of echo.  ``reach`` pixels at the edge have no class.
-    """
-    nz, ny, nx = v.shape
-    v = v.copy()
-    level = lambda km: max(int(np.searchsorted(z, km, "right")) - 1, 0)
-    k3, k4, k5, k9 = (level(km) for km in (3.0, 4.0, 5.0, 9.0))
-    with np.errstate(invalid="ignore"):
-        low = np.isnan(v[k3]) & (v[k4] >= fill)
-        v[k3][low] = v[k4][low]
-        some, filled = ~np.isnan(v), np.where(np.isnan(v), -np.inf, v)
-        aloft_echo = (filled[k3:] >= 0).sum(0) > 0
-        highest = filled.max(0)
-        top = (np.where(filled >= 25, z[:, None, None], 0.0)).max(0)
-        above = np.where(some, np.where((z > melting + 1)[:, None, None], v, 0.0), -np.inf).max(0)
-        part = v[: k9 + 1]
-        stands = np.zeros((ny, nx))
-        for f in part:
-            wide = np.lib.stride_tricks.sliding_window_view(np.pad(f, reach, mode="edge"), (2 * reach + 1,) * 2).reshape(ny, nx, -1)
-            have = ~np.isnan(wide).all(-1)
-            middle = np.full((ny, nx), np.nan)
-            middle[have] = np.nanmedian(wide[have], -1)
-            stands += f - middle > np.maximum(10 - f * f / 337.5, 4)
-        levels = some[: k9 + 1].sum(0)
-        peaked = (levels > 0) & (stands >= fraction * np.maximum(levels, 1))
-    out = np.where(peaked | (above >= aloft) | (top >= top25), 2, 0)
-    near = lambda m: sum(np.pad(m.astype(float), 1, mode="edge")[1 + dy : 1 + dy + ny, 1 + dx : 1 + dx + nx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)) / 9
-    out[(out == 2) & (near(out == 2) <= 0.15)] = 0
-    out[(near(out == 2) > 0.001) & (highest >= beside)] = 2
-    out[((filled[k3] >= at3) | (filled[:k3] >= under3).any(0)) & (out == 0)] = 3
-    out[(filled[k3] < at3) & aloft_echo & (out == 0)] = 4
-    out[~some[k3 : k5 + 1].any(0) & aloft_echo & np.isin(out, (0, 4))] = 5
-    if nz > 1:
-        with np.errstate(invalid="ignore"):
-            steep = np.diff(v, axis=0) >= gradient
-        full = np.stack([near(m) for m in some[:-1]]) >= 0.7
-        rises = (steep & full & (z[:-1] <= gradient_top)[:, None, None]).any(0)
-        out[rises & (highest >= updraft) & (out == 2)] = 1
-        lone = (out == 1) & (near(out == 1) <= 0.15)
-        out[lone] = median_filter(out.astype(float), 3, None)[lone].astype(int)
-    out[:reach], out[ny - reach :], out[:, :reach], out[:, nx - reach :] = 0, 0, 0, 0
-    return out

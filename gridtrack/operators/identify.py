@@ -118,12 +118,6 @@ def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, t
     return by_frame(pixels, shape, kernel, value, keep=keep)
 
 
-def storm_classes(volume: DataFrame, shape: tuple[int, int, int], heights: list[float], melting: float, reach: int) -> DataFrame:
-    """(frame_id, y, x, sl_class): the class of each column of reflectivity (:func:`kernels.storm_class`); columns of class 0 have no row."""
-    z = np.array(heights)
-    return by_frame(volume, shape, lambda a: K.storm_class(a, z, melting, reach), out="frame_id long, y int, x int, sl_class long")
-
-
 def cold_pools(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: float, peak: float, distance: int, value: str = "v", keep: bool = False) -> DataFrame:
     """Flooding of the smoothed cold-pool intensity."""
 

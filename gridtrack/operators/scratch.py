@@ -31,15 +31,16 @@ def stored(df: DataFrame, name: str = "tracks") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """``rows`` with ``name``, their place from 1 in the order of ``by`` (distinct values).
+def numbered(rows: DataFrame, by: str | list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, their place from 1 in the order of the columns ``by`` (distinct values).
 
     Rows are dealt by ranges, counted by range, and only the counts, a row for each
     range, are summed in one task.
     """
-    dealt = stored(rows.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+    by = [by] if isinstance(by, str) else by
+    dealt = stored(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
     return dealt.withColumn("_place", inside).join(F.broadcast(base), "_range").withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_range", "_place", "_base")

@@ -202,14 +202,6 @@ def guarded_features(spark, d):
     return T.guarded(f, ["frame_id"], 9, "objects in a frame")
 
 
-@query()
-def storm_classes(spark, d):
-    """Volumes of 16 x 8 columns with 8 levels, from the vectors."""
-    v = F.col("v") * 250 + 18
-    volume = src.emb(spark, d).select(F.floor(F.col("frame_id") / 16).alias("frame_id"), F.col("y").alias("z"), (F.col("frame_id") % 16).cast("int").alias("y"), "x", F.when(v > -10, v).alias("v"))
-    return I.storm_classes(volume, (8, 16, 8), [0.5 + 1.5 * k for k in range(8)], 4.0, 1)
-
-
 STEINER = """z AS (SELECT frame_id, y, x, v / 2.0 AS dbz, pow(10, v / 20.0) AS lin FROM ship WHERE v >= 10),
 b AS (SELECT a.frame_id, a.y, a.x, a.dbz, 10 * log10(avg(c.lin)) AS bkg FROM z a JOIN z c ON c.frame_id = a.frame_id AND (c.y - a.y) * (c.y - a.y) + (c.x - a.x) * (c.x - a.x) <= 9 GROUP BY ALL)"""
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from gridtrack.plans import catalog, catalog_more  # noqa: F401
+from gridtrack.plans import catalog, catalog_grid, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
