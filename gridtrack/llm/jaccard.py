@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, released, stored
 from .simhash import company
 
-#: 64-bit words of a set's parity bitmap.
-WORDS = 8
+#: 64-bit words of the parity bitmap of a small set, to which others are folded in crowded lists: those of more comparisons than CROWDED.
+WORDS, CROWDED = 8, 1 << 12
 #: A shingle that stands in the prefix of more sets than this comes last in the order of the shingles, as does any that shares
 #: its bit of a filter of fixed size: every task uses the same filter, so the order is one order whatever falls together.
 COMMON, FILTER = 64, 1 << 25
@@ -28,26 +28,25 @@ def shingle_set(text: bytes, width: int = 4) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64, len(shingles)))
 
 
-def parities(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Bitmap of a set: a bit is the parity of the elements that fall on it, so two sets differ in as many elements at least as their bitmaps in bits."""
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of a set, two to four bits an element: a bit is the parity of the elements that fall on it, so two sets differ in as many elements at least as their bitmaps in bits.
+
+    The bitmap of half the words is the exclusive or of the two halves.
+    """
+    words = max(WORDS, 1 << (2 * len(hashes) // 64).bit_length())
     odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-def fine(hashes: np.ndarray) -> np.ndarray:
-    """Bitmap of two to four bits an element; one of half the words is its two halves' exclusive or."""
-    return parities(hashes, max(WORDS, 1 << (2 * len(hashes) // 64).bit_length()))
-
-
-#: Bits in which fine bitmaps a and b differ, the longer one folded to the shorter one's words.
+#: Bits in which bitmaps a and b differ, the longer one folded to the shorter one's words.
 DIFFER = """aggregate(sequence(0, least(size(a), size(b)) - 1), 0, (n, i) -> n + bit_count(
   aggregate(sequence(i, size(a) - 1, least(size(a), size(b))), 0L, (x, j) -> x ^ a[j]) ^ aggregate(sequence(i, size(b) - 1, least(size(a), size(b))), 0L, (x, j) -> x ^ b[j])))"""
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose fine bitmaps do not show already that they differ in too much."""
+    """Those of ``pairs`` (u, v) whose bitmaps do not show already that they differ in too much."""
     pairs = stored(pairs, "met")
-    side = lambda x, y: pairs.join(nodes.select(F.col("g").alias(x), F.col("s").alias(f"s{x}"), F.col("fine").alias(y)), x)
+    side = lambda x, y: pairs.join(nodes.select(F.col("g").alias(x), F.col("s").alias(f"s{x}"), F.col("sig").alias(y)), x)
     both = side("u", "a").join(side("v", "b"), ["u", "v"])
     return both.where(F.expr(DIFFER) <= F.col("su") + F.col("sv") - 2 * at_least(F.col("su"), F.col("sv"), percent)).select("u", "v")
 
@@ -102,11 +101,10 @@ def prefix(s: Column | int, percent: int):
 
 
 def can_match(a: str, b: str, percent: int) -> Column:
-    """Whether sets of list entries a and b (size s, place p of the shared shingle, bitmap sig) can be similar, if the shingle is the first that they share."""
+    """Whether sets of list entries a and b (size s, place p of the shared shingle) can be similar, if the shingle is the first that they share."""
     s, t = F.col(f"{a}.s"), F.col(f"{b}.s")
     need = at_least(s, t, percent)
-    differ = sum((F.bit_count(F.col(f"{a}.sig")[k].bitwiseXOR(F.col(f"{b}.sig")[k])) for k in range(WORDS)), F.lit(0))
-    return (100 * F.least(s, t) >= percent * F.greatest(s, t)) & (s - F.col(f"{a}.p") >= need) & (t - F.col(f"{b}.p") >= need) & (differ <= s + t - 2 * need)
+    return (100 * F.least(s, t) >= percent * F.greatest(s, t)) & (s - F.col(f"{a}.p") >= need) & (t - F.col(f"{b}.p") >= need)
 
 
 def _size_class(s: Column, percent: int) -> Column:
@@ -140,7 +138,7 @@ def own_block(percent: int) -> list[Column]:
 
 
 def indexed(nodes: DataFrame, prefixes, percent: int) -> DataFrame:
-    """The index lists: (t, g, s, sig, p) for each shingle t in the prefix of set g, at place p, if another set has it in its prefix.
+    """The index lists: (t, g, s, p) for each shingle t in the prefix of set g, at place p, if another set has it in its prefix.
 
     The order of the shingles is that of their hashes, but those that more than COMMON sets have in their hash-ordered
     prefix come last.  Only sets with such a shingle in that prefix are read again for the prefix proper, by
@@ -160,16 +158,16 @@ def indexed(nodes: DataFrame, prefixes, percent: int) -> DataFrame:
     other = prefixes(again, bits).select("g", "s", F.posexplode("set").alias("p", "t"))
     at = stored(at.join(again, "g", "left_anti").union(other), "entries")
     several = stored(at.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"), "lists")
-    out = stored(at.join(several, "t").join(nodes.select("g", "sig"), "g"), "index")
+    out = stored(at.join(several, "t"), "index")
     released(at)
     return out
 
 
 def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ...] = (1, 8), bucket: int = 1024) -> DataFrame:
-    """(g, root): components of the sets of ``nodes`` (g, s, first, sig, fine) under similarity of ``percent`` % or more, for sets with a link.
+    """(g, root): components of the sets of ``nodes`` (g, s, first, sig) under similarity of ``percent`` % or more, for sets with a link.
 
     In rounds each set is compared with a leader of its lists (one for each class of sets), which joins nearly all that can
-    be joined; then the entries of a list that are still of different components are compared, those outside the list's
+    be joined: the leader is the one with fewest rarer shingles, so of copies with changes that with the fewest; then the entries of a list that are still of different components are compared, those outside the list's
     commonest component with all, block by block (:func:`visited`), and large lists part by part.
     """
     entries = indexed(nodes, prefixes, percent)
@@ -178,7 +176,7 @@ def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ..
         rows = _rooted(entries, roots)
         rows = stored(rows.join(stored(company(rows, ["t"]).select("t"), "company"), "t"), "apart")
         k = F.pmod(F.xxhash64(F.lit(n), "g"), F.lit(n))
-        leaders = stored(rows.groupBy("t", k.alias("k")).agg(F.min(F.struct(F.xxhash64("g").alias("h"), "g", "s", "sig", "p", "r")).alias("x")).select("t", "x.*"), "leaders")
+        leaders = stored(rows.groupBy("t", k.alias("k")).agg(F.min(F.struct("p", F.xxhash64("g").alias("h"), "g", "s", "r")).alias("x")).select("t", "x.*"), "leaders")
         pairs = rows.alias("a").join(leaders.alias("b"), [F.col("a.t") == F.col("b.t"), F.col("a.r") != F.col("b.r"), can_match("a", "b", percent)])
         shared = stored(overlaps(possible(pairs.select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct(), nodes, percent), sets), "shared")
         now = shared.where(_similar("o", percent))
@@ -190,18 +188,36 @@ def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ..
 
     rows = _rooted(entries, roots)
     rows = stored(rows.join(stored(company(rows, ["t"]), "company"), "t"), "apart")
+    crowded = F.col("m") * F.col("n") > CROWDED
+    folded = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.aggregate(F.sequence(i, F.size("sig") - 1, F.lit(WORDS)), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get("sig", j))))
+    dense = stored(rows.where(crowded).join(nodes.select("g", folded.alias("sig")), "g"), "crowded")
+    pairs = met(rows.where(~crowded).withColumn("sig", F.lit(None)), percent, bucket).union(met(dense, percent, bucket, True)).distinct()
+    return _joined(derived(possible(pairs, nodes, percent), near, nodes.select("g", "s"), sets, percent), roots)
+
+
+def met(rows: DataFrame, percent: int, bucket: int, bitmaps: bool = False) -> DataFrame:
+    """Pairs (u, v), u < v, of entries (t, g, s, p, r, n, m, most) of the same list that are of other components r and can match; with ``bitmaps`` those of column sig have to allow it too.
+
+    One of such a pair is not of the list's commonest component (``most``), so only those m entries are
+    compared with all n, and those only in the blocks where partners can be.  Both sides are dealt to parts of ``bucket``,
+    and each pair of parts is compared on its own.
+    """
     parts = {"i": F.ceil(F.col("m") / bucket).cast("int"), "j": F.ceil(F.col("n") / bucket).cast("int")}
     rows = rows.withColumns({f"of_{c}": x for c, x in parts.items()})
     mine = {c: F.pmod(F.xxhash64("g"), F.col(f"of_{c}")).cast("int").alias(c) for c in parts}
     every = {c: F.explode(F.sequence(F.lit(0), F.col(f"of_{c}") - 1)).alias(c) for c in parts}
-    kept = ["t", "g", "s", "sig", "p", "r"]
+    kept = ["t", "g", "s", "p", "r", *(["sig"] if bitmaps else [])]
     left = rows.where("r <> most").select(*kept, "of_j", mine["i"], F.explode(visited(percent)).alias("x")).select(*kept, "of_j", "i", "x.c", "x.q").select(*kept, "c", "q", "i", every["j"]).alias("a")
     right = rows.select(*kept, (F.col("r") != F.col("most")).alias("both"), *own_block(percent), "of_i", mine["j"]).select(*kept, "both", "c", "q", "j", every["i"]).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "c", "q", "i", "j")]
     once = ~F.col("b.both") | (F.col("a.g") < F.col("b.g"))
-    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), can_match("a", "b", percent)])
-    pairs = pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
-    return _joined(derived(possible(pairs, nodes, percent), near, nodes.select("g", "s"), sets, percent), roots)
+    fits = can_match("a", "b", percent)
+    if bitmaps:
+        s, t = F.col("a.s"), F.col("b.s")
+        differ = sum((F.bit_count(F.col("a.sig")[k].bitwiseXOR(F.col("b.sig")[k])) for k in range(WORDS)), F.lit(0))
+        fits = fits & (differ <= s + t - 2 * at_least(s, t, percent))
+    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), fits])
+    return pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
 
 
 def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -267,11 +283,11 @@ def joined(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
             own = [shingle_set(t or b"", width) for t in b.column("t").to_pylist()]
             g = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in own), np.uint64, len(own)).view(np.int64)
             first = _lists([x[: prefix(len(x), percent)] if len(x) else x for x in own])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(g), pa.array([len(x) for x in own], pa.int64()), first, _lists([parities(x) for x in own]), _lists([fine(x) for x in own])], names=["doc_id", "h", "g", "s", "first", "sig", "fine"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(g), pa.array([len(x) for x in own], pa.int64()), first, _lists([parities(x) for x in own])], names=["doc_id", "h", "g", "s", "first", "sig"])
 
-    wide = stored(rows.mapInArrow(kernel, "doc_id long, h long, g long, s long, first array<long>, sig array<long>, fine array<long>"), "sets")
+    wide = stored(rows.mapInArrow(kernel, "doc_id long, h long, g long, s long, first array<long>, sig array<long>"), "sets")
     every = stored(wide.select("doc_id", "h", "g", "s"), "rows")
-    nodes = stored(wide.where("s > 0").groupBy("g").agg(F.first("s").alias("s"), F.first("first").alias("first"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h")).alias("rep")), "distinct")
+    nodes = stored(wide.where("s > 0").groupBy("g").agg(F.first("s").alias("s"), F.first("first").alias("first"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h")).alias("rep")), "distinct")
     released(wide)
     repeated = not every.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 

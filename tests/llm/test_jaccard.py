@@ -57,6 +57,7 @@ def fixture(rng):
 @pytest.mark.parametrize("common", [jaccard.COMMON, 4])
 def test_against_brute_force(spark, monkeypatch, common):
     monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "CROWDED", 5 * common)
     rows = fixture(random.Random(common))
     assert found(spark, rows) == brute(rows)
 
