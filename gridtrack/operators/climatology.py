@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .scratch import accumulated, stored
 
 
 def monthly_map(pixels: DataFrame, month: Column, mask: Column, rain: float = 0.0) -> DataFrame:
@@ -16,10 +17,33 @@ def monthly_map(pixels: DataFrame, month: Column, mask: Column, rain: float = 0.
     return pixels.groupBy(month.alias("month"), "y", "x").agg(F.sum(v).alias("precipitation"), F.sum(F.when(mask, v).otherwise(0)).alias("masked_precipitation"), F.sum(F.when(mask & (v > rain), 1).otherwise(0)).cast("long").alias("masked_count"), F.count_distinct("frame_id").alias("ntimes"))
 
 
+def quantiles(rows: DataFrame, keys: list[str], v: Column, shares: dict[str, float]) -> DataFrame:
+    """(keys and a column for each of ``shares``): exact quantiles of v by group, between the two values around each place in proportion; missing values do not count.
+
+    Values are counted first, so equal ones are one row; counts are summed in order of the values over ranges
+    (:func:`scratch.accumulated`), and of each group only the two rows around a place are kept.  No task holds a group or a
+    buffer that grows with it.
+    """
+    counted = stored(rows.select(*keys, v.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n")), "values")
+    whole = stored(counted.groupBy(*keys).agg(F.sum("_n").alias("_total")), "totals")
+    upto = accumulated(counted, [*keys, "_v"], keys, "_n", "_upto")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    at = upto.alias("a").join(whole.alias("b"), same).select(*[F.col(f"a.{c}") for c in keys], "_v", "_n", "_upto", "_total")
+    place = lambda p: (F.col("_total") - 1) * F.lit(float(p))
+    holds = lambda i: (F.col("_upto") > i) & (F.col("_upto") - F.col("_n") <= i)
+    ends = {(name, side): holds(f(place(p))) for name, p in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    near = at.where(F.greatest(*[c.cast("int") for c in ends.values()]) == 1) if len(ends) > 1 else at
+    found = near.groupBy(*keys).agg(F.max("_total").alias("_total"), *[F.max(F.when(c, F.col("_v"))).alias(f"_{name}_{side}") for (name, side), c in ends.items()])
+    between = {name: F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * (place(p) - F.floor(place(p))) for name, p in shares.items()}
+    return found.select(*keys, *[c.alias(name) for name, c in between.items()])
+
+
 def stats_map(pixels: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
     """Track attributes averaged over the tracks that touch a pixel: distinct tracks, times, mean and percentiles of lifetime."""
     both = pixels.join(tracks, "track")
-    once = both.select(*keys, "track", "lifetime").distinct().groupBy(*keys).agg(F.count("*").alias("n_tracks"), F.avg("lifetime").alias("lifetime_mean"), *[F.percentile("lifetime", p / 100).alias(f"lifetime_p{p}") for p in (50, 75, 90, 95)])
+    each = both.select(*keys, "track", "lifetime").distinct()
+    once = each.groupBy(*keys).agg(F.count("*").alias("n_tracks"), F.avg("lifetime").alias("lifetime_mean"))
+    once = once.join(quantiles(each, keys, F.col("lifetime"), {f"lifetime_p{p}": p / 100 for p in (50, 75, 90, 95)}), keys, "left")
     return both.groupBy(*keys).agg(F.count("*").alias("n_times"), F.avg("speed").alias("speed_mean")).join(once, keys)
 
 
@@ -50,7 +74,10 @@ def unique_density(rows: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def box_statistics(rows: DataFrame, box: list[Column], v: Column, least: int) -> DataFrame:
     """Mean, median, highest and 95th percentile by box; null in boxes with under ``least`` rows."""
-    g = rows.groupBy(*box).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.max(v).alias("highest"), F.percentile(v, 0.95).alias("p95"))
+    named = rows.select(*box, v.alias("_value"))
+    keys = named.columns[:-1]
+    g = named.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_value").alias("mean"), F.max("_value").alias("highest"))
+    g = g.join(quantiles(named, keys, F.col("_value"), {"median": 0.5, "p95": 0.95}), keys, "left").select(*keys, "n", "mean", "median", "highest", "p95")
     ok = F.col("n") >= least
     return g.withColumns({c: F.when(ok, F.col(c)) for c in ("mean", "median", "highest", "p95")})
 
@@ -83,7 +110,9 @@ def seasonal_cycle(starts: DataFrame) -> DataFrame:
 def composite(rows: DataFrame, v: Column, lifetimes: tuple[int, int]) -> DataFrame:
     """Mean and quartiles of v by relative time over tracks with a lifetime in range."""
     keep = rows.groupBy("track").agg(F.count("*").alias("n")).where(F.col("n").between(*lifetimes)).select("track")
-    return rows.join(keep, "track").groupBy("t_idx").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), *[F.percentile(v, p / 100).alias(f"q{p}") for p in (25, 50, 75)])
+    kept = rows.join(keep, "track").select("t_idx", v.alias("_value"))
+    mean = kept.groupBy("t_idx").agg(F.count("*").alias("n"), F.avg("_value").alias("mean"))
+    return mean.join(quantiles(kept, ["t_idx"], F.col("_value"), {f"q{p}": p / 100 for p in (25, 50, 75)}), "t_idx", "left")
 
 
 def density(rows: DataFrame, v: Column, grid: list[float], width: float, keys: list[str] | None = None) -> DataFrame:

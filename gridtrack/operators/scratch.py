@@ -44,3 +44,19 @@ def numbered(rows: DataFrame, by: str | list[str], name: str) -> DataFrame:
     base = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
     return dealt.withColumn("_place", inside).join(F.broadcast(base), "_range").withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_range", "_place", "_base")
+
+
+def accumulated(rows: DataFrame, by: list[str], group: list[str], of: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the running sum of column ``of`` in the order of ``by`` (which begins with ``group``), from each group's first row on.
+
+    Rows are dealt by ranges, so a group of any size is spread over tasks; a range takes over the sum of its first group
+    in earlier ranges, which is a row for each range at most: that is what is broadcast.
+    """
+    dealt = stored(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range", *group).agg(F.sum(of).alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("_base", F.sum("_sum").over(earlier)).where("_base IS NOT NULL").drop("_sum")
+    inside = Window.partitionBy("_range", *group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_range", *group)]
+    out = dealt.withColumn(name, F.sum(of).over(inside)).alias("a").join(F.broadcast(base).alias("b"), same, "left")
+    return out.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col(f"a.{name}") + F.coalesce("b._base", F.lit(0))).alias(name))

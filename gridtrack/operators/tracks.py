@@ -295,16 +295,17 @@ def merge_split_index(rows: DataFrame) -> DataFrame:
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: str, within: float) -> DataFrame:
     """Each row of ``left`` with the row of ``right`` of the same keys that is nearest in time and less than ``within`` seconds away, the earlier of two as near; rows without one stay away.
 
-    An equi-join on time buckets; the right side's columns come as a struct ``nearest``.
+    An equi-join on time buckets of the different keys and times of ``left``, whose best match then goes to every row that has
+    them, repeated rows too; the right side's columns come as a struct ``nearest``.
     """
     bucket = F.floor(F.col(time) / within)
-    a = left.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    a = left.select(*keys, time).distinct().withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     names = [c for c in right.columns if c not in keys]
     b = right.select(*keys, F.struct(*names).alias("_r"), bucket.alias("_b"))
     dt = F.abs(F.col(time) - F.col(f"_r.{time}"))
     both = a.join(b, [*keys, "_b"]).where(dt < within)
-    best = both.groupBy(*left.columns).agg(F.min_by("_r", F.struct(dt, F.col(f"_r.{time}"))).alias("nearest"))
-    return best
+    best = both.groupBy(*keys, time).agg(F.min_by("_r", F.struct(dt, F.col(f"_r.{time}"))).alias("nearest"))
+    return left.join(best, [*keys, time]).select(*left.columns, "nearest")
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
