@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 # that mean the same share an id.
 SENTENCES = (
     ("apache2-ref", "licensed under the apache license version 2 0"),
+    ("apache2-or", "or the apache license version 2 0"),
+    ("apache2-or", "and the apache license version 2 0"),
     ("apache2-title", "apache license version 2 0 january 2004"),
     ("apache2-may", "you may not use this file except in compliance with the license"),
     ("apache2-copy", "you may obtain a copy of the license at"),
     ("apache2-asis", "distributed under the license is distributed on an as is basis"),
     ("mit-ref", "under the mit license"),
+    ("mit-or", "or the mit license"),
+    ("mit-or", "and the mit license"),
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies"),
     ("asis-provided", "the software is provided as is without warranty of any kind"),
@@ -88,9 +92,13 @@ SENTENCES = (
 #: (licence, family, sentence ids in order, other known sentences allowed between two of them).
 RULES = (
     ("Apache-2.0", "permissive", ("apache2-ref",), 0),
+    ("Apache-2.0", "permissive", ("mit-ref", "apache2-or"), 0),
+    ("Apache-2.0", "permissive", ("bsd-ref", "apache2-or"), 0),
     ("Apache-2.0", "permissive", ("spdx-apache2",), 0),
     ("Apache-2.0", "permissive", ("apache2-may", "apache2-copy", "apache2-asis"), 2),
     ("MIT", "permissive", ("mit-ref",), 0),
+    ("MIT", "permissive", ("apache2-ref", "mit-or"), 0),
+    ("MIT", "permissive", ("bsd-ref", "mit-or"), 0),
     ("MIT", "permissive", ("spdx-mit",), 0),
     ("MIT", "permissive", ("mit-grant", "mit-notice", "asis-provided"), 2),
     ("ISC", "permissive", ("isc-grant", "asis-provided"), 2),
@@ -142,8 +150,9 @@ RULES = (
     ("CC-BY-NC-4.0", "restricted", ("ccbync-ref",), 0),
     ("CC-BY-NC-4.0", "restricted", ("ccbync-name",), 0),
     ("CC-BY-NC-ND-4.0", "restricted", ("ccbyncnd-ref",), 0),
-    ("All-Rights-Reserved", "restricted", ("reserved",), 0),
 )
+#: What holds only where no rule fits: a licence that grants something stands beside this sentence as a rule.
+ELSE = ("All-Rights-Reserved", "restricted", ("reserved",), 0)
 FAMILIES = ("restricted", "copyleft", "permissive")
 
 # The patterns below mean the same to Java's expressions and to DuckDB's.
@@ -195,7 +204,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, n_sentences, licences, family): one row for each row of ``docs``.
 
     ``sentence_ids`` joins the known sentences in order by commas; ``licences`` joins the
-    licences of the rules that fit, sorted and distinct; ``family`` is the strictest family
+    licences of the rules that fit, sorted and distinct, or that of ELSE where none does; ``family`` is the strictest family
     among them (restricted, copyleft, permissive), or ``none``.  Null text counts as empty.
     A row is judged by its own text: repeated rows and null ids stay as they are.
     """
@@ -204,14 +213,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("seq", F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")))
     fits = [(name, family, F.col("seq").rlike(rule_pattern(ids, gap))) for name, family, ids, gap in RULES]
     named = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(fit, F.lit(name)) for name, _, fit in fits]), lambda x: x.isNotNull())))
-    family = F.lit("none")
+    last = F.col("seq").rlike(rule_pattern(*ELSE[2:]))
+    family = F.when(last, ELSE[1]).otherwise("none")
     for kind in reversed(FAMILIES):
         any_of = F.lit(False)
         for _, own, fit in fits:
             if own == kind:
                 any_of = any_of | fit
         family = F.when(any_of, F.lit(kind)).otherwise(family)
-    return rows.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_sentences"), F.array_join(named, ",").alias("licences"), family.alias("family"))
+    return rows.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_sentences"), F.when((F.size(named) == 0) & last, ELSE[0]).otherwise(F.array_join(named, ",")).alias("licences"), family.alias("family"))
 
 
 def oracle() -> str:
@@ -220,6 +230,7 @@ def oracle() -> str:
     names = "CASE p " + " ".join(f"WHEN '{p.replace(' ', '  ')}' THEN '{n}'" for n, p in SENTENCES) + " END"
     licences = ", ".join(f"CASE WHEN regexp_matches(seq, '{q(rule_pattern(ids, gap))}') THEN '{name}' END" for name, _, ids, gap in RULES)
     families = " ".join(f"WHEN {' OR '.join(f"regexp_matches(seq, '{q(rule_pattern(ids, gap))}')" for _, own, ids, gap in RULES if own == kind)} THEN '{kind}'" for kind in FAMILIES)
+    last = f"regexp_matches(seq, '{q(rule_pattern(*ELSE[2:]))}')"
     return f"""
 WITH lines AS (
   SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '{LEAD}', chr(10), 'g'), '{VERSION}', '\\1 \\2', 'g') AS t FROM documents),
@@ -230,6 +241,6 @@ found AS (SELECT doc_id, flatten(list_transform(words, lambda s: regexp_extract_
 named AS (SELECT doc_id, list_filter(list_transform(known, lambda p: {names}), lambda i: i IS NOT NULL) AS ids FROM found),
 rows AS (SELECT doc_id, ids, '|' || array_to_string(ids, '|') || '|' AS seq FROM named)
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, CAST(len(ids) AS BIGINT) AS n_sentences,
-  array_to_string(list_sort(list_distinct(list_filter([{licences}], lambda x: x IS NOT NULL))), ',') AS licences,
-  CASE {families} ELSE 'none' END AS family
+  coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter([{licences}], lambda x: x IS NOT NULL))), ','), ''), CASE WHEN {last} THEN '{ELSE[0]}' ELSE '' END) AS licences,
+  CASE {families} WHEN {last} THEN '{ELSE[1]}' ELSE 'none' END AS family
 FROM rows"""

@@ -11,7 +11,12 @@ ROWS = [
     (3, "\n".join(reversed(MIT.split("\n"))), "", "none"),
     (4, None, "", "none"),
     (5, "", "", "none"),
-    (6, "This work is licensed under the GNU General Public License, version 3. All rights reserved.", "All-Rights-Reserved,GPL-3.0", "restricted"),
+    (6, "This work is licensed under the GNU General Public License, version 3. All rights reserved.", "GPL-3.0", "copyleft"),
+    (12, "Copyright 2020 the authors. All rights reserved.", "All-Rights-Reserved", "restricted"),
+    (13, "Licensed under the MIT License or the Apache License, Version 2.0.", "Apache-2.0,MIT", "permissive"),
+    (14, "Licensed under the Apache License, Version 2.0 or the MIT License, all rights reserved.", "Apache-2.0,MIT", "permissive"),
+    (14, "Licensed under the Apache License, Version 2.0 or the MIT License, all rights reserved.", "Apache-2.0,MIT", "permissive"),
+    (15, "We like cats or the MIT License", "", "none"),
     (6, "SPDX-License-Identifier: MIT", "MIT", "permissive"),
     (7, "a licence to nothing. permission denied", "", "none"),
     (None, "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "restricted"),
@@ -37,7 +42,7 @@ def test_sql_gives_the_same(spark):
 
 def test_every_rule_uses_known_sentences():
     known = {n for n, _ in licences.SENTENCES}
-    assert all(set(ids) <= known and family in licences.FAMILIES for _, family, ids, _ in licences.RULES)
+    assert all(set(ids) <= known and family in licences.FAMILIES for _, family, ids, _ in (*licences.RULES, licences.ELSE))
 
 
 def test_empty(spark):
@@ -176,5 +181,12 @@ def test_notices_and_near_misses_by_query_and_sql(spark):
     assert sorted(map(str, map(tuple, got.select(*sql.columns).collect()))) == sorted(map(str, sql.fetchall()))
 
 
+def test_bsd_with_its_copyright_line_is_permissive(spark):
+    head = "Copyright (c) 2019, The Authors.\nAll rights reserved.\n\n"
+    rows = [(0, head + WRAPPED_BSD.format("")), (1, head + WRAPPED_BSD.format(ENDORSE))]
+    got = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.licences, r.family) for r in got) == [("BSD-2-Clause", "permissive"), ("BSD-3-Clause", "permissive")]
+
+
 def test_the_hint_holds_every_known_sentence():
     assert all(re.search(licences.hint(), p) for _, p in licences.SENTENCES)
