@@ -92,7 +92,8 @@ def marked(docs: DataFrame, **sizes: int) -> DataFrame:
     """
     c = stored(chunked(docs, **sizes), "chunks")
     order = F.coalesce("doc_id", F.lit(LAST))
-    several = c.where("seq IS NOT NULL AND NOT again").groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last")
+    # Stored on its own, so that both sides of the join are shuffled and a chunk of very many documents can be split.
+    several = stored(c.where("seq IS NOT NULL AND NOT again").groupBy("d1", "d2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last"), "several")
     out = c.join(several, ["d1", "d2"], "left")
     shared = F.col("first").isNotNull() & F.col("seq").isNotNull()
     return out.withColumn("shared", shared).withColumn("repeat", F.col("again") | (shared & F.coalesce(order > F.col("first"), F.lit(False))))

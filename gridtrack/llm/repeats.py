@@ -179,7 +179,9 @@ def contexts(rows: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct("k", "d", "lo", "off", "span", "len"))
     own = rows.groupBy("a", "c").agg(F.count("*").alias("n"), first.alias("x"), F.max("k").alias("k2")).select("a", "c", "n", "k2", "x.*")
-    every = own.groupBy("a").agg(F.sum("n").alias("places"), F.count("*").alias("size")).where("places > 1").drop("places")
+    # Both stored on their own, so that both sides of the join are shuffled and an anchor of very many contexts can be split.
+    own = stored(own, "contexts")
+    every = stored(own.groupBy("a").agg(F.sum("n").alias("places"), F.count("*").alias("size")).where("places > 1").drop("places"), "anchors")
     return own.join(every.hint("merge"), "a")
 
 

@@ -69,7 +69,8 @@ def links(fps: DataFrame, bits: int = 3, blocks: int = 6, bucket: int = 1024) ->
     one = fps.select("fp").distinct()
     masks = block_masks(bits, blocks)
     rows = one.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("b"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for k, m in enumerate(masks)])).alias("x")).select("fp", "x.b", "x.k")
-    full = rows.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored on its own, so that both sides of the join are shuffled and a crowded bucket can be split.
+    full = stored(rows.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     rows = rows.join(full, ["b", "k"]).withColumn("parts", F.ceil(F.col("n") / bucket).cast("int"))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     left = rows.select("b", "k", F.col("fp").alias("u"), F.col("p").alias("i"), F.explode(F.sequence("p", F.col("parts") - 1)).alias("j")).alias("l")
@@ -240,7 +241,7 @@ def similar_components(docs: DataFrame, keys: list[str], width: int = 5, similar
     rows = stored(rows.mapInArrow(kernel, ", ".join(f"{k} long" for k in keys) + ", g long, sig array<long>, key array<long>"), "signatures")
     nodes = stored(rows.groupBy("g").agg(F.first("sig").alias("sig"), F.first("key").alias("key"), F.min(F.struct(*keys)).alias("rep")), "sets")
     at = nodes.select("g", F.posexplode("key").alias("b", "k"))
-    full = at.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")
+    full = stored(at.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1"), "full")
     at = stored(at.join(full, ["b", "k"]), "blocks")
     weight = at.groupBy("g").agg(F.sum("n").alias("w"))
     # Only texts with company are hashed again; repeated rows of the one that stands for its set count once.
