@@ -62,18 +62,25 @@ def _slices(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
-def sets_of(texts: DataFrame, width: int, percent: int | None = None, bits=None) -> DataFrame:
-    """(g, s, set) of each row of ``texts`` (g, t): its s shingle hashes in order as unsigned numbers; with ``bits``, a broadcast filter of common ones, only its prefix, common ones last."""
+def sets_of(rows: DataFrame, asked: DataFrame, width: int, percent: int | None = None, bits=None) -> DataFrame:
+    """(g, s, set) of those of ``rows`` (doc_id, h, t) that ``asked`` (g, d, k) names by d and k: the s shingle hashes in order as unsigned numbers.
+
+    With ``bits``, a broadcast filter of common hashes, only the prefix, common ones last.  No text is shuffled: a filter of fixed
+    size tells which rows may be meant, and the join with ``asked`` follows on what is made of them.
+    """
+    wanted = rows.sparkSession.sparkContext.broadcast(filter_of(asked.select(F.xxhash64("d", "k").alias("t"))))
 
     def kernel(batches):
         for b in _slices(batches):
+            b = b.filter(pa.array(_in(wanted.value, b.column("key").to_numpy().view(np.uint64))))
             own = [shingle_set(t or b"", width) for t in b.column("t").to_pylist()]
             sizes = pa.array([len(x) for x in own], pa.int64())
             if bits is not None:
                 own = [x[np.argsort(_in(bits.value, x), kind="stable")[: prefix(len(x), percent)]] for x in own]
-            yield pa.RecordBatch.from_arrays([b.column("g"), sizes, _lists(own)], names=["g", "s", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), sizes, _lists(own)], names=["doc_id", "h", "s", "set"])
 
-    return texts.select("g", "t").mapInArrow(kernel, "g long, s long, set array<long>")
+    made = rows.select("doc_id", "h", F.xxhash64("doc_id", "h").alias("key"), "t").mapInArrow(kernel, "doc_id long, h long, s long, set array<long>")
+    return made.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).select("g", "s", "set")
 
 
 def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -163,7 +170,7 @@ def indexed(nodes: DataFrame, prefixes, percent: int) -> DataFrame:
     return out
 
 
-def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ...] = (1, 8), bucket: int = 1024) -> DataFrame:
+def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ...] = (1, 8), bucket: int = 1 << 14) -> DataFrame:
     """(g, root): components of the sets of ``nodes`` (g, s, first, sig) under similarity of ``percent`` % or more, for sets with a link.
 
     In rounds each set is compared with a leader of its lists (one for each class of sets), which joins nearly all that can
@@ -291,15 +298,13 @@ def joined(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     released(wide)
     repeated = not every.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
-    def texts(which: DataFrame) -> DataFrame:
+    def sets(which: DataFrame, *order) -> DataFrame:
         # One document for each set, by its id and the digest of its text; only rows alike in both come more than once.
         asked = stored(nodes.join(which, "g").select("g", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("k")), "asked")
-        return rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")))
-
-    def once(found: DataFrame) -> DataFrame:
+        found = sets_of(rows, asked, width, *order)
         return found.dropDuplicates(["g"]) if repeated else found
 
-    roots = links(nodes, lambda which: once(sets_of(texts(which), width)), lambda which, bits: once(sets_of(texts(which), width, percent, bits)), percent)
+    roots = links(nodes, sets, lambda which, bits: sets(which, percent, bits), percent)
     named = nodes.select("g", "doc_id").join(roots, "g", "left").withColumn("root", F.coalesce("root", "g"))
     named = stored(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("g", "component_id"), "components")
     out = every.where("s > 0").join(named, "g").select("doc_id", F.col("s").alias("n_shingles"), "component_id")
