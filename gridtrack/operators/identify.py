@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 LABELS = "frame_id long, y int, x int, feature long"
+Kernel = Callable[[np.ndarray], np.ndarray]
 
 
 def frame_array(pdf: pd.DataFrame, column: str, shape: tuple[int, int], missing: float = np.nan) -> np.ndarray:
@@ -66,25 +67,23 @@ def by_frame(pixels: DataFrame, shape: tuple[int, ...], kernel: Callable[[np.nda
     return rows.repartition("frame_id").sortWithinPartitions("frame_id").mapInArrow(run, f"{out}, {value} double" if keep else out)
 
 
-def threshold_labels(pixels: DataFrame, shape: tuple[int, int], low: float, high: float = float("inf"), eight: bool = False, wrap: bool = False, value: str = "v", keep: bool = False) -> DataFrame:
-    """Connected pixels with low < value < high, numbered in raster order."""
-    kept = pixels.where((F.col(value) > low) & (F.col(value) < high))
-    return by_frame(kept, shape, lambda a: K.components(~np.isnan(a), eight, wrap), value, keep=keep)
+def threshold_kernel(low: float, high: float = float("inf"), eight: bool = False, wrap: bool | str = False) -> Kernel:
+    def kernel(a: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore"):
+            return K.components((a > low) & (a < high), eight, wrap)
 
+    return kernel
 
-def watershed_labels(pixels: DataFrame, shape: tuple[int, int], least: float, peak: float, distance: int, line: bool = True, value: str = "v", wrap: bool = False, keep: bool = False) -> DataFrame:
-    """Flooding of pixels over ``least`` from local maxima over ``peak``; ``wrap`` joins the left and right edges."""
 
+def watershed_kernel(least: float, peak: float, distance: int, line: bool = True, wrap: bool | str = False, compactness: float = 0.0) -> Kernel:
     def kernel(a: np.ndarray) -> np.ndarray:
         v = np.where(np.isnan(a), -np.inf, a)
-        return K.watershed(v, K.local_maxima(v, distance, peak, wrap), v > least, line, wrap)
+        return K.watershed(v, K.local_maxima(v, distance, peak, wrap), v > least, line, wrap, compactness)
 
-    return by_frame(pixels, shape, kernel, value, keep=keep)
+    return kernel
 
 
-def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold: float, least_core: int, least_cold: int, smooth: int = 1, value: str = "v", wrap: bool = False, keep: bool = False) -> DataFrame:
-    """Cold cores (value < core after smoothing) of ``least_core`` pixels or more, grown over pixels < cold; cold areas left over with more than ``least_cold`` pixels are objects too; numbered by size."""
-
+def label_grow_kernel(core: float, cold: float, least_core: int, least_cold: int, smooth: int = 1, wrap: bool | str = False) -> Kernel:
     def kernel(a: np.ndarray) -> np.ndarray:
         s = K.box_mean(a, smooth) if smooth > 1 else a
         with np.errstate(invalid="ignore"):
@@ -97,16 +96,10 @@ def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold:
         rest[np.isin(rest, np.flatnonzero(count <= least_cold))] = 0
         return K.by_size(np.where(rest > 0, rest + out.max(), out))
 
-    return by_frame(pixels, shape, kernel, value, keep=keep)
-
-
-def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, truncation: float, weak: float, least: int, dilate: tuple[float, ...], value: str = "v", keep: bool = False) -> DataFrame:
-    """Cells of reflectivity that reaches ``truncation`` or exceeds its background by the peakedness curve.
+    return kernel
 
-    Cores are four-connected; those of ``least`` pixels or fewer go, the others are numbered by
-    size (:func:`kernels.by_size`) and widened (:func:`kernels.widened`) to each of the radii ``dilate``.
-    """
 
+def convective_kernel(radius: float, truncation: float, weak: float, least: int, dilate: tuple[float, ...]) -> Kernel:
     def kernel(a: np.ndarray) -> np.ndarray:
         ok = ~np.isnan(a) & (a >= weak)
         bkg = K.background(np.nan_to_num(a), ok, radius)
@@ -115,17 +108,45 @@ def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, t
             core = ok & ((a >= truncation) | (a - bkg >= peak))
         return K.widened(K.by_size(K.components(core), least), dilate)
 
-    return by_frame(pixels, shape, kernel, value, keep=keep)
+    return kernel
 
 
-def cold_pools(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: float, peak: float, distance: int, value: str = "v", keep: bool = False) -> DataFrame:
-    """Flooding of the smoothed cold-pool intensity."""
-
+def cold_pool_kernel(sigma: float, least: float, peak: float, distance: int) -> Kernel:
     def kernel(a: np.ndarray) -> np.ndarray:
         v = K.gaussian_filter(np.nan_to_num(a), sigma)
         return K.watershed(v, K.local_maxima(v, distance, peak), v > least)
 
-    return by_frame(pixels, shape, kernel, value, keep=keep)
+    return kernel
+
+
+def threshold_labels(pixels: DataFrame, shape: tuple[int, int], low: float, high: float = float("inf"), eight: bool = False, wrap: bool | str = False, value: str = "v", keep: bool = False) -> DataFrame:
+    """Connected pixels with low < value < high, numbered in raster order; only these pixels are shuffled."""
+    kept = pixels.where((F.col(value) > low) & (F.col(value) < high))
+    return by_frame(kept, shape, threshold_kernel(low, high, eight, wrap), value, keep=keep)
+
+
+def watershed_labels(pixels: DataFrame, shape: tuple[int, int], least: float, peak: float, distance: int, line: bool = True, value: str = "v", wrap: bool | str = False, keep: bool = False, compactness: float = 0.0) -> DataFrame:
+    """Flooding of pixels over ``least`` from local maxima over ``peak``; the edges of the axes of ``wrap`` meet."""
+    return by_frame(pixels, shape, watershed_kernel(least, peak, distance, line, wrap, compactness), value, keep=keep)
+
+
+def label_and_grow(pixels: DataFrame, shape: tuple[int, int], core: float, cold: float, least_core: int, least_cold: int, smooth: int = 1, value: str = "v", wrap: bool | str = False, keep: bool = False) -> DataFrame:
+    """Cold cores (value < core after smoothing) of ``least_core`` pixels or more, grown over pixels < cold; cold areas left over with more than ``least_cold`` pixels are objects too; numbered by size."""
+    return by_frame(pixels, shape, label_grow_kernel(core, cold, least_core, least_cold, smooth, wrap), value, keep=keep)
+
+
+def convective_cells(pixels: DataFrame, shape: tuple[int, int], radius: float, truncation: float, weak: float, least: int, dilate: tuple[float, ...], value: str = "v", keep: bool = False) -> DataFrame:
+    """Cells of reflectivity that reaches ``truncation`` or exceeds its background by the peakedness curve.
+
+    Cores are four-connected; those of ``least`` pixels or fewer go, the others are numbered by
+    size (:func:`kernels.by_size`) and widened (:func:`kernels.widened`) to each of the radii ``dilate``.
+    """
+    return by_frame(pixels, shape, convective_kernel(radius, truncation, weak, least, dilate), value, keep=keep)
+
+
+def cold_pools(pixels: DataFrame, shape: tuple[int, int], sigma: float, least: float, peak: float, distance: int, value: str = "v", keep: bool = False) -> DataFrame:
+    """Flooding of the smoothed cold-pool intensity."""
+    return by_frame(pixels, shape, cold_pool_kernel(sigma, least, peak, distance), value, keep=keep)
 
 
 def smoothed(pixels: DataFrame, shape: tuple[int, int], n: int, value: str = "v") -> DataFrame:
@@ -213,3 +234,6 @@ def renumbered_with(labels: DataFrame, other: DataFrame, least: float = 0) -> tu
 
 #: Identifiers by name; others can be added. With keep they give the pixels' values too.
 IDENTIFIERS: dict[str, Callable[..., DataFrame]] = {"threshold": threshold_labels, "watershed": watershed_labels, "label_grow": label_and_grow, "convective": convective_cells, "cold_pool": cold_pools}
+
+#: What labels a frame's array, by the same names.
+KERNELS: dict[str, Callable[..., Kernel]] = {"threshold": threshold_kernel, "watershed": watershed_kernel, "label_grow": label_grow_kernel, "convective": convective_kernel, "cold_pool": cold_pool_kernel}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
+from ..functions import table_functions as T_FUNCTIONS
 from ..operators import regrid as R
 from ..operators import sphere as G
 from ..operators import storms as W
@@ -154,3 +156,33 @@ def storm_classes(spark, d):
     v = F.col("v") * 250 + 18
     volume = src.emb(spark, d).select(F.floor(F.col("frame_id") / 16).alias("frame_id"), F.col("y").alias("z"), (F.col("frame_id") % 16).cast("int").alias("y"), "x", F.when(v > -10, v).alias("v"))
     return W.storm_classes(volume, (16, 8), [0.5 + 1.5 * k for k in range(8)], 4.0, 1)
+
+
+@query(RECURSIVE + " SELECT * FROM labels")
+def labels_in_sql(spark, d):
+    """The labels of :func:`catalog.label_components`, asked for in SQL."""
+    T_FUNCTIONS.register(spark)
+    src.emb(spark, d).createOrReplaceTempView("gridtrack_pixels")
+    return spark.sql("SELECT * FROM label_frames(TABLE(gridtrack_pixels) PARTITION BY frame_id, identifier => 'threshold', ny => 8, nx => 8, low => 0.0)")
+
+
+@query("""WITH t AS (SELECT event_id, ts + to_microseconds(event_id * 37 % 1000 * 1000) AS moment, value FROM events)
+SELECT event_id, epoch(date_trunc('second', moment + INTERVAL 500 MILLISECONDS))::BIGINT AS second, round(greatest(value * 2.5 - 40, 0), 6) AS amount FROM t""")
+def rounded_seconds(spark, d):
+    """Times of events to the nearest second, and an amount in other units that is never negative."""
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") * 37 % 1000 * 1000)
+    rows = src.table(spark, d, "events").select("event_id", F.unix_seconds(S.nearest_second(at)).alias("second"), S.positive(F.col("value") - 16, 2.5).alias("amount"))
+    return rounded(rows)
+
+
+_PARTS = "year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d"
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, {_PARTS}, o_orderkey % 24 AS h FROM orders)
+SELECT o_orderkey, CAST(y * 365 + [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][m] + d - 1 AS BIGINT) * 86400 + h * 3600 AS noleap, CAST(y * 360 + (m - 1) * 30 + d - 1 AS BIGINT) * 86400 + h * 3600 AS days360,
+CAST(epoch(make_date(y, m, d)) AS BIGINT) + h * 3600 AS standard FROM p""")
+def calendar_times(spark, d):
+    """Seconds of an order's day and an hour in calendars of 365 and of 360 days and in the standard one."""
+    day = F.col("o_orderdate")
+    parts = F.year(day), F.month(day), F.day(day), F.col("o_orderkey") % 24
+    return src.table(spark, d, "orders").select("o_orderkey", *[S.calendar_seconds(*parts, c).alias(name) for c, name in (("noleap", "noleap"), ("360_day", "days360"), ("standard", "standard"))])
