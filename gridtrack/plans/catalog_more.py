@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -75,12 +76,13 @@ def nearest_time(spark, d):
     return out.select("track", "base_time", "nearest.event_id", F.col("nearest.base_time").alias("at"))
 
 
-@query(TRACKS_SQL + """, a AS (SELECT track, t_idx, CASE WHEN area % 3 > 0 THEN area END AS area, npix FROM tr WHERE t_idx % 2 = 0 OR track % 3 = 0), b AS (SELECT track, t_idx, area * 2 AS area, status FROM tr WHERE t_idx % 3 > 0)
-SELECT track, t_idx, coalesce(a.area, b.area, -1) AS area, coalesce(npix, -1) AS npix, coalesce(status, -1) AS status FROM a FULL JOIN b USING (track, t_idx)""")
+@query(TRACKS_SQL + """, b AS (SELECT o_custkey AS track, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS t_idx, CAST(floor(o_totalprice) AS BIGINT) AS area, length(o_orderpriority) AS level FROM orders)
+SELECT track, t_idx, coalesce(CASE WHEN a.area % 3 > 0 THEN a.area END, b.area, -1) AS area, coalesce(npix, -1) AS npix, coalesce(level, -1) AS level FROM tr a FULL JOIN b USING (track, t_idx)""")
 def outer_alignment(spark, d):
-    rows = user_tracks(spark, d)
-    a = rows.where("t_idx % 2 = 0 OR track % 3 = 0").select("track", "t_idx", F.when(F.col("area") % 3 > 0, F.col("area")).alias("area"), "npix")
-    b = rows.where("t_idx % 3 > 0").select("track", "t_idx", (F.col("area") * 2).alias("area"), "status")
+    """Users' tracks beside customers' orders in turn, a third of the former's areas missing."""
+    a = user_tracks(spark, d).select("track", "t_idx", F.when(F.col("area") % 3 > 0, F.col("area")).alias("area"), "npix")
+    turn = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    b = src.table(spark, d, "orders").select(F.col("o_custkey").alias("track"), (F.row_number().over(turn) - 1).cast("long").alias("t_idx"), F.floor("o_totalprice").alias("area"), F.length("o_orderpriority").cast("long").alias("level"))
     return T.aligned(a, b, ["track", "t_idx"]).fillna(-1)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import identify, link, number, tracks
-from ..operators.scratch import stored
+from ..operators.scratch import bucketed, stored
 from .config import Config
 
 
@@ -16,7 +16,8 @@ def run(pixels: DataFrame, frames: DataFrame, cfg: Config, drift: DataFrame | No
     labels, features, links, nodes, track_stats, tracks, main, attached, masks.
     """
     found = identify.IDENTIFIERS[cfg.feature_type](pixels, (cfg.ny, cfg.nx), keep=True, **cfg.identify)
-    labels = stored(identify.renumbered(found, cfg.least_pixels))
+    # In buckets by object: statistics, sizes and masks read it as it lies.
+    labels = bucketed(identify.renumbered(found, cfg.least_pixels), ["frame_id", "feature"], "labels")
     features = stored(tracks.feature_stats(labels, cell_km2=cfg.pixel_km**2))
     links = stored(link.overlaps(labels.drop("v"), link.frame_pairs(frames, cfg.timegap), cfg.othresh, drift))
     nodes = stored(number.track_numbers(frames, features, links, cfg.timegap))

@@ -127,3 +127,32 @@ def test_guards_stop_a_run(spark):
     assert tracks.guarded(rows, ["frame_id"], 5, "objects").count() == 6
     with pytest.raises(Exception, match="over 4 objects: 5"):
         tracks.guarded(rows, ["frame_id"], 4, "objects").count()
+
+
+def test_masks_read_labels_as_they_lie(spark):
+    """Labels are stored in buckets by object: neither statistics nor masks shuffle them."""
+    from gridtrack.operators import tracks
+    from gridtrack.plans import tracking
+    from gridtrack.plans.config import Config
+    from gridtrack.sources import rasters
+
+    pixels = rasters.blobs(spark, [(t, 6 + t, 8, 4) for t in range(5)], 24, 24)
+    frames = spark.createDataFrame([(t, 3600 * t) for t in range(5)], "frame_id long, base_time long")
+    out = tracking.run(pixels, frames, Config(ny=24, nx=24, least_pixels=1, othresh=0.3, timegap=1.5))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else a small side goes to all tasks, and nothing is shuffled anyway
+    try:
+        for df in (tracks.feature_stats(out["labels"]), tracks.painted(out["labels"].select("frame_id", "y", "x", "feature"), out["track_stats"].select("frame_id", "feature", "track", "merge_track", "split_track"))):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            scan = next(line for line in plan.split("\n") if "scratch_labels" in line or "Bucketed: true" in line)
+            above = plan[: plan.index(scan)].split("\n")
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            path, at = [], depth(scan)
+            for line in reversed(above):
+                if line.strip() and depth(line) < at:
+                    path.append(line)
+                    at = depth(line)
+            assert "Bucketed: true" in plan and not any("Exchange" in line for line in path), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.tracknumber for r in out["masks"].collect()} == {1}
