@@ -14,42 +14,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; see :func:`simhash.near_duplicates`."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, bits=3)
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in each document; see :func:`decontam.judged`."""
     return decontam.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document; see :func:`secrets.scanned`."""
     return secrets.scanned(_table(spark, sf_dir, "documents"))
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and the licences of the rules that fit, of each document; see :func:`licences.scanned`."""
     return licences.scanned(_table(spark, sf_dir, "documents"))
 
 
 def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated chunks in each document; see :func:`chunks.deduplicated`."""
     return chunks.deduplicated(_table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture takes of each document; see :func:`mixing.mixed`."""
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeated strings cover; see :func:`repeats.counted`."""
     return repeats.counted(_table(spark, sf_dir, "documents"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document; see :func:`langid.identified`."""
     return langid.identified(_table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of each document and its host's verdict; see :func:`quality.judged`."""
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document; see :func:`toxicity.judged`."""
     return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
