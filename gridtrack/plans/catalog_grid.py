@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -10,6 +12,8 @@ from ..operators import regrid as R
 from ..operators import sphere as G
 from ..operators import storms as W
 from ..operators import tiles as T
+from ..operators.scratch import folder
+from ..sources import arrays as A
 from ..sources import rasters as src
 from .catalog import RECURSIVE, query, rounded
 
@@ -186,3 +190,11 @@ def calendar_times(spark, d):
     day = F.col("o_orderdate")
     parts = F.year(day), F.month(day), F.day(day), F.col("o_orderkey") % 24
     return src.table(spark, d, "orders").select("o_orderkey", *[S.calendar_seconds(*parts, c).alias(name) for c, name in (("noleap", "noleap"), ("360_day", "days360"), ("standard", "standard"))])
+
+
+@query(f"WITH {src.SHIP_SQL} SELECT frame_id, y, x, CAST(v AS DOUBLE) AS v, CAST(v2 AS DOUBLE) AS v2 FROM ship WHERE frame_id BETWEEN 23930 AND 23965 AND y BETWEEN 5 AND 17 AND x >= 8")
+def chunked_box(spark, d):
+    """Monthly frames as arrays of two variables in chunks of 12 frames by 8 x 8 pixels, and a box of three years read back from them."""
+    path = f"{folder(spark.sparkContext.getConf().get('spark.checkpoint.dir'), spark.sparkContext.master)}/arrays-{uuid.uuid4().hex}"
+    A.write_arrays(src.ship(spark, d), path, (24, 24), (12, 8, 8), ["v", "v2"])
+    return A.read_arrays(spark, path, ["v", "v2"], frames=(23930, 23965), rows=(5, 17), columns=(8, 23), per_task=4)
