@@ -9,6 +9,8 @@ from .common import stored
 
 BUCKETS = 1024
 LEVELS = ("domain", "lang", "source")
+#: A place this close under a whole one counts as it; the sums of budgets are off by less.
+SLACK = 1 / 16
 
 #: Target weights of the production query: a node not listed has weight 1 among its siblings.
 WEIGHTS = {("domain", "web"): 0.5, ("domain", "books"): 0.3, ("domain", "code"): 0.2, ("lang", "en"): 0.55, ("lang", "fr"): 0.15, ("lang", "de"): 0.15, ("lang", "es"): 0.15}
@@ -64,16 +66,27 @@ def budgets(leaves: DataFrame, total: float, weights: dict[tuple[str, str], floa
 
     Weights are propagated from the root; a node that cannot use its share leaves the rest
     to its siblings, and only what they all cannot hold rises to the parent's siblings,
-    since a node's capacity is the sum of its leaves'.
+    since a node's capacity is the sum of its leaves'.  Whole tokens: the tree's leaves in order
+    divide a line of the total's length, and what lies between two whole places is a leaf's, so no
+    node is off by a token and none is lost.
     """
     leaf = leaves.select(*LEVELS, "tokens", (F.col("tokens") * epochs).alias("capacity")).where("tokens > 0")
     lang = leaf.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
     top = lang.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    top = filled(top.withColumns({"weight": _weight("domain", weights), "parent_budget": F.lit(float(total)), "_root": F.lit(0)}), ["_root"])
-    lang = lang.withColumn("weight", _weight("lang", weights)).join(top.select("domain", F.col("budget").alias("parent_budget")), "domain")
-    lang = filled(lang, ["domain"])
-    leaf = leaf.withColumn("weight", _weight("source", weights)).join(lang.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"])
-    return filled(leaf, ["domain", "lang"]).select(*LEVELS, "tokens", F.floor("budget").alias("budget"))
+    top = filled(top.withColumns({"weight": _weight("domain", weights), "parent_budget": F.lit(float(total)), "parent_at": F.lit(0.0), "_root": F.lit(0)}), ["_root"])
+    own = [F.col("budget").alias("parent_budget"), F.col("at").alias("parent_at")]
+    lang = filled(lang.withColumn("weight", _weight("lang", weights)).join(_placed(top, ["_root"]).select("domain", *own), "domain"), ["domain"])
+    lang = _placed(lang, ["domain"]).select("domain", "lang", *own)
+    leaf = filled(leaf.withColumn("weight", _weight("source", weights)).join(lang, ["domain", "lang"]), ["domain", "lang"])
+    whole = lambda x: F.floor(x + SLACK)
+    leaf = _placed(leaf, ["domain", "lang"]).withColumn("budget", F.least(whole(F.col("at") + F.col("budget")) - whole(F.col("at")), F.col("capacity")))
+    return leaf.select(*LEVELS, "tokens", "budget")
+
+
+def _placed(nodes: DataFrame, parent: list[str]) -> DataFrame:
+    """Adds ``at``: where a node begins on the line of its parent, after its earlier siblings."""
+    earlier = Window.partitionBy(*parent).orderBy(*[F.col(c) for c in LEVELS if c in nodes.columns]).rowsBetween(Window.unboundedPreceding, -1)
+    return nodes.withColumn("at", F.col("parent_at") + F.coalesce(F.sum("budget").over(earlier), F.lit(0.0)))
 
 
 def mixed(docs: DataFrame, share: float = 0.5, weights: dict[tuple[str, str], float] = WEIGHTS, epochs: int = 4, seed: int = 17, buckets: int = BUCKETS, domain: Column | None = None) -> DataFrame:

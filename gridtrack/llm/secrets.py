@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, stored
@@ -39,18 +39,42 @@ CLASSES = (23, 31, 47, 1 << 30)
 STEPS = 400
 
 
+#: Scans of an array go by blocks of this many entries, since an array that grows entry by entry is copied each time.
+BLOCK = 64
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where lambdas read it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(values: Column, first: Column, op) -> Column:
+    grown = F.aggregate(values, F.array(first), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+    return F.slice(grown, 1, F.size(values))
+
+
+def running(values: Column, first: Column, op) -> Column:
+    """For each entry ``op`` over ``first`` and all entries before it: within blocks, and over the blocks' results."""
+
+    def over(blocks):
+        before = _scan(F.transform(blocks, lambda b: F.aggregate(b, first, op)), first, op)
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: _scan(b, at, op)))
+
+    cuts = lambda v: F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(BLOCK))
+    return _let(values, lambda v: _let(F.transform(cuts(v), lambda k: F.slice(v, k + 1, F.lit(BLOCK))), over))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """array<struct<start,end,hit>> of the leftmost non-overlapping matches, in code points: what a split leaves between the matches gives their places."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,hit:string>>))")
 
-    def step(acc, x):
-        start = (acc["at"] + F.length(x["gap"])).cast("int")
-        end = (start + F.length(x["hit"])).cast("int")
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+    def placed(pairs):
+        before = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"])), F.lit(0), lambda a, b: a + b)
+        start = lambda p, at: at + F.length(p["gap"])
+        return F.zip_with(pairs, before, lambda p, at: F.struct(start(p, at).alias("start"), (start(p, at) + F.length(p["hit"])).alias("end"), p["hit"].alias("hit")))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)"))
+    pairs = _let(hits, lambda h: F.zip_with(F.slice(gaps, 1, F.size(h)), h, lambda g, x: F.struct(g.alias("gap"), x.alias("hit"))))
+    return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)"))
 
 
 def pattern_spans(text: Column) -> Column:
@@ -162,14 +186,28 @@ def cutoffs(tokens: DataFrame, q: float) -> list[int]:
     return out
 
 
-def _overlaps(s: Column, base: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def free_tokens(rows: DataFrame) -> DataFrame:
+    """(_row, start, end, tok) from rows with ``_row``, ``_base`` and ``_tokens``: one row for each token that no pattern span touches.
+
+    A token is touched if a span that starts no later ends after its start, or one that starts no earlier starts before its end.
+    """
+    one = lambda s, hit: F.struct(s["start"].alias("start"), s["end"].alias("end"), hit.alias("tok"))
+    tokens, spans = F.transform("_tokens", lambda s: one(s, s["hit"])), F.transform("_base", lambda s: one(s, F.lit(None).cast("string")))
+    some = F.size("_base") > 0
+    alone = rows.where(~some).select("_row", F.inline(tokens))
+    both = rows.where(some & (F.size("_tokens") > 0)).select("_row", F.inline(F.concat(tokens, spans)))
+    span = F.col("tok").isNull()
+    # Running values from either end: a frame that looks ahead would be gone through anew for each row.
+    up = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_until", F.max(F.when(span, F.col("end"))).over(up)).withColumn("_from", F.min(F.when(span, F.col("start"))).over(down))
+    apart = (F.coalesce("_until", F.lit(0)) <= F.col("start")) & (F.coalesce("_from", F.col("end")) >= F.col("end"))
+    return alone.unionByName(both.where(~span & apart).drop("_until", "_from"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """From rows with ``_row`` and ``_base`` and ``_tokens``: one row for each token that no pattern span touches, tested."""
-    free = rows.select("_row", F.explode(F.filter("_tokens", lambda s: ~_overlaps(s, F.col("_base")))).alias("s"))
-    return token_tests(free.select("_row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.hit").alias("tok")))
+    """The tokens of :func:`free_tokens`, tested."""
+    return token_tests(free_tokens(rows))
 
 
 def scanned(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
@@ -203,7 +241,8 @@ def redacted(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame
     the scan uses stay as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    first = docs.select(F.lit(0).alias("_row"), pattern_spans(text).alias("_base"), spans_of(text, TOKEN).alias("_tokens")).where(F.size("_tokens") > 0)
+    first = docs.select(F.monotonically_increasing_id().alias("_row"), pattern_spans(text).alias("_base"), spans_of(text, TOKEN).alias("_tokens")).where(F.size("_tokens") > 0)
+    first = stored(first, "secrets")
     tested = stored(candidates(first), "tokens")
     cut = cutoffs(tested, q)
     limit = F.element_at(F.array(*[F.lit(c) for c in cut]), _class(F.length("tok")) + 1)
@@ -216,20 +255,26 @@ def _replaced(docs: DataFrame, text: Column, found: DataFrame) -> DataFrame:
     names = docs.columns
     row, base, tokens, more, every = fresh(docs, "_row", "_base", "_tokens", "_more", "_all")
     rows = docs.withColumns({row: F.monotonically_increasing_id(), base: pattern_spans(text), tokens: spans_of(text, TOKEN)})
-    rows = stored(rows.withColumn(tokens, F.filter(tokens, lambda s: ~_overlaps(s, F.col(base)))), "redact")
-    token = rows.select(row, F.explode(tokens).alias("s")).select(row, F.col("s.hit").alias("tok"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    rows = stored(rows, "redact")
+    token = free_tokens(rows.select(F.col(row).alias("_row"), F.col(base).alias("_base"), F.col(tokens).alias("_tokens"))).withColumnRenamed("_row", row)
     hits = token.join(found, "tok", "left_semi").groupBy(row).agg(F.collect_list(F.struct("start", F.lit(3).alias("rank"), "end")).alias(more))
     none = F.lit(None).cast("array<struct<start:int,rank:int,end:int>>")
     # Only texts that hold a token can have more than pattern spans: the others are not shuffled.
     rows = rows.where(F.size(tokens) > 0).join(hits, row, "left").unionByName(rows.where(F.size(tokens) == 0).withColumn(more, none))
     spans = F.array_sort(F.concat(base, F.coalesce(more, F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)"))))
 
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def clean(blocks):
+        def cut(a, b):
+            first = F.floor(a / BLOCK).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), "")
+            return F.when(a < b, F.substring(near, a - first * BLOCK + 1, b - a)).otherwise("")
+
+        reach = running(F.transform(every, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        pieces = F.zip_with(every, reach, lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(cut(at, s["start"]), F.lit("[SECRET]"))))
+        return F.concat(F.array_join(pieces, ""), cut(F.array_max(F.transform(every, lambda s: s["end"])), F.length(text)))
 
-    clean = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # A text in blocks, so that a piece is not looked for from the text's start.
+    clean = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), clean)
     rows = rows.withColumn(every, spans).withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -86,3 +86,36 @@ def test_tokens(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(mixing.n_tokens(F.col("t"))).collect()]
     assert got == [0, 0, 0, 1, 3, 2]
+
+
+@pytest.mark.parametrize("total", [7, 1001, 29_999.7])
+def test_no_token_is_lost(spark, total):
+    """Many small leaves: their whole budgets add up to the target, and those of each node to its share within a token."""
+    rng = random.Random(3)
+    leaves = {(d, l, f"s{k}"): rng.choice([1, 50, 500]) for d in ("web", "books", "x") for l in ("en", "fr", "?", "de") for k in range(30)}
+    df = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, tokens long")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(df, total, epochs=2).collect()}
+    want = brute(leaves, total, mixing.WEIGHTS, 2)
+    assert sum(got.values()) == int(total)
+    assert all(abs(got[k] - want[k]) <= 1 and got[k] <= 2 * leaves[k] for k in want)
+    for depth in (1, 2):
+        for node in {k[:depth] for k in want}:
+            assert abs(sum(v for k, v in got.items() if k[:depth] == node) - sum(v for k, v in want.items() if k[:depth] == node)) <= 1
+
+
+def test_prefix_order(spark):
+    """The prefix of a leaf against a plain walk through its documents in the epoch's order, a very long text among them."""
+    rng = random.Random(9)
+    rows = [(i, "a " * (200_000 if i == 7 else rng.randint(1, 40)) + str(i), "en", "src0") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    keys = df.select("doc_id", *[F.xxhash64(F.lit(17), F.lit(e), "doc_id", F.xxhash64("text")).alias(f"k{e}") for e in range(2)]).collect()
+    sizes = {d: len(t.split()) for d, t, *_ in rows}
+    for share in (0.3, 1.6):
+        left, want = int(sum(sizes.values()) * share), []
+        for e in range(2):
+            for r in sorted(keys, key=lambda r: r[f"k{e}"]):  # noqa: B023
+                take = min(sizes[r.doc_id], left)
+                want += [(r.doc_id, e, take)] if take else []
+                left -= take
+        got = mixing.mixed(df, share=share, epochs=2, buckets=16)
+        assert sorted((r.doc_id, r.epoch, r.take_tokens) for r in got.collect()) == sorted(want)

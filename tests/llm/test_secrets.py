@@ -121,3 +121,34 @@ def test_empty(spark):
 def test_normal_tail(spark):
     got = spark.range(1).select(secrets.normal_tail(F.lit(1.96)), secrets.normal_tail(F.lit(-1.0))).first()
     assert abs(got[0] - 0.0249979) < 1e-6 and abs(got[1] - 0.8413447) < 1e-6
+
+
+def test_text_with_very_many_hits(spark):
+    """10,000 hits of all kinds in one text, and overlaps between kinds, against a plain walk; places past blocks of code points beyond 16 bits."""
+    rng = random.Random(8)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    make = [lambda: some("0123456789abcdef", rng.randint(24, 70)), lambda: "AKIA" + some("ABCDEFGH0123", 17), lambda: "token=" + some("0123456789abcdef", 30), lambda: "é😀" * rng.randint(1, 50), lambda: some(string.ascii_letters + string.digits + "+/", 40), lambda: "password: x"]
+    long = " ".join(rng.choice(make)() for _ in range(10_000))
+    rows = [(1, long), (2, " ".join(rng.choice(make)() for _ in range(129))), (3, "q" + some(string.ascii_letters, 30) + "token=" + some(string.ascii_letters, 30) + " token=abcdef" + "/" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {}
+    for r in secrets.scanned(df).collect():
+        base = brute(dict(rows)[r.doc_id])
+        assert ((r.n_assign, r.n_access, r.n_hex), r.base_sha256) == base[:2]
+        spans[r.doc_id] = [(int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(",")) if a]
+        assert not [x for x in r.spans.split(",") if x.startswith("random") and any(int(x.split(":")[1]) < int(b) and int(a) < int(x.split(":")[2]) for _, a, b in (y.split(":") for y in base[2].split(",")))][:3]
+    got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    for d, t in rows:
+        out, at = [], 0
+        for a, b in sorted(spans[d]):
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert got[d] == "".join(out) + t[at:]
+
+
+def test_tokens_beside_spans(spark):
+    """Tokens that pattern spans touch are not free, whichever begins first; those beside them are."""
+    rows = [(0, [(5, 0, 9), (20, 2, 50)], [(0, 5, "a"), (0, 6, "b"), (9, 20, "c"), (8, 10, "d"), (25, 30, "e"), (18, 60, "f"), (50, 70, "g"), (20, 50, "h")]), (1, [], [(3, 4, "i")]), (2, [(1, 0, 2)], [])]
+    df = spark.createDataFrame(rows, "_row long, _base array<struct<start:int,rank:int,end:int>>, _tokens array<struct<start:int,end:int,hit:string>>")
+    assert sorted(r.tok for r in secrets.free_tokens(df).collect()) == ["a", "c", "g", "i"]
