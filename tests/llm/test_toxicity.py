@@ -81,3 +81,43 @@ def test_sample_is_cut_by_characters(spark):
     df, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     small = toxicity.fit(df.select("doc_id", "text", "lang"), lab, per_class=300, max_chars=3000)
     assert small is not None and toxicity.scored(df, small).count() == 300
+
+
+def test_all_labelled_rows_are_learned(spark, monkeypatch):
+    """The start's counts are those of every labelled row that is not for calibration, whatever the pieces; a text of many words counts too."""
+    docs, labels = corpus(3, 400)
+    docs.append((9000, "zzlong " * 60_000, "aa", "s", 7, 0.5))
+    df, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame([*labels, (9000, 1, 1)], "doc_id long, quality int, toxic int")
+    seen, own = [], toxicity.begun
+    monkeypatch.setattr(toxicity, "begun", lambda df, n0, n1, *a: seen.append((df, n0, n1)) or own(df, n0, n1, *a))
+    monkeypatch.setattr(toxicity, "STRETCH", 100)
+    assert toxicity.fit(df.select("doc_id", "text", "lang"), lab, epochs=1) is not None
+    held = {r[0] for r in spark.createDataFrame([(d[0],) for d in docs], "i long").selectExpr("i", "pmod(xxhash64(5, i), 5) = 4 AS h").where("h").collect()}
+    truth, want = {**{i: t for i, _, t in labels}, 9000: 1}, np.zeros((2, toxicity.TABLES * toxicity.ROWS))
+    for d in docs:
+        if d[0] not in held:
+            want[truth[d[0]], np.unique(toxicity.word_rows(d[1]))] += 1
+    (counts, n0, n1), = seen
+    assert (counts == want).all() and n0 + n1 == len(docs) - len(held)
+
+
+def test_an_average_of_stretches(spark, monkeypatch):
+    """A weight's change is the mean of those stretches that changed it, weighted by rows."""
+    docs, labels = corpus(4, 150)
+    rows = spark.createDataFrame([(i // 100, t[2], d[1]) for i, (d, t) in enumerate(zip(docs, labels))], "piece int, toxic int, text string").coalesce(1)
+    texts, y = [toxicity.word_rows(d[1]) for d in docs], np.array([t[2] for t in labels], float)
+    m = toxicity.start(texts, y, 3)
+    got = toxicity.averaged(rows, m, (1 - y).sum(), y.sum(), 0.01)
+    ends = []
+    for own in (slice(0, 100), slice(100, 150)):
+        one = toxicity.moved(m, np.zeros(0, np.int64), np.zeros((0, toxicity.DIM), np.float32))
+        adam, weight = toxicity.Adam(one, 0.01), toxicity.weights(y, (1 - y).sum(), y.sum())
+        for at in range(own.start, own.stop, 32):
+            k = slice(at, min(at + 32, own.stop))
+            adam.step(texts[k], y[k], weight[k])
+        ends.append(one)
+    change = np.stack([e.emb - m.emb for e in ends])
+    share = np.array([100, 50])[:, None] * (change != 0).any(2)
+    want = (change * share[:, :, None]).sum(0) / np.maximum(share.sum(0), 1)[:, None]
+    np.testing.assert_allclose(got.emb - m.emb, want, atol=1e-6)
+    np.testing.assert_allclose(got.out, (100 * ends[0].out + 50 * ends[1].out) / 150, atol=1e-6)
