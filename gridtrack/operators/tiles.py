@@ -42,15 +42,17 @@ def least_roots(edges: DataFrame, keys: list[str], max_rounds: int = 40) -> Data
     Every node points to the least it knows.  In each round the neighbours above a node are hung on the least of its
     neighbours, then all its lower ones; that is an aggregation of minima and a join by node, combined before they are
     shuffled.  The rounds grow with the logarithm of the longest chain; each is stored, and a count and a digest come to the driver.
+    All sides grow with the frames, and files of numbers are much smaller than their rows, so joins are merges: a side that
+    looks small enough to be broadcast would come to the driver whole.
     """
     down = lambda e: e.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = stored(down(edges), "edges"), None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        up = both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        up = both.where("v > u").join(least.hint("merge"), [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = stored(up.groupBy(*keys, "u").agg(F.min("v").alias("m")), "least")
-        hung = up.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
+        hung = up.join(least.hint("merge"), [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         edges = stored(down(hung), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -63,7 +65,7 @@ def numbered_within(rows: DataFrame, key: str, by: str, name: str) -> DataFrame:
     """``rows`` with ``name``, their place from 1 within ``key`` in the order of ``by``; no group is gathered in one task."""
     placed = stored(numbered(rows, [key, by], "_nth"), "placed")
     first = placed.groupBy(key).agg((F.min("_nth") - 1).alias("_first"))
-    return placed.join(first, key).withColumn(name, F.col("_nth") - F.col("_first")).drop("_nth", "_first")
+    return placed.join(first.hint("merge"), key).withColumn(name, F.col("_nth") - F.col("_first")).drop("_nth", "_first")
 
 
 def labels(pixels: DataFrame, shape: tuple[int, int], tile: tuple[int, int], eight: bool = False, wrap: str = "", value: str | None = None) -> DataFrame:
@@ -97,14 +99,14 @@ def labels(pixels: DataFrame, shape: tuple[int, int], tile: tuple[int, int], eig
     over = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps]))
     to = rim.select("frame_id", F.col("node").alias("u"), over.alias("to"))
     at = {c: F.pmod(F.col(f"to.{c}"), F.lit(n)).cast("int") if c in wrap else F.col(f"to.{c}") for c, n in (("y", ny), ("x", nx))}
-    seams = to.select("frame_id", "u", at["y"].alias("y"), at["x"].alias("x")).join(rim.withColumnRenamed("node", "v"), ["frame_id", "y", "x"]).select("frame_id", "u", "v")
+    seams = to.select("frame_id", "u", at["y"].alias("y"), at["x"].alias("x")).join(rim.withColumnRenamed("node", "v").hint("merge"), ["frame_id", "y", "x"]).select("frame_id", "u", "v")
     roots = stored(least_roots(seams, ["frame_id"]), "roots")
 
-    nodes = own.select("frame_id", "node").distinct().join(roots, ["frame_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = own.select("frame_id", "node").distinct().join(roots.hint("merge"), ["frame_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
     nodes = stored(nodes, "nodes")
     objects = numbered_within(nodes.select("frame_id", "root").distinct(), "frame_id", "root", "feature")
-    named = stored(nodes.join(objects, ["frame_id", "root"]).select("frame_id", "node", "feature"), "named")
-    return own.join(named, ["frame_id", "node"]).select("frame_id", "y", "x", "feature", *kept)
+    named = stored(nodes.join(objects.hint("merge"), ["frame_id", "root"]).select("frame_id", "node", "feature"), "named")
+    return own.join(named.hint("merge"), ["frame_id", "node"]).select("frame_id", "y", "x", "feature", *kept)
 
 
 def grown(seeds: DataFrame, allowed: DataFrame, shape: tuple[int, int], wrap: str = "", rings: int | None = None) -> DataFrame:

@@ -115,3 +115,15 @@ def test_compact_flooding():
     compact = K.watershed(v, markers, v > 0, False, compactness=1000.0)
     assert free[2].tolist() == [1, 1, 2, 2, 2, 2, 2, 2, 2] and (compact[:, :4] == 1).all() and (compact[:, 5:] == 2).all()
     assert (K.watershed(v, markers, v > 0, False, compactness=0.0) == free).all()
+
+
+def test_no_side_of_a_join_comes_to_the_driver(spark, monkeypatch):
+    """Sides that grow with the frames are merged however small they look; only the counts of the ranges are broadcast."""
+    plans, own = {}, tiles.stored
+    monkeypatch.setattr(tiles, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and own(df, name))
+    a = np.random.default_rng(5).random((2, 9, 9)) < 0.5
+    got = tiles.labels(spark.createDataFrame(rows_of(a), PIXELS), (9, 9), (3, 3))
+    plans["labels"] = got._jdf.queryExecution().executedPlan().toString()
+    assert {"least", "edges", "nodes", "named"} <= set(plans)
+    assert [k for k, p in plans.items() if "BroadcastExchange" in p and k != "placed"] == []
+    assert (frames(got.collect(), a.shape) == np.stack([K.components(f) for f in a])).all()
