@@ -180,12 +180,13 @@ def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ..
     entries = indexed(nodes, prefixes, percent)
     near, roots = None, None
     for n in classes:
-        rows = _rooted(entries, roots)
-        rows = stored(rows.join(stored(company(rows, ["t"]).select("t"), "company"), "t"), "apart")
+        # At first every set is a component of its own, so every list has company.
+        rows = entries.withColumn("r", F.col("g")) if roots is None else _apart(entries, roots, ["t"])
         k = F.pmod(F.xxhash64(F.lit(n), "g"), F.lit(n))
         leaders = stored(rows.groupBy("t", k.alias("k")).agg(F.min(F.struct("p", F.xxhash64("g").alias("h"), "g", "s", "r")).alias("x")).select("t", "x.*"), "leaders")
         pairs = rows.alias("a").join(leaders.alias("b"), [F.col("a.t") == F.col("b.t"), F.col("a.r") != F.col("b.r"), can_match("a", "b", percent)])
         shared = stored(overlaps(possible(pairs.select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct(), nodes, percent), sets), "shared")
+        released(leaders, *([] if roots is None else [rows]))
         now = shared.where(_similar("o", percent))
         # Those within half of what a pair may differ in are near enough for answers to carry over.
         close = shared.where(_similar("o", (100 + percent) // 2)).select(F.col("u").alias("g"), F.col("v").alias("lead"), "o")
@@ -193,43 +194,63 @@ def links(nodes: DataFrame, sets, prefixes, percent: int, classes: tuple[int, ..
         roots = _joined(now, roots)
     near = stored(near.groupBy("g").agg(F.max(F.struct("o", "lead")).alias("x")).select("g", "x.lead", "x.o"), "near")
 
-    rows = _rooted(entries, roots)
-    rows = stored(rows.join(stored(company(rows, ["t"]), "company"), "t"), "apart")
+    rows = _apart(entries, roots, ["t", "n", "m", "most"])
     crowded = F.col("m") * F.col("n") > CROWDED
     folded = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.aggregate(F.sequence(i, F.size("sig") - 1, F.lit(WORDS)), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get("sig", j))))
-    dense = stored(rows.where(crowded).join(nodes.select("g", folded.alias("sig")), "g"), "crowded")
-    pairs = met(rows.where(~crowded).withColumn("sig", F.lit(None)), percent, bucket).union(met(dense, percent, bucket, True)).distinct()
+    # The crowded lists of a set in the order of its shingles, which is the same for all sets.
+    own = rows.where(crowded).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "t", "s", "r", "n", "m", "most"))).alias("x"))
+    own = own.join(nodes.select("g", folded.alias("sig")), "g").select("g", "sig", F.col("x.t").alias("lists"), F.explode("x").alias("x"))
+    dense = stored(own.select("g", "sig", "lists", "x.*"), "crowded")
+    pairs = met_few(rows.where(~crowded), percent).union(met(dense, percent, bucket)).distinct()
     return _joined(derived(possible(pairs, nodes, percent), near, nodes.select("g", "s"), sets, percent), roots)
 
 
-def met(rows: DataFrame, percent: int, bucket: int, bitmaps: bool = False) -> DataFrame:
-    """Pairs (u, v), u < v, of entries (t, g, s, p, r, n, m, most) of the same list that are of other components r and can match; with ``bitmaps`` those of column sig have to allow it too.
+def met_few(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs as of :func:`met`, of lists of up to CROWDED comparisons: so few that each entry is sent once and no block is skipped."""
+    kept = ["t", "g", "s", "p", "r"]
+    left, right = rows.where("r <> most").select(*kept).alias("a"), rows.select(*kept, (F.col("r") != F.col("most")).alias("both")).alias("b")
+    once = ~F.col("b.both") | (F.col("a.g") < F.col("b.g"))
+    return _pairs(left.join(right, [F.col("a.t") == F.col("b.t"), once, F.col("a.r") != F.col("b.r"), can_match("a", "b", percent)])).distinct()
+
+
+def met(rows: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """Pairs (u, v), u < v, of entries (t, g, s, p, r, n, m, most, lists, sig) of the same list that are of other components r and can match, which the bitmaps sig have to allow too.
 
     One of such a pair is not of the list's commonest component (``most``), so only those m entries are
     compared with all n, and those only in the blocks where partners can be.  Both sides are dealt to parts of ``bucket``,
-    and each pair of parts is compared on its own.
+    and each pair of parts is compared on its own.  A pair leaves the first of its sets' ``lists`` that both are in and no
+    other: near copies share very many.
     """
     parts = {"i": F.ceil(F.col("m") / bucket).cast("int"), "j": F.ceil(F.col("n") / bucket).cast("int")}
     rows = rows.withColumns({f"of_{c}": x for c, x in parts.items()})
     mine = {c: F.pmod(F.xxhash64("g"), F.col(f"of_{c}")).cast("int").alias(c) for c in parts}
     every = {c: F.explode(F.sequence(F.lit(0), F.col(f"of_{c}") - 1)).alias(c) for c in parts}
-    kept = ["t", "g", "s", "p", "r", *(["sig"] if bitmaps else [])]
+    kept = ["t", "g", "s", "p", "r", "sig", "lists"]
     left = rows.where("r <> most").select(*kept, "of_j", mine["i"], F.explode(visited(percent)).alias("x")).select(*kept, "of_j", "i", "x.c", "x.q").select(*kept, "c", "q", "i", every["j"]).alias("a")
     right = rows.select(*kept, (F.col("r") != F.col("most")).alias("both"), *own_block(percent), "of_i", mine["j"]).select(*kept, "both", "c", "q", "j", every["i"]).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "c", "q", "i", "j")]
     once = ~F.col("b.both") | (F.col("a.g") < F.col("b.g"))
-    fits = can_match("a", "b", percent)
-    if bitmaps:
-        s, t = F.col("a.s"), F.col("b.s")
-        differ = sum((F.bit_count(F.col("a.sig")[k].bitwiseXOR(F.col("b.sig")[k])) for k in range(WORDS)), F.lit(0))
-        fits = fits & (differ <= s + t - 2 * at_least(s, t, percent))
-    pairs = left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), fits])
-    return pairs.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v")).distinct()
-
-
-def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return entries.withColumn("r", F.col("g"))
+    s, t = F.col("a.s"), F.col("b.s")
+    differ = sum((F.bit_count(F.col("a.sig")[k].bitwiseXOR(F.col("b.sig")[k])) for k in range(WORDS)), F.lit(0))
+    fits = can_match("a", "b", percent) & (differ <= s + t - 2 * at_least(s, t, percent))
+    first = F.get(F.array_intersect("a.lists", "b.lists"), F.lit(0)) == F.col("a.t")
+    return _pairs(left.join(right, [*same, once, F.col("a.r") != F.col("b.r"), fits, first]))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a.g", "b.g").alias("u"), F.greatest("a.g", "b.g").alias("v"))
+
+
+def _apart(entries: DataFrame, roots: DataFrame, of_list: list[str]) -> DataFrame:
+    """The entries of the lists that hold two components yet, with their component r and the columns ``of_list`` of :func:`company`."""
+    rows = _rooted(entries, roots)
+    lists = stored(company(rows, ["t"]).select(*of_list), "company")
+    out = stored(rows.join(lists, "t"), "apart")
+    released(rows, lists)
+    return out
+
+
+def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(entries.join(roots, "g", "left").withColumn("r", F.coalesce("root", "g")).drop("root"), "rooted")
 
 

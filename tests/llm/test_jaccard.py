@@ -108,6 +108,26 @@ def test_blocks_that_are_skipped_hold_no_partner(spark):
     assert skipped > 0.8 * len(visits) * len(blocks)
 
 
+def rows_of_joins(node):
+    own = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
+    return own + sum(rows_of_joins(node.children().apply(k)) for k in range(node.children().size()))
+
+
+def test_pairs_of_near_copies_leave_one_list_only(spark):
+    """Sets that share nine lists in which they can match: a pair leaves the join once, of the first list that both are in."""
+    held = {g: list(range(g == 11, 9)) for g in range(12)}
+    rows = [(t, g, 100, p, g, 12 - (t == 0), 11 - (t == 0), 0, ts, [0] * jaccard.WORDS) for g, ts in held.items() for p, t in enumerate(ts)]
+    frame = spark.createDataFrame(rows, "t long, g long, s long, p int, r long, n long, m long, most long, lists array<long>, sig array<long>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for bucket in (3, 1 << 14):
+            pairs = jaccard.met(frame, 85, bucket)
+            assert sorted(map(tuple, pairs.collect())) == [(u, v) for u in range(12) for v in range(u + 1, 12)]
+            assert rows_of_joins(pairs._jdf.queryExecution().executedPlan()) == 66
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_empty_table(spark):
     assert jaccard.joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert found(spark, [(3, None)]) == [(3, 0, 3)]
