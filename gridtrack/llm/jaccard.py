@@ -44,9 +44,19 @@ DIFFER = """aggregate(sequence(0, least(size(a), size(b)) - 1), 0, (n, i) -> n +
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose bitmaps do not show already that they differ in too much."""
+    """Those of ``pairs`` (u, v) whose bitmaps do not show already that they differ in too much.
+
+    A filter of fixed size tells which sets may be in a pair; only their bitmaps are shuffled.
+    """
     pairs = stored(pairs, "met")
-    side = lambda x, y: pairs.join(nodes.select(F.col("g").alias(x), F.col("s").alias(f"s{x}"), F.col("sig").alias(y)), x)
+    wanted = pairs.sparkSession.sparkContext.broadcast(filter_of(pairs.select(F.explode(F.array("u", "v")).alias("t"))))
+
+    def kernel(batches):
+        for b in batches:
+            yield b.filter(pa.array(_in(wanted.value, b.column("g").to_numpy().view(np.uint64))))
+
+    met = nodes.select("g", "s", "sig").mapInArrow(kernel, "g long, s long, sig array<long>")
+    side = lambda x, y: pairs.join(met.select(F.col("g").alias(x), F.col("s").alias(f"s{x}"), F.col("sig").alias(y)), x)
     both = side("u", "a").join(side("v", "b"), ["u", "v"])
     return both.where(F.expr(DIFFER) <= F.col("su") + F.col("sv") - 2 * at_least(F.col("su"), F.col("sv"), percent)).select("u", "v")
 
@@ -154,16 +164,18 @@ def indexed(nodes: DataFrame, prefixes, percent: int) -> DataFrame:
     at = nodes.select("g", "s", F.posexplode("first").alias("p", "t"))
     bits = nodes.sparkSession.sparkContext.broadcast(filter_of(at.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("t")))
 
-    def late(batches):
-        for b in batches:
-            first = b.column("first")
-            hit = _in(bits.value, first.values.to_numpy(zero_copy_only=False).view(np.uint64))
-            of = np.repeat(np.arange(b.num_rows), np.diff(first.offsets.to_numpy()))
-            yield b.select(["g"]).take(pa.array(np.unique(of[hit[first.offsets[0].as_py() :][: len(of)]])))
+    def late(b) -> np.ndarray:
+        first = b.column("first")
+        hit = _in(bits.value, first.values.to_numpy(zero_copy_only=False).view(np.uint64))
+        of = np.repeat(np.arange(b.num_rows), np.diff(first.offsets.to_numpy()))
+        return np.isin(np.arange(b.num_rows), of[hit[first.offsets[0].as_py() :][: len(of)]])
 
-    again = stored(nodes.select("g", "first").mapInArrow(late, "g long"), "late")
+    # A set's own shingles tell whether it is late, so neither kind of sets has to be joined with the other.
+    known = nodes.select("g", "s", "first")
+    again = stored(known.mapInArrow(lambda batches: (b.select(["g"]).filter(pa.array(late(b))) for b in batches), "g long"), "late")
     other = prefixes(again, bits).select("g", "s", F.posexplode("set").alias("p", "t"))
-    at = stored(at.join(again, "g", "left_anti").union(other), "entries")
+    early = known.mapInArrow(lambda batches: (b.filter(pa.array(~late(b))) for b in batches), "g long, s long, first array<long>")
+    at = stored(early.select("g", "s", F.posexplode("first").alias("p", "t")).union(other), "entries")
     several = stored(at.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"), "lists")
     out = stored(at.join(several, "t"), "index")
     released(at)

@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridtrack.llm import jaccard
+from gridtrack.llm import common, jaccard
 
 SCHEMA = "doc_id long, text string, g long, s int, t string, root string"
 
@@ -128,6 +130,60 @@ def test_pairs_of_near_copies_leave_one_list_only(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def shuffled(node):
+    own = node.metrics().get("shuffleRecordsWritten").get().value() if node.nodeName() == "Exchange" else 0
+    return own + sum(shuffled(node.children().apply(k)) for k in range(node.children().size()))
+
+
+def collected(frame):
+    """The rows of ``frame`` and how many were shuffled on the way; a frame that is collected again shuffles nothing."""
+    return frame.collect(), shuffled(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture
+def plain(spark):
+    """Plans as for large tables: no adaptive ones, nothing broadcast."""
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    yield
+    for k in confs:
+        spark.conf.unset(k)
+
+
+def test_only_bitmaps_of_sets_in_pairs_are_shuffled(spark, plain):
+    nodes = spark.createDataFrame([(g, 8, [g] * 8) for g in range(1000)], "g long, s long, sig array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 1 << 9)], "u long, v long")
+    got = jaccard.possible(pairs, nodes, 85)
+    assert sorted(map(tuple, got.collect())) == []
+    alike = jaccard.possible(pairs, nodes.withColumn("sig", F.array([F.lit(0).cast("long")] * 8)), 85)
+    rows, n = collected(alike)
+    assert sorted(map(tuple, rows)) == [(1, 2), (1, 512)] and 0 < n < 30
+
+
+def test_prefixes_are_not_shuffled_to_tell_late_sets(spark, plain, monkeypatch):
+    """Sets with a common shingle come by the reread prefix only, the others as they are: no join of the two."""
+    nodes = spark.createDataFrame([(g, 4, [g, 7000 + g % 50 if g % 2 else 8000 + g]) for g in range(400)], "g long, s long, first array<long>")
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    entries, whole = {}, jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: entries.setdefault(name, df) and whole(df, name))
+    reread = lambda again, bits: again.select("g", F.lit(4).cast("long").alias("s"), F.array(F.col("g"), F.lit(-1).cast("long")).alias("set"))
+    jaccard.indexed(nodes, reread, 85)
+    rows, n = collected(entries["entries"].select("g", "s", "p", "t"))
+    assert {tuple(r) for r in rows} == {(g, 4, p, t) for g in range(400) for p, t in enumerate([g, -1 if g % 2 else 8000 + g])} and n == 0
+
+
+def test_shuffle_files_go_with_the_stored_table(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.toString() for f in (disk.getAllFiles().apply(k) for k in range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    out = common.stored(spark.range(5000).groupBy((F.col("id") % 999).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 999 and spark.conf.get(common.CLEANUP) == setting
+
+
 def test_empty_table(spark):
     assert jaccard.joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert found(spark, [(3, None)]) == [(3, 0, 3)]
